@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, text_groups
+from .common import map_arrow, mix64, text_groups
 
 
 @dataclass(frozen=True)
@@ -133,10 +133,10 @@ def train(examples: DataFrame, config: FtrlConfig = FtrlConfig()) -> bytes:  # n
                 model.learn(np.frombuffer(at.as_py(), np.int32).astype(np.int64), np.frombuffer(x.as_py(), np.float32).astype(float), label.as_py())
         yield pa.RecordBatch.from_arrays([pa.array([model.all_weights().tobytes()], pa.binary())], names=["weights"])
 
-    counted = examples.select("key", "text", "label").mapInArrow(count, "key long, label int, at binary, x binary")
+    counted = map_arrow(examples.select("key", "text", "label"), count, "key long, label int, at binary, x binary")
     epochs = counted.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.lit(config.epochs))))
     ordered = epochs.repartition(1).sortWithinPartitions("epoch", "key", "at", "label").select("key", "label", "at", "x")
-    got = ordered.mapInArrow(learn, "weights binary").collect()
+    got = map_arrow(ordered, learn, "weights binary").collect()
     return bytes(got[0].weights) if got else np.zeros(2**config.bits + 1, np.float32).tobytes()
 
 
@@ -165,5 +165,5 @@ def score(docs: DataFrame, weights: bytes, config: FtrlConfig = FtrlConfig(), id
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64())], names=["id", "score"])
 
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    out = source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, score double")
+    out = map_arrow(source, run, f"id {source.schema['id'].dataType.simpleString()}, score double")
     return out.select(F.col("id").alias(id_col), "score")

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +19,7 @@ LOCAL_CHECKPOINTS = "/tmp/checkpoints"
 BROADCAST_ROWS = 500_000
 
 #: Texts are handled in groups of at most so many characters, which bounds a worker's memory whatever the Arrow batch holds.
-GROUP_CHARS = 12_000_000
+GROUP_CHARS = 4_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,6 +37,24 @@ def new_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/codelake/{name}-{uuid.uuid4().hex}"
 
 
+def ship(spark: SparkSession) -> None:
+    """Makes this package importable on the executors, once per session's context."""
+    context = spark.sparkContext
+    if getattr(context, "_codelake_shipped", False):
+        return
+    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    folder = tempfile.mkdtemp(prefix="codelake-")
+    shutil.copytree(package, os.path.join(folder, "src", os.path.basename(package)), ignore=shutil.ignore_patterns("__pycache__"))
+    context.addPyFile(shutil.make_archive(os.path.join(folder, f"codelake-{uuid.uuid4().hex[:8]}"), "zip", os.path.join(folder, "src")))
+    context._codelake_shipped = True
+
+
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """df.mapInArrow with this package on the executors."""
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
 def stage_table(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Writes df to the shared folder and reads it back: the lineage ends there, so a lost executor costs no recomputation."""
     spark = df.sparkSession

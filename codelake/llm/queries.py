@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 
 from .bpe import bpe_decode, bpe_encode
 from .classifier import FtrlConfig, score, train, training_rows
+from .exact_dedup import exact_dedup
 from .token_counts import token_counts
+from .url_filter import Rule, url_filter
+from .warc import round_trip
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +37,21 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup(table(spark, sf_dir, "documents"), digest_all=True).withColumnRenamed("digest", "text_sha256")
+
+
+OP2_SQL = r"""
+WITH t AS (SELECT doc_id, length(coalesce(text, '')) AS chars, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256 FROM documents)
+SELECT doc_id,
+       first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY chars DESC, doc_id) AS keep_id,
+       count(*) OVER (PARTITION BY text_sha256) AS group_size,
+       doc_id = first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY chars DESC, doc_id) AS kept,
+       text_sha256
+FROM t
+"""
+
+
 #: A document is predicted good from this score on.
 GOOD = 0.7
 
@@ -53,10 +71,24 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+RULES = (Rule("block", "com", "/en/"), Rule("allow", "example.com", "/en/7"), Rule("allow", "net", "/de/"), Rule("block", "example.net", "/de/8"), Rule("block", "org", "/es/"))
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter(table(spark, sf_dir, "pages"), RULES)
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op2_exact_dedup": op2_exact_dedup,
     "op4_quality": op4_quality,
     "op6_token_counts": op6_token_counts,
+    "op8_url_filter": op8_url_filter,
+    "op9_warc": op9_warc,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_exact_dedup": OP2_SQL}

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import ChunkCache
-from .common import text_groups
+from .common import map_arrow, text_groups
 
 #: Pre-tokens in the broadcast table, the documents whose words are counted for it, and the longest one in bytes: at most some 5 MB.
 TABLE_SIZE, TABLE_DOCUMENTS, TABLE_BYTES = 65_536, 4_096, 64
@@ -109,7 +109,7 @@ def frequent_table(docs: DataFrame, path: str, text_col: str = "text", size: int
         top = [(w, n) for w, n in seen.most_common(size) if w and n > 1 and len(w.encode("utf-8", "surrogatepass")) <= TABLE_BYTES]
         yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], names=["word", "n"])
 
-    top = sample.mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(size)
+    top = map_arrow(sample, run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(size)
     words = [r.word for r in top.select("word").collect() if MARK not in r.word]
     counts = PieceCounter(path).chunks([" " + w for w in words])
     words = [(w, n) for w, n in zip(words, counts, strict=True) if n < 65536]
@@ -131,5 +131,5 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
 
     text = F.col(text_col).cast("string")
     source = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"))
-    out = source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, n_bytes long, n_tokens long")
+    out = map_arrow(source, run, f"id {source.schema['id'].dataType.simpleString()}, n_bytes long, n_tokens long")
     return out.select(F.col("id").alias(id_col), "n_bytes", "n_tokens")
