@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .bpe import bpe_decode, bpe_encode
 from .classifier import FtrlConfig, score, train, training_rows
 from .exact_dedup import exact_dedup
+from .shingle_join import shingle_components
 from .token_counts import token_counts
 from .url_filter import Rule, url_filter
 from .warc import round_trip
@@ -71,6 +72,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shingle_components(table(spark, sf_dir, "documents"), n=4, percent=85)
+
+
 RULES = (Rule("block", "com", "/en/"), Rule("allow", "example.com", "/en/7"), Rule("allow", "net", "/de/"), Rule("block", "example.net", "/de/8"), Rule("block", "org", "/es/"))
 
 
@@ -87,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
     "op4_quality": op4_quality,
     "op6_token_counts": op6_token_counts,
+    "op7_ngram_jaccard": op7_ngram_jaccard,
     "op8_url_filter": op8_url_filter,
     "op9_warc": op9_warc,
 }
