@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import ChunkCache
-from .common import text_groups
+from .common import map_arrow, text_groups
 
 NO_RANK = np.int64(2**31 - 1)
 
@@ -93,7 +93,6 @@ class MergeTable:
         # All places of a rank merge at once, unless the made token has a pair of that rank or a lower one: then one place a pre-token is taken.
         rank_of = {int(i): int(r) for r, i in made}
         self.turning = {t for (a, b), (r, _) in merges.items() for t in (a, b) if r <= rank_of.get(t, -1)}
-        self.id_bytes: dict[int, bytes] = {i: t for t, i in tokens.items()}
 
     @classmethod
     def of_ranks(cls, tokens: dict[bytes, int]) -> MergeTable:
@@ -205,11 +204,16 @@ class MergeTable:
         return out
 
 
+def read_ranks(path: str) -> dict[bytes, int]:
+    """A file of lines with a base64 token and its rank."""
+    with open(path, "rb") as f:
+        return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+
+
 @lru_cache(maxsize=4)
 def rank_table(path: str) -> MergeTable:
-    """The merge table of a file of base64 tokens and ranks."""
-    with open(path, "rb") as f:
-        return MergeTable.of_ranks({base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())})
+    """The merge table of a file of ranks."""
+    return MergeTable.of_ranks(read_ranks(path))
 
 
 def byte_letters() -> dict[str, int]:
@@ -260,8 +264,8 @@ def _encoder(path: str, pattern: str) -> TextEncoder:
 
 @lru_cache(maxsize=2)
 def _decoder(path: str) -> list[bytes]:
-    table = rank_table(path)
-    return [table.id_bytes.get(i, b"") for i in range(max(table.id_bytes) + 1)]
+    by_id = {i: t for t, i in read_ranks(path).items()}
+    return [by_id.get(i, b"") for i in range(max(by_id, default=-1) + 1)]
 
 
 def bpe_encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -277,7 +281,7 @@ def bpe_encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(encoder.of(texts), pa.binary())], names=["id", "ids"])
 
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    out = source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, ids binary")
+    out = map_arrow(source, run, f"id {source.schema['id'].dataType.simpleString()}, ids binary")
     return out.select(F.col("id").alias(id_col), "ids")
 
 
@@ -295,5 +299,5 @@ def bpe_decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: s
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["id", "ids", "bytes"])
 
     source = encoded.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids"))
-    out = source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, ids binary, bytes binary")
+    out = map_arrow(source, run, f"id {source.schema['id'].dataType.simpleString()}, ids binary, bytes binary")
     return out.select(F.col("id").alias(id_col), F.col("ids").alias(ids_col), "bytes")

@@ -35,7 +35,7 @@ class ChunkCache:
     one, the old one is dropped whole.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list], limit: int = 300_000):
+    def __init__(self, encode: Callable[[list[str]], list], limit: int = 150_000):
         self._encode, self._limit = encode, limit
         self._young = _Young()
         self._young.old, self._young.missing = {}, {}

@@ -63,8 +63,8 @@ def stage_table(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def text_groups(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Slices of the Arrow batches with their texts (null: empty), each of at most GROUP_CHARS characters or one row."""
+def text_groups(batches: Iterator[pa.RecordBatch], text: str = "text", chars: int = GROUP_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Slices of the Arrow batches with their texts (null: empty), each of at most `chars` characters or one row."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -72,7 +72,7 @@ def text_groups(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterat
         start, size, texts = 0, 0, []
         for i in range(batch.num_rows):
             t = column[i].as_py() or ""
-            if texts and size + len(t) > GROUP_CHARS:
+            if texts and size + len(t) > chars:
                 yield batch.slice(start, i - start), texts
                 start, size, texts = i, 0, []
             texts.append(t)
@@ -119,3 +119,32 @@ def ngram_hashes(words: np.ndarray, n: int) -> np.ndarray:
     for i in range(1, n):
         out = mix64(out ^ words[i : i + size])
     return out
+
+
+LOW48 = np.uint64(2**48 - 1)
+
+
+def shard_order(hashes: np.ndarray, shards: int) -> tuple[np.ndarray, list[int]]:
+    """The order that brings hashes together by shard (a range of their first 16 bits; at most 2**15 shards), and each shard's end in it."""
+    shard = ((hashes >> np.uint64(48)) * np.uint64(shards) >> np.uint64(16)).astype(np.uint16)
+    return np.argsort(shard, kind="stable"), np.cumsum(np.bincount(shard, minlength=shards)).tolist()
+
+
+def pack48(values: np.ndarray) -> np.ndarray:
+    """Integers below 2**48, six bytes each. Within a shard the last 48 bits of a hash stand for all of it."""
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6])
+
+
+def unpack48(data: bytes, count: int) -> np.ndarray:
+    out = np.zeros((count, 8), np.uint8)
+    out[:, :6] = np.frombuffer(data, np.uint8, count * 6).reshape(-1, 6)
+    return out.view("<u8").ravel()
+
+
+def planes(values: np.ndarray) -> bytes:
+    """32-bit integers as four planes of bytes: the high ones are nearly all zero and cost next to nothing once compressed."""
+    return np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def from_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .bpe import bpe_decode, bpe_encode
 from .classifier import FtrlConfig, score, train, training_rows
 from .exact_dedup import exact_dedup
+from .lm_scoring import lm_scores
 from .shingle_join import shingle_components
 from .token_counts import token_counts
 from .url_filter import Rule, url_filter
@@ -53,6 +54,10 @@ FROM t
 """
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 10))
+
+
 #: A document is predicted good from this score on.
 GOOD = 0.7
 
@@ -90,6 +95,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_lm_scoring": op3_lm_scoring,
     "op4_quality": op4_quality,
     "op6_token_counts": op6_token_counts,
     "op7_ngram_jaccard": op7_ngram_jaccard,

@@ -22,13 +22,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, map_arrow, mix64, ngram_hashes, ship, stage_table, text_groups
+from .common import LOW48, WordHashes, map_arrow, mix64, ngram_hashes, pack48, shard_order, ship, stage_table, text_groups, unpack48
 from .graph import components
 
 #: Rounds that compare with one document of each list before the last one.
 ROUNDS = 3
 
-_LOW = np.uint64(2**48 - 1)
 _SETS = "id {id}, n long, node binary, tokens array<long>, first array<long>, second array<long>, third array<long>"
 
 
@@ -44,16 +43,6 @@ def prefix_size(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def _pack(tokens: np.ndarray) -> np.ndarray:
-    return tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
-
-
-def _unpack(data: bytes, count: int) -> np.ndarray:
-    out = np.zeros((count, 8), np.uint8)
-    out[:, :6] = np.frombuffer(data, np.uint8, count * 6).reshape(-1, 6)
-    return out.view("<u8").ravel()
-
-
 def _rarity(counts: np.ndarray) -> np.ndarray:
     """A byte that rises with the count, exact up to 127."""
     return np.where(counts < 128, counts, 96 + 4 * np.log2(np.maximum(counts, 1)).astype(np.int64)).clip(0, 255).astype(np.uint8)
@@ -98,16 +87,14 @@ def shingle_sets(docs: DataFrame, n: int, percent: int, id_col: str, text_col: s
             if sets:
                 tokens = np.concatenate(sets)
                 index = np.repeat(np.arange(len(sets), dtype="<u2"), [len(s) for s in sets])
-                shard = ((tokens >> np.uint64(48)) * np.uint64(shards) >> np.uint64(16)).astype(np.uint16)
-                order = np.argsort(shard, kind="stable")
-                tokens, index = tokens[order] & _LOW, index[order]
-                ends = np.cumsum(np.bincount(shard, minlength=shards)).tolist()
+                order, ends = shard_order(tokens, shards)
+                tokens, index = tokens[order] & LOW48, index[order]
                 start = 0
                 for k, end in enumerate(ends):
                     if end > start:
                         keys.append(k)
                         blocks.append(block)
-                        data.append((end - start).to_bytes(4, "little") + _pack(tokens[start:end]).tobytes() + index[start:end].tobytes())
+                        data.append((end - start).to_bytes(4, "little") + pack48(tokens[start:end]).tobytes() + index[start:end].tobytes())
                     start = end
             block += 1
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(blocks, pa.int64()), pa.array(data, pa.binary())], names=["key", "block", "payload"])
@@ -118,7 +105,7 @@ def shingle_sets(docs: DataFrame, n: int, percent: int, id_col: str, text_col: s
             return table
         blocks, rows = table.column(1).to_pylist(), [p.as_py() for p in table.column(2)]
         lens = [int.from_bytes(r[:4], "little") for r in rows]
-        tokens = np.concatenate([_unpack(memoryview(r)[4:], c) for r, c in zip(rows, lens, strict=True)])
+        tokens = np.concatenate([unpack48(memoryview(r)[4:], c) for r, c in zip(rows, lens, strict=True)])
         order = np.argsort(tokens)
         ordered = tokens[order]
         fresh = np.empty(len(ordered), bool)
@@ -135,7 +122,7 @@ def shingle_sets(docs: DataFrame, n: int, percent: int, id_col: str, text_col: s
             if len(common):
                 index = np.frombuffer(row, "<u2", c, 4 + 6 * c)[common]
                 out_blocks.append(block)
-                out.append(len(common).to_bytes(4, "little") + _pack(tokens[at : at + c][common]).tobytes() + index.tobytes() + r[common].tobytes())
+                out.append(len(common).to_bytes(4, "little") + pack48(tokens[at : at + c][common]).tobytes() + index.tobytes() + r[common].tobytes())
             at += c
         return pa.table({"key": pa.array([key] * len(out), pa.int64()), "block": pa.array(out_blocks, pa.int64()), "payload": pa.array(out, pa.binary())})
 
@@ -148,7 +135,7 @@ def shingle_sets(docs: DataFrame, n: int, percent: int, id_col: str, text_col: s
                 names = [data[4 + 16 * i : 20 + 16 * i] for i in range(c)]
                 head = pa.ipc.open_stream(data[4 + 16 * c :]).read_all()
                 continue
-            tokens.append(_unpack(memoryview(data)[4:], c) | np.uint64(key) << np.uint64(48))
+            tokens.append(unpack48(memoryview(data)[4:], c) | np.uint64(key) << np.uint64(48))
             index.append(np.frombuffer(data, "<u2", c, 4 + 6 * c))
             rarity.append(np.frombuffer(data, np.uint8, c, 4 + 8 * c))
         if head is None:
@@ -170,7 +157,7 @@ def shingle_sets(docs: DataFrame, n: int, percent: int, id_col: str, text_col: s
                     u = t.view(np.uint64)
                     pick = lambda *by, t=t, left=left: t[np.lexsort(by)[:left]]
                     coarse = np.log2(r).astype(np.uint8)
-                    arrays[i] = (t, pick(t, r), pick(mix64(u ^ _LOW), r), pick(mix64(u), coarse))
+                    arrays[i] = (t, pick(t, r), pick(mix64(u ^ LOW48), r), pick(mix64(u), coarse))
                 start = end
         cells, nodes = [[] for _ in range(4)], []
         for i in of.tolist():
