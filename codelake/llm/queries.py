@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ann import ann_search
 from .bpe import bpe_decode, bpe_encode
 from .classifier import FtrlConfig, score, train, training_rows
 from .exact_dedup import exact_dedup
@@ -68,6 +69,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, weights, config).select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "score", F.when(F.col("score") >= GOOD, 1).otherwise(0).alias("predicted"))
 
 
+def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann_search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 #: Documents of more tokens are over the limit.
 TOKEN_LIMIT = 4096
 
@@ -97,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_lm_scoring": op3_lm_scoring,
     "op4_quality": op4_quality,
+    "op5_ann": op5_ann,
     "op6_token_counts": op6_token_counts,
     "op7_ngram_jaccard": op7_ngram_jaccard,
     "op8_url_filter": op8_url_filter,
