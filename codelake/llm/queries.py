@@ -13,6 +13,7 @@ from .bpe import bpe_decode, bpe_encode
 from .classifier import FtrlConfig, score, train, training_rows
 from .exact_dedup import exact_dedup
 from .lm_scoring import lm_scores
+from .packing import pack_documents
 from .shingle_join import shingle_components
 from .token_counts import token_counts
 from .url_filter import Rule, url_filter
@@ -97,6 +98,14 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+#: Follows the ids of each document.
+END_ID = 2
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), END_ID)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_exact_dedup": op2_exact_dedup,
@@ -107,6 +116,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_ngram_jaccard": op7_ngram_jaccard,
     "op8_url_filter": op8_url_filter,
     "op9_warc": op9_warc,
+    "op10_packing": op10_packing,
 }
 
 ORACLES: dict[str, str] = {"op2_exact_dedup": OP2_SQL}
