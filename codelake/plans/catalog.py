@@ -1,13 +1,394 @@
-"""Catalogue of queries."""
+"""Queries by name: the Spark plan of each operator over the adapters, and the SQL that gives the same rows in DuckDB."""
 
+from __future__ import annotations
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def queries():
-    return {}
+from ..functions import decide
+from ..operators import diff, graph, ops, review, rules, vector
+from ..sources.adapters import oracle, source
 
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_ORACLES: dict[str, str] = {}
 
-def oracle_sql():
-    return {}
+
+class Tables:
+    """Adapters and tables by attribute."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self._at = (spark, sf_dir)
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name == "calls":
+            return graph.link_dependencies(self.ent)
+        return source(*self._at, name)
+
+
+def query(name: str, sql: str | None = None, **more: str):
+    """Registers f(tables) under name; sql may name adapters in braces."""
+
+    def put(f: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
+        _QUERIES[name] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
+        if sql is not None:
+            _ORACLES[name] = oracle(sql, **(SHARED | more))
+        return f
+
+    return put
+
+
+SHARED = {
+    "calls": """SELECT DISTINCT s.repo_id, s.uid AS src_uid, t.uid AS dst_uid FROM {ent} s JOIN {ent} t ON s.repo_id = t.repo_id
+WHERE s.uid <> t.uid AND s.file <> t.file AND s.type = 'Function' AND length(t.name) > 3 AND contains(s.raw_code, t.name)""",
+    "ends": """SELECT c.repo_id, c.src_uid, c.dst_uid, s.name AS src_name, s.file AS src_file, t.name AS dst_name, t.file AS dst_file
+FROM {calls} c JOIN {ent} s ON s.uid = c.src_uid JOIN {ent} t ON t.uid = c.dst_uid""",
+    "asks": "SELECT id AS query_id, repo_id, embedding AS query, file AS query_file, start_line AS query_line FROM {chunks} WHERE id % 50 = 0",
+    "met": """SELECT q.query_id, q.query_file, q.query_line, c.id, c.repo_id, c.file, c.name, c.start_line, round(coalesce(list_cosine_similarity(CAST(c.embedding AS DOUBLE[]), CAST(q.query AS DOUBLE[])), 0), 6) AS score
+FROM {chunks} c JOIN {asks} q ON c.repo_id = q.repo_id""",
+    "rated": "SELECT *, CASE WHEN security_critical > 0 OR critical >= 3 THEN 'critical' WHEN critical > 0 OR high >= 5 OR callers > 20 THEN 'high' WHEN high > 0 OR additions > 500 THEN 'medium' ELSE 'low' END AS risk FROM {prs}",
+    "planned": "SELECT *, CASE WHEN files <= 3 AND additions <= 100 AND risk = 'low' AND NOT deep THEN 'quick' WHEN files > 10 OR additions > 500 OR risk IN ('high', 'critical') OR deep THEN 'deep' ELSE 'standard' END AS strategy FROM {rated}",
+    "prow": """SELECT pr, filename, CAST(pos AS INT) - 1 AS pos, line FROM (SELECT pr, filename, unnest(string_split(patch, chr(10))) AS line, generate_subscripts(string_split(patch, chr(10)), 1) AS pos FROM {patches})""",
+    "nrow": """SELECT *, CASE WHEN starts_with(line, '@@') THEN 'header' WHEN starts_with(line, '+') THEN 'add' WHEN starts_with(line, '-') THEN 'delete' WHEN starts_with(line, ' ') THEN 'context' ELSE 'other' END AS kind,
+CAST(regexp_extract(first_value(line) OVER (PARTITION BY pr ORDER BY pos), '\\+(\\d+)', 1) AS INT) AS start FROM {prow}""",
+    "numbered": """SELECT *, start + coalesce(sum(CASE WHEN kind IN ('delete', 'context') THEN 1 ELSE 0 END) OVER w, 0) AS old_line, start + coalesce(sum(CASE WHEN kind IN ('add', 'context') THEN 1 ELSE 0 END) OVER w, 0) AS new_line
+FROM {nrow} WINDOW w AS (PARTITION BY pr ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""",
+}
+
+
+def _top(sql: str, key: str, order: str, n: int, columns: str) -> str:
+    return f"SELECT {columns} FROM (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY {order}) AS rank FROM ({sql})) WHERE rank <= {n}"
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = Tables(spark, sf_dir)
+    return graph.fanout_hotspots(t.calls, min_calls=1)
+
+
+# Graph
+
+query("dependency_links", "SELECT * FROM {calls}")(lambda t: t.calls)
+query("callees_near_line", _top("SELECT c.src_uid, c.dst_uid, d.name, d.type, d.file FROM {ent} s JOIN {calls} c ON c.src_uid = s.uid JOIN {ent} d ON d.uid = c.dst_uid WHERE abs(s.start_line - 100) <= 1", "src_uid", "dst_uid", 5, "src_uid, dst_uid, name, type, file"))(lambda t: graph.callees_near_line(t.ent, t.calls, 100))
+query("file_entities", _top("SELECT repo_id, file, name, type, start_line, uid FROM {ent}", "repo_id, file", "start_line, uid", 10, "repo_id, file, name, type, start_line, uid, CAST(rank AS INT) AS rank"))(lambda t: graph.file_entities(t.ent))
+query("callers_of", _top("SELECT repo_id, dst_name AS name, src_name AS caller, src_file AS caller_file, src_uid, dst_uid FROM {ends}", "repo_id, name", "src_uid, dst_uid", 10, "repo_id, name, caller, caller_file, CAST(rank AS INT) AS rank, 'calls' AS relationship"))(lambda t: graph.callers_of(t.ent, t.calls))
+query(
+    "call_chain_depth3",
+    _top("SELECT repo_id, CAST(1 AS INT) AS depth, path FROM {one} UNION ALL SELECT repo_id, 2, path FROM {two} UNION ALL SELECT repo_id, 3, path FROM {three}", "repo_id", "depth, path", 10, "repo_id, depth, path"),
+    first="SELECT repo_id, min(src_uid) AS uid FROM {calls} GROUP BY repo_id",
+    one="SELECT c.repo_id, dst_uid AS at, [c.src_uid || '>' || c.dst_uid] AS used, c.src_uid || ' > ' || c.dst_uid AS path FROM {calls} c JOIN {first} f ON c.repo_id = f.repo_id AND c.src_uid = f.uid",
+    two="SELECT c.repo_id, dst_uid AS at, list_append(used, c.src_uid || '>' || c.dst_uid) AS used, path || ' > ' || c.dst_uid AS path FROM {one} o JOIN {calls} c ON c.repo_id = o.repo_id AND c.src_uid = o.at WHERE NOT list_contains(used, c.src_uid || '>' || c.dst_uid)",
+    three="SELECT c.repo_id, path || ' > ' || c.dst_uid AS path FROM {two} o JOIN {calls} c ON c.repo_id = o.repo_id AND c.src_uid = o.at WHERE NOT list_contains(used, c.src_uid || '>' || c.dst_uid)",
+)(lambda t: graph.call_chains(c := t.calls, c.groupBy("repo_id").agg(F.min("src_uid").alias("src_uid"))))
+query("file_dependencies", "SELECT repo_id, src_file AS file, dst_file AS depends_on, count(*) AS calls FROM {ends} WHERE src_file <> dst_file GROUP BY ALL")(lambda t: graph.file_dependencies(t.ent, t.calls))
+query(
+    "similar_names",
+    _top("SELECT n.repo_id, n.fn, e.name, e.file, e.uid FROM {asked} n JOIN {ent} e ON e.repo_id = n.repo_id AND e.type = 'Function' WHERE contains(e.name, n.term) OR (contains(n.term, e.name) AND e.name <> n.fn)", "repo_id, fn", "uid", 5, "repo_id, fn, name, file, CAST(rank AS INT) AS rank"),
+    asked="SELECT DISTINCT repo_id, name AS fn, replace(replace(replace(name, 'get', ''), 'set', ''), '_', '') AS term FROM {ent} WHERE start_line % 20 = 0",
+)(lambda t: graph.similar_names(t.ent, t.ent.where("start_line % 20 = 0").select("repo_id", F.col("name").alias("fn")).distinct()))
+query("fanout_hotspots", "SELECT repo_id, src_uid, count(*) AS calls FROM {calls} GROUP BY ALL HAVING count(*) >= 2 ORDER BY calls DESC, repo_id, src_uid LIMIT 10")(lambda t: graph.fanout_hotspots(t.calls, 2))
+query("coupled_files", "SELECT repo_id, src_file AS file, dst_file AS depends_on, count(*) AS calls FROM {ends} WHERE src_file <> dst_file GROUP BY ALL HAVING count(*) >= 2 ORDER BY calls DESC, repo_id, file, depends_on LIMIT 10")(lambda t: graph.coupled_files(t.ent, t.calls, 2))
+query("unused_functions", _top("SELECT * FROM {ent} e WHERE type = 'Function' AND name NOT IN ('main', 'index', '__init__', 'handler', 'default') AND NOT EXISTS (SELECT 1 FROM {calls} c WHERE c.dst_uid = e.uid)", "repo_id", "file, start_line, uid", 20, "repo_id, file, name, start_line, uid"))(lambda t: graph.unused_functions(t.ent, t.calls))
+query("repo_node_count", "SELECT repo_id, count(*) + count(DISTINCT file) AS nodes FROM {ent} GROUP BY repo_id")(lambda t: graph.repo_node_count(t.ent))
+query("entity_census", "SELECT type, count(*) AS entities, count(DISTINCT (repo_id, file)) AS files FROM {ent} GROUP BY type")(lambda t: graph.entity_census(t.ent))
+query("impacted_callers", "SELECT DISTINCT repo_id, dst_file AS file, src_uid AS caller FROM {ends} WHERE src_file <> dst_file")(lambda t: graph.impacted_callers(t.ent, t.calls))
+query("intra_file_calls", "SELECT a.repo_id, a.file, a.uid AS src_uid, b.uid AS dst_uid FROM {ent} a JOIN {ent} b ON a.repo_id = b.repo_id AND a.file = b.file AND a.uid <> b.uid WHERE contains(a.raw_code, b.name)")(lambda t: graph.intra_file_calls(t.ent.withColumn("code", F.col("raw_code"))))
+query(
+    "import_dependencies",
+    "SELECT DISTINCT i.repo_id, i.file, i.imp AS depends_on FROM {imports} i JOIN {ent} e ON e.repo_id = i.repo_id AND e.file = i.imp",
+    imports="SELECT DISTINCT repo_id, file, concat('f', CAST(start_line % 9 AS STRING), '.en') AS imp FROM {ent}",
+)(lambda t: graph.import_dependencies(t.ent.select("repo_id", "file", F.concat(F.lit("f"), F.col("start_line") % 9, F.lit(".en")).alias("import")).distinct(), t.ent))
+query(
+    "file_dependencies_at_scale",
+    "SELECT repo_id, src_file, dst_file, count(*) AS calls FROM {edges} GROUP BY ALL",
+)(lambda t: t.edges.groupBy("repo_id", "src_file", "dst_file").agg(F.count("*").alias("calls")))
+query("fanout_at_scale", "SELECT repo_id, src, count(*) AS calls, count(DISTINCT dst_file) AS files FROM {edges} GROUP BY ALL HAVING count(*) >= 5 ORDER BY calls DESC, repo_id, src LIMIT 10")(
+    lambda t: t.edges.groupBy("repo_id", "src").agg(F.count("*").alias("calls"), F.countDistinct("dst_file").alias("files")).where("calls >= 5").orderBy(F.desc("calls"), "repo_id", "src").limit(10)
+)
+query("delete_files", "SELECT c.* FROM {calls} c JOIN {ent} s ON s.uid = c.src_uid JOIN {ent} d ON d.uid = c.dst_uid WHERE s.file NOT LIKE 'f3.%' AND d.file NOT LIKE 'f3.%'")(
+    lambda t: graph.delete_files(e := t.ent, t.calls, e.where("file like 'f3.%'").select("repo_id", "file").distinct())[1]
+)
+
+# Vectors
+
+
+def _asks(t: Tables) -> DataFrame:
+    return t.chunks.where("id % 50 = 0").select(F.col("id").alias("query_id"), "repo_id", F.col("embedding").alias("query"))
+
+
+_HITS = "query_id, CAST(rank AS INT) AS rank, id, file, name, start_line, score"
+query("vector_topk", _top("SELECT * FROM {met}", "query_id", "score DESC, id", 5, _HITS))(lambda t: vector.search(t.chunks, _asks(t), 5))
+query("vector_threshold", _top("SELECT * FROM {met} WHERE score >= 0.2", "query_id", "score DESC, id", 5, _HITS))(lambda t: vector.search(t.chunks, _asks(t), 5, 0.2))
+query("vector_duplicates", _top("SELECT * FROM {met} WHERE score >= 0.9", "query_id", "score DESC, id", 3, _HITS))(lambda t: vector.search(t.chunks, _asks(t), 3, 0.9))
+query("semantic_search", _top("SELECT * FROM {met}", "query_id", "score DESC, id", 10, "query_id, id, name, score AS relevance"))(lambda t: vector.search(t.chunks, _asks(t), 10).select("query_id", "id", "name", F.col("score").alias("relevance")))
+query(
+    "vector_neighbours_per_node",
+    _top("SELECT a.id, b.id AS neighbour, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS score FROM {chunks} a JOIN {chunks} b ON a.repo_id = b.repo_id AND a.id <> b.id", "id", "score DESC, neighbour", 3, "id, neighbour, score, CAST(rank AS INT) AS rank").replace("FROM {chunks} a", "FROM {chunks} a").replace("WHERE rank <= 3", "WHERE rank <= 3 AND score >= 0.2"),
+)(lambda t: vector.neighbours(t.chunks, 3, 0.2))
+query("vector_by_file", _top("SELECT repo_id, file, id, name, start_line FROM {chunks}", "repo_id, file", "start_line, id", 100, "repo_id, file, id, name, start_line, CAST(rank AS INT) AS rank"))(lambda t: vector.by_file(t.chunks, 100))
+query("vector_by_type", "SELECT repo_id, id, file, name, type FROM {chunks} WHERE type = 'Class'")(lambda t: vector.by_type(t.chunks, "Class"))
+query(
+    "repo_stats",
+    "SELECT c.repo_id, count(*) AS chunks, count(DISTINCT c.file) AS files, count(*) FILTER (c.type = 'Function') AS functions, any_value(f.top_files) AS top_files FROM {chunks} c JOIN {tops} f ON f.repo_id = c.repo_id GROUP BY c.repo_id",
+    tops="SELECT repo_id, string_agg(file || ':' || n, ',' ORDER BY rank) AS top_files FROM (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY n DESC, file) AS rank FROM (SELECT repo_id, file, count(*) AS n FROM {chunks} GROUP BY ALL)) WHERE rank <= 10 GROUP BY repo_id",
+)(lambda t: vector.repo_stats(t.chunks))
+_REASON = "CASE WHEN score >= 0.95 THEN 'Nearly identical code - strong duplicate candidate' WHEN score >= 0.85 THEN 'Very similar implementation - consider refactoring' WHEN score >= 0.75 THEN 'Similar code pattern - review for consistency' ELSE 'Related implementation' END"
+query("similarity_reason", f"SELECT review_id, {_REASON} AS reason FROM (SELECT review_id, score % 100 / 100.0 AS score FROM {{reviews}})")(lambda t: t.reviews.select("review_id", vector.similarity_reason((F.col("score") % 100) / 100.0).alias("reason")))
+query(
+    "similar_minus_duplicates",
+    _top("SELECT * FROM {near} UNION ALL SELECT c.* FROM {copies} c WHERE NOT EXISTS (SELECT 1 FROM {near} s WHERE s.query_id = c.query_id AND s.file = c.file AND s.start_line = c.start_line)", "query_id", "section, score DESC, id", 10, f"query_id, CAST(rank AS INT) AS place, section, id, file, start_line, score, {_REASON} AS reason"),
+    near="SELECT 0 AS section, query_id, id, file, start_line, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r FROM {met} WHERE score >= 0.1) WHERE r <= 5 AND NOT (file = query_file AND abs(start_line - query_line) < 5)",
+    copies="SELECT 1 AS section, query_id, id, file, start_line, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r FROM {met} WHERE score >= 0.25) WHERE r <= 3 AND file <> query_file",
+)(lambda t: vector.similar_minus_duplicates(t.chunks, _asks(t).join(t.chunks.select(F.col("id").alias("query_id"), F.col("file").alias("query_file"), F.col("start_line").alias("query_line")), "query_id"), 0.1, 0.25))
+query(
+    "graphrag_query",
+    _top("SELECT h.query_id, h.id, c.dst_uid AS dependency FROM {hits} h JOIN {ent} e ON abs(e.start_line - h.start_line) <= 1 AND e.repo_id = 'src' || (h.id % 20) JOIN {calls} c ON c.src_uid = e.uid", "query_id, id", "dependency", 5, "query_id, id, dependency"),
+    hits="SELECT query_id, id, start_line FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r FROM {met}) WHERE r <= 5",
+)(lambda t: _graphrag(t))
+
+
+def _graphrag(t: Tables) -> DataFrame:
+    """Hits of each query, with what the entities around their line call: the band of three lines is an equi-join on line."""
+    hits = vector.search(t.chunks, _asks(t), 5).select("query_id", "id", F.concat(F.lit("src"), F.col("id") % 20).alias("repo_id"), F.explode(F.sequence(F.col("start_line") - 1, F.col("start_line") + 1)).alias("start_line"))
+    near = hits.join(t.ent.select("repo_id", "start_line", F.col("uid").alias("src_uid")), ["repo_id", "start_line"]).join(t.calls.select("src_uid", F.col("dst_uid").alias("dependency")), "src_uid")
+    return vector.top_k(near.select("query_id", F.col("id").alias("hit"), F.struct("query_id", "id").alias("key"), "dependency", F.col("dependency").alias("id"), F.lit(0).alias("score")), 5, "key").select("query_id", F.col("hit").alias("id"), "dependency")
+
+
+# Rules
+
+
+def _rule_sql(chosen: list[rules.LineRule]) -> str:
+    parts = []
+    for r in chosen:
+        pattern = r.pattern.replace("'", "''")
+        hit = "contains(line, '==')" if r.rule == "double_equals" else f"regexp_matches(line, '{pattern}', '{'i' if r.ignore_case else 'c'}')"
+        if r.languages:
+            hit += " AND language IN (" + ", ".join(f"'{x}'" for x in r.languages) + ")"
+        description = r.description.replace("'", "''")
+        parts.append(f"SELECT block, line_no, '{r.rule}' AS rule, '{r.severity}' AS severity, '{description}' AS description FROM {{code_lines}} WHERE {hit}")
+    return " UNION ALL ".join(parts)
+
+
+_FAMILIES = {
+    "security": [r for r in rules.RULES if r.category == "security"],
+    "performance": [r for r in rules.RULES if r.category == "performance"],
+    "quality": [r for r in rules.RULES if r.category == "code_quality" and not r.languages],
+    "todo": [r for r in rules.RULES if r.rule == "todo"],
+    "python": [r for r in rules.RULES if r.languages == rules.PYTHON],
+    "javascript": [r for r in rules.RULES if r.languages == rules.JAVASCRIPT],
+    "java": [r for r in rules.RULES if r.languages == rules.JAVA],
+    "go": [r for r in rules.RULES if r.languages == rules.GO],
+}
+for _family, _chosen in _FAMILIES.items():
+    _sql = _rule_sql([r for r in _chosen if r.rule != "go_defer_close"])
+    query(f"rule_hits_{_family}", _sql)(lambda t, chosen=_chosen: rules.line_issues(t.code_lines, chosen).select("block", "line_no", "rule", "severity", "description"))
+query("rule_hits_documents", "SELECT doc_id, line_no, 'token' AS rule FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents) WHERE regexp_matches(line, 'token\\s*=\\s*[\"''][A-Za-z0-9]{20,}[\"'']', 'i')")(
+    lambda t: rules.line_issues(rules.lines_of(t.documents, "text", "doc_id"), [r for r in rules.RULES if r.rule == "token"], language_col="line").select("doc_id", F.col("line_no").cast("long").alias("line_no"), "rule")
+)
+query("long_blocks", "SELECT doc_id, len(string_split(text, chr(10))) AS lines FROM documents WHERE len(string_split(text, chr(10))) > 20")(lambda t: rules.long_blocks(t.documents, "text", 20).select("doc_id", F.col("lines").cast("long").alias("lines")))
+query("deep_nesting", "SELECT block, min(line_no) AS line_no, 6 AS level FROM {code_lines} WHERE length(line) - length(ltrim(line)) >= 20 GROUP BY block")(lambda t: rules.deep_nesting(t.code_lines, "block"))
+_BRANCH_SQL = " + ".join(f"len(regexp_extract_all(text, '(?i){b}'))" for b in rules.BRANCHES)
+query("complexity_regex", f"SELECT doc_id, 1 + {_BRANCH_SQL} AS complexity, CASE WHEN 1 + {_BRANCH_SQL} > 20 THEN 'high' WHEN 1 + {_BRANCH_SQL} > 10 THEN 'medium' END AS severity FROM documents WHERE lang = 'en' AND regexp_full_match(text, '[\\x00-\\x7F]*')")(
+    lambda t: t.documents.where("lang = 'en'").where(F.col("text").rlike(r"\A[\x00-\x7F]*\z")).select("doc_id", (c := rules.complexity(F.col("text"))).cast("long").alias("complexity"), rules.complexity_severity(c).alias("severity"))
+)
+query(
+    "file_metrics",
+    "SELECT doc_id, len(l) AS total, len(list_filter(l, lambda x: trim(x) <> '' AND NOT starts_with(ltrim(x), '#'))) AS code, len(list_filter(l, lambda x: starts_with(ltrim(x), '#'))) AS comments, len(list_filter(l, lambda x: trim(x) = '')) AS blank FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)",
+)(lambda t: rules.file_metrics(t.documents, "text", "doc_id").select("doc_id", *(F.col(c).cast("long").alias(c) for c in ("total", "code", "comments", "blank"))))
+query("reviewable_files", "SELECT pr, filename FROM {pr_files} WHERE NOT contains(filename, '.min.js')")(lambda t: t.pr_files.where(rules.reviewable(F.col("filename"))).select("pr", "filename"))
+
+# Diffs
+
+query("patch_lines", "SELECT pr, pos, CASE WHEN starts_with(line, '+') THEN 'add' ELSE 'delete' END AS type, substr(line, 2) AS content FROM {prow} WHERE line LIKE '+%' OR line LIKE '-%'")(lambda t: diff.patch_lines(t.patches, "pr"))
+query("patch_hunks", "SELECT pr, CAST(1 AS BIGINT) AS hunk, count(*) AS lines, string_agg(line, chr(10) ORDER BY pos) AS text FROM {prow} GROUP BY pr")(lambda t: diff.patch_hunks(t.patches, "pr"))
+query("patch_metrics", "SELECT pr, count(*) FILTER (kind = 'add') AS lines_added, count(*) FILTER (kind = 'delete') AS lines_removed, count(*) FILTER (kind = 'header') AS hunks FROM {nrow} GROUP BY pr")(lambda t: diff.patch_metrics(t.patches, "pr"))
+query("numbered_diff", "SELECT pr, pos, CASE kind WHEN 'add' THEN 'L' || new_line || '+ | ' || substr(line, 2) WHEN 'delete' THEN 'L' || old_line || '- | ' || substr(line, 2) WHEN 'context' THEN 'L' || new_line || '  | ' || substr(line, 2) ELSE line END AS shown FROM {numbered}")(lambda t: diff.numbered_diff(t.patches, "pr"))
+query(
+    "snippet_around",
+    "SELECT pr, CAST(target AS INT) AS target, CAST(min(place) AS BIGINT) AS start_line, CAST(max(place) AS BIGINT) AS end_line, bool_or(place = target) AS has_target, string_agg((CASE WHEN kind = 'add' AND place = target THEN '→' ELSE ' ' END) || lpad(CAST(place AS STRING), CAST(greatest(3, length(CAST(place AS STRING))) AS INT), ' ') || ' ' || substr(line, 1, 1) || ' ' || substr(line, 2), chr(10) ORDER BY pos) AS snippet FROM (SELECT *, start + 1 AS target, CASE WHEN kind = 'delete' THEN new_line - 1 ELSE new_line END AS place FROM {numbered} WHERE kind <> 'header') WHERE abs(place - target) <= 3 GROUP BY pr, target",
+)(lambda t: diff.snippet_around(t.patches, t.patches.select("pr", (F.regexp_extract("patch", diff.HUNK, 2).cast("int") + 1).alias("target")), "pr"))
+query(
+    "line_refs_in_diff",
+    "SELECT r.pr, r.file, r.line, bool_or(coalesce(r.line BETWEEN h.start AND h.start + h.n - 1, false)) AS in_diff FROM {refs} r LEFT JOIN (SELECT pr, min(filename) AS filename, min(start) AS start, count(*) AS n FROM {nrow} GROUP BY pr) h ON h.pr = r.pr GROUP BY ALL",
+    refs="SELECT pr, 'unknown' AS file, CAST(pr % 97 AS INT) AS line FROM {patches}",
+)(lambda t: diff.lines_in_diff(t.patches.select("pr", F.lit("unknown").alias("file"), (F.col("pr") % 97).cast("int").alias("line")), t.patches, "pr"))
+query("pr_content", "SELECT pr, string_agg(substr(line, 2), chr(10) ORDER BY pos) AS content FROM {nrow} WHERE kind IN ('add', 'context') GROUP BY pr")(lambda t: diff.pr_content(t.patches, "pr"))
+
+# Aggregates of issues and pull requests
+
+query("severity_counts", "SELECT pr, severity, count(*) AS issues FROM {issues} GROUP BY ALL")(lambda t: review.counts_by(t.issues, "pr", "severity"))
+query("category_counts", "SELECT pr, category, count(*) AS issues FROM {issues} GROUP BY ALL")(lambda t: review.counts_by(t.issues, "pr", "category"))
+query("pr_totals", "SELECT pr, count(*) AS files, sum(additions)::BIGINT AS additions, sum(deletions)::BIGINT AS deletions FROM {pr_files} GROUP BY pr")(lambda t: t.pr_files.groupBy("pr").agg(F.count("*").alias("files"), F.sum("additions").alias("additions"), F.sum("deletions").alias("deletions")))
+_HIST = ", ".join(f"count(*) FILTER (severity = '{s}') AS {s}" for s in decide.SEVERITIES[:4]) + ", count(*) FILTER (severity <> 'info') AS total"
+query("file_severity_histogram", f"SELECT pr, filename, {_HIST} FROM {{issues}} GROUP BY ALL")(lambda t: review.severity_histogram(t.issues, "pr", "filename"))
+query("complexity_score", "SELECT filename, CAST(least(100, additions + deletions + 10 * (additions % 4)) AS INT) AS score FROM {pr_files}")(lambda t: t.pr_files.select("filename", decide.complexity_score(F.col("additions"), F.col("deletions"), F.col("additions") % 4).alias("score")))
+query("issue_buckets", _top("SELECT * FROM {issues} WHERE severity IN ('critical', 'high', 'medium')", "pr, severity", "idx", 3, "pr, severity, CAST(rank AS INT) AS place, idx, filename, category"))(lambda t: review.issue_buckets(t.issues, "pr"))
+query("languages", "SELECT pr, string_agg(DISTINCT language, ',' ORDER BY language) AS languages FROM {pr_files} GROUP BY pr")(lambda t: t.pr_files.groupBy("pr").agg(F.array_join(F.array_sort(F.collect_set("language")), ",").alias("languages")))
+query(
+    "pr_impact",
+    "SELECT p.repo_id, p.file, count(c.src_uid) AS affected_callers, count(DISTINCT c.src_uid) AS distinct_callers FROM (SELECT DISTINCT repo_id, file FROM {ent}) p LEFT JOIN (SELECT repo_id, dst_file, src_uid FROM {ends}) c ON c.repo_id = p.repo_id AND c.dst_file = p.file GROUP BY ALL",
+)(lambda t: _impact(t))
+
+
+def _impact(t: Tables) -> DataFrame:
+    files = t.ent.select("repo_id", "file").distinct()
+    callers = t.calls.join(t.ent.select(F.col("uid").alias("dst_uid"), "file"), "dst_uid").select("repo_id", "file", "src_uid")
+    return files.join(callers, ["repo_id", "file"], "left").groupBy("repo_id", "file").agg(F.count("src_uid").alias("affected_callers"), F.countDistinct("src_uid").alias("distinct_callers"))
+
+
+query("changed_hotspots", "SELECT repo_id, src_uid, calls FROM (SELECT repo_id, src_uid, count(*) AS calls FROM {calls} GROUP BY ALL ORDER BY calls DESC, repo_id, src_uid LIMIT 10) WHERE contains(src_uid, '::f1.') OR contains(src_uid, '::f2.')")(
+    lambda t: graph.fanout_hotspots(t.calls, 1).join(t.ent.where("file like 'f1.%' or file like 'f2.%'").select(F.col("uid").alias("src_uid")), "src_uid", "left_semi").select("repo_id", "src_uid", "calls")
+)
+query(
+    "file_review_links",
+    "SELECT pr, filename, count(*) AS issues_found, arg_min(severity, CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 WHEN 'low' THEN 3 ELSE 4 END) AS severity_max, string_agg(DISTINCT category, ',' ORDER BY category) AS categories FROM {issues} GROUP BY pr, filename",
+)(lambda t: review.file_review_links(t.issues, "pr", "filename"))
+query("avg_complexity", "SELECT pr, CAST(trunc(avg(least(100, additions + deletions))) AS INT) AS complexity FROM {pr_files} GROUP BY pr")(lambda t: t.pr_files.groupBy("pr").agg(F.coalesce(F.avg(F.least(F.lit(100), F.col("additions") + F.col("deletions"))).cast("int"), F.lit(0)).alias("complexity")))
+_MEASURES = ("score", "files", "issues", "critical", "high", "medium", "low")
+query(
+    "review_compare",
+    "SELECT a.pr, a.review_id AS new_review, b.review_id AS old_review, " + ", ".join(f"a.{m} - b.{m} AS {m}_change" for m in _MEASURES) + " FROM {last} a JOIN {last} b ON a.pr = b.pr AND a.r = 1 AND b.r = 2",
+    last="SELECT *, row_number() OVER (PARTITION BY pr ORDER BY created_at DESC, review_id DESC) AS r FROM {reviews}",
+)(lambda t: review.review_compare(t.reviews, "pr"))
+
+# Decisions
+
+
+def _rated(t: Tables) -> DataFrame:
+    p = t.prs.withColumn("risk", decide.risk_level(*(F.col(c) for c in ("security_critical", "critical", "high", "callers", "additions"))))
+    return p.withColumn("strategy", decide.review_strategy(F.col("files"), F.col("additions"), F.col("risk"), F.col("deep")))
+
+
+query("risk_level", "SELECT pr, risk FROM {rated}")(lambda t: _rated(t).select("pr", "risk"))
+query("review_strategy", "SELECT pr, strategy FROM {planned}")(lambda t: _rated(t).select("pr", "strategy"))
+query("model_choice", "SELECT pr, CASE WHEN strategy = 'quick' AND files <= 3 AND additions <= 100 THEN 'lite' WHEN strategy = 'deep' OR risk IN ('high', 'critical') OR files > 10 OR additions > 500 THEN 'pro' ELSE 'flash' END AS model FROM {planned}")(
+    lambda t: _rated(t).select("pr", decide.model_choice(F.col("strategy"), F.col("files"), F.col("additions"), F.col("risk")).alias("model"))
+)
+query("lite_sufficient", "SELECT pr, files <= 3 AND additions <= 150 AND critical = 0 AND high <= 1 AS lite FROM {prs}")(lambda t: t.prs.select("pr", decide.lite_sufficient(*(F.col(c) for c in ("files", "additions", "critical", "high"))).alias("lite")))
+query("queue_priority", "SELECT pr, CASE WHEN additions + deletions < 100 THEN 'LOW' WHEN additions + deletions < 500 THEN 'MEDIUM' WHEN additions + deletions < 1000 THEN 'HIGH' ELSE 'CRITICAL' END AS priority FROM {prs}")(lambda t: t.prs.select("pr", decide.queue_priority(F.col("additions") + F.col("deletions")).alias("priority")))
+query("queue_strategy", "SELECT pr, CASE WHEN additions < 100 THEN 'quick' WHEN additions < 500 THEN 'standard' ELSE 'deep' END AS strategy FROM {prs}")(lambda t: t.prs.select("pr", decide.queue_strategy(F.col("additions")).alias("strategy")))
+query("file_priority", "SELECT filename, CASE WHEN additions % 101 >= 70 OR deletions % 5 >= 3 THEN 'high' WHEN additions % 101 >= 40 THEN 'medium' ELSE 'low' END AS priority FROM {pr_files}")(lambda t: t.pr_files.select("filename", decide.file_priority(F.col("additions") % 101, F.col("deletions") % 5).alias("priority")))
+query("event_type_a", "SELECT pr, CASE WHEN critical > 0 OR high >= 3 THEN 'REQUEST_CHANGES' WHEN quality = 0 THEN 'APPROVE' ELSE 'COMMENT' END AS event FROM {prs}")(lambda t: t.prs.select("pr", decide.event_by_summary(F.col("critical"), F.col("high"), F.col("quality")).alias("event")))
+query(
+    "event_type_b",
+    "SELECT pr, CASE WHEN sum(CASE WHEN severity = 'critical' THEN w ELSE 0 END) >= 1 OR sum(CASE WHEN severity = 'high' THEN w ELSE 0 END) >= 3 THEN 'REQUEST_CHANGES' ELSE 'COMMENT' END AS event FROM (SELECT *, CASE WHEN contains(lower(description), 'security') THEN 2 ELSE 1 END AS w FROM {issues}) GROUP BY pr",
+)(lambda t: review.event_by_sections(t.issues, "pr"))
+_RANK = "CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 WHEN 'low' THEN 3 ELSE 4 END"
+query("inline_eligible", _top("SELECT * FROM {issues} WHERE severity IN ('critical', 'high', 'medium') AND line > 0", "pr", f"{_RANK}, idx", 15, "pr, CAST(rank AS INT) AS place, idx, severity, line"))(lambda t: review.inline_eligible(t.issues, "pr"))
+query("visible_issues", f"SELECT pr, idx, severity, CAST(r AS INT) AS place, r <= 10 AS visible FROM (SELECT *, row_number() OVER (PARTITION BY pr ORDER BY {_RANK}, idx) AS r FROM {{issues}})")(lambda t: review.visible_issues(t.issues, "pr"))
+query(
+    "recommendations",
+    """SELECT pr, CASE WHEN text = '' THEN '✅ No major issues detected. Code looks good for review!' ELSE text END AS recommendations FROM (SELECT pr, concat_ws(chr(10),
+CASE WHEN security_critical > 0 THEN '🚨 CRITICAL: ' || security_critical || ' critical security vulnerabilities detected. Address these immediately before merging.' END,
+CASE WHEN security_high > 0 THEN '⚠️ ' || security_high || ' high-severity security issues found. Review and fix before deployment.' END,
+CASE WHEN complex_files > 0 THEN '📊 High complexity detected in ' || complex_files || ' files (a.py). Consider breaking down into smaller changes.' END,
+CASE WHEN coupled THEN '🔗 High coupling detected between files. Review dependencies and consider reducing coupling.' END,
+CASE WHEN callers > 10 THEN '🎯 This PR affects ' || callers || ' calling functions across the codebase. Ensure comprehensive testing of impacted areas.' END,
+CASE WHEN quality > 5 THEN '✨ ' || quality || ' code quality issues found. Address these to improve maintainability.' END) AS text FROM {prs})""",
+)(lambda t: t.prs.select("pr", F.array_join(decide.recommendations(*(F.col(c) for c in ("security_critical", "security_high", "complex_files")), F.lit("a.py"), *(F.col(c) for c in ("coupled", "callers", "quality"))), "\n").alias("recommendations")))
+
+# Overlays, stores, reviews
+
+query(
+    "overlay_merge",
+    "SELECT repo_id, name, file, idx, source FROM (SELECT *, row_number() OVER (PARTITION BY repo_id, name ORDER BY o, idx) AS r FROM (SELECT repo_id, name, file, start_line AS idx, 'temporary' AS source, 0 AS o FROM {ent} WHERE type = 'Class' UNION ALL SELECT repo_id, name, file, start_line, 'permanent', 1 FROM {ent} WHERE type <> 'Class') WHERE name <> '') WHERE r = 1",
+)(lambda t: review.overlay_merge((e := t.ent.select("repo_id", "name", "file", F.col("start_line").alias("idx"), "type")).where("type <> 'Class'").drop("type"), e.where("type = 'Class'").drop("type"), "repo_id", "name"))
+query("union_imports", "SELECT repo_id, file FROM {ent} UNION SELECT repo_id, file FROM {chunks}")(lambda t: review.union_names(t.ent.select("repo_id", "file"), t.chunks.select("repo_id", "file")))
+query(
+    "search_merge",
+    _top("SELECT query_id, id, score, 'permanent' AS source FROM {met} WHERE id % 2 = 0 UNION ALL SELECT query_id, id, score, 'temporary' FROM {met} WHERE id % 2 = 1 AND score >= 0.1", "query_id", "score DESC, source, id", 10, "query_id, id, score, source, CAST(rank AS INT) AS rank"),
+)(lambda t: review.search_merge((m := vector.scored(t.chunks, _asks(t)).select("query_id", "id", "score")).where("id % 2 = 0"), m.where("id % 2 = 1"), "query_id", 0.1))
+query("existing_review", "SELECT conv_id, min(turn) AS turn FROM conversations WHERE contains(text, 'the') GROUP BY conv_id")(lambda t: t.conversations.where(F.contains("text", F.lit("the"))).groupBy("conv_id").agg(F.min("turn").alias("turn")))
+query(
+    "consistency_check",
+    "SELECT repo, coalesce(v.n, 0) AS vectors, coalesce(g.n, 0) AS nodes, CASE WHEN v.n IS NULL THEN 'orphan_graph' WHEN g.n IS NULL THEN 'orphan_vectors' ELSE 'consistent' END AS state FROM (SELECT 's' || (id % 30) AS repo, count(*) AS n FROM {chunks} GROUP BY 1) v FULL JOIN (SELECT 's' || (start_line % 40 + 10) AS repo, count(*) AS n FROM {ent} GROUP BY 1) g USING (repo)",
+)(lambda t: review.consistency(t.chunks.select(F.concat(F.lit("s"), F.col("id") % 30).alias("repo")), t.ent.select(F.concat(F.lit("s"), F.col("start_line") % 40 + 10).alias("repo")), "repo"))
+query(
+    "snapshot_diff",
+    "SELECT doc_id, CASE WHEN a.h IS NULL THEN 'added' WHEN b.h IS NULL THEN 'deleted' ELSE 'modified' END AS change FROM (SELECT doc_id, sha256(text) AS h FROM documents WHERE doc_id % 10 <> 1) a FULL JOIN (SELECT doc_id, CASE WHEN doc_id % 10 = 2 THEN sha256(text || 'x') ELSE sha256(text) END AS h FROM documents WHERE doc_id % 10 <> 3) b USING (doc_id) WHERE a.h IS DISTINCT FROM b.h",
+)(lambda t: review.snapshot_diff((d := t.documents).where("doc_id % 10 <> 1").select("doc_id", F.sha2("text", 256).alias("h")), d.where("doc_id % 10 <> 3").select("doc_id", F.when(F.col("doc_id") % 10 == 2, F.sha2(F.concat("text", F.lit("x")), 256)).otherwise(F.sha2("text", 256)).alias("h")), "doc_id", "h"))
+query("greedy_dedupe")(lambda t: review.greedy_dedupe(t.documents.select("source", F.col("doc_id").alias("idx"), F.substring("text", 1, 300).alias("text")), "source", ["idx"], "text"))
+query("review_history", _top("SELECT * FROM {reviews}", "pr", "created_at DESC, review_id DESC", 10, "pr, review_id, score, CAST(rank AS INT) AS place"))(lambda t: review.review_history(t.reviews, "pr").select("pr", "review_id", "score", "place"))
+_REFS = " UNION ALL ".join(
+    f"SELECT pr, {i} AS pattern, {'unnest(regexp_extract_all(body, ' + chr(39) + p.replace(chr(39), chr(39) * 2) + chr(39) + ', ' + str(f) + '))' if f else chr(39) + 'unknown' + chr(39)} AS file, CAST(unnest(regexp_extract_all(body, '{p}', {g})) AS INT) AS line FROM {{bodies}}"
+    for i, (p, f, g) in enumerate(review.LINE_REFS)
+)
+_BODY = "concat('See src/a.py:', CAST(pr % 50 AS STRING), ' and L', CAST(pr % 9 AS STRING), '+ or b.py line ', CAST(pr % 7 AS STRING), '. [c.py#L4] Line 12: ok')"
+query("review_line_refs", _REFS, bodies=f"SELECT DISTINCT pr, {_BODY} AS body FROM {{reviews}}")(lambda t: review.line_references(t.reviews.select("pr").distinct().withColumn("body", F.expr(_BODY)), "pr", "body"))
+query(
+    "review_validity",
+    "SELECT conv_id, turn, 0 AS refs, 0 AS valid_refs, length(text) <= 500 AS valid FROM conversations WHERE NOT regexp_matches(text, '[0-9]')",
+)(lambda t: review.review_validity(t.conversations.where(~F.col("text").rlike("[0-9]")).withColumn("key", F.struct("conv_id", "turn")), t.conversations.limit(0).select(F.struct("conv_id", "turn").alias("key"), F.lit(True).alias("in_diff")), "key", "text").select("key.conv_id", "key.turn", F.col("refs").cast("int").alias("refs"), F.col("valid_refs").cast("int").alias("valid_refs"), "valid"))
+query("graphrag_utilisation", "SELECT conv_id, round(100.0 * count(*) FILTER (contains(text, 'the')) / count(*), 6) AS percent FROM conversations GROUP BY conv_id")(lambda t: t.conversations.groupBy("conv_id").agg(F.round(F.coalesce(F.try_divide(F.lit(100.0) * F.count_if(F.contains("text", F.lit("the"))), F.count("*")), F.lit(0.0)), 6).alias("percent")))
+query("quick_scan_flag", "SELECT conv_id, turn, regexp_matches(upper(text), '🔴|CRITICAL|SECURITY|VULNERABILITY') AS flagged FROM conversations")(lambda t: t.conversations.select("conv_id", "turn", decide.quick_scan_flag(F.col("text")).alias("flagged")))
+query("text_checks")(lambda t: t.conversations.select("conv_id", "turn", review.text_checks()("text").alias("c")).select("conv_id", "turn", "c.*"))
+
+# Ingest projections
+
+query("chunk_filter", "SELECT uid FROM {ent} WHERE end_line - start_line >= 3 AND (type IN ('Function', 'Class') OR file LIKE '%.yaml')")(lambda t: t.ent.where("end_line - start_line >= 3 AND (type IN ('Function', 'Class') OR file LIKE '%.yaml')").select("uid"))
+query("chunk_name", "SELECT doc_id, trim(left(string_split(text, chr(10))[1], 100)) AS name FROM documents")(lambda t: t.documents.select("doc_id", F.trim(F.substring(F.element_at(F.split("text", "\n"), 1), 1, 100)).alias("name")))
+query("temp_node_id", "SELECT uid, left(md5(file || ':' || start_line || ':' || name), 16) AS id FROM {ent}")(lambda t: t.ent.select("uid", F.substring(F.md5(F.concat_ws(":", "file", "start_line", "name")), 1, 16).alias("id")))
+query("embedding_text", "SELECT uid, name || chr(10) || left(raw_code, 500) AS text FROM {ent}")(lambda t: t.ent.select("uid", F.concat("name", F.lit("\n"), F.substring("raw_code", 1, 500)).alias("text")))
+query("file_languages", "SELECT filename, CASE regexp_extract(filename, '(\\.[^./]+)$', 1) WHEN '.py' THEN 'python' WHEN '.ts' THEN 'typescript' WHEN '.go' THEN 'go' WHEN '.js' THEN 'javascript' WHEN '.java' THEN 'java' WHEN '.md' THEN 'markdown' END AS language FROM {pr_files}")(lambda t: t.pr_files.select("filename", _language(F.col("filename")).alias("language")))
+
+
+def _language(path):
+    from ..sources.ingest import language_of
+
+    return language_of(path)
+
+
+# Operations
+
+query("rate_offered_load", "SELECT id, sum(tokens) OVER (PARTITION BY installation, endpoint ORDER BY epoch_us(ts) RANGE BETWEEN 86399999999 PRECEDING AND CURRENT ROW)::BIGINT AS offered FROM {requests}")(lambda t: ops.offered_load(t.requests, 86_400, "installation", "endpoint").select("id", "offered"))
+query("rate_admission")(lambda t: ops.admissions(t.requests, 86_400, 2, "installation", "endpoint"))
+query("rate_usage", "SELECT installation, endpoint, sum(tokens)::BIGINT AS used FROM {requests} WHERE ts > TIMESTAMP '2024-01-15' - INTERVAL 30 DAY AND ts <= TIMESTAMP '2024-01-15' GROUP BY ALL")(lambda t: ops.usage(t.requests, F.to_timestamp(F.lit("2024-01-15")), 30 * 86_400, "installation", "endpoint"))
+query("token_daily", "SELECT strftime(ts, '%Y-%m-%d') AS day, sum(tokens)::BIGINT AS tokens, sum(tokens) > 600 AS over, sum(tokens) > 480 AS warned FROM {requests} GROUP BY 1")(lambda t: ops.daily_tokens(t.requests, 600))
+query("token_monthly", "SELECT strftime(ts, '%Y-%m') AS month, sum(tokens)::BIGINT AS tokens FROM {requests} GROUP BY 1")(lambda t: ops.monthly_tokens(t.requests))
+query("token_running", "SELECT strftime(d, '%Y-%m-%d') AS day, tokens, sum(tokens) OVER (PARTITION BY strftime(d, '%Y-%m') ORDER BY d)::BIGINT AS month_to_date FROM (SELECT CAST(ts AS DATE) AS d, sum(tokens)::BIGINT AS tokens FROM {requests} GROUP BY 1)")(lambda t: ops.running_tokens(t.requests))
+query("cache_stats", "SELECT pr, count(*) AS total, count(*) FILTER (TIMESTAMP '2024-01-15' - created_at > INTERVAL 120 MINUTE) AS expired, count(*) FILTER (NOT TIMESTAMP '2024-01-15' - created_at > INTERVAL 120 MINUTE) AS active FROM {reviews} GROUP BY pr")(lambda t: ops.cache_stats(t.reviews, F.to_timestamp(F.lit("2024-01-15")), 120, "pr"))
+query("cache_keys", "SELECT review_id, sha256(pr || ':' || review_id) AS key FROM {reviews}")(lambda t: t.reviews.select("review_id", ops.cache_key(F.col("pr"), F.col("review_id")).alias("key")))
+query("endpoint_class", "SELECT id, CASE WHEN endpoint = 'view' THEN 'search' WHEN endpoint = 'purchase' THEN 'ingestion' WHEN endpoint = 'error' THEN 'webhook' ELSE 'default' END AS class FROM {requests}")(
+    lambda t: t.requests.select("id", decide.endpoint_class(F.when(F.col("endpoint") == "view", "/search/x").when(F.col("endpoint") == "purchase", "/Process").when(F.col("endpoint") == "error", "/webhook").otherwise("/other")).alias("class"))
+)
+query(
+    "queue_order",
+    "SELECT task, priority, CAST(row_number() OVER (ORDER BY CASE priority WHEN 'CRITICAL' THEN 0 WHEN 'HIGH' THEN 1 WHEN 'MEDIUM' THEN 2 ELSE 3 END, id) AS INT) AS place FROM (SELECT * FROM {asked_tasks} WHERE r = 1 ORDER BY id LIMIT 100)",
+    asked_tasks="SELECT id, 'repo#' || installation AS task, CASE WHEN id * 7 % 1300 < 100 THEN 'LOW' WHEN id * 7 % 1300 < 500 THEN 'MEDIUM' WHEN id * 7 % 1300 < 1000 THEN 'HIGH' ELSE 'CRITICAL' END AS priority, row_number() OVER (PARTITION BY installation ORDER BY id) AS r FROM {requests}",
+)(lambda t: ops.queue_order(t.requests, decide.queue_priority(F.col("id") * 7 % 1300), F.concat(F.lit("repo#"), "installation"), "id"))
+query("lock_replay")(lambda t: ops.lock_replay(t.requests.where("endpoint = 'signup'"), "installation", 86_400))
+query("validate_ids", "SELECT filename, regexp_full_match(filename, '[a-zA-Z0-9_-]+') AND length(filename) <= 200 AS repo_ok, regexp_full_match(filename, '[a-zA-Z0-9_.-]+') AND length(filename) <= 100 AS owner_ok, pr BETWEEN 1 AND 999999 AS pr_ok FROM {pr_files}")(
+    lambda t: t.pr_files.select("filename", decide.valid_repo_id(F.col("filename")).alias("repo_ok"), decide.valid_owner(F.col("filename")).alias("owner_ok"), decide.valid_pr(F.col("pr")).alias("pr_ok"))
+)
+query("validate_paths", "SELECT filename, pr, pr % 4 <> 1 AND pr % 4 <> 3 AS ok FROM {pr_files}")(
+    lambda t: t.pr_files.select("filename", "pr", decide.valid_path(F.when(F.col("pr") % 4 == 0, F.concat(F.lit("a/../"), "filename")).when(F.col("pr") % 4 == 1, F.concat(F.lit("a/../../"), "filename")).when(F.col("pr") % 4 == 2, F.concat(F.lit("./a/"), "filename")).otherwise(F.concat(F.lit("/"), "filename"))).alias("ok"))
+)
+query("request_size", "SELECT doc_id FROM documents WHERE octet_length(encode(text)) <= 5000")(lambda t: t.documents.where(F.octet_length("text") <= 5000).select("doc_id"))
+query("error_class", "SELECT id, CASE WHEN endpoint = 'error' THEN 'timeout' WHEN endpoint = 'view' THEN 'not_found' ELSE 'internal' END AS class FROM {requests}")(
+    lambda t: t.requests.select("id", decide.error_class(F.when(F.col("endpoint") == "error", "request timed out").when(F.col("endpoint") == "view", "Not found").otherwise("oops")).alias("class"))
+)
+query("compress_snippet", "SELECT doc_id, CASE WHEN len(l) > 10 THEN array_to_string(list_concat(l[1:5], ['... (omitted) ...'], l[-5:]), chr(10)) ELSE text END AS snippet FROM (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents)")(lambda t: t.documents.select("doc_id", decide.compress_snippet(F.col("text"), 5).alias("snippet")))
+query("prompt_similar", "SELECT query_id, string_agg(r || '. ' || name || ' (' || file || ', ' || printf('%.2f', score) || ')', chr(10) ORDER BY r) AS prompt FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r FROM {met}) WHERE r <= 3 GROUP BY query_id")(
+    lambda t: vector.search(t.chunks, _asks(t), 3).groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", F.format_string("%d. %s (%s, %.2f)", "rank", "name", "file", "score").alias("s")))), lambda x: x["s"]), "\n").alias("prompt"))
+)
+query(
+    "fallback_report",
+    "SELECT pr, 'Issues: ' || count(*) || chr(10) || string_agg('- ' || severity || ' ' || description, chr(10) ORDER BY rk, idx) FILTER (r <= 5) AS report FROM (SELECT *, row_number() OVER (PARTITION BY pr ORDER BY rk, idx) AS r FROM (SELECT *, " + _RANK + " AS rk FROM {issues})) GROUP BY pr",
+)(lambda t: _report(t.issues))
+
+
+def _report(issues: DataFrame) -> DataFrame:
+    from pyspark.sql import Window
+
+    place = F.row_number().over(Window.partitionBy("pr").orderBy(decide.severity_rank(F.col("severity")), "idx"))
+    items = F.collect_list(F.when(F.col("place") <= 5, F.struct("place", F.concat(F.lit("- "), "severity", F.lit(" "), "description").alias("s"))))
+    text = F.array_join(F.transform(F.array_sort(items), lambda x: x["s"]), "\n")
+    return issues.withColumn("place", place).groupBy("pr").agg(F.concat(F.lit("Issues: "), F.count("*"), F.lit("\n"), text).alias("report"))
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_ORACLES)
