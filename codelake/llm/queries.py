@@ -16,7 +16,7 @@ from .lm_scoring import lm_scores
 from .packing import pack_documents
 from .shingle_join import shingle_components
 from .token_counts import token_counts
-from .url_filter import Rule, url_filter
+from .url_filter import DAMPING, LINKS, LOWER, STEPS, THRESHOLD, UPPER, Rule, url_filter
 from .warc import round_trip
 
 
@@ -87,6 +87,22 @@ def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shingle_components(table(spark, sf_dir, "documents"), n=4, percent=85)
 
 
+#: Brute force over all pairs that share a shingle.
+OP7_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+grams AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i : i + 3], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM words),
+sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT x, y FROM pairs JOIN sizes a ON a.doc_id = x JOIN sizes b ON b.doc_id = y WHERE 100 * i >= 85 * (a.n + b.n - i)),
+edges AS (SELECT x AS a, y AS b FROM links UNION ALL SELECT y, x FROM links),
+reach AS (SELECT DISTINCT a AS doc_id, a AS c FROM edges UNION SELECT e.b, r.c FROM reach r JOIN edges e ON e.a = r.doc_id)
+SELECT d.doc_id, coalesce(any_value(s.n), 0) AS n_shingles, coalesce(min(r.c), d.doc_id) AS component_id
+FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id LEFT JOIN reach r ON r.doc_id = d.doc_id GROUP BY d.doc_id
+"""
+
+
 RULES = (Rule("block", "com", "/en/"), Rule("allow", "example.com", "/en/7"), Rule("allow", "net", "/de/"), Rule("block", "example.net", "/de/8"), Rule("block", "org", "/es/"))
 
 
@@ -94,6 +110,44 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(table(spark, sf_dir, "pages"), RULES)
 
 
+def _op8_sql() -> str:
+    """The steps of the rank, unrolled."""
+    after = lambda u: f"CASE WHEN instr({u}, '://') > 0 THEN substr({u}, instr({u}, '://') + 3) ELSE '' END"
+    host = lambda u: f"translate(regexp_extract({after(u)}, '^[^/?#]*'), '{UPPER}', '{LOWER}')"
+    rules = ", ".join(f"('{r.verdict}', '{r.host}', '{r.path}')" for r in RULES)
+    steps = [
+        f"""p AS MATERIALIZED (SELECT page_id, html, {host("coalesce(url, '')")} AS host, regexp_extract({after("coalesce(url, '')")}, '^[^/?#]*([^?#]*)', 1) AS path FROM pages)""",
+        f"rules(verdict, rhost, rpath) AS (VALUES {rules})",
+        """fit AS MATERIALIZED (SELECT page_id, html, p.host, p.path, arg_max(rhost || rpath, length(rhost || rpath)) AS rule, arg_max(verdict, length(rhost || rpath)) AS ruling
+FROM p LEFT JOIN rules ON (p.host = rhost OR ends_with(p.host, '.' || rhost)) AND starts_with(p.path, rpath) GROUP BY ALL)""",
+        f"links AS (SELECT host AS src, unnest(regexp_extract_all(coalesce(html, ''), '{LINKS.replace(chr(39), chr(39) * 2)}', 1)) AS u FROM p)",
+        f"""named AS (SELECT src, {host("u")} AS dst FROM (SELECT src, CASE WHEN starts_with(u, '//') THEN 'http:' || u ELSE u END AS u FROM links WHERE starts_with(u, '//') OR regexp_matches(u, '^[A-Za-z][A-Za-z0-9+.-]*://')))""",
+        "counted AS (SELECT src, dst, count(*) AS n FROM named WHERE src <> dst AND src <> '' AND dst <> '' GROUP BY ALL)",
+        "edges AS MATERIALIZED (SELECT src, dst, n / sum(n) OVER (PARTITION BY src) AS share FROM counted)",
+        "ways AS MATERIALIZED (SELECT src AS host, dst AS to_, 0 AS kind, share FROM edges UNION ALL SELECT dst, src, 1, share / sum(share) OVER (PARTITION BY dst) FROM edges)",
+        f"""r0 AS MATERIALIZED (SELECT host, 0 AS kind, count(*) * {1 - DAMPING} AS rank FROM fit WHERE ruling = 'allow' GROUP BY host UNION ALL SELECT host, 1, count(*) * {1 - DAMPING} FROM fit WHERE ruling = 'block' GROUP BY host)""",
+    ]
+    for k in range(1, STEPS + 1):
+        steps.append(f"r{k} AS MATERIALIZED (SELECT host, kind, sum(rank) AS rank FROM (SELECT * FROM r0 UNION ALL SELECT to_, w.kind, rank * share * {DAMPING} FROM r{k - 1} r JOIN ways w ON r.host = w.host AND r.kind = w.kind) GROUP BY ALL)")
+    steps.append(f"marks AS (SELECT host, round(coalesce(sum(rank) FILTER (kind = 0), 0), 9) AS trust, round(coalesce(sum(rank) FILTER (kind = 1), 0), 9) AS distrust FROM r{STEPS} GROUP BY host)")
+    last = f"SELECT page_id, f.host, path, rule, coalesce(ruling, CASE WHEN coalesce(distrust > {THRESHOLD} * (trust + distrust), false) THEN 'block' ELSE 'allow' END) AS verdict, coalesce(trust, 0) AS trust, coalesce(distrust, 0) AS distrust FROM fit f LEFT JOIN marks m ON m.host = f.host"
+    return "WITH " + ", ".join(steps) + " " + last
+
+
+OP8_SQL = _op8_sql()
+
+
+#: A digest's 160 bits, five at a time.
+OP9_SQL = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS sha FROM pages),
+b AS (SELECT *, max(page_id) OVER (PARTITION BY sha) AS keep, CAST(CAST(from_hex(sha) AS BIT) AS VARCHAR) AS bits FROM p)
+SELECT page_id, payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + 16 * CAST(bits[5 * i + 1] AS INT) + 8 * CAST(bits[5 * i + 2] AS INT) + 4 * CAST(bits[5 * i + 3] AS INT) + 2 * CAST(bits[5 * i + 4] AS INT) + CAST(bits[5 * i + 5] AS INT) AS BIGINT), 1)), '') AS payload_digest,
+       CASE WHEN page_id = keep THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> keep THEN keep END AS refers_to
+FROM b
+"""
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -119,4 +173,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_packing": op10_packing,
 }
 
-ORACLES: dict[str, str] = {"op2_exact_dedup": OP2_SQL}
+ORACLES: dict[str, str] = {"op2_exact_dedup": OP2_SQL, "op7_ngram_jaccard": OP7_SQL, "op8_url_filter": OP8_SQL, "op9_warc": OP9_SQL}
