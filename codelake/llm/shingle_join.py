@@ -19,16 +19,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import LOW48, WordHashes, map_arrow, mix64, ngram_hashes, pack48, shard_order, ship, stage_table, text_groups, unpack48
 from .graph import components
 
-#: Rounds that compare with one document of each list before the last one.
-ROUNDS = 3
+#: Rounds that compare with a few documents of each list before the last one, and how many documents these are.
+ROUNDS, PIVOTS = 5, 8
 
-_SETS = "id {id}, n long, node binary, tokens array<long>, first array<long>, second array<long>, third array<long>"
+_SETS = "id {id}, n long, node binary, tokens array<long>, first array<long>, second array<long>, third array<long>, weight double"
 
 
 def shingle_set(words: np.ndarray, n: int) -> np.ndarray:
@@ -49,10 +49,11 @@ def _rarity(counts: np.ndarray) -> np.ndarray:
 
 
 def shingle_sets(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, n, node, tokens, first, second, third): a row a document; the arrays only for one document of each set in a block that may link.
+    """(id, n, node, tokens, first, second, third, weight): a row a document; the arrays only for one document of each set in a block that may
+    link.
 
     node names the set (a 128-bit hash; null if it is empty), tokens are its shingles that other sets or blocks hold too, first to third its
-    prefixes under the three orders.
+    prefixes under the three orders, and weight tells how common its shingles are on average.
     """
     ship(docs.sparkSession)
     shards = min(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 << 15)
@@ -157,15 +158,15 @@ def shingle_sets(docs: DataFrame, n: int, percent: int, id_col: str, text_col: s
                     u = t.view(np.uint64)
                     pick = lambda *by, t=t, left=left: t[np.lexsort(by)[:left]]
                     coarse = np.log2(r).astype(np.uint8)
-                    arrays[i] = (t, pick(t, r), pick(mix64(u ^ LOW48), r), pick(mix64(u), coarse))
+                    arrays[i] = (t, pick(t, r), pick(mix64(u ^ LOW48), r), pick(mix64(u), coarse), float(np.log2(r).sum() / size_of[i]))
                 start = end
-        cells, nodes = [[] for _ in range(4)], []
+        cells, nodes = [[] for _ in range(5)], []
         for i in of.tolist():
             got = arrays.pop(i, None)  # one document of the block stands for the set
-            for k in range(4):
+            for k in range(5):
                 cells[k].append(None if got is None else got[k])
             nodes.append(None if i < 0 else names[i])
-        return pa.table([head.column("id"), head.column("n"), pa.array(nodes, pa.binary()), *(pa.array(c, pa.list_(pa.int64())) for c in cells)], names=["id", "n", "node", "tokens", "first", "second", "third"])
+        return pa.table([head.column("id"), head.column("n"), pa.array(nodes, pa.binary()), *(pa.array(c, pa.list_(pa.int64())) for c in cells[:4]), pa.array(cells[4], pa.float64())], names=["id", "n", "node", "tokens", "first", "second", "third", "weight"])
 
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     schema = "key long, block long, payload binary"
@@ -184,27 +185,39 @@ def _linked(a: str, b: str, percent: int):
 
 def link_components(sets: DataFrame, percent: int) -> DataFrame:
     """(node, comp) for the nodes that link with another: comp is the same for all nodes that reach each other."""
-    whole = sets.where("tokens is not null").groupBy("node").agg(*(F.any_value(c).alias(c) for c in ("n", "tokens", "first", "second", "third")))
+    whole = sets.where("tokens is not null").groupBy("node").agg(*(F.any_value(c).alias(c) for c in ("n", "tokens", "first", "second", "third", "weight")))
     whole = stage_table(whole, "nodes")
-    lists = whole.select("node", "n", F.explode("first").alias("token"))
+    # Before a token come the set's unique shingles and those of its prefix that are rarer.
+    lists = whole.select("node", "n", "weight", (F.col("n") - F.size("tokens")).alias("unique"), F.posexplode("first").alias("place", "token"))
+    lists = lists.select("node", "n", "weight", (F.col("unique") + F.col("place")).alias("before"), "token")
     shared = lists.groupBy("token").count().where("count > 1").select("token")
     lists = stage_table(lists.join(shared, "token"), "lists")
     labels = stage_table(whole.select("node", F.col("node").alias("comp")), "labels")
-    near = lambda a, b: F.lit(100) * F.least(a, b) >= F.lit(percent) * F.greatest(a, b)
+    # A pair is wanted at its first common shingle; there the sets can't share more than what follows in the shorter rest. At a later one this
+    # is too strict, but then the pair has been met before.
+    near = F.expr(f"{100 + percent} * least(x.n - x.before, y.n - y.before) >= {percent} * (x.n + y.n)")
     for step in range(ROUNDS + 1):
+        # A list's major component has most of its documents (at first, the one with the commonest shingles: what others are copies of). It needs
+        # no comparison within; the rest is compared with some of its documents, and in the last round with everything that is apart from it.
         at = lists.join(labels, "node")
+        parts = at.groupBy("token", "comp").agg(F.count("*").alias("size"), F.max("weight").alias("heaviest"))
+        major = parts.groupBy("token").agg(F.max_by("comp", F.struct("size", "heaviest", "comp")).alias("major"), F.count("*").alias("parts")).where("parts > 1").select("token", "major")
+        major = stage_table(major, "majors")
+        if major.isEmpty():
+            break
+        # Lists of one component are done with for good: components only grow.
+        at = stage_table(at.join(major, "token"), "lists")
+        lists = at.drop("comp", "major")
+        rest = at.where("comp <> major")
         if step < ROUNDS:
-            by = F.xxhash64("node", F.lit(step))
-            pivots = at.groupBy("token").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.min_by(F.struct("node", "n", "comp"), by).alias("pivot")).where("least <> most").select("token", "pivot")
-            pairs = at.join(pivots, "token").where((F.col("comp") != F.col("pivot.comp")) & near(F.col("n"), F.col("pivot.n")))
-            pairs = pairs.select(F.col("node").alias("a"), F.col("pivot.node").alias("b"), F.col("comp").alias("ca"), F.col("pivot.comp").alias("cb")).distinct()
+            # Documents of common shingles link with most; which of them are taken changes from round to round.
+            luck = F.pmod(F.xxhash64("node", F.lit(step)), F.lit(1000)) / 1000
+            order = F.desc(F.col("weight") * (1 + 0.1 * luck * min(step, 1)))
+            chosen = at.where("comp = major").withColumn("place", F.row_number().over(Window.partitionBy("token").orderBy(order, "node"))).where(F.col("place") <= PIVOTS)
+            pairs = rest.alias("x").join(chosen.alias("y"), "token")
         else:
-            # The component with most of a list's documents needs no comparison within; the rest is compared with everything apart from it.
-            sizes = at.groupBy("token", "comp").count()
-            most = sizes.groupBy("token").agg(F.max_by("comp", F.struct("count", "comp")).alias("major"), F.count("*").alias("comps")).where("comps > 1").select("token", "major")
-            rest = at.join(most, "token").where("comp <> major")
-            pairs = rest.alias("x").join(at.alias("y"), "token").where("x.comp <> y.comp and (y.comp = x.major or x.node < y.node)").where(near(F.col("x.n"), F.col("y.n")))
-            pairs = pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.comp").alias("ca"), F.col("y.comp").alias("cb")).distinct()
+            pairs = rest.alias("x").join(at.alias("y"), "token").where("x.comp <> y.comp and (y.comp = x.major or x.node < y.node)")
+        pairs = pairs.where(near).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.comp").alias("ca"), F.col("y.comp").alias("cb")).distinct()
         left, right = whole.alias("l"), whole.alias("r")
         found = pairs.join(left, F.col("a") == F.col("l.node")).join(right, F.col("b") == F.col("r.node")).where(_linked("l", "r", percent))
         found = stage_table(found.select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct(), "links")
