@@ -93,7 +93,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """word bytes -> 64-bit hash, remembered up to `limit` words."""
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 200_000):
         import xxhash
 
         self._hash, self._limit = xxhash.xxh3_64_intdigest, limit
@@ -148,3 +148,12 @@ def planes(values: np.ndarray) -> bytes:
 
 def from_planes(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+
+
+def packed_planes(values: np.ndarray) -> bytes:
+    """planes(), compressed."""
+    return pa.compress(planes(values), codec="zstd", asbytes=True)
+
+
+def from_packed_planes(data: bytes, count: int) -> np.ndarray:
+    return from_planes(pa.decompress(data, decompressed_size=4 * count, codec="zstd", asbytes=True)) if count else np.empty(0, np.int64)

@@ -19,15 +19,15 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOW48, WordHashes, from_planes, map_arrow, mix64, pack48, planes, shard_order, ship, stage_table, text_groups, unpack48
+from .common import LOW48, WordHashes, from_packed_planes, map_arrow, mix64, pack48, packed_planes, shard_order, ship, stage_table, text_groups, unpack48
 
 #: Characters of a block of documents, buckets of context frequency (by its logarithm to base 2), steps of expectation-maximisation, and the
 #: fraction of an octave by which events are told apart in it (so the events of a corpus of any size fill a table of bounded size).
-BLOCK_CHARS, BUCKETS, EM_STEPS, OCTAVE = 8_000_000, 32, 30, 8
+BLOCK_CHARS, BUCKETS, EM_STEPS, OCTAVE = 6_000_000, 32, 30, 8
 
 _END = np.uint64(0x2545F4914F6CDD1D)
 _PAIR, _WORD = np.uint64(0x1F83D9ABFB41BD6B), np.uint64(0x5BE0CD19137E2179)
-_BLOCKS = "block long, kind int, ids array<{id}>, lens array<int>, folds array<int>, word_all binary, word_slice binary, pair_all binary, pair_slice binary, totals array<long>"
+_BLOCKS = "block long, kind int, ids array<{id}>, lens array<int>, folds array<int>, word_all binary, pair_all binary, word_kept binary, pair_kept binary, totals array<long>"
 
 
 @dataclass(frozen=True)
@@ -51,7 +51,7 @@ def _requests(keys: np.ndarray, total: np.ndarray, part: np.ndarray, shards: int
     for shard, end in enumerate(ends):
         if end > start:
             at = order[start:end]
-            yield shard, at, (end - start).to_bytes(4, "little") + pack48(keys[at] & LOW48).tobytes() + planes(total[at]) + planes(part[at])
+            yield shard, at, (end - start).to_bytes(4, "little") + pack48(keys[at] & LOW48).tobytes() + packed_planes(np.concatenate([total[at], part[at]]))
         start = end
 
 
@@ -86,8 +86,12 @@ def counted_blocks(docs: DataFrame, fold: Column, id_col: str, text_col: str) ->
             folds = np.array(batch.column(2).to_pylist(), np.int64)
             words = np.concatenate(parts)
             asked = _block(words, lens, folds)
-            distinct, place = np.unique(words, return_inverse=True)
-            head = pa.table({"ids": pa.array([batch.column(0).to_pylist()], pa.list_(batch.column(0).type)), "lens": [lens.astype(np.int32)], "folds": [folds.astype(np.int32)], "names": [distinct.tobytes()], "words": [planes(place)]})
+            distinct, place, number = np.unique(words, return_inverse=True, return_counts=True)
+            order = np.argsort(-number, kind="stable")  # frequent words get small numbers, which compress
+            rank = np.empty_like(order)
+            rank[order] = np.arange(len(order))
+            distinct, place = distinct[order], rank[place]
+            head = pa.table({"ids": pa.array([batch.column(0).to_pylist()], pa.list_(batch.column(0).type)), "lens": [lens.astype(np.int32)], "folds": [folds.astype(np.int32)], "names": [distinct.tobytes()], "words": [packed_planes(place)]})
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, head.schema) as out:
                 out.write_table(head)
@@ -107,14 +111,14 @@ def counted_blocks(docs: DataFrame, fold: Column, id_col: str, text_col: str) ->
         blocks, rows = table.column(1).to_pylist(), [p.as_py() for p in table.column(2)]
         lens = [int.from_bytes(r[:4], "little") for r in rows]
         names = np.concatenate([unpack48(memoryview(r)[4:], c) for r, c in zip(rows, lens, strict=True)])
-        total = np.concatenate([from_planes(memoryview(r)[4 + 6 * c : 4 + 10 * c]) for r, c in zip(rows, lens, strict=True)])
-        held = np.concatenate([from_planes(memoryview(r)[4 + 10 * c :]) for r, c in zip(rows, lens, strict=True)])
+        both = [from_packed_planes(r[4 + 6 * c :], 2 * c) for r, c in zip(rows, lens, strict=True)]
+        total, held = (np.concatenate([b[k * c : (k + 1) * c] for b, c in zip(both, lens, strict=True)]) for k in (0, 1))
         distinct, place = np.unique(names, return_inverse=True)
         all_, slice_ = np.bincount(place, total).astype(np.int64), np.bincount(place, held).astype(np.int64)
         out, at = [], 0
         for c in lens:
             own = place[at : at + c]
-            out.append(planes(all_[own]) + planes(slice_[own]))
+            out.append(packed_planes(np.concatenate([all_[own], slice_[own]])))
             at += c
         if key % 2 == 0:  # tokens: what they add to the corpus's totals
             kept = all_ - slice_
@@ -126,21 +130,24 @@ def counted_blocks(docs: DataFrame, fold: Column, id_col: str, text_col: str) ->
         block, empty = table.column(1)[0].as_py(), [None]
         if block < 0:
             totals = sum(np.frombuffer(p.as_py(), np.int64) for p in table.column(2))
-            columns = {"block": [-1], "kind": [1], "ids": empty, "lens": empty, "folds": empty, "word_all": empty, "word_slice": empty, "pair_all": empty, "pair_slice": empty, "totals": [totals.tolist()]}
+            columns = {"block": [-1], "kind": [1], "ids": empty, "lens": empty, "folds": empty, "word_all": empty, "pair_all": empty, "word_kept": empty, "pair_kept": empty, "totals": [totals.tolist()]}
             return pa.table({k: pa.array(v, t) for (k, v), t in zip(columns.items(), types, strict=True)})
         rows = dict(zip(table.column(0).to_pylist(), (p.as_py() for p in table.column(2)), strict=True))
         head = pa.ipc.open_stream(rows.pop(-1 - block)).read_all().to_pylist()[0]
-        names, place = np.frombuffer(head["names"], np.uint64), from_planes(head["words"])
         lens, folds = np.array(head["lens"], np.int64), np.array(head["folds"], np.int64)
+        names, place = np.frombuffer(head["names"], np.uint64), from_packed_planes(head["words"], int(lens.sum()))
         found = []
         for kind, (keys, total, held, of) in enumerate(_block(names[place], lens, folds)):
             all_, slice_ = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
             for shard, at, _ in _requests(keys, total, held, shards):
                 data = rows[2 * shard + kind]
-                all_[at], slice_[at] = from_planes(memoryview(data)[: 4 * len(at)]), from_planes(memoryview(data)[4 * len(at) :])
+                got = from_packed_planes(data, 2 * len(at))
+                all_[at], slice_[at] = got[: len(at)], got[len(at) :]
             found.append((all_[of], slice_[of]))
         (word_all, word_slice), (pair_all, pair_slice) = found
-        columns = {"block": [block], "kind": [0], "ids": [head["ids"]], "lens": [head["lens"]], "folds": [head["folds"]], "word_all": [planes(word_all)], "word_slice": [planes(word_slice)], "pair_all": [planes(pair_all)], "pair_slice": [planes(pair_slice)], "totals": empty}
+        # What is left without the slice is asked for the slice's own documents only.
+        held = np.repeat(folds, lens) == 1
+        columns = {"block": [block], "kind": [0], "ids": [head["ids"]], "lens": [head["lens"]], "folds": [head["folds"]], "word_all": [packed_planes(word_all)], "pair_all": [packed_planes(pair_all)], "word_kept": [packed_planes((word_all - word_slice)[held])], "pair_kept": [packed_planes((pair_all - pair_slice)[held])], "totals": empty}
         return pa.table({k: pa.array(v, t) for (k, v), t in zip(columns.items(), types, strict=True)})
 
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), fold.cast("int").alias("fold"))
@@ -155,7 +162,7 @@ def counted_blocks(docs: DataFrame, fold: Column, id_col: str, text_col: str) ->
     return stage_table(answered, "lm-blocks")
 
 
-def _contexts(counts: np.ndarray, lens: np.ndarray, end: int) -> np.ndarray:
+def _contexts(counts: np.ndarray, end: int) -> np.ndarray:
     """The count of each token's context: that of the token before it, for the first of a text that of the end."""
     out = np.empty_like(counts)
     out[0], out[1:] = end, counts[:-1]
@@ -186,20 +193,19 @@ def learn(blocks: DataFrame) -> Model:
     def observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                lens, fold = np.array(row["lens"]), np.repeat(row["folds"], row["lens"])
-                word, pair = (from_planes(row[f"{k}_all"]) - from_planes(row[f"{k}_slice"]) for k in ("word", "pair"))
-                end = int(word[np.cumsum(lens)[0] - 1])
-                context = _contexts(word, lens, end)
-                at = np.flatnonzero(fold == 1)
-                if not len(at):
+                lens = np.array(row["lens"])[np.array(row["folds"]) == 1]
+                n = int(lens.sum())
+                if not n:
                     continue
-                two = np.where(pair[at] > 0, pair[at] / np.maximum(context[at], 1), 0) * (kept_v + 1)
-                one = word[at] / max(kept_n, 1) * (kept_v + 1)
+                word, pair = (from_packed_planes(row[k], n) for k in ("word_kept", "pair_kept"))
+                context = _contexts(word, int(word[lens[0] - 1]))
+                two = np.where(pair > 0, pair / np.maximum(context, 1), 0) * (kept_v + 1)
+                one = word / max(kept_n, 1) * (kept_v + 1)
                 cell = [np.where(x > 0, np.round(OCTAVE * np.log2(np.maximum(x, 1e-30))), -(10**6)).astype(np.int64) for x in (two, one)]
-                cells, number = np.unique(np.column_stack([bucket_of(context[at]), *cell]), axis=0, return_counts=True)
+                cells, number = np.unique(np.column_stack([bucket_of(context), *cell]), axis=0, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(cells[:, 0]), pa.array(cells[:, 1]), pa.array(cells[:, 2]), pa.array(number)], names=["bucket", "two", "one", "n"])
 
-    rows = blocks.where("kind = 0").select("lens", "folds", "word_all", "word_slice", "pair_all", "pair_slice")
+    rows = blocks.where("kind = 0").select("lens", "folds", "word_kept", "pair_kept")
     seen = map_arrow(rows, observe, "bucket long, two long, one long, n long").groupBy("bucket", "two", "one").agg(F.sum("n").alias("n"))
     events = np.array([tuple(r) for r in seen.orderBy("bucket", "two", "one").collect()], float).reshape(-1, 4)
     for k in (1, 2):
@@ -228,9 +234,9 @@ def lm_scores(docs: DataFrame, fold: Column, id_col: str = "doc_id", text_col: s
         for batch in batches:
             for ids, lens, folds, word, pair in zip(*batch.columns, strict=True):
                 lens = np.array(lens.as_py())
-                word, pair = from_planes(word.as_py()), from_planes(pair.as_py())
+                word, pair = (from_packed_planes(x.as_py(), int(lens.sum())) for x in (word, pair))
                 starts = np.cumsum(lens) - lens
-                context = _contexts(word, lens, int(word[lens[0] - 1]))
+                context = _contexts(word, int(word[lens[0] - 1]))
                 score = np.add.reduceat(np.log10(interpolated(model, pair, context, word)), starts)
                 base = np.add.reduceat(np.log10((word + 0.1) / (model.tokens + 0.1 * (model.vocabulary + 1))), starts)
                 known = np.add.reduceat((word > 0).astype(np.int64), starts)
