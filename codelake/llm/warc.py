@@ -140,7 +140,7 @@ def write_warc(pages: DataFrame, root: str, config: WarcConfig = WarcConfig(), i
 
     pages_in = rows.select(by_shard, "id", F.sha1("payload").alias("sha"), F.lit(1).alias("kind"), "url", "payload", F.lit(None).cast("long").alias("first"))
     notes = revisits.select(by_shard, "id", "sha", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "first")
-    sorted_ = pages_in.unionByName(notes).repartition(shard + 1, "shard").sortWithinPartitions("shard", "id", "sha", "kind", "url")
+    sorted_ = pages_in.unionByName(notes).repartitionById(shard + 1, F.col("shard")).sortWithinPartitions("shard", "id", "sha", "kind", "url")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
