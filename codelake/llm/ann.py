@@ -211,7 +211,7 @@ def ann_search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str =
     wanted = index.select("entry", "vector").join(of_entry.select("entry").distinct(), "entry", "left_semi")
     asked = map_arrow(wanted, ask, "block int, queries binary")
     asked = asked.select("block", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("entry"), F.lit(None).cast("array<float>").alias("vector"), F.lit(None).cast("int").alias("cell"), "queries")
-    met = placed.unionByName(asked).repartition(blocks, "block").sortWithinPartitions("block", "kind")
+    met = placed.unionByName(asked).repartitionById(blocks, F.col("block")).sortWithinPartitions("block", "kind")
     found = map_arrow(met, rank, "query long, entry long, score double")
 
     best = Window.partitionBy("query").orderBy(F.desc("score"), "entry")
