@@ -20,10 +20,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bpe import byte_letters
 from .chunks import ChunkCache
 from .common import map_arrow, ship, stage_table, text_groups
 
 
+#: Chunks that a worker remembers in each generation.
+CACHED = 350_000
+
+#: Fixed value: how byte-level tokenizers cut texts before merging.
+BYTE_LEVEL_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
 @dataclass(frozen=True)
 class PackConfig:
     """capacity: tokens a sequence. group: pieces packed together (on average). The rest steers the search."""
@@ -148,7 +156,39 @@ def _ids(path: str) -> ChunkCache:
             out += [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(chunks[start : start + 10_000], add_special_tokens=False)]
         return out
 
-    return ChunkCache(encode)
+    fast = _rank_encoder(path, tokenizer)
+    if fast is None:
+        return ChunkCache(encode, CACHED)
+    special = tuple(t.content for t in tokenizer.get_added_tokens_decoder().values())
+
+    def encode_fast(chunks: list[str]) -> list[bytes]:
+        # The library looks for its added tokens first; only chunks that hold one need it.
+        odd = [i for i, c in enumerate(chunks) if any(s in c for s in special)]
+        out = [array("I", fast(c)).tobytes() for c in chunks]
+        for i, ids in zip(odd, encode([chunks[i] for i in odd]), strict=True):
+            out[i] = ids
+        return out
+
+    return ChunkCache(encode_fast, CACHED)
+
+
+def _rank_encoder(path: str, tokenizer):
+    """A faster encoder of the same ids where the vocabulary's ids rise with its merges, so that they serve as ranks; else None."""
+    import json
+
+    import tiktoken
+
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    model, steps = spec["model"], spec["pre_tokenizer"] or {}
+    letters, vocab = byte_letters(), model["vocab"]
+    joined = [vocab["".join(m) if isinstance(m, list) else m.replace(" ", "")] for m in model["merges"]]
+    added = {t["content"] for t in spec["added_tokens"]}
+    plain = steps.get("type") == "ByteLevel" and not steps.get("add_prefix_space") and steps.get("use_regex", True) and not spec["normalizer"] and not model.get("ignore_merges")
+    if not plain or any(a >= b for a, b in zip(joined, joined[1:], strict=False)):
+        return None
+    ranks = {bytes(letters[c] for c in t): i for t, i in vocab.items() if t not in added}
+    return tiktoken.Encoding("ranks", pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
 
 def token_pieces(docs: DataFrame, path: str, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
