@@ -307,7 +307,7 @@ query(
     "snapshot_diff",
     "SELECT doc_id, CASE WHEN a.h IS NULL THEN 'added' WHEN b.h IS NULL THEN 'deleted' ELSE 'modified' END AS change FROM (SELECT doc_id, sha256(text) AS h FROM documents WHERE doc_id % 10 <> 1) a FULL JOIN (SELECT doc_id, CASE WHEN doc_id % 10 = 2 THEN sha256(text || 'x') ELSE sha256(text) END AS h FROM documents WHERE doc_id % 10 <> 3) b USING (doc_id) WHERE a.h IS DISTINCT FROM b.h",
 )(lambda t: review.snapshot_diff((d := t.documents).where("doc_id % 10 <> 1").select("doc_id", F.sha2("text", 256).alias("h")), d.where("doc_id % 10 <> 3").select("doc_id", F.when(F.col("doc_id") % 10 == 2, F.sha2(F.concat("text", F.lit("x")), 256)).otherwise(F.sha2("text", 256)).alias("h")), "doc_id", "h"))
-query("greedy_dedupe")(lambda t: review.greedy_dedupe(t.documents.select("source", F.col("doc_id").alias("idx"), F.substring("text", 1, 300).alias("text")), "source", ["idx"], "text"))
+query("greedy_dedupe")(lambda t: review.greedy_dedupe(t.documents.select("source", F.col("doc_id").alias("idx"), "text"), "source", ["idx"], "text"))
 query("review_history", _top("SELECT * FROM {reviews}", "pr", "created_at DESC, review_id DESC", 10, "pr, review_id, score, CAST(rank AS INT) AS place"))(lambda t: review.review_history(t.reviews, "pr").select("pr", "review_id", "score", "place"))
 _REFS = " UNION ALL ".join(
     f"SELECT pr, {i} AS pattern, {'unnest(regexp_extract_all(body, ' + chr(39) + p.replace(chr(39), chr(39) * 2) + chr(39) + ', ' + str(f) + '))' if f else chr(39) + 'unknown' + chr(39)} AS file, CAST(unnest(regexp_extract_all(body, '{p}', {g})) AS INT) AS line FROM {{bodies}}"
