@@ -49,7 +49,7 @@ FROM (SELECT user_id AS block, event_id, CASE user_id % 5 WHEN 0 THEN 'python' W
     "patch_rows": """
 SELECT l_orderkey AS pr, concat('src/', lower(o_orderpriority), '.py') AS filename, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS INT) AS pos,
        concat(CASE l_returnflag WHEN 'A' THEN '+' WHEN 'R' THEN '-' ELSE ' ' END, 'part_', CAST(l_partkey AS STRING), ' = ', CAST(l_suppkey AS STRING)) AS line, l_orderkey % 90 + 1 AS hunk_start
-FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey WHERE l_orderkey % 10 = 0""",
+FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey""",
     "patches": """
 SELECT pr, min(filename) AS filename, concat('@@ -', CAST(min(hunk_start) AS STRING), ',', CAST(count(*) AS STRING), ' +', CAST(min(hunk_start) AS STRING), ',', CAST(count(*) AS STRING), ' @@\n',
        {join_lines}) AS patch

@@ -3,6 +3,7 @@
 import random
 
 from codelake.operators import review
+from codelake.plans import catalog
 
 
 def greedy(texts):
@@ -29,3 +30,12 @@ def test_greedy_dedupe_takes_all_rows_and_whole_texts(spark):
     want = {g: greedy(texts) for g, texts in groups.items()}
     assert {g: sorted(r.idx for r in got if r.g == g) for g in groups} == want
     assert all(r.place == r.idx + 1 for r in got) and len(want["a"]) > 200
+
+
+def test_every_order_has_a_patch(spark, tmp_path):
+    lines = [(k, n, n + 1, n + 2, 1.0, "ARN"[n % 3]) for k in range(1, 13) for n in range(3)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_extendedprice double, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(k, "1-URGENT") for k in range(1, 13)], "o_orderkey long, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    for name, rows in (("patch_lines", 24), ("patch_hunks", 12), ("patch_metrics", 12), ("numbered_diff", 48), ("snippet_around", 12), ("line_refs_in_diff", 12), ("pr_content", 12)):
+        got = catalog.queries()[name](spark, str(tmp_path)).collect()
+        assert {r.pr for r in got} == set(range(1, 13)) and len(got) == rows, name
