@@ -66,7 +66,7 @@ SELECT CAST(event_id AS BIGINT) AS idx, user_id AS pr, concat('f', CAST(event_id
        CASE event_id % 7 WHEN 0 THEN 'critical' WHEN 1 THEN 'high' WHEN 2 THEN 'medium' WHEN 3 THEN 'low' WHEN 4 THEN 'info' WHEN 5 THEN 'medium' ELSE 'low' END AS severity,
        CASE event_id % 4 WHEN 0 THEN 'security' WHEN 1 THEN 'code_quality' WHEN 2 THEN 'performance' ELSE 'maintainability' END AS category,
        concat('issue ', CAST(event_id AS STRING), CASE WHEN event_id % 3 = 0 THEN ' of Security' ELSE '' END) AS description, CAST(event_id % 40 AS INT) AS line
-FROM {events} WHERE user_id % 3 = 0 OR event_id % 17 = 0""",
+FROM {events}""",
     "requests": """
 SELECT CAST(event_id AS BIGINT) AS id, user_id AS installation, event_type AS endpoint, ts, CAST(1 + event_id % 3 AS BIGINT) AS tokens FROM {events}""",
     "reviews": """

@@ -39,3 +39,15 @@ def test_every_order_has_a_patch(spark, tmp_path):
     for name, rows in (("patch_lines", 24), ("patch_hunks", 12), ("patch_metrics", 12), ("numbered_diff", 48), ("snippet_around", 12), ("line_refs_in_diff", 12), ("pr_content", 12)):
         got = catalog.queries()[name](spark, str(tmp_path)).collect()
         assert {r.pr for r in got} == set(range(1, 13)) and len(got) == rows, name
+
+
+def test_every_event_is_an_issue(spark, tmp_path):
+    spark.createDataFrame([(i, i % 4 + 1) for i in range(1, 41)], "event_id long, user_id long").write.parquet(f"{tmp_path}/events.parquet")
+    run = lambda name: catalog.queries()[name](spark, str(tmp_path)).collect()
+    assert {r.idx for r in run("visible_issues")} == set(range(1, 41))
+    for name in ("severity_counts", "category_counts"):
+        assert sum(r.issues for r in run(name)) == 40, name
+    assert sum(r.issues_found for r in run("file_review_links")) == 40
+    assert sum(r.total for r in run("file_severity_histogram")) == sum(i % 7 != 4 for i in range(1, 41))
+    for name in ("issue_buckets", "event_type_b", "inline_eligible", "fallback_report"):
+        assert {r.pr for r in run(name)} == {1, 2, 3, 4}, name
