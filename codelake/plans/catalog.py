@@ -356,7 +356,7 @@ query(
     "SELECT task, priority, CAST(row_number() OVER (ORDER BY CASE priority WHEN 'CRITICAL' THEN 0 WHEN 'HIGH' THEN 1 WHEN 'MEDIUM' THEN 2 ELSE 3 END, id) AS INT) AS place FROM (SELECT * FROM {asked_tasks} WHERE r = 1 ORDER BY id LIMIT 100)",
     asked_tasks="SELECT id, 'repo#' || installation AS task, CASE WHEN id * 7 % 1300 < 100 THEN 'LOW' WHEN id * 7 % 1300 < 500 THEN 'MEDIUM' WHEN id * 7 % 1300 < 1000 THEN 'HIGH' ELSE 'CRITICAL' END AS priority, row_number() OVER (PARTITION BY installation ORDER BY id) AS r FROM {requests}",
 )(lambda t: ops.queue_order(t.requests, decide.queue_priority(F.col("id") * 7 % 1300), F.concat(F.lit("repo#"), "installation"), "id"))
-query("lock_replay")(lambda t: ops.lock_replay(t.requests.where("endpoint = 'signup'"), "installation", 86_400))
+query("lock_replay")(lambda t: ops.lock_replay(t.requests, "installation", 86_400))
 query("validate_ids", "SELECT filename, regexp_full_match(filename, '[a-zA-Z0-9_-]+') AND length(filename) <= 200 AS repo_ok, regexp_full_match(filename, '[a-zA-Z0-9_.-]+') AND length(filename) <= 100 AS owner_ok, pr BETWEEN 1 AND 999999 AS pr_ok FROM {pr_files}")(
     lambda t: t.pr_files.select("filename", decide.valid_repo_id(F.col("filename")).alias("repo_ok"), decide.valid_owner(F.col("filename")).alias("owner_ok"), decide.valid_pr(F.col("pr")).alias("pr_ok"))
 )

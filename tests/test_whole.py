@@ -1,5 +1,6 @@
 """Operators and adapters do the whole job: no row, text or step is left out."""
 
+import datetime as dt
 import random
 
 from codelake.operators import review
@@ -51,3 +52,15 @@ def test_every_event_is_an_issue(spark, tmp_path):
     assert sum(r.total for r in run("file_severity_histogram")) == sum(i % 7 != 4 for i in range(1, 41))
     for name in ("issue_buckets", "event_type_b", "inline_eligible", "fallback_report"):
         assert {r.pr for r in run(name)} == {1, 2, 3, 4}, name
+
+
+def test_locks_are_replayed_for_all_endpoints(spark, tmp_path):
+    at = dt.datetime(2024, 1, 1)
+    events = [(i, i % 2, ("signup", "view", "error")[i % 3], at + dt.timedelta(hours=7 * i)) for i in range(30)]
+    spark.createDataFrame(events, "event_id long, user_id long, event_type string, ts timestamp").write.parquet(f"{tmp_path}/events.parquet")
+    want, held = {}, {}
+    for i, user, _, ts in events:
+        want[i] = user not in held or ts - held[user] >= dt.timedelta(days=1)
+        if want[i]:
+            held[user] = ts
+    assert {r.id: r.granted for r in catalog.queries()["lock_replay"](spark, str(tmp_path)).collect()} == want
