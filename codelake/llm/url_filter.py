@@ -24,8 +24,14 @@ class Rule(NamedTuple):
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-#: Share of the rank that is passed on in each step, number of steps, steps between checkpoints, and the share of distrust from which on a host is blocked.
-DAMPING, STEPS, CUT_EVERY, THRESHOLD = 0.85, 12, 4, 0.5
+#: Share of the rank that is passed on in each step, steps between checkpoints, and the share of distrust from which on a host is blocked.
+DAMPING, CUT_EVERY, THRESHOLD = 0.85, 4, 0.5
+
+#: Ranks are final when no host's changes by a larger part of it in a step, a first rank being all change.
+TOLERANCE = 1e-9
+
+#: Steps of the SQL, which can't iterate until nothing changes; its rows are the same where no host links to another.
+STEPS = 12
 
 LINKS = r"""(?i)<a\s[^>]*?href\s*=\s*["']([^"']*)["']"""
 
@@ -65,11 +71,11 @@ def link_edges(pages: DataFrame, html_col: str = "html") -> DataFrame:
     return counted.join(total, "src").select("src", "dst", (F.col("n") / F.col("all")).alias("share"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, steps: int = STEPS) -> DataFrame:
-    """(host, trust, distrust) after `steps` steps from seeds(host, allowed, blocked), for hosts that any rank reaches.
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, steps: int | None = None) -> DataFrame:
+    """(host, trust, distrust) from seeds(host, allowed, blocked), for hosts that any rank reaches: after `steps` steps, or until all are final.
 
     edges: (src, dst, share) as link_edges gives them. Reversed links share a host's distrust equally by their number of links' shares.
-    Ranks are summed as they come, so they are rounded to nine digits in the end.
+    Without `steps` there are as many as the longest way from a seed has links, at least, and some 130 where links run in circles.
     """
     back = edges.groupBy("dst").agg(F.sum("share").alias("all"))
     reversed_ = edges.join(back, "dst").select(F.col("dst").alias("host"), F.col("src").alias("to"), F.lit(1).alias("kind"), (F.col("share") / F.col("all")).alias("share"))
@@ -77,14 +83,21 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, step
     both = stage_table(both, "host-edges")
     start = seeds.select("host", F.lit(0).alias("kind"), F.col("allowed").cast("double").alias("rank")).unionByName(seeds.select("host", F.lit(1).alias("kind"), F.col("blocked").cast("double").alias("rank")))
     start = stage_table(start.where("rank > 0").withColumn("rank", F.col("rank") * (1 - damping)), "host-seeds")
-    ranks = start
+    # was: the rank of the step before.
+    ranks = start.withColumn("was", F.lit(0.0))
+    seeded = start.withColumn("was", F.col("rank"))
     if not both.isEmpty():
-        for step in range(1, steps + 1):
-            moved = ranks.join(both, ["host", "kind"]).select(F.col("to").alias("host"), "kind", (F.col("rank") * F.col("share") * damping).alias("rank"))
-            ranks = start.unionByName(moved).groupBy("host", "kind").agg(F.sum("rank").alias("rank"))
+        step = 0
+        while steps is None or step < steps:
+            step += 1
+            sent = F.col("share") * damping
+            moved = ranks.join(both, ["host", "kind"]).select(F.col("to").alias("host"), "kind", (F.col("rank") * sent).alias("rank"), (F.col("was") * sent).alias("was"))
+            ranks = seeded.unionByName(moved).groupBy("host", "kind").agg(F.sum("rank").alias("rank"), F.sum("was").alias("was"))
             if step % CUT_EVERY == 0:
                 ranks = stage_table(ranks, "host-ranks")
-    side = lambda k: F.round(F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("rank"))), F.lit(0.0)), 9)
+                if steps is None and ranks.where(F.col("rank") - F.col("was") > TOLERANCE * F.col("rank")).isEmpty():
+                    break
+    side = lambda k: F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("rank"))), F.lit(0.0))
     return ranks.groupBy("host").agg(side(0).alias("trust"), side(1).alias("distrust"))
 
 
@@ -94,7 +107,8 @@ def url_filter(pages: DataFrame, rules: Sequence[Rule], id_col: str = "page_id",
     rule names the longest rule (host and path joined; of equal ones the first by name) that fits, else null, and gives the verdict; otherwise
     the host is blocked if distrust / (trust + distrust) is above the threshold, and allowed if not or if nothing reaches it. A null url, or
     one without ://, has an empty host and path, which no rule fits. Null html has no links. Hosts and rules are met in joins on the host,
-    whose pages' side is split where one host has many.
+    whose pages' side is split where one host has many. Ranks are summed as they come, so the share of distrust is rounded to nine digits before
+    it is compared, however small both ranks are; trust and distrust are rounded to nine places when they are given out, and only then.
     """
     url = F.col(url_col).cast("string")
     narrow = pages.select(F.col(id_col).alias("id"), F.coalesce(host_of(url), F.lit("")).alias("host"), F.coalesce(path_of(url), F.lit("")).alias("path"))
@@ -106,13 +120,13 @@ def url_filter(pages: DataFrame, rules: Sequence[Rule], id_col: str = "page_id",
     edges = link_edges(pages.select(F.coalesce(host_of(url), F.lit("")).alias("host"), F.col(html_col).alias("html")), "html")
     ranks = propagate(edges, seeds)
     total = F.col("trust") + F.col("distrust")
-    bad = F.coalesce(F.col("distrust") > threshold * total, F.lit(False))
+    bad = F.coalesce(F.round(F.try_divide("distrust", total), 9) > threshold, F.lit(False))
     return ruled.join(ranks, "host", "left").select(
         F.col("id").alias(id_col),
         "host",
         "path",
         "rule",
         F.coalesce(F.col("ruling"), F.when(bad, "block").otherwise("allow")).alias("verdict"),
-        F.coalesce("trust", F.lit(0.0)).alias("trust"),
-        F.coalesce("distrust", F.lit(0.0)).alias("distrust"),
+        F.round(F.coalesce("trust", F.lit(0.0)), 9).alias("trust"),
+        F.round(F.coalesce("distrust", F.lit(0.0)), 9).alias("distrust"),
     )
