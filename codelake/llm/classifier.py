@@ -32,8 +32,12 @@ class FtrlConfig:
     scale: float = 10.0
 
 
+#: Longer words have the shapes of their consecutive pieces of so many characters, all of them.
+PIECE = 64
+
+
 class _Words(dict):
-    """word -> position in the arrays of word and shape hashes, for up to `limit` words."""
+    """word or piece -> position in the arrays of word and shape hashes, for up to `limit` of them."""
 
     _FOLD = (re.compile(r"[a-z\x80-\U0010ffff]+"), "a"), (re.compile(r"[A-Z]+"), "A"), (re.compile(r"\d+"), "0"), (re.compile(r"([^\w\s])\1+"), r"\1\1")
 
@@ -47,20 +51,24 @@ class _Words(dict):
         at = self[word] = len(self)
         raw = word.encode("utf-8", "surrogatepass")
         self.word[at] = self._hash(raw.lower())
-        shape = word[:64]
+        shape = word
         for pattern, by in self._FOLD:
             shape = pattern.sub(by, shape)
         self.shape[at] = self._hash(shape.encode("utf-8", "surrogatepass"), 1)
         return at
 
     def of(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """The hashes of a text's words, and those of their shapes, of which long words have several."""
         words = _ASCII_SPACE.split(text)
-        if len(self) + len(words) > self._limit:
+        long = max(map(len, words)) > PIECE
+        pieces = [w[i : i + PIECE] for w in words for i in range(0, len(w), PIECE)] if long else []
+        size = len(words) + len(pieces)
+        if len(self) + size > self._limit:
             self.clear()
-            if len(words) > len(self.word):
-                self.word, self.shape = np.empty(len(words), np.uint64), np.empty(len(words), np.uint64)
+            if size > len(self.word):
+                self.word, self.shape = np.empty(size, np.uint64), np.empty(size, np.uint64)
         at = np.fromiter(map(self.__getitem__, filter(None, words)), np.int64)
-        return self.word[at], self.shape[at]
+        return self.word[at], self.shape[np.fromiter(map(self.__getitem__, pieces), np.int64) if long else at]
 
 
 _ASCII_SPACE = re.compile(r"[\x20\x09-\x0D]+")

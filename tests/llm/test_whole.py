@@ -1,5 +1,8 @@
 """The training-data operators do the whole job: no step, character or row is left out."""
 
+import numpy as np
+
+from codelake.llm.classifier import PIECE, Ftrl, FtrlConfig, _Words, features
 from codelake.llm.url_filter import Rule, url_filter
 
 
@@ -16,3 +19,22 @@ def test_distrust_arrives_however_far_and_small(spark):
     assert all(got[h].verdict == "block" for h in [f"far{i}" for i in range(18)] + [f"thin{i}" for i in range(3)])
     assert got["thin2"].distrust == 0 and got["sink"].verdict == "allow"  # given out in nine places
     assert abs(got["good"].trust - 0.15 / (1 - 0.85**2)) < 1e-8 and abs(got["loop"].trust - 0.15 * 0.85 / (1 - 0.85**2)) < 1e-8
+
+
+def test_shapes_are_of_whole_words():
+    start = "x" * PIECE
+    shapes = lambda text: _Words().of(text)[1].tolist()
+    assert shapes(f"a {start} b") == shapes("a") + shapes(start) + shapes("b")
+    assert shapes(start + "12AB" * 100) == shapes(start) + shapes("12AB" * 16) * 6 + shapes("12AB" * 4)
+    assert len(_Words().of(start * 3)[0]) == 1
+    # Texts of one new word each tell good from bad behind its first characters.
+    config = FtrlConfig(bits=12)
+    texts = {k: [start + f"{i:06d}" * 40 + ("AB-" if k else "ab_") * 40 for i in range(30)] for k in (0, 1)}
+    model = Ftrl(config)
+    for i in range(20):
+        for k in (0, 1):
+            at, n = np.unique(features(_Words(), texts[k][i], 12), return_counts=True)
+            model.learn(at.astype(np.int64), n * (config.scale / n.sum()), k)
+    w = model.all_weights()
+    score = lambda t: w[features(_Words(), t, 12)].mean()
+    assert all(score(a) < score(b) for a in texts[0][20:] for b in texts[1][20:])
