@@ -159,6 +159,11 @@ def training_rows(docs: DataFrame, labels: DataFrame, keep, config: FtrlConfig,
     return rows.select(F.col("key").cast("long").alias("key"), "text", F.when(F.col("label") >= 1, 1).otherwise(0).alias("label"))
 
 
+def _score(w: np.ndarray, words: _Words, text: str, config: FtrlConfig) -> float:
+    at = features(words, text, config.bits)
+    return _sigmoid(float(w[-1] + (w[at].sum() * config.scale / len(at) if len(at) else 0.0)))
+
+
 def score(docs: DataFrame, weights: bytes, config: FtrlConfig = FtrlConfig(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:  # noqa: B008
     """(id_col, score): the probability of label 1 for each whole text; null and empty texts get that of the bias alone."""
     sent = docs.sparkSession.sparkContext.broadcast(weights)
@@ -166,12 +171,21 @@ def score(docs: DataFrame, weights: bytes, config: FtrlConfig = FtrlConfig(), id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, words = np.frombuffer(sent.value, np.float32).astype(float), _Words()
         for batch, texts in text_groups(batches):
-            out = []
-            for t in texts:
-                at = features(words, t, config.bits)
-                out.append(_sigmoid(float(w[-1] + (w[at].sum() * config.scale / len(at) if len(at) else 0.0))))
+            out = [_score(w, words, t, config) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64())], names=["id", "score"])
 
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     out = map_arrow(source, run, f"id {source.schema['id'].dataType.simpleString()}, score double")
     return out.select(F.col("id").alias(id_col), "score")
+
+
+def keep_scored(docs: DataFrame, weights: bytes, least: float, config: FtrlConfig = FtrlConfig(), text_col: str = "text") -> DataFrame:  # noqa: B008
+    """The rows of docs whose text scores at least `least` (see score), all columns as they were. Each row is judged where it is, by its text alone."""
+    sent = docs.sparkSession.sparkContext.broadcast(weights)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w, words = np.frombuffer(sent.value, np.float32).astype(float), _Words()
+        for batch, texts in text_groups(batches, text_col):
+            yield batch.filter(pa.array([_score(w, words, t, config) >= least for t in texts], pa.bool_()))
+
+    return map_arrow(docs, run, docs.schema)

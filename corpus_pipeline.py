@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codelake.llm.classifier import FtrlConfig, score, train, training_rows
+from codelake.llm.classifier import FtrlConfig, keep_scored, train, training_rows
 from codelake.llm.common import stage_table
 from codelake.llm.exact_dedup import drop_exact_copies
 from codelake.llm.packing import pack_documents
@@ -22,23 +22,35 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     config = FtrlConfig()
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     weights = train(training_rows(docs, labels, lambda i: fold(i, 4) != 2, config), config)
-    rejected = score(docs, weights, config).where(F.col("score") < GOOD).select(F.col("doc_id").alias("__id")).where("__id is not null").distinct()
-    return docs.join(rejected, docs["doc_id"] == rejected["__id"], "left_anti")
+    return keep_scored(docs, weights, GOOD, config)
+
+
+def keyed(docs: DataFrame, name: str) -> DataFrame:
+    """docs with __row, a number of its own for each row, and __key, which sorts as the id does, null last, and tells rows of one id apart.
+
+    The table is written, so that the numbers stay as they are.
+    """
+    rows = stage_table(docs.withColumn("__row", F.monotonically_increasing_id()), name)
+    return rows.withColumn("__key", F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("__row").alias("row")))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs with one row of each group of equal texts."""
-    return drop_exact_copies(docs)
+    """docs with one row of each group of equal texts, also where ids are null or repeated."""
+    return drop_exact_copies(keyed(docs, "exact-rows"), "__key").select(docs.columns)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs with one document of each group that links of 0.8 similarity on five-word shingles make: the one with the smallest id.
+    """docs with one row of each group that links of 0.8 similarity on five-word shingles make: the one with the smallest id, null last.
 
-    Documents without words link with nothing and stay, as do rows with a null id.
+    Rows without words link with nothing and stay. Rows are told apart by their number, so a null or repeated id is like any other.
     """
-    found = shingle_components(docs)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["__id"], "left_anti")
+    rows = keyed(docs, "near-rows")
+    linked = stage_table(shingle_components(rows, id_col="__row").select("__row", "component_id"), "near-components")
+    groups = linked.groupBy("component_id").count().where("count > 1").select("component_id")
+    members = linked.join(groups, "component_id").join(rows.select("__row", "__key"), "__row")
+    best = members.groupBy("component_id").agg(F.min("__key").alias("best"))
+    gone = members.join(best, "component_id").where("__key <> best").select(F.col("__row").alias("row"))
+    return rows.join(gone, rows["__row"] == gone["row"], "left_anti").select(docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,5 +1,7 @@
 """The training-data operators do the whole job: no step, character or row is left out."""
 
+from collections import Counter
+
 import numpy as np
 
 from codelake.llm.classifier import PIECE, Ftrl, FtrlConfig, _Words, features
@@ -38,3 +40,20 @@ def test_shapes_are_of_whole_words():
     w = model.all_weights()
     score = lambda t: w[features(_Words(), t, 12)].mean()
     assert all(score(a) < score(b) for a in texts[0][20:] for b in texts[1][20:])
+
+
+def test_pipeline_takes_rows_one_by_one(spark, tmp_path):
+    import corpus_pipeline as pipeline
+
+    good = [(i, " ".join(f"w{(i * 37 + j * j) % 911}" for j in range(60))) for i in range(120)]
+    bad = [(200 + i, " ".join(f"W{(i * 31 + j) % 97}!!" for j in range(40))) for i in range(60)]
+    spark.createDataFrame([(i, int(i < 200)) for i, _ in good + bad[:-1]], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    left = lambda stage, rows: Counter((r.doc_id, r.text) for r in stage(spark, frame(rows), str(tmp_path)).collect())
+    # A bad text without an id goes, a good one under a bad one's id stays.
+    assert left(pipeline.quality, [*good, *bad, (None, bad[0][1]), (259, good[0][1]), (None, good[1][1])]) == Counter([*good, (259, good[0][1]), (None, good[1][1])])
+    a, b, c = (t for _, t in good[:3])
+    assert left(pipeline.exact, [(None, a), (None, a), (None, b), (1, b), (2, c), (2, c), (2, "x")]) == Counter([(None, a), (1, b), (2, c), (2, "x")])
+    # An unrelated text under a near copy's id stays; of near copies under one id, or without any, one stays.
+    assert left(pipeline.near, [(1, a), (2, a + " tail"), (2, b), (None, a + " end"), (3, c), (3, c + " tail"), (None, "q r"), (4, "")]).keys() - {(3, c), (3, c + " tail")} == {(1, a), (2, b), (None, "q r"), (4, "")}
+    assert sum(left(pipeline.near, [(3, c), (3, c + " tail"), (3, c + " end")]).values()) == 1
