@@ -1,7 +1,8 @@
 """Exact deduplication by progressive refinement, in DataFrame operations only.
 
-Texts are equal when they are the same without the characters of [\\x20\\x09-\\x0D]. Rows are grouped by the length of what remains, those of
-lengths that occur twice by the hash of its beginning, and only those that still share a group by a digest of the whole.
+Texts are equal when they are the same without the characters of [\\x20\\x09-\\x0D]. Rows are grouped by the length of what remains and the
+hash of its beginning; only those that share such a group with another row go on to a digest of the whole. Which groups these are is told by a
+bitmap of fixed size, which every task gets; it may let a row through that is alone, never stop one that isn't, and the digests decide.
 """
 
 from __future__ import annotations
@@ -9,13 +10,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, stage_table
+from .common import join_groups, stage_table
 
 BLANKS = " \t\n\x0b\x0c\r"
 
 #: Characters whose hash makes the second level.
 PREFIX = 64
 
+#: log2 of the bitmap's bits (8 MB), and of those of one of its rows.
+BITS, ROW_BITS = 26, 15
+
 
 def normalised(text: Column) -> Column:
     """The text (null: empty) without blanks."""
@@ -35,30 +39,25 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), F.char_length(text).alias("chars"), normalised(F.col(text_col)).alias("content"))
-    size, start = F.octet_length("content"), F.xxhash64(F.substring("content", 1, PREFIX))
-
-    lengths = rows.groupBy(size.alias("size")).count().where("count > 1").select("size")
-    starts = rows.select(size.alias("size"), start.alias("start")).join(lengths, "size", "left_semi")
-    suspects = stage_table(starts.groupBy("size", "start").count().where("count > 1").select("size", "start"), "suspects")
-
-    # Few suspects go to every task, so that only their rows are read in full; many are met by a shuffle of digests, never of texts.
-    few = suspects.count() <= BROADCAST_ROWS
-    side = suspects.withColumn("suspect", F.lit(True))
-    keyed = rows.select("id", "chars", "content", size.alias("size"), start.alias("start"))
-    if few:
-        marked = keyed.join(F.broadcast(side), ["size", "start"], "left")
-        digest = F.sha2("content", 256)
-        hashed = marked.select("id", "chars", "suspect", (digest if digest_all else F.when(F.col("suspect"), digest)).alias("digest"))
-    else:
-        narrow = keyed.select("id", "chars", "size", "start", F.sha2("content", 256).alias("digest"))
-        marked = narrow.join(side, ["size", "start"], "left")
-        hashed = marked.select("id", "chars", "suspect", (F.col("digest") if digest_all else F.when(F.col("suspect"), F.col("digest"))).alias("digest"))
+    # Both levels in one aggregate, which counts before it moves: a length that occurs once has no beginning that occurs twice.
+    group = F.xxhash64(F.octet_length("content"), F.xxhash64(F.substring("content", 1, PREFIX)))
+    place = F.shiftrightunsigned(group, 64 - BITS)
+    row, bit = F.shiftright(place, ROW_BITS), place.bitwiseAND(F.lit((1 << ROW_BITS) - 1))
+    shared = rows.groupBy(group.alias("g")).count().where("count > 1").select(F.shiftrightunsigned("g", 64 - BITS).alias("place"))
+    bits = shared.groupBy(F.shiftright("place", ROW_BITS).alias("row")).agg(F.bitmap_construct_agg(F.col("place").bitwiseAND(F.lit((1 << ROW_BITS) - 1))).alias("bits"))
+    bits = stage_table(bits, "suspects")
+
+    marked = rows.withColumns({"row": row, "bit": bit}).join(F.broadcast(bits), "row", "left")
+    byte = F.conv(F.hex(F.expr("substring(bits, cast(bit div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    suspect = F.coalesce(F.expr("bits is not null") & (F.expr("1 << cast(bit % 8 as int)").bitwiseAND(byte) != 0), F.lit(False))
+    digest = F.sha2("content", 256)
+    hashed = marked.withColumn("suspect", suspect).select("id", "chars", "suspect", (digest if digest_all else F.when(F.col("suspect"), digest)).alias("digest"))
 
     best = F.min(F.struct((-F.col("chars")).alias("c"), F.col("id").isNull().alias("n"), F.col("id").alias("id")))
-    groups = hashed.where("suspect").groupBy("digest").agg(best.alias("best"), F.count("*").alias("n")).where("n > 1")
-    groups = groups.select(F.col("digest").alias("group"), F.col("best.id").alias("best_id"), "n")
-    # Large groups stand in one row here; their documents' side is split where it is skewed.
-    joined = hashed.join(groups, hashed["digest"] == groups["group"], "left")
+    groups = hashed.where("suspect").groupBy(F.col("digest").alias("group")).agg(best.alias("best"), F.count("*").alias("n")).where("n > 1")
+    groups = stage_table(groups.select("group", F.col("best.id").alias("best_id"), "n"), "copies")
+    total = groups.agg(F.sum("n")).first()[0] or 0
+    joined = join_groups(hashed, groups, F.when(F.col("suspect"), F.col("digest")), total, ["best_id", "n"])
     grouped = F.col("n").isNotNull()
     return joined.select(
         F.col("id").alias(id_col),

@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from codelake.llm import exact_dedup as module
+from codelake.llm import common
 from codelake.llm.exact_dedup import drop_exact_copies, exact_dedup
 from codelake.llm.graph import components
 from codelake.llm.shingle_join import prefix_size, shingle_components
@@ -24,9 +24,9 @@ def expected_verdicts(rows):
     return Counter(out)
 
 
-@pytest.mark.parametrize("broadcast_rows", [500_000, 0])
-def test_exact(hard, hard_rows, nothing, monkeypatch, broadcast_rows):
-    monkeypatch.setattr(module, "BROADCAST_ROWS", broadcast_rows)
+@pytest.mark.parametrize("hot", [4096, 0])  # all groups are hot, none is
+def test_exact(hard, hard_rows, nothing, monkeypatch, hot):
+    monkeypatch.setattr(common, "HOT", hot)
     got = Counter(tuple(r) for r in exact_dedup(hard, digest_all=True).collect())
     assert got == expected_verdicts([r[:2] for r in hard_rows])
     partial = exact_dedup(hard).collect()
