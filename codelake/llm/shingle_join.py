@@ -6,7 +6,8 @@ of its own; a pair must share a shingle of the prefixes under all three before t
 
 How many sets hold a shingle is found without moving a document: blocks of documents send the 48-bit ends of their shingles' hashes, packed,
 to shards by the hash's beginning, and shards answer with the shingles that occur in more sets than one. A set whose rarest shingles alone fill
-its prefix can link with nothing and goes no further. Sets that are equal are one node from then on.
+its prefix can link with nothing and goes no further. Sets that are equal are one node from then on. A shingle is told from others by its shard
+and those 48 bits: with 50 shards, of a billion different ones some 35 agree with another, and a link changes only if such a pair tips it.
 
 Links are wanted for the groups they make, so pairs within a group that is known already are not compared: a few rounds compare each list's
 documents with one of them, and a last one compares what is still apart, all of it.
@@ -22,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOW48, WordHashes, map_arrow, mix64, ngram_hashes, pack48, shard_order, ship, stage_table, text_groups, unpack48
+from .common import LOW48, WordHashes, map_arrow, mix64, ngram_hashes, pack48, shard_count, shard_order, ship, stage_table, text_groups, unpack48
 from .graph import components
 
 #: Rounds that compare with a few documents of each list before the last one, and how many documents these are.
@@ -56,16 +57,15 @@ def shingle_sets(docs: DataFrame, n: int, percent: int, id_col: str, text_col: s
     prefixes under the three orders, and weight tells how common its shingles are on average.
     """
     ship(docs.sparkSession)
-    shards = min(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 << 15)
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    shards = min(shard_count(source), 1 << 15)
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         hashes, block = WordHashes(), TaskContext.get().partitionId() << 24
-        for batch, texts in text_groups(batches):
-            if len(texts) > 60_000:
-                raise ValueError("Arrow batches of more than 60,000 rows; see spark.sql.execution.arrow.maxRecordsPerBatch")
+        for batch, texts in text_groups(batches, rows=1 << 16):  # a set's number in its block has 16 bits
             seen: dict[bytes, int] = {}
             sets, of, sizes = [], [], []
             for t in texts:
@@ -168,7 +168,6 @@ def shingle_sets(docs: DataFrame, n: int, percent: int, id_col: str, text_col: s
             nodes.append(None if i < 0 else names[i])
         return pa.table([head.column("id"), head.column("n"), pa.array(nodes, pa.binary()), *(pa.array(c, pa.list_(pa.int64())) for c in cells[:4]), pa.array(cells[4], pa.float64())], names=["id", "n", "node", "tokens", "first", "second", "third", "weight"])
 
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     schema = "key long, block long, payload binary"
     packed = map_arrow(source, split, schema)
     counted = packed.groupBy("key").applyInArrow(count, schema)
