@@ -4,8 +4,9 @@ The probability of a token after another is a mixture of maximum-likelihood esti
 vocabulary and one place for all unknown tokens - with weights of its own for each bucket of context frequency. The weights are learnt by
 expectation-maximisation on a held-out slice of the training documents, whose counts are deleted from the estimates meanwhile.
 
-Counts are exact and cover the whole corpus, but no table of them is gathered: blocks of documents send their distinct tokens and pairs, packed,
-to shards by hash; shards add up and answer in the order of the question; blocks score their own documents.
+Counts cover the whole corpus, but no table of them is gathered: blocks of documents send their distinct tokens and pairs, packed, to shards by
+hash; shards add up and answer in the order of the question; blocks score their own documents, which wait for the answers in files of the shared
+folder. Tokens and pairs are told apart by 64 bits of hash: of a billion different ones, two agree with a chance of about 3 %.
 """
 
 from __future__ import annotations
@@ -15,16 +16,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOW48, WordHashes, from_packed_planes, map_arrow, mix64, pack48, packed_planes, shard_order, ship, stage_table, text_groups, unpack48
+from .common import WordHashes, delete_dir, from_packed_planes, map_arrow, mix64, new_dir, pack_keys, packed_planes, shard_count, shard_ends, ship, stage_table, text_groups, unpack_keys
 
 #: Characters of a block of documents, buckets of context frequency (by its logarithm to base 2), steps of expectation-maximisation, and the
 #: fraction of an octave by which events are told apart in it (so the events of a corpus of any size fill a table of bounded size).
 BLOCK_CHARS, BUCKETS, EM_STEPS, OCTAVE = 6_000_000, 32, 30, 8
 
+#: Tokens whose probabilities are held at a time.
+SLICE = 500_000
+
 _END = np.uint64(0x2545F4914F6CDD1D)
 _PAIR, _WORD = np.uint64(0x1F83D9ABFB41BD6B), np.uint64(0x5BE0CD19137E2179)
 _BLOCKS = "block long, kind int, ids array<{id}>, lens array<int>, folds array<int>, word_all binary, pair_all binary, word_kept binary, pair_kept binary, totals array<long>"
@@ -44,40 +49,44 @@ def bucket_of(counts: np.ndarray) -> np.ndarray:
     return np.where(counts > 0, 1 + np.log2(np.maximum(counts, 1)).astype(np.int64), 0).clip(0, BUCKETS - 1)
 
 
-def _requests(keys: np.ndarray, total: np.ndarray, part: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray, bytes]]:
-    """(shard, positions of the keys it gets, payload)."""
-    order, ends = shard_order(keys, shards)
+def _shards(keys: np.ndarray, shards: int) -> Iterator[tuple[int, slice]]:
+    """Each shard that ascending keys ask, and the place of its keys."""
     start = 0
-    for shard, end in enumerate(ends):
+    for shard, end in enumerate(shard_ends(keys, shards)):
         if end > start:
-            at = order[start:end]
-            yield shard, at, (end - start).to_bytes(4, "little") + pack48(keys[at] & LOW48).tobytes() + packed_planes(np.concatenate([total[at], part[at]]))
+            yield shard, slice(start, end)
         start = end
 
 
-def _block(words: np.ndarray, lens: np.ndarray, folds: np.ndarray) -> tuple[tuple, tuple]:
-    """Keys of distinct tokens and pairs with their counts in training and in the slice, and each token's place among them.
-
-    words are a block's tokens, an end after each text; the first token of a text follows an end."""
+def _keys(words: np.ndarray) -> Iterator[np.ndarray]:
+    """The keys of a block's tokens, then of its pairs. words has an end after each text; the first token of a text follows an end."""
+    yield mix64(words ^ _WORD)
     before = np.empty_like(words)
     before[0], before[1:] = _END, words[:-1]  # each text but the first follows the end of another
-    fold = np.repeat(folds, lens)
-    train, held = (fold != 0).astype(np.float64), (fold == 1).astype(np.float64)
-    out = []
-    for keys in (mix64(words ^ _WORD), mix64(mix64(before ^ _PAIR) + words)):
-        distinct, place = np.unique(keys, return_inverse=True)
-        out.append((distinct, np.bincount(place, train).astype(np.int64), np.bincount(place, held).astype(np.int64), place))
-    return tuple(out)
+    yield mix64(mix64(before ^ _PAIR) + words)
+
+
+def _numbers(distinct: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """How often each of the distinct keys, ascending, occurs among keys."""
+    out = np.zeros(len(distinct), np.int64)
+    seen, number = np.unique(keys, return_counts=True)
+    out[np.searchsorted(distinct, seen)] = number
+    return out
 
 
 def counted_blocks(docs: DataFrame, fold: Column, id_col: str, text_col: str) -> DataFrame:
     """Blocks of documents with the corpus's counts of each of their tokens and pairs, and one row with the totals."""
-    ship(docs.sparkSession)
-    shards = min(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 << 15)
+    spark = docs.sparkSession
+    ship(spark)
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), fold.cast("int").alias("fold"))
+    shards, heads = shard_count(source), new_dir(spark, "lm-heads")
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, block = WordHashes(), TaskContext.get().partitionId() << 24
+        hashes, task = WordHashes(), TaskContext.get()
+        fs, folder = pafs.FileSystem.from_uri(heads)
+        fs.create_dir(folder, recursive=True)
+        block = task.partitionId() << 24
         for batch, texts in text_groups(batches, chars=BLOCK_CHARS):
             parts = []
             for t in texts:
@@ -85,33 +94,42 @@ def counted_blocks(docs: DataFrame, fold: Column, id_col: str, text_col: str) ->
             lens = np.array([len(p) + 1 for p in parts[::2]], np.int64)
             folds = np.array(batch.column(2).to_pylist(), np.int64)
             words = np.concatenate(parts)
-            asked = _block(words, lens, folds)
-            distinct, place, number = np.unique(words, return_inverse=True, return_counts=True)
-            order = np.argsort(-number, kind="stable")  # frequent words get small numbers, which compress
-            rank = np.empty_like(order)
-            rank[order] = np.arange(len(order))
+            del parts
+            distinct = np.unique(words)
+            place = np.searchsorted(distinct, words).astype(np.int32)
+            order = np.argsort(-np.bincount(place, minlength=len(distinct)), kind="stable")  # frequent words get small numbers, which compress
+            rank = np.empty(len(order), np.int32)
+            rank[order] = np.arange(len(order), dtype=np.int32)
             distinct, place = distinct[order], rank[place]
             head = pa.table({"ids": pa.array([batch.column(0).to_pylist()], pa.list_(batch.column(0).type)), "lens": [lens.astype(np.int32)], "folds": [folds.astype(np.int32)], "names": [distinct.tobytes()], "words": [packed_planes(place)]})
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, head.schema) as out:
-                out.write_table(head)
-            keys, blocks, data = [-1 - block], [block], [sink.getvalue().to_pybytes()]
-            for kind, (names, total, held, _) in enumerate(asked):
-                for shard, _, payload in _requests(names, total, held, shards):
+            # The file is whole when it has its name; a task that runs twice leaves the same one.
+            temp = f"{folder}/.{block}.{task.taskAttemptId()}.tmp"
+            with fs.open_output_stream(temp, compression=None) as out, pa.ipc.new_stream(out, head.schema) as stream:
+                stream.write_table(head)
+            fs.move(temp, f"{folder}/{block}.arrow")
+            del place, head
+            train, slice_ = np.repeat(folds != 0, lens), np.repeat(folds == 1, lens)
+            keys, blocks, data = [], [], []
+            for kind, all_keys in enumerate(_keys(words)):
+                names = np.unique(all_keys)
+                total, held = _numbers(names, all_keys[train]), _numbers(names, all_keys[slice_])
+                for shard, at in _shards(names, shards):
                     keys.append(2 * shard + kind)
                     blocks.append(block)
-                    data.append(payload)
+                    data.append(pack_keys(names[at]) + packed_planes(np.concatenate([total[at], held[at]])))
             block += 1
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(blocks, pa.int64()), pa.array(data, pa.binary())], names=["key", "block", "payload"])
 
     def add_up(table: pa.Table) -> pa.Table:
         key = table.column(0)[0].as_py()
-        if key < 0:
-            return table
-        blocks, rows = table.column(1).to_pylist(), [p.as_py() for p in table.column(2)]
-        lens = [int.from_bytes(r[:4], "little") for r in rows]
-        names = np.concatenate([unpack48(memoryview(r)[4:], c) for r, c in zip(rows, lens, strict=True)])
-        both = [from_packed_planes(r[4 + 6 * c :], 2 * c) for r, c in zip(rows, lens, strict=True)]
+        blocks, names, both = table.column(1).to_pylist(), [], []
+        for payload in table.column(2):
+            data = payload.as_py()
+            own, end = unpack_keys(data)
+            names.append(own)
+            both.append(from_packed_planes(data[end:], 2 * len(own)))
+        lens = [len(n) for n in names]
+        names = np.concatenate(names)
         total, held = (np.concatenate([b[k * c : (k + 1) * c] for b, c in zip(both, lens, strict=True)]) for k in (0, 1))
         distinct, place = np.unique(names, return_inverse=True)
         all_, slice_ = np.bincount(place, total).astype(np.int64), np.bincount(place, held).astype(np.int64)
@@ -133,24 +151,28 @@ def counted_blocks(docs: DataFrame, fold: Column, id_col: str, text_col: str) ->
             columns = {"block": [-1], "kind": [1], "ids": empty, "lens": empty, "folds": empty, "word_all": empty, "pair_all": empty, "word_kept": empty, "pair_kept": empty, "totals": [totals.tolist()]}
             return pa.table({k: pa.array(v, t) for (k, v), t in zip(columns.items(), types, strict=True)})
         rows = dict(zip(table.column(0).to_pylist(), (p.as_py() for p in table.column(2)), strict=True))
-        head = pa.ipc.open_stream(rows.pop(-1 - block)).read_all().to_pylist()[0]
+        fs, folder = pafs.FileSystem.from_uri(heads)
+        with fs.open_input_stream(f"{folder}/{block}.arrow", compression=None) as stream:
+            head = pa.ipc.open_stream(stream.read()).read_all().to_pylist()[0]
         lens, folds = np.array(head["lens"], np.int64), np.array(head["folds"], np.int64)
         names, place = np.frombuffer(head["names"], np.uint64), from_packed_planes(head["words"], int(lens.sum()))
-        found = []
-        for kind, (keys, total, held, of) in enumerate(_block(names[place], lens, folds)):
-            all_, slice_ = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
-            for shard, at, _ in _requests(keys, total, held, shards):
-                data = rows[2 * shard + kind]
-                got = from_packed_planes(data, 2 * len(at))
-                all_[at], slice_[at] = got[: len(at)], got[len(at) :]
-            found.append((all_[of], slice_[of]))
-        (word_all, word_slice), (pair_all, pair_slice) = found
         # What is left without the slice is asked for the slice's own documents only.
-        held = np.repeat(folds, lens) == 1
-        columns = {"block": [block], "kind": [0], "ids": [head["ids"]], "lens": [head["lens"]], "folds": [head["folds"]], "word_all": [packed_planes(word_all)], "pair_all": [packed_planes(pair_all)], "word_kept": [packed_planes((word_all - word_slice)[held])], "pair_kept": [packed_planes((pair_all - pair_slice)[held])], "totals": empty}
+        held, found = np.repeat(folds == 1, lens), []
+        words = names[place]
+        del names, place
+        for kind, all_keys in enumerate(_keys(words)):
+            keys = np.unique(all_keys)
+            of = np.searchsorted(keys, all_keys).astype(np.int32)
+            all_, slice_ = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+            for shard, at in _shards(keys, shards):
+                size = at.stop - at.start
+                got = from_packed_planes(rows.pop(2 * shard + kind), 2 * size)
+                all_[at], slice_[at] = got[:size], got[size:]
+            found.append((all_[of], (all_ - slice_)[of[held]]))
+        (word_all, word_kept), (pair_all, pair_kept) = found
+        columns = {"block": [block], "kind": [0], "ids": [head["ids"]], "lens": [head["lens"]], "folds": [head["folds"]], "word_all": [packed_planes(word_all)], "pair_all": [packed_planes(pair_all)], "word_kept": [packed_planes(word_kept)], "pair_kept": [packed_planes(pair_kept)], "totals": empty}
         return pa.table({k: pa.array(v, t) for (k, v), t in zip(columns.items(), types, strict=True)})
 
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), fold.cast("int").alias("fold"))
     from pyspark.sql.pandas.types import to_arrow_type
 
     arrow_id = to_arrow_type(source.schema["id"].dataType)
@@ -159,7 +181,9 @@ def counted_blocks(docs: DataFrame, fold: Column, id_col: str, text_col: str) ->
     asked = map_arrow(source, ask, schema)
     summed = asked.groupBy("key").applyInArrow(add_up, schema)
     answered = summed.groupBy("block").applyInArrow(lambda t: answer(t.select(["key", "block", "payload"])), _BLOCKS.format(id=id_type))
-    return stage_table(answered, "lm-blocks")
+    blocks = stage_table(answered, "lm-blocks")
+    delete_dir(spark, heads)
+    return blocks
 
 
 def _contexts(counts: np.ndarray, end: int) -> np.ndarray:
@@ -237,8 +261,12 @@ def lm_scores(docs: DataFrame, fold: Column, id_col: str = "doc_id", text_col: s
                 word, pair = (from_packed_planes(x.as_py(), int(lens.sum())) for x in (word, pair))
                 starts = np.cumsum(lens) - lens
                 context = _contexts(word, int(word[lens[0] - 1]))
-                score = np.add.reduceat(np.log10(interpolated(model, pair, context, word)), starts)
-                base = np.add.reduceat(np.log10((word + 0.1) / (model.tokens + 0.1 * (model.vocabulary + 1))), starts)
+                score, base = np.empty(len(word)), np.empty(len(word))
+                for at in range(0, len(word), SLICE):
+                    part = slice(at, at + SLICE)
+                    score[part] = np.log10(interpolated(model, pair[part], context[part], word[part]))
+                    base[part] = np.log10((word[part] + 0.1) / (model.tokens + 0.1 * (model.vocabulary + 1)))
+                score, base = np.add.reduceat(score, starts), np.add.reduceat(base, starts)
                 known = np.add.reduceat((word > 0).astype(np.int64), starts)
                 yield pa.RecordBatch.from_arrays([ids.values, pa.array(np.array(folds.as_py()) == 0), pa.array(lens, pa.int64()), pa.array(known), pa.array(base), pa.array(score)], names=["id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 

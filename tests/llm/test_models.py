@@ -8,10 +8,14 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from codelake.llm import common
 from codelake.llm.ann import IndexConfig, ann_search, walk
 from codelake.llm.classifier import FtrlConfig, score, train, training_rows
+from codelake.llm.common import WordHashes, from_packed_planes, pack_keys, packed_planes, shard_ends, unpack_keys
 from codelake.llm.lm_scoring import Model, bucket_of, counted_blocks, expectation, interpolated, learn, lm_scores
 from codelake.llm.queries import fold
 
@@ -53,6 +57,51 @@ def test_lm_probabilities_add_up_and_beat_the_base(spark):
         assert p.sum() == pytest.approx(1)
 
 
+def naive_weights(docs):
+    """The mixture by the book, event by event: (weights by bucket, counts of tokens, counts of pairs) of (fold, tokens) texts."""
+
+    def counts(kept):
+        return Counter(t for _, s in kept for t in s), Counter(p for _, s in kept for p in zip([None, *s], s, strict=False))
+
+    train = [d for d in docs if d[0] != 0]
+    one, two = counts([d for d in train if d[0] != 1])
+    n, v = sum(one.values()), len(one)
+    steps = lambda x: 2 ** (round(8 * math.log2(x)) / 8) if x else 0.0  # noqa: E731  the events' eighths of an octave
+    events = []
+    for fold_, s in docs:
+        for h, t in zip([None, *s], s, strict=False) if fold_ == 1 else ():
+            pair = two[h, t] / one[h] if two[h, t] else 0
+            events.append((math.floor(math.log2(one[h])) + 1 if one[h] else 0, steps(pair * (v + 1)), steps(one[t] / n * (v + 1))))
+    weights = {b: [1 / 3] * 3 for b in range(32)}
+    weights[0] = [0, 0.5, 0.5]
+    for _ in range(30):
+        total = {b: [0.5] * 3 for b in range(32)}
+        for b, x, y in events:
+            parts = [weights[b][0] * x, weights[b][1] * y, weights[b][2]]
+            for k in range(3):
+                total[b][k] += parts[k] / sum(parts)
+        total[0][0] = 0
+        weights = {b: [x / sum(total[b]) for x in total[b]] for b in total}
+    return weights, *counts(train)
+
+
+def test_lm_scores_are_those_of_the_book(spark, hard_rows):
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choices("abcdefghijklmnop", weights=range(1, 17), k=rng.randrange(1, 40)))) for i in range(150)] + [r[:2] for r in hard_rows if r[0] not in (9, 10)]
+    docs = [(zlib.crc32(str(i).encode()) % 10 if i is not None else -1, tokens(t)) for i, t in rows]
+    weights, one, two = naive_weights(docs)
+    n, v = sum(one.values()), len(one)
+    want = Counter()
+    for (i, _), (_, s) in zip(rows, docs, strict=True):
+        total = 0.0
+        for h, t in zip([None, *s], s, strict=False):
+            w = weights[math.floor(math.log2(one[h])) + 1 if one[h] else 0]
+            total += math.log10(w[0] * (two[h, t] / one[h] if one[h] else 0) + w[1] * one[t] / n + w[2] / (v + 1))
+        want[i, len(s), round(total, 6)] += 1
+    got = lm_scores(spark.createDataFrame(rows, "doc_id long, text string"), fold(F.col("doc_id"), 10)).collect()
+    assert Counter((r.doc_id, r.n_tokens, round(r.score, 6)) for r in got) == want
+
+
 def test_expectation_finds_the_mixture():
     rng = np.random.default_rng(0)
     pick = rng.choice(3, 20_000, p=[0.6, 0.3, 0.1])
@@ -143,3 +192,26 @@ def test_walk_passes_cells_in_order():
     sums = one[:, None] + two[None, :]
     assert set(cells.tolist()) == set(np.flatnonzero((sums >= end).ravel() & (held.ravel() > 0)).tolist())
     assert held.ravel()[cells].sum() >= min(20, held.sum())
+
+
+@given(st.lists(st.integers(0, 2**64 - 1), max_size=40), st.sampled_from([1, 2, 3, 12, 51, 1 << 20]))
+def test_packed_keys_and_counts(values, shards):
+    keys = np.unique(np.array(values, np.uint64))
+    start, back = 0, []
+    for shard, end in enumerate(shard_ends(keys, shards)):
+        if end > start:
+            data = pack_keys(keys[start:end])
+            own, size = unpack_keys(data + b"xyz")
+            assert size == len(data) and all(int(k) * shards >> 64 == shard for k in own)
+            back += own.tolist()
+        start = end
+    assert back == keys.tolist()
+    counts = np.array([v % 2**48 for v in values], np.int64)
+    assert from_packed_planes(packed_planes(counts), len(counts)).tolist() == counts.tolist()
+
+
+def test_words_of_long_texts_are_hashed_by_parts(monkeypatch):
+    text = "Ab c\x0bd  " * 500 + "x" * 3_000 + " tail"
+    whole = WordHashes().of(text)
+    monkeypatch.setattr(common, "PART", 1_000)
+    assert WordHashes().of(text).tolist() == whole.tolist() and len(whole) == 1502
