@@ -2,8 +2,10 @@
 
 Pieces are dealt at random over groups of bounded size, each of which is packed by itself. In a group every island holds a population of
 packings; crossover injects well-filled bins of one parent whole into the other, takes out the bins that hold the same pieces, and best-fits
-the displaced ones; mutation empties the worst bins. After each epoch an island's best packing moves to the next island. A group that reaches
-the least possible number of bins stops.
+the displaced ones, each into the fullest bin with room, or up to four at a time into new bins; mutation empties the worst bins. Children
+are improved by replacement: two bins swap a piece each where that fills one of them. After each epoch an island's best packing moves to the
+next island. A group that reaches the least possible number of bins stops. Then the groups' poorly filled bins are opened, and their pieces
+packed once more, together.
 """
 
 from __future__ import annotations
@@ -40,8 +42,10 @@ class PackConfig:
     group: int = 8_192
     islands: int = 2
     population: int = 4
-    generations: int = 8
-    epochs: int = 2
+    generations: int = 4
+    epochs: int = 4
+    #: Bins with at least this share of their room left are opened for the next round.
+    spare: float = 0.02
 
 
 def best_fit(lengths: list[int], order: list[int], free: list[int], capacity: int) -> list[int]:
@@ -77,13 +81,74 @@ def best_fit(lengths: list[int], order: list[int], free: list[int], capacity: in
     return out
 
 
+def complete(lengths: list[int], pieces: list[int], capacity: int, tries: int = 24, deep: int = 6) -> list[list[int]]:
+    """Bins for `pieces`, each begun with the largest that is left and filled by the up to three others that leave least room.
+
+    The bits of one integer tell which lengths are left; tries and deep bound the pairs and triples that are looked at for a bin."""
+    stacks: list[list[int]] = [[] for _ in range(capacity + 1)]
+    there, bins = 0, []
+    for p in reversed(pieces):
+        stacks[lengths[p]].append(p)
+        there |= 1 << lengths[p]
+
+    def most(room: int, *taken: int) -> int:
+        """The largest length up to room of which there is a piece beside the taken ones; -1 if there is none."""
+        mask = there & ((2 << room) - 1) if room > 0 else 0
+        for t in set(taken):
+            if len(stacks[t]) <= taken.count(t):
+                mask &= ~(1 << t)
+        return mask.bit_length() - 1
+
+    def fill(room: int) -> tuple[int, ...]:
+        best: tuple[int, ...] = (most(room),)
+        found, x = best[0], best[0]
+        for _ in range(tries):
+            if x <= 0 or found == room:
+                break
+            y = most(room - x, x)
+            for _ in range(deep):
+                if y <= 0 or found == room:
+                    break
+                z = max(0, most(room - x - y, x, y))
+                if x + y + z > found:
+                    found, best = x + y + z, (x, y, z) if z else (x, y)
+                y = most(y - 1, x)
+            x = most(x - 1)
+        return best
+
+    while there:
+        held, room, wanted = [], capacity, (there.bit_length() - 1,)
+        while wanted[0] > 0:
+            for n in wanted:
+                held.append(stacks[n].pop())
+                if not stacks[n]:
+                    there ^= 1 << n
+                room -= n
+            wanted = fill(room)
+        bins.append(held)
+    return bins
+
+
+def least_bins(lengths: np.ndarray, capacity: int) -> int:
+    """A number of bins that no packing of lengths (in descending order) goes below: pieces above half a bin share it with none like them, and
+    for each bound the smaller pieces down to it that don't fit beside the larger ones need bins of their own."""
+    total = np.concatenate([[0], np.cumsum(lengths)])
+    above = lambda n: np.searchsorted(-lengths, -n, side="left")  # noqa: E731  pieces longer than n
+    half = above(np.array(capacity // 2))
+    bounds = np.unique(np.append(lengths[half:], 0))
+    alone, down = above(capacity - bounds), np.searchsorted(-lengths, -bounds, side="right")
+    alone = np.minimum(alone, half)
+    room = (half - alone) * capacity - (total[half] - total[alone])
+    return int((half + np.maximum(0, -(-(total[down] - total[half] - room) // capacity))).max())
+
+
 class Packer:
     """The search in one group; lengths are in descending order, a packing is the bin number of each piece."""
 
     def __init__(self, lengths: np.ndarray, config: PackConfig, seed: int):
         self._lengths, self._config, self._random = lengths, config, np.random.default_rng(seed)
         self._list = lengths.tolist()
-        self.least = -(-int(lengths.sum()) // config.capacity)
+        self.least = least_bins(lengths, config.capacity) if len(lengths) else 0
 
     def fitness(self, packing: np.ndarray) -> tuple[int, float]:
         """Bins, then how unevenly they are filled: fuller ones leave emptier ones to be emptied."""
@@ -91,26 +156,75 @@ class Packer:
         return int((fill > 0).sum()), -float((fill * fill).sum())
 
     def start(self) -> list[np.ndarray]:
-        """Best fit of the pieces in descending order, and in orders that are shaken a little."""
+        """Best fit of the pieces in descending order; bins filled one by one; best fit in orders that are shaken a little."""
         out = []
         for k in range(self._config.population):
-            order = range(len(self._list)) if k == 0 else np.argsort(-self._lengths * self._random.uniform(1 - 0.05 * k, 1, len(self._lengths)), kind="stable").tolist()
-            packing = np.empty(len(self._list), np.int64)
-            packing[list(order)] = best_fit(self._list, list(order), [], self._config.capacity)
+            if k == 1:
+                packing = self._packing(complete(self._list, list(range(len(self._list))), self._config.capacity))
+            else:
+                order = np.argsort(-self._lengths * self._random.uniform(1 - 0.025 * k, 1, len(self._lengths)), kind="stable")
+                packing = np.empty(len(self._list), np.int64)
+                packing[order] = best_fit(self._list, order.tolist(), [], self._config.capacity)
             out.append(packing)
             if self.fitness(packing)[0] == self.least:
                 break
         return out
 
+    def _packing(self, bins: list[list[int]]) -> np.ndarray:
+        out = np.empty(len(self._list), np.int64)
+        for b, held in enumerate(bins):
+            out[held] = b
+        return out
+
     def _refill(self, packing: np.ndarray, out: np.ndarray) -> np.ndarray:
-        """Best-fits the pieces of `out` (a mask) into the bins that the others leave."""
+        """Packs the pieces of `out` (a mask) again: into the bins that the others leave, or into new ones, whichever is better."""
         names, kept = np.unique(packing[~out], return_inverse=True)
         free = (self._config.capacity - np.bincount(kept, self._lengths[~out], minlength=len(names))).astype(int).tolist()
         child = np.empty_like(packing)
         child[~out] = kept
         displaced = np.flatnonzero(out)
+        other = child.copy()
         child[displaced] = best_fit(self._list, displaced.tolist(), free, self._config.capacity)
-        return child
+        for b, held in enumerate(complete(self._list, displaced.tolist(), self._config.capacity)):
+            other[held] = len(names) + b
+        return self.replace(min(child, other, key=self.fitness))
+
+    def replace(self, packing: np.ndarray, passes: int = 4) -> np.ndarray:
+        """Swaps of a piece of one bin for one of another that fill the first and leave the second emptier than it was; so room gathers."""
+        lengths, capacity, bins = self._list, self._config.capacity, packing.tolist()
+        held: list[list[int]] = [[] for _ in range(max(bins, default=-1) + 1)]
+        for p, b in enumerate(bins):
+            held[b].append(p)
+        room = [capacity - sum(lengths[p] for p in h) for h in held]
+        for _ in range(passes):
+            loose = sorted((b for b, h in enumerate(held) if h and room[b]), key=room.__getitem__)
+            at: list[list[int]] = [[] for _ in range(capacity + 1)]
+            for b in loose:
+                for p in held[b]:
+                    at[lengths[p]].append(p)
+            swapped = False
+            for b in loose:
+                missing = room[b]
+                for p in held[b] if missing else ():
+                    stack = at[lengths[p] + missing] if lengths[p] + missing <= capacity else []
+                    while stack:
+                        q = stack.pop()
+                        c = bins[q]
+                        if c != b and room[c] >= missing:
+                            held[b].remove(p)
+                            held[c].remove(q)
+                            held[b].append(q)
+                            held[c].append(p)
+                            bins[p], bins[q] = c, b
+                            room[b], room[c] = 0, room[c] + missing
+                            at[lengths[p]].append(p)
+                            swapped = True
+                            break
+                    if not room[b]:
+                        break
+            if not swapped:
+                break
+        return np.array(bins, np.int64)
 
     def cross(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         fill = np.bincount(b, self._lengths)
@@ -138,7 +252,7 @@ class Packer:
             if self.fitness(ranked[0])[0] <= self.least or len(ranked[0]) < 2:
                 break
             i, j = self._random.integers(0, len(ranked), 2)
-            children = [self.cross(ranked[i], ranked[j]), self.cross(ranked[j], ranked[0]), self.mutate(ranked[0])]
+            children = [self.cross(ranked[i], ranked[j]), self.mutate(ranked[0])]
             ranked = sorted([*ranked, *children], key=self.fitness)[: self._config.population]
         return ranked
 
@@ -232,15 +346,35 @@ def pack(pieces: DataFrame, config: PackConfig = PackConfig()) -> DataFrame:  #
     Full pieces are sequences by themselves. Every row is packed once, equal rows too; no row is larger than the capacity. Numbers of sequences
     are unique and otherwise arbitrary. An empty table stays empty.
     """
-    ship(pieces.sparkSession)
     pieces = stage_table(pieces, "pieces")
     numbered = pieces.withColumn("number", F.monotonically_increasing_id())
-    count = pieces.where(F.col("length") < config.capacity).count()
-    groups = max(1, round(count / config.group))
-    # By a number of their own rather than by what they hold, so that copies spread over all groups.
-    loose = numbered.where(F.col("length") < config.capacity).withColumn("group", F.pmod(F.xxhash64("number"), F.lit(groups)))
-    loose = stage_table(loose, "loose-pieces")
+    full = numbered.where(F.col("length") >= config.capacity).withColumns({"sequence_id": F.col("number"), "offset": F.lit(0).cast("long")})
+    # The numbers are written, so that they stay as they are.
+    loose, turn, packed = stage_table(numbered.where(F.col("length") < config.capacity), "loose-pieces"), 0, []
+    while True:
+        groups = max(1, round(loose.count() / config.group))
+        # By a number of their own rather than by what they hold, so that copies spread over all groups.
+        dealt = loose.withColumn("group", F.pmod(F.xxhash64("number", F.lit(turn)), F.lit(groups)))
+        placed = stage_table(_pack_groups(dealt, config, turn), "packed")
+        if groups == 1:
+            packed.append(placed.drop("spare"))
+            break
+        # Poorly filled bins are packed again together, in far fewer groups, if that can save any.
+        poor = placed.where("spare").agg(F.countDistinct("sequence_id").alias("bins"), F.sum("length").alias("tokens")).first()
+        if poor.bins - -(-(poor.tokens or 0) // config.capacity) <= 0:
+            packed.append(placed.drop("spare"))
+            break
+        packed.append(placed.where("not spare").drop("spare"))
+        loose, turn = placed.where("spare").select(loose.columns), turn + 1
+    out = full
+    for part in packed:
+        out = out.unionByName(part)
+    return out.select(*pieces.columns, "sequence_id", "offset")
+
 
+def _pack_groups(loose: DataFrame, config: PackConfig, turn: int) -> DataFrame:
+    """loose(group, number, length, ids_crc32, start, ...) without group, with sequence_id, offset and whether the sequence has room to spare."""
+    ship(loose.sparkSession)
     state = "group long, island int, lengths binary, best binary, population binary, done boolean"
     names = [c.split(" ")[0] for c in state.split(", ")]
 
@@ -293,17 +427,19 @@ def pack(pieces: DataFrame, config: PackConfig = PackConfig()) -> DataFrame:  #
         ends = np.cumsum(lengths[order])
         bins = packing[order]
         starts = ends - lengths[order]
+        spare = (config.capacity - np.bincount(packing, lengths) >= config.spare * config.capacity)[packing]
         first = np.maximum.accumulate(np.where(np.append(True, bins[1:] != bins[:-1]), np.arange(len(bins)), 0))
         offset = np.empty_like(starts)
         offset[order] = starts - starts[first]
         group = pieces_.column("group")[0].as_py()
-        out = pieces_.drop_columns(["group", "number"])
-        return out.append_column("sequence_id", pa.array(-1 - (group << 24 | packing))).append_column("offset", pa.array(offset))
+        names = (-1 - (turn << 56 | group << 24 | packing), offset, spare)
+        out = pieces_.drop_columns(["group"])
+        for name, values in zip(("sequence_id", "offset", "spare"), names, strict=True):
+            out = out.append_column(name, pa.array(values))
+        return out
 
-    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields) + ", sequence_id long, offset long"
-    packed = loose.groupBy("group").cogroup(best.groupBy("group")).applyInArrow(assign, columns)
-    full = numbered.where(F.col("length") >= config.capacity).withColumns({"sequence_id": F.col("number"), "offset": F.lit(0).cast("long")}).drop("number")
-    return packed.unionByName(full)
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in loose.drop("group").schema.fields) + ", sequence_id long, offset long, spare boolean"
+    return loose.groupBy("group").cogroup(best.groupBy("group")).applyInArrow(assign, columns)
 
 
 def pack_documents(docs: DataFrame, path: str, end_id: int, config: PackConfig = PackConfig(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:  # noqa: B008

@@ -6,8 +6,10 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers as P
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
-from codelake.llm.packing import Packer, PackConfig, best_fit, pack, pack_documents
+from codelake.llm.packing import Packer, PackConfig, best_fit, complete, pack, pack_documents
 
 PATH = P.path("byte_bpe_50k.json")
 
@@ -54,21 +56,57 @@ def test_groups_and_islands(spark):
     assert check(got) <= 1.2 * sum(r[3] for r in rows) / 1024
 
 
-def test_evolution_never_loses_and_gains():
-    rng = np.random.default_rng(1)
-    # Triples that fill bins exactly; best fit in descending order misses many.
-    cuts = np.sort(rng.integers(150, 874, (120, 2)), axis=1)
-    lengths = np.sort(np.concatenate([cuts[:, 0], cuts[:, 1] - cuts[:, 0] + 1, 1024 - cuts[:, 1]]))[::-1].astype(np.int64)
-    packer = Packer(lengths, PackConfig(generations=60, population=6), 3)
+def test_rounds_merge_the_last_bins_of_groups(spark):
+    rows = [(i, 0, 0, n, i) for i, n in enumerate([700, 300, 24, 100] * 150)]
+    table = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    got = pack(table, PackConfig(group=40)).collect()
+    assert Counter((r.doc_id, r.length) for r in got) == Counter((r[0], r[3]) for r in rows)
+    assert check(got) <= -(-sum(r[3] for r in rows) // 1024) + 1  # 15 groups by themselves need some bins more
+
+
+@pytest.mark.parametrize(("low", "high"), [(200, 500), (260, 520), (100, 400)])
+def test_evolution_gains_over_best_fit(low, high):
+    lengths = np.sort(np.random.default_rng(1).integers(low, high, 1500))[::-1].astype(np.int64)
+    packer = Packer(lengths, PackConfig(), 3)
     start = packer.start()
     best = packer.evolve(start)[0]
     fill = np.bincount(best, lengths)
     assert fill.max() <= 1024 and fill.sum() == lengths.sum()
-    assert packer.fitness(best) <= min(packer.fitness(p) for p in start)
-    child = packer.cross(start[0], start[-1])
-    assert np.bincount(child, lengths).max() <= 1024 and len(child) == len(lengths)
-    mutant = packer.mutate(start[0])
-    assert np.bincount(mutant, lengths).max() <= 1024
+    assert packer.least <= packer.fitness(best)[0] < packer.fitness(start[0])[0]  # the first is best fit in descending order
+    for child in (packer.cross(start[0], start[-1]), packer.mutate(start[0]), packer.replace(start[0])):
+        assert np.bincount(child, lengths).max() <= 1024 and np.bincount(child, lengths).sum() == lengths.sum()
+    assert packer.fitness(packer.replace(start[0])) <= packer.fitness(start[0])
+
+
+def fewest(lengths, capacity):
+    """The least number of bins, by trying everything."""
+    best = len(lengths)
+
+    def put(i, bins):
+        nonlocal best
+        if len(bins) >= best:
+            return
+        if i == len(lengths):
+            best = len(bins)
+            return
+        for k in range(len(bins)):
+            if bins[k] + lengths[i] <= capacity and bins[k] not in bins[:k]:
+                put(i + 1, [*bins[:k], bins[k] + lengths[i], *bins[k + 1 :]])
+        put(i + 1, [*bins, lengths[i]])
+
+    put(0, [])
+    return best
+
+
+@settings(deadline=None, max_examples=150)
+@given(st.lists(st.integers(1, 20), min_size=1, max_size=9))
+def test_bound_and_search_of_small_packings(values):
+    lengths = np.sort(np.array(values))[::-1].astype(np.int64)
+    packer = Packer(lengths, PackConfig(capacity=20), 5)
+    best = packer.fitness(packer.evolve(packer.start())[0])[0]
+    assert packer.least <= fewest(lengths.tolist(), 20) <= best <= fewest(lengths.tolist(), 20) + 1
+    bins = complete(lengths.tolist(), list(range(len(lengths))), 20)
+    assert sorted(p for b in bins for p in b) == list(range(len(lengths))) and all(sum(values_) <= 20 for values_ in ([lengths[p] for p in b] for b in bins))
 
 
 def test_best_fit_takes_the_fullest_bin():
