@@ -29,41 +29,61 @@ class _Young(dict):
         return value
 
 
+class _Known(dict):
+    """The first tier: values that are known beforehand and stay as they are. What isn't among them is asked of the young generation."""
+
+    __slots__ = ("young",)
+
+    def __missing__(self, chunk: str):
+        return self.young[chunk]
+
+
+#: Longer chunks aren't remembered beyond a call, so that the cache's size in bytes is bounded, too.
+LONGEST = 256
+
+
 class ChunkCache:
     """encode(list of strings) -> list of values; `of` gives a text's values for its first chunk and then for each " " + chunk.
 
-    The cache has two generations of at most `limit` chunks each, beside those of the group at hand: what is used again moves to the young
-    one, the old one is dropped whole.
+    known: values for " " + chunk that are looked up first and never dropped. Behind them the cache has two generations of at most `limit`
+    chunks each, beside those of the group at hand: what is used again moves to the young one, the old one is dropped whole.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list], limit: int = 150_000):
+    def __init__(self, encode: Callable[[list[str]], list], limit: int = 150_000, known: dict | None = None):
         self._encode, self._limit = encode, limit
         self._young = _Young()
         self._young.old, self._young.missing = {}, {}
-
-    def seed(self, known: dict) -> None:
-        """Values that are known beforehand, for " " + chunk."""
-        self._young.update(known)
+        self._known = _Known(known) if known else None
 
     def of(self, texts: list[str]) -> list[list]:
+        odd = _ODD.search
+        return self.values([_CUT.split(text) if odd(text) else text.split(" ") for text in texts], first=True)
+
+    def values(self, lists: list[list[str]], first: bool = False) -> list[list]:
+        """Values for " " + chunk for each (not empty) chunk of each list; first: but for a list's first chunk, as it is, if it isn't empty."""
         # Millions of small objects live for the length of a call and none of them in a cycle; the cycle collector would walk them again and again.
         gc.disable()
         try:
-            return self._of(texts)
+            return self._values(lists, first)
         finally:
             gc.enable()
 
-    def _of(self, texts: list[str]) -> list[list]:
+    def _values(self, lists: list[list[str]], first: bool) -> list[list]:
         young, out, holes, firsts = self._young, [], [], {}
-        get, odd = young.__getitem__, _ODD.search
-        for text in texts:
-            chunks = _CUT.split(text) if odd(text) else text.split(" ")
-            first = chunks[0]
-            chunks[0] = ""
-            values = list(map(get, chunks))
-            values[0] = first
+        if self._known is None:
+            get = young.__getitem__
+        else:
+            self._known.young = young
+            get = self._known.__getitem__
+        for chunks in lists:
             if first:
-                firsts[first] = None
+                head, chunks[0] = chunks[0], ""
+                values = list(map(get, chunks))
+                values[0] = head
+                if head:
+                    firsts[head] = None
+            else:
+                values = list(map(get, chunks))
             try:
                 at = values.index(None)
                 while True:
@@ -76,12 +96,13 @@ class ChunkCache:
         if young.missing:
             missing = list(young.missing)
             young.missing.clear()
-            young.update(zip(missing, self._encode([" " + c for c in missing]), strict=True))
+            found = dict(zip(missing, self._encode([" " + c for c in missing]), strict=True))
+            young.update(found if max(map(len, missing)) <= LONGEST else {c: v for c, v in found.items() if len(c) <= LONGEST})
             for values, at, chunk in holes:
-                values[at] = young[chunk]
+                values[at] = found[chunk]
         if firsts:
             firsts = dict(zip(firsts, self._encode(list(firsts)), strict=True))
-        for values in out:
+        for values in out if first else ():
             if values[0]:
                 values[0] = firsts[values[0]]
             else:

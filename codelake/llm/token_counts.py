@@ -1,7 +1,7 @@
 """Token counts by a map-side two-tier lookup, without shuffling a pre-token.
 
-Tier one is a compact table of frequent pre-tokens and their lengths, broadcast; tier two is each worker's bounded cache, and what it misses is
-encoded by the tokenizer's library, all misses of a group of texts at once. Which pre-tokens stand in the first tier decides the speed alone:
+Tier one is a compact table of frequent pre-tokens and their lengths, broadcast and never changed; tier two is each worker's bounded cache, and
+what it misses is encoded by the tokenizer's library, all misses of a group of texts at once. Which pre-tokens stand in the first tier decides the speed alone:
 any pre-token has the same length wherever it is looked up.
 """
 
@@ -58,11 +58,13 @@ _SEGMENT = re.compile(r"(?: +[^ ]*)|[^ ]+")
 
 
 class TokenCounter:
+    """Counts of whole texts; table: the first tier, " "-joined pre-tokens without their mark, and their lengths."""
+
     def __init__(self, path: str, table: tuple[bytes, bytes] | None = None):
         self._counter = PieceCounter(path)
-        self._cache = ChunkCache(self._counter.chunks)
-        if table and table[0]:
-            self._cache.seed(zip(table[0].decode("utf-8").split(" "), np.frombuffer(table[1], "<u2").tolist(), strict=True))
+        known = dict(zip(table[0].decode("utf-8").split(" "), np.frombuffer(table[1], "<u2").tolist(), strict=True)) if table and table[0] else None
+        self._cache = ChunkCache(self._counter.chunks, known=known)
+        self._blank = self._counter.chunks([" "])[0]
 
     def of(self, texts: list[str]) -> list[int]:
         if not self._counter.additive:
@@ -77,12 +79,10 @@ class TokenCounter:
                 plain.append((i, t))
         for (i, _), lengths in zip(plain, self._cache.of([t for _, t in plain]), strict=True):
             out[i] = sum(lengths)
-        # Runs of spaces belong to the word behind them; such texts are cut by a pattern, and their segments counted at once.
-        cut = [(i, _SEGMENT.findall(" " + t)) for i, t in odd]
-        known = list(dict.fromkeys(s for _, segments in cut for s in segments))
-        length = dict(zip(known, self._counter.chunks(known), strict=True)) if known else {}
-        for i, segments in cut:
-            out[i] = sum(map(length.__getitem__, segments))
+        # Runs of spaces belong to the word behind them; such texts are cut by a pattern. A single space at the end is a pre-token by itself.
+        cut = [[s[1:] for s in _SEGMENT.findall(" " + t)] for _, t in odd]
+        for (i, _), chunks, lengths in zip(odd, cut, self._cache.values([[c for c in chunks if c] for chunks in cut]), strict=True):
+            out[i] = sum(lengths) + self._blank * (chunks[-1] == "")
         return out
 
 
