@@ -25,13 +25,12 @@ from .common import map_arrow, stage_table
 @dataclass(frozen=True)
 class IndexConfig:
     """centroids of each half; the sample of vectors (those of the smallest id hashes) that they are fitted on; the share of all entries that a
-    walk passes at least, and their least number; entries a block."""
+    walk passes at least; entries a block."""
 
     centroids: int = 128
     sample: int = 16_000
     rounds: int = 8
     share: float = 0.36
-    least: int = 2_000
     block: int = 8_192
 
 
@@ -100,7 +99,8 @@ def ann_search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str =
     spark = vectors.sparkSession
     lengths = vectors.where(F.col(vector_col).isNotNull()).groupBy(F.size(vector_col).alias("dims")).count().orderBy(F.desc("count"), "dims").first()
     dims = lengths.dims if lengths else 0
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>").alias("vector"), is_query.alias("asks"))
+    kind = "float" if vectors.schema[vector_col].dataType.elementType.simpleString() == "float" else "double"
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast(f"array<{kind}>").alias("vector"), is_query.alias("asks"))
     rows = rows.where(F.col("id").isNotNull() & usable(F.col("vector"), dims))
 
     # The k + 1 smallest ids of equal vectors are all that can be found of them; more are left out before the rows move.
@@ -124,7 +124,7 @@ def ann_search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str =
                 cell = nearest(m[:, :half], sent.value[0]) * size + nearest(m[:, half:], sent.value[1])
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32))], names=["entry", "ids", "vector", "cell"])
 
-    index = stage_table(map_arrow(entries, place, "entry long, ids array<long>, vector array<float>, cell int"), "ann-index")
+    index = stage_table(map_arrow(entries, place, f"entry long, ids array<long>, vector array<{kind}>, cell int"), "ann-index")
     held = np.zeros(size * size, np.int64)
     for row in index.groupBy("cell").count().collect():  # at most centroids squared
         held[row.cell] = row["count"]
@@ -138,7 +138,7 @@ def ann_search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str =
             parts[cell] = -(-count // config.block)
             block, filled = block + int(parts[cell]), 0
     blocks = block + 1
-    enough = max(config.least, int(np.ceil(config.share * n)))
+    enough = max(k + 1, int(np.ceil(config.share * n)))  # k neighbours beside the query's own entry
     layout = spark.sparkContext.broadcast((held.reshape(size, size), first, parts))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,7 +210,7 @@ def ann_search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str =
     of_entry = stage_table(of_entry, "ann-queries")
     wanted = index.select("entry", "vector").join(of_entry.select("entry").distinct(), "entry", "left_semi")
     asked = map_arrow(wanted, ask, "block int, queries binary")
-    asked = asked.select("block", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("entry"), F.lit(None).cast("array<float>").alias("vector"), F.lit(None).cast("int").alias("cell"), "queries")
+    asked = asked.select("block", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("entry"), F.lit(None).cast(f"array<{kind}>").alias("vector"), F.lit(None).cast("int").alias("cell"), "queries")
     met = placed.unionByName(asked).repartitionById(blocks, F.col("block")).sortWithinPartitions("block", "kind")
     found = map_arrow(met, rank, "query long, entry long, score double")
 
