@@ -2,7 +2,7 @@
 
 Records are range-sorted by id into shards of about equal payload, each shard's files are rolled by compressed size, and headers and digests are
 made anew from the payload. A file is written under a temporary name and renamed when it is whole; a manifest names the files of the archive,
-and a reader opens only those. The same rows give the same bytes in any run, so a task that runs twice leaves the same file.
+its renaming to its final place is what commits the archive, and a reader opens only the files that it names. The same rows give the same bytes in any run, so a task that runs twice leaves the same file.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -17,23 +18,23 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_arrow, new_dir, stage_table
+from .common import join_groups, map_arrow, new_dir, stage_table
 
 
 @dataclass(frozen=True)
 class WarcConfig:
     """file_bytes: compressed size from which on a file is closed. shard_bytes: payload a shard should have. revisit_bytes: payloads of fewer
-    bytes are written in full even if they repeat. date: the WARC-Date of every record. bins: ids are counted in so many equal ranges to lay
-    the shards' bounds; that is all the driver gathers."""
+    bytes are written in full even if they repeat. date: the WARC-Date of every record. shards: about so many at most; the sizes of
+    some ranges of ids for each are all that the driver gathers."""
 
     file_bytes: int = 32_000_000
     shard_bytes: int = 64_000_000
     revisit_bytes: int = 0
     date: str = "2020-01-01T00:00:00Z"
-    bins: int = 4096
+    shards: int = 8192
     level: int = 6
 
 
@@ -54,14 +55,15 @@ def _record(headers: list[tuple[str, str]], block: bytes) -> bytes:
     return b"WARC/1.1\r\n" + head.encode("utf-8", "surrogatepass") + b"\r\n" + block + b"\r\n\r\n"
 
 
-def record_id(page_id: int | None, digest: str) -> str:
-    return f"<urn:page:{'' if page_id is None else page_id}:{digest}>"
+def record_id(page_id: int | None, digest: str, repetition: int = 0) -> str:
+    """repetition: the number of records with the same id and payload before this one."""
+    return f"<urn:page:{'' if page_id is None else page_id}:{digest}{f':{repetition}' if repetition else ''}>"
 
 
-def page_record(page_id: int | None, url: str | None, payload: bytes, size: int, digest: str, refers_to: int | None, revisit: bool, config: WarcConfig) -> bytes:
+def page_record(page_id: int | None, url: str | None, payload: bytes, size: int, digest: str, refers_to: int | None, revisit: bool, config: WarcConfig, repetition: int = 0) -> bytes:
     """A response with its payload, or a revisit with the HTTP header only."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode("ascii")
-    headers = [("WARC-Type", "revisit" if revisit else "response"), ("WARC-Record-ID", record_id(page_id, digest)), ("WARC-Date", config.date)]
+    headers = [("WARC-Type", "revisit" if revisit else "response"), ("WARC-Record-ID", record_id(page_id, digest, repetition)), ("WARC-Date", config.date)]
     if url is not None:
         headers.append(("WARC-Target-URI", url))
     headers += [("Content-Type", "application/http; msgtype=response"), ("WARC-Payload-Digest", f"sha1:{digest}")]
@@ -105,6 +107,8 @@ class ShardWriter:
             self._out, self._number = None, self._number + 1
 
 
+#: The folder of the manifest's rows, below the archive's; an archive without it isn't committed.
+COMMITTED = "manifest"
 MANIFEST = "shard int, number int, name string, records long, bytes long, sha256 string"
 
 
@@ -117,34 +121,33 @@ def write_warc(pages: DataFrame, root: str, config: WarcConfig = WarcConfig(), i
 
     The payload is the html in UTF-8, null as empty. Of records with equal payloads of at least config.revisit_bytes bytes the one with the
     largest id (null: smallest of all) is the response, the others revisit it; repeated rows of that id are responses, too. A null url leaves
-    its header out. An empty table gives an empty manifest. Payloads cross the network once, by shard.
+    its header out. An empty table gives an empty manifest. Payloads cross the network once, by shard. Shards hold about equally many
+    bytes; an id that alone fills several is dealt over them by payload (so rows equal in both stay together). A committed archive isn't written again:
+    that is an error.
     """
+    spark = pages.sparkSession
+    committed = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/{COMMITTED}")
+    files = committed.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if files.exists(committed):
+        raise FileExistsError(f"{root} holds a committed archive")
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), _payload(F.col(html_col)).alias("payload"))
-    narrow = rows.select("id", F.sha1("payload").alias("sha"), F.octet_length("payload").cast("long").alias("size"))
+    narrow = stage_table(rows.select("id", F.sha1("payload").alias("sha"), F.octet_length("payload").cast("long").alias("size")), "warc-rows")
     first = F.max(F.struct(F.col("id").isNotNull().alias("known"), "id")).alias("first")
-    groups = narrow.where(F.col("size") >= config.revisit_bytes).groupBy("sha").agg(first, F.count("*").alias("n")).where("n > 1").select(F.col("sha").alias("group"), F.col("first.id").alias("first"))
-    revisits = narrow.select("id", "sha").distinct().join(groups, F.col("sha") == F.col("group")).where(~F.col("id").eqNullSafe(F.col("first"))).select("id", "sha", "first")
-
-    bounds = narrow.agg(F.min("id"), F.max("id"), F.sum("size")).first()
-    low, high, total = bounds[0] or 0, bounds[1] or 0, bounds[2] or 0
-    step = max(1, -(-(high - low + 1) // config.bins))
-    bin_of = F.coalesce(F.floor((F.col("id") - low) / step), F.lit(0)).cast("int")
-    sizes = {r.bin: r.size for r in narrow.groupBy(bin_of.alias("bin")).agg(F.sum(F.col("size") + 500).alias("size")).collect()}
-    shard_of, shard, filled = [], 0, 0
-    for b in range(config.bins):
-        if filled >= config.shard_bytes:
-            shard, filled = shard + 1, 0
-        filled += sizes.get(b, 0)
-        shard_of.append(shard)
-    by_shard = F.element_at(F.lit(shard_of), bin_of + 1).alias("shard")
+    copies = narrow.where(F.col("size") >= config.revisit_bytes).groupBy(F.col("sha").alias("group")).agg(first, F.count("*").alias("n")).where("n > 1")
+    copies = stage_table(copies.select("group", F.col("first.id").alias("first"), "n"), "warc-copies")
+    among = narrow.where(F.col("size") >= config.revisit_bytes).select("id", "sha").distinct()
+    met = join_groups(among, copies, F.col("sha"), copies.agg(F.sum("n")).first()[0] or 0, ["first", "n"])
+    revisits = met.where(F.col("n").isNotNull() & ~F.col("id").eqNullSafe(F.col("first"))).select("id", "sha", "first")
+
+    by_shard, shards = _shards(narrow, config)
 
-    pages_in = rows.select(by_shard, "id", F.sha1("payload").alias("sha"), F.lit(1).alias("kind"), "url", "payload", F.lit(None).cast("long").alias("first"))
+    pages_in = rows.withColumn("sha", F.sha1("payload")).select(by_shard, "id", "sha", F.lit(1).alias("kind"), "url", "payload", F.lit(None).cast("long").alias("first"))
     notes = revisits.select(by_shard, "id", "sha", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "first")
-    sorted_ = pages_in.unionByName(notes).repartitionById(shard + 1, F.col("shard")).sortWithinPartitions("shard", "id", "sha", "kind", "url")
+    sorted_ = pages_in.unionByName(notes).repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "id", "sha", "kind", "url")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
-        tag, writer, at, note, done = f"{task.partitionId()}-{task.taskAttemptId()}", None, None, None, []
+        tag, writer, at, note, done, last, repetition = f"{task.partitionId()}-{task.taskAttemptId()}", None, None, None, [], None, 0
         for batch in batches:
             for shard, id_, sha, kind, url, payload, first in zip(*batch.columns, strict=True):
                 key = (id_.as_py(), sha.as_py())
@@ -160,14 +163,61 @@ def write_warc(pages: DataFrame, root: str, config: WarcConfig = WarcConfig(), i
                 data = payload.as_py()
                 digest = base64.b32encode(bytes.fromhex(key[1])).decode("ascii")
                 revisit = note is not None and note[0] == key
-                writer.add(page_record(key[0], url.as_py(), data, len(data), digest, note[1] if revisit else None, revisit, config))
+                last, repetition = key, repetition + 1 if key == last else 0
+                writer.add(page_record(key[0], url.as_py(), data, len(data), digest, note[1] if revisit else None, revisit, config, repetition))
         if writer:
             writer.close()
             done += writer.done
         if done:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True), (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.string()), strict=True)], names=["shard", "number", "name", "records", "bytes", "sha256"])
 
-    return stage_table(map_arrow(sorted_, run, MANIFEST), "warc-manifest")
+    temp = f"{root}/.{COMMITTED}-{uuid.uuid4().hex}"
+    map_arrow(sorted_, run, MANIFEST).write.parquet(temp)
+    if not files.rename(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(temp), committed):
+        raise OSError(f"the manifest of {root} can't be put in its place")
+    return read_manifest(spark, root)
+
+
+def read_manifest(spark: SparkSession, root: str) -> DataFrame:
+    """The files of a committed archive."""
+    return spark.read.schema(MANIFEST).parquet(f"{root}/{COMMITTED}")
+
+
+def _shards(rows: DataFrame, config: WarcConfig) -> tuple[Column, int]:
+    """The shard of rows(id, sha, size), and how many there are. Ranges of ids are counted and the large ones cut until none is larger than a
+    shard or all are single ids; neighbouring ranges fill a shard. The same rows give the same shards."""
+    low, high, total = rows.agg(F.min("id"), F.max("id"), F.sum(F.col("size") + 500)).first()
+    low, high, most = low or 0, high or 0, max(config.shard_bytes, (total or 0) // config.shards)
+    none = max(low - 1, -(2**63))  # where null ids stand
+    key, bounds = F.coalesce("id", F.lit(none)), sorted({none, low})
+    while True:
+        range_ = _reached(key, bounds)
+        sizes = {r.range: r.size for r in rows.groupBy(range_.alias("range")).agg(F.sum(F.col("size") + 500).alias("size")).collect()}
+        ends = [*bounds[1:], high + 1]
+        large = [i for i, (a, b) in enumerate(zip(bounds, ends, strict=True)) if sizes.get(i, 0) > most and b - a > 1]
+        if not large:
+            break
+        parts = max(16, 4096 // len(large))
+        bounds = sorted({*bounds, *(bounds[i] + (ends[i] - bounds[i]) * k // parts for i in large for k in range(1, parts))})
+    first, dealt, shard, filled = [], [], 0, 0
+    for i in range(len(bounds)):
+        size = sizes.get(i, 0)
+        if filled and filled + size > most:
+            shard, filled = shard + 1, 0
+        first.append(shard)
+        dealt.append(max(1, -(-size // most)))
+        filled += size
+        if dealt[-1] > 1:
+            shard, filled = shard + dealt[-1], 0
+    part = F.pmod(F.xxhash64("sha"), F.element_at(F.lit(dealt), range_ + 1).cast("long")).cast("int")
+    return (F.element_at(F.lit(first), range_ + 1) + part).alias("shard"), shard + 1
+
+
+def _reached(key: Column, bounds: list[int]) -> Column:
+    """The last of the ascending bounds that isn't above the key, found by halving; the first one never is."""
+    steps = F.lit([1 << i for i in reversed(range(len(bounds).bit_length()))])
+    fits = lambda n: (n < len(bounds)) & (F.try_element_at(F.lit(bounds), n + 1) <= key)
+    return F.aggregate(steps, F.lit(0), lambda n, step: n + F.when(fits(n + step), step).otherwise(0))
 
 
 def read_members(stream, chunk: int = 1 << 20) -> Iterator[bytes]:
@@ -212,7 +262,7 @@ def read_warc(manifest: DataFrame, root: str) -> DataFrame:
                             continue
                         http, _, payload = block.partition(b"\r\n\r\n")
                         full = int(re.search(rb"\r\nContent-Length: (\d+)", http)[1])
-                        _, _, page, digest = headers["WARC-Record-ID"].strip("<>").split(":")
+                        page, digest = headers["WARC-Record-ID"].strip("<>").split(":")[2:4]
                         kind = headers["WARC-Type"]
                         if kind == "response" and (len(payload) != full or base32_sha1(payload) != digest):
                             raise ValueError(f"wrong payload of {headers['WARC-Record-ID']}")

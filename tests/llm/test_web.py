@@ -1,14 +1,16 @@
 """URL filters and WARC archives."""
 
 import base64
+import gzip
 import hashlib
+import re
 from collections import Counter
 
 import pytest
 
 from codelake.llm.queries import RULES
 from codelake.llm.url_filter import Rule, propagate, url_filter
-from codelake.llm.warc import WarcConfig, parse_record, read_warc, write_warc
+from codelake.llm.warc import WarcConfig, parse_record, read_manifest, read_warc, write_warc
 
 SCHEMA = "page_id long, url string, html string, host string, id int, rule string, kind int, shard int"
 
@@ -80,7 +82,7 @@ def expected_records(rows, least=0):
 ROWS = [(5, "http://a/1", "<p>same</p>"), (9, "http://b/2", "<p>same</p>"), (2, None, "<p>same</p>"), (3, "http://c/\r\nX: y", ""), (4, "http://d", None), (None, "http://e", "null id é"), (7, "http://f", "x" * 300_000), (8, "http://g", "WARC/1.1\r\n\r\n"), (9, "http://b/2", "<p>same</p>"), (-3, "http://n", "<p>other</p>")]
 
 
-@pytest.mark.parametrize("config", [WarcConfig(), WarcConfig(file_bytes=400, shard_bytes=2_000, bins=7), WarcConfig(revisit_bytes=5)])
+@pytest.mark.parametrize("config", [WarcConfig(), WarcConfig(file_bytes=400, shard_bytes=2_000), WarcConfig(revisit_bytes=5)])
 def test_archive_round_trip(spark, tmp_path, config):
     root = f"file://{tmp_path}/a"
     manifest = write_warc(pages(spark, ROWS), root, config)
@@ -90,7 +92,25 @@ def test_archive_round_trip(spark, tmp_path, config):
         if r.record_type == "response":
             assert any((h or "").encode() == bytes(r.payload) and i == r.page_id for i, _, h in ROWS)
     files = {f.name for f in (tmp_path / "a").iterdir()}
-    assert {f for f in files if not f.endswith(".crc")} == {r.name for r in manifest.collect()}
+    assert {f for f in files if not f.endswith(".crc")} == {r.name for r in manifest.collect()} | {"manifest"}
+    assert sorted(read_manifest(spark, root).collect()) == sorted(manifest.collect())
+    with pytest.raises(FileExistsError):
+        write_warc(pages(spark, ROWS), root, config)
+
+
+def test_shards_of_outlying_and_crowded_ids(spark, tmp_path):
+    rows = [(i, f"http://h/{i}", f"page {i}") for i in range(300)] + [(2**62, "http://far", "far"), (-(2**63), "http://low", "low"), (None, "http://n", "x")]
+    rows += [(150, f"http://same/{i}", f"payload {i}") for i in range(300)] + [(7, "http://h/7", "page 7")] * 3
+    root = f"file://{tmp_path}/a"
+    manifest = write_warc(pages(spark, rows), root, WarcConfig(shard_bytes=20_000)).collect()
+    assert len({r.shard for r in manifest}) >= 12 and max(r.records for r in manifest) < 120
+    got = read_warc(read_manifest(spark, root), root).collect()
+    assert Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got) == expected_records(rows)
+    ids = []
+    for r in manifest:
+        with gzip.open(tmp_path / "a" / r.name) as f:
+            ids += re.findall(rb"WARC-Record-ID: (\S+)", f.read())
+    assert len(ids) == len(set(ids))
 
 
 def test_archives_are_the_same_in_every_run(spark, tmp_path):
