@@ -83,6 +83,8 @@ class MergeTable:
         """whole: a pre-token that is itself a token is that token, without merging."""
         self.tokens, self.whole = tokens, whole
         self.byte_ids = np.array([tokens.get(bytes([b]), -1) for b in range(256)], np.int64)
+        if (self.byte_ids < 0).any():
+            raise ValueError("a byte-level vocabulary has a token for each of the 256 bytes")
         left, right = np.array(list(merges), np.int64).reshape(-1, 2).T
         key = left << 32 | right
         order = np.argsort(key)
@@ -107,6 +109,8 @@ class MergeTable:
 
     def pairs(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ranks (NO_RANK: never) and made ids of pairs."""
+        if not len(self._key):
+            return np.full(len(left), NO_RANK), np.zeros(len(left), np.int64)
         key = left << 32 | right
         at = np.searchsorted(self._key, key)
         at[at == len(self._key)] = 0
