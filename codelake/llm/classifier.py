@@ -151,12 +151,15 @@ def train(examples: DataFrame, config: FtrlConfig = FtrlConfig()) -> bytes:  # n
 def training_rows(docs: DataFrame, labels: DataFrame, keep, config: FtrlConfig, label: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(key, text, label) of the labelled documents for which keep(id column) holds: at most config.train_rows of them, by the hash of their id.
 
-    Rows with a null id or label are passed over. The chosen ids are bounded by config.train_rows and so are broadcast.
+    Rows with a null id or label are passed over; of repeated ids the least label and the least text count. The chosen ids are bounded by
+    config.train_rows and so are broadcast. key is the id if it is a number, else its hash.
     """
     usable = labels.where(F.col(id_col).isNotNull() & F.col(label).isNotNull() & keep(F.col(id_col)))
     chosen = usable.groupBy(F.col(id_col).alias("key")).agg(F.min(label).cast("int").alias("label")).orderBy(F.xxhash64("key"), "key").limit(config.train_rows)
     rows = docs.select(F.col(id_col).alias("key"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), "key")
-    return rows.select(F.col("key").cast("long").alias("key"), "text", F.when(F.col("label") >= 1, 1).otherwise(0).alias("label"))
+    once = rows.groupBy("key").agg(F.min("text").alias("text"), F.min("label").alias("label"))
+    number = F.coalesce(F.col("key").try_cast("long"), F.xxhash64("key"))
+    return once.select(number.alias("key"), "text", F.when(F.col("label") >= 1, 1).otherwise(0).alias("label"))
 
 
 def _score(w: np.ndarray, words: _Words, text: str, config: FtrlConfig) -> float:

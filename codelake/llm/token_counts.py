@@ -1,8 +1,8 @@
 """Token counts by a map-side two-tier lookup, without shuffling a pre-token.
 
 Tier one is a compact table of frequent pre-tokens and their lengths, broadcast and never changed; tier two is each worker's bounded cache, and
-what it misses is encoded by the tokenizer's library, all misses of a group of texts at once. Which pre-tokens stand in the first tier decides the speed alone:
-any pre-token has the same length wherever it is looked up.
+what it misses is encoded by the tokenizer's library, all misses of a group of texts at once. Which pre-tokens stand in the first tier decides the
+speed alone: any pre-token has the same length wherever it is looked up.
 """
 
 from __future__ import annotations

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from codelake.llm import common
 from codelake.llm.ann import IndexConfig, ann_search, walk
-from codelake.llm.classifier import FtrlConfig, score, train, training_rows
+from codelake.llm.classifier import FtrlConfig, _Words, features, score, train, training_rows
 from codelake.llm.common import WordHashes, from_packed_planes, pack_keys, packed_planes, shard_ends, unpack_keys
 from codelake.llm.lm_scoring import Model, bucket_of, counted_blocks, expectation, interpolated, learn, lm_scores
 from codelake.llm.queries import fold
@@ -127,11 +127,40 @@ def test_classifier_learns(spark):
     assert np.mean([(r.score >= 0.7) == (r.doc_id % 3 > 0) for r in held]) > 0.97
 
 
+def test_updates_and_scores_are_those_of_the_book(spark):
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choices(["good", "Fine", "words", "$$$", "b4d!!"], k=rng.randrange(0, 12))), i % 2) for i in range(60)]
+    config = FtrlConfig(bits=10)
+    z, n = Counter(), Counter()
+
+    def weight(k):
+        if abs(z[k]) <= config.l1:
+            return 0.0
+        return -(z[k] - math.copysign(config.l1, z[k])) / ((config.beta + math.sqrt(n[k])) / config.alpha + config.l2)
+
+    def shares(text):
+        count = Counter(features(_Words(), text, config.bits).tolist())
+        return {k: c * config.scale / sum(count.values()) for k, c in count.items()} | {"bias": 1.0}
+
+    for _ in range(config.epochs):
+        for _, text, label in rows:
+            x = {k: float(np.float32(v)) for k, v in shares(text).items()}
+            p = 1 / (1 + math.exp(-sum(weight(k) * v for k, v in x.items())))
+            for k, v in x.items():
+                g, w = (p - label) * v, weight(k)
+                z[k] += g - (math.sqrt(n[k] + g * g) - math.sqrt(n[k])) / config.alpha * w
+                n[k] += g * g
+    want = {i: 1 / (1 + math.exp(-sum(weight(k) * v for k, v in shares(t).items()))) for i, t, _ in rows}
+    weights = train(spark.createDataFrame(rows, "key long, text string, label int"), config)
+    got = score(spark.createDataFrame(rows, "doc_id long, text string, label int"), weights, config).collect()
+    assert {r.doc_id: r.score for r in got} == pytest.approx(want, abs=1e-4)
+
+
 def test_classifier_of_hard_documents(spark, hard, hard_rows, nothing):
     labels = spark.createDataFrame([(1, 1), (5, 0), (9, None), (None, 1), (13, 1), (77, 0)], "doc_id long, quality int")
     config = FtrlConfig()
     rows = training_rows(hard, labels, lambda i: F.lit(True), config)
-    assert sorted(r.key for r in rows.collect()) == [1, 5, 13, 13]
+    assert sorted(r.key for r in rows.collect()) == [1, 5, 13]
     got = score(hard, train(rows, config), config).collect()
     assert Counter(r.doc_id for r in got) == Counter(r[0] for r in hard_rows) and all(0 <= r.score <= 1 for r in got)
     untaught = train(training_rows(nothing, labels, lambda i: F.lit(True), config), config)
