@@ -2,13 +2,15 @@
 
 The pre-tokens of a group of texts lie end to end in one linked list of positions. Each adjacent pair that may merge stands in the bucket of its
 merge rank; a bitmap of 64-bit words in levels tells the lowest rank with a bucket by a find-first-set per level. Taking a bucket merges all its
-positions that are still current (stale ones are skipped) and puts the new pairs into their buckets. Work is O(merges * log), so one pre-token
-of a megabyte costs no more a byte than a short one.
+positions that are still current (stale ones are skipped) and puts the new pairs into their buckets. Where a merged token may have to merge
+again before the next place of the same rank, a long pre-token's places wait in a heap. So work is O(merges * log), and a pre-token of a megabyte
+isn't quadratic.
 """
 
 from __future__ import annotations
 
 import base64
+import heapq
 import json
 from collections.abc import Iterator
 from functools import lru_cache
@@ -23,6 +25,10 @@ from .common import map_arrow, text_groups
 
 NO_RANK = np.int64(2**31 - 1)
 
+#: Where one place a pre-token is merged at a time, pre-tokens with more places than this have theirs in a heap.
+CROWDED = 32
+_NONE = np.empty(0, np.int64)
+
 
 class RankQueue:
     """Buckets of positions by rank below `size`; pop() gives the lowest rank that has a bucket."""
@@ -154,10 +160,37 @@ class MergeTable:
                     return
             queue.push(int(r[0]), at)
 
+        heaps: dict[int, list[int]] = {}
+
+        def merge_first(r: int) -> None:
+            """Merges the first place of a rank's heap that is current."""
+            heap = heaps[r]
+            while heap:
+                p = heapq.heappop(heap)
+                if rank[p] == r and alive[p]:
+                    gone = after[p]
+                    ids[p], alive[gone], rank[gone], rank[p] = made[p], False, NO_RANK, NO_RANK
+                    nxt = after[p] = after[gone]
+                    if nxt >= 0:
+                        before[nxt] = p
+                    new = [int(x) for x in (before[p], p) if x >= 0 and after[x] >= 0]
+                    if new:
+                        put(np.array(new))
+                    break
+            if heap:
+                queue.push(r, _NONE)
+            else:
+                del heaps[r]
+
         put(np.flatnonzero(after >= 0))
         while (got := queue.pop()) is not None:
             r, at = got
             at = at[(rank[at] == r) & alive[at]]  # what is stale is skipped
+            if r in heaps:
+                for p in at.tolist():
+                    heapq.heappush(heaps[r], p)
+                merge_first(r)
+                continue
             if not len(at):
                 continue
             if len(at) > 1:
@@ -174,9 +207,19 @@ class MergeTable:
                     keep = np.empty(len(at), bool)
                     keep[0] = True
                     keep[1:] = piece_of[at[1:]] != piece_of[at[:-1]]
+                    number = np.diff(np.append(np.flatnonzero(keep), len(at)))
+                    if number.max() > CROWDED:
+                        crowded = np.repeat(number > CROWDED, number)
+                        heaps[r] = at[crowded].tolist()
+                        at, keep = at[~crowded], keep[~crowded]
                     if not keep.all():
                         queue.push(r, at[~keep])
                     at = at[keep]
+                    if r in heaps and not len(at):
+                        merge_first(r)
+                        continue
+                    if r in heaps:
+                        queue.push(r, _NONE)
             gone = after[at]
             ids[at] = made[at]
             alive[gone] = False
