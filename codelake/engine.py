@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,9 +48,11 @@ class Engine:
 
     def delete(self, repo_id: str) -> None:
         """Drops a repository's partitions from all tables."""
+        if not re.fullmatch(r"[a-zA-Z0-9_-]{1,200}", repo_id):
+            raise ValueError("a repository's id is made of letters, digits, _ and -")
         jvm = self.spark.sparkContext._jvm
         for name in ("entities", "calls", "chunks"):
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}/repo_id={repo_id}")
+            path = jvm.org.apache.hadoop.fs.Path(decide.safe_join(self.root, name, f"repo_id={repo_id}"))
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
     def query(self, repo_id: str, text: str, k: int = 5) -> DataFrame:

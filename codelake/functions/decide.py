@@ -65,13 +65,20 @@ def event_by_summary(critical: Column, high: Column, issues: Column) -> Column:
     return F.when((critical > 0) | (high >= 3), "REQUEST_CHANGES").when(issues == 0, "APPROVE").otherwise("COMMENT")
 
 
-def endpoint_class(endpoint: Column) -> Column:
-    has = lambda *parts: F.coalesce(F.lower(endpoint).rlike("|".join(parts)), F.lit(False))
-    return F.when(has("ingest", "process"), "ingestion").when(has("search", "context"), "search").when(has("review", "generate"), "review").when(has("webhook"), "webhook").otherwise("default")
+# What a path holds, and the class of its endpoint; the first that fits counts.
+ENDPOINTS = (("/ingest", "ingestion"), ("/process", "ingestion"), ("/search", "search"), ("/context", "search"), ("/review", "review"), ("/generate", "review"), ("/webhook", "webhook"))
+
+
+def endpoint_class(path: Column) -> Column:
+    out = F.lit("default")
+    for part, kind in reversed(ENDPOINTS):
+        out = F.when(F.contains(path, F.lit(part)), kind).otherwise(out)
+    return out
 
 
 def recommendations(security_critical: Column, security_high: Column, complex_files: Column, complex_names: Column, coupled: Column, callers: Column, quality: Column) -> Column:
     """The advice that applies, in fixed order, as an array; one default line if none does."""
+    # The texts.
     lines = F.array_compact(
         F.array(
             F.when(security_critical > 0, F.concat(F.lit("🚨 CRITICAL: "), security_critical, F.lit(" critical security vulnerabilities detected. Address these immediately before merging."))),
@@ -109,15 +116,57 @@ def valid_pr(value: Column) -> Column:
 
 
 def error_class(message: Column) -> Column:
-    has = lambda *parts: F.coalesce(F.lower(message).rlike("|".join(parts)), F.lit(False))
-    return F.when(has("timeout", "timed out"), "timeout").when(has("permission", "forbidden", "denied"), "permission").when(has("not found"), "not_found").when(has("invalid", "validation"), "validation").otherwise("internal")
+    """The codes that an error's message may show, nothing else of it."""
+    low = F.lower(message)
+    has = lambda text: F.coalesce(F.contains(low, F.lit(text)), F.lit(False))
+    return F.when(has("permission") | has("access"), "ACCESS_DENIED").when(has("not found"), "NOT_FOUND").otherwise("INTERNAL_ERROR")
+
+
+def compress_snippet(code: Column, most: int = 20) -> Column:
+    """`most` lines of a longer text, from its beginning and its end, with the number of the others between."""
+    lines, head = F.split(code, "\n"), most // 2
+    marker = F.concat(F.lit("... ("), F.size(lines) - most, F.lit(" lines omitted) ..."))
+    short = F.array_join(F.concat(F.slice(lines, 1, head), F.array(marker), F.slice(lines, head - most, most - head)), "\n")
+    return F.when(F.size(lines) > most, short).otherwise(code)
+
+
+def valid_installation(value: Column) -> Column:
+    return F.coalesce(value.rlike(r"\A[0-9]{1,20}\z"), F.lit(False))
+
+
+def route_decision(error_steps: Column, strategy: Column) -> Column:
+    """Where a review goes: to the error handler if analysis or routing failed, else by its strategy."""
+    failed = F.arrays_overlap(F.coalesce(error_steps, F.array().cast("array<string>")), F.array(F.lit("analyze"), F.lit("route")))
+    return F.when(failed, "error").otherwise(F.coalesce(strategy, F.lit("standard")))
+
+
+def merge_source(overlaid: Column, base: Column) -> Column:
+    """Where a merged context is from, by whether the overlay and the base have anything."""
+    return F.when(overlaid & base, "merged").when(overlaid, "temporary").otherwise("permanent")
+
+
+# The language of a fenced block by the file's extension.
+FENCES = {
+    ".py": "python", ".js": "javascript", ".ts": "typescript", ".tsx": "tsx", ".jsx": "jsx", ".java": "java", ".go": "go", ".rs": "rust", ".cpp": "cpp", ".c": "c",
+    ".rb": "ruby", ".php": "php", ".cs": "csharp",
+}
+
+
+def fence_language(filename: Column) -> Column:
+    table = F.create_map(*(F.lit(x) for pair in FENCES.items() for x in pair))
+    return F.coalesce(F.try_element_at(table, F.lower(F.regexp_extract(filename, r"[^./](\.[^./]*)$", 1))), F.lit(""))
 
 
-def compress_snippet(code: Column, keep: int = 20, marker: str = "... (omitted) ...") -> Column:
-    """The first and last `keep` lines of a longer text, with a marker between."""
-    lines = F.split(code, "\n")
-    short = F.concat_ws("\n", F.slice(lines, 1, keep), F.array(F.lit(marker)), F.slice(lines, -keep, keep))
-    return F.when(F.size(lines) > 2 * keep, short).otherwise(code)
+def safe_join(base: str, *parts: str) -> str:
+    """The path of parts below base; an error if they lead out of it. For local paths and URIs alike, as only the names count."""
+    depth = 0
+    for name in "/".join(parts).split("/"):
+        depth += {"": 0, ".": 0, "..": -1}.get(name, 1)
+        if depth < 0:
+            break
+    if depth < 0 or any(p.startswith("/") or "\0" in p for p in parts):
+        raise ValueError(f"a path that leads out of {base}")
+    return "/".join([base.rstrip("/"), *parts])
 
 
 def truncated_lines(code: Column, keep: int = 20) -> Column:

@@ -18,15 +18,16 @@ def link_dependencies(entities: DataFrame) -> DataFrame:
     """(repo_id, src_uid, dst_uid): functions whose code contains the name of an entity of another file in the repository.
 
     A name of more than three characters begins with four, so code and names first meet in an equi-join on those four characters of a
-    repository; only code that has them is searched for the name. Nothing is compared with everything.
+    repository; only code that has them is searched for the name. Nothing is compared with everything. Grams that begin no name are dropped by
+    a bitmap of fixed size before anything is shuffled.
     """
     size = MIN_NAME + 1
     names = entities.where(F.col("type").isin(*TARGET_TYPES) & (F.char_length("name") > MIN_NAME)).select("repo_id", F.col("name"), F.substring("name", 1, size).alias("gram"))
     names = names.distinct()
     code = entities.where((F.col("type") == "Function") & F.col("raw_code").isNotNull()).select("repo_id", F.col("uid").alias("src_uid"), F.col("file").alias("src_file"), "raw_code")
-    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.char_length("raw_code") - (size - 1)))
-    grams = code.select("repo_id", "src_uid", F.explode(F.array_distinct(F.transform(starts, lambda i: F.substring("raw_code", i, size)))).alias("gram"))
-    near = grams.join(names, ["repo_id", "gram"]).select("repo_id", "src_uid", "name")
+    # A look-ahead passes over the code once; a substring at each place would count from the beginning every time.
+    grams = code.select("repo_id", "src_uid", F.explode(F.array_distinct(F.regexp_extract_all("raw_code", F.lit(rf"(?s)(?=(.{{{size}}}))"), F.lit(1)))).alias("gram"))
+    near = _among(grams, names).join(names, ["repo_id", "gram"]).select("repo_id", "src_uid", "name")
     by_code = near.groupBy("repo_id", "src_uid").agg(F.collect_list("name").alias("names"))
     hit = code.join(by_code, ["repo_id", "src_uid"]).select("repo_id", "src_uid", "src_file", F.explode(F.filter("names", lambda n: F.contains(F.col("raw_code"), n))).alias("name"))
     targets = entities.where(F.col("type").isin(*TARGET_TYPES)).select("repo_id", "name", F.col("uid").alias("dst_uid"), F.col("file").alias("dst_file"))
@@ -34,15 +35,28 @@ def link_dependencies(entities: DataFrame) -> DataFrame:
     return pairs.select("repo_id", "src_uid", "dst_uid").distinct()
 
 
+def _among(grams: DataFrame, names: DataFrame, bits: int = 22) -> DataFrame:
+    """grams(repo_id, gram, ...) that stand in names, and a few others: all whose hash falls on one of the bitmap's places that theirs take."""
+    place = F.shiftrightunsigned(F.xxhash64("repo_id", "gram"), 64 - bits)
+    row, bit = F.shiftright(place, 15), place.bitwiseAND(F.lit((1 << 15) - 1))
+    taken = names.select("repo_id", "gram").select(row.alias("row"), bit.alias("bit")).groupBy("row").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    met = grams.withColumns({"row": row, "bit": bit}).join(F.broadcast(taken), "row")
+    byte = F.conv(F.hex(F.expr("substring(bits, cast(bit div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    return met.where(F.expr("1 << cast(bit % 8 as int)").bitwiseAND(byte) != 0).select(*grams.columns)
+
+
 def _ends(calls: DataFrame, entities: DataFrame) -> DataFrame:
     """Calls with name, file, type and line of both ends; the code stays behind."""
     at = lambda p: entities.select("repo_id", F.col("uid").alias(f"{p}_uid"), *(F.col(c).alias(f"{p}_{c}") for c in ("name", "file", "type", "start_line")))
     return calls.join(at("src"), ["repo_id", "src_uid"]).join(at("dst"), ["repo_id", "dst_uid"])
 
 
-def callees_near_line(entities: DataFrame, calls: DataFrame, line: int, per_source: int = 5) -> DataFrame:
-    """What the entities that start within a line of `line` call, at most `per_source` for each."""
-    own = entities.where(F.abs(F.col("start_line") - line) <= 1).select("repo_id", F.col("uid").alias("src_uid"), F.col("file").alias("src_file"))
+def callees_near_line(entities: DataFrame, calls: DataFrame, line: int, per_source: int = 5, repo_id: str | None = None, file: str | None = None) -> DataFrame:
+    """What the entities that start within a line of `line` call, at most `per_source` for each; of all files, or of one repository or file."""
+    own = entities.where(F.abs(F.col("start_line") - line) <= 1)
+    own = own if repo_id is None else own.where(F.col("repo_id") == repo_id)
+    own = own if file is None else own.where(F.col("file") == file)
+    own = own.select("repo_id", F.col("uid").alias("src_uid"), F.col("file").alias("src_file"))
     found = own.join(calls, ["repo_id", "src_uid"]).join(entities.select(F.col("uid").alias("dst_uid"), "name", "type", "file"), "dst_uid")
     rank = F.row_number().over(Window.partitionBy("src_uid").orderBy("dst_uid"))
     return found.withColumn("rank", rank).where(F.col("rank") <= per_source).select("src_uid", "dst_uid", "name", "type", "file")

@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import decide
 from ..functions.decide import SEVERITIES, severity_rank
 
 
@@ -19,6 +20,14 @@ def severity_histogram(issues: DataFrame, *key: str) -> DataFrame:
     return issues.groupBy(*key).agg(*(c.alias(s) for s, c in n.items()), F.count_if(F.col("severity") != "info").alias("total"))
 
 
+def review_totals(prs: DataFrame, issues: DataFrame) -> DataFrame:
+    """(pr, files_changed, issues_found, critical, high, medium): a review's counts; issues_found is the sum of the three."""
+    worst = decide.SEVERITIES[:3]
+    counts = issues.groupBy("pr").agg(*(F.count_if(F.col("severity") == s).alias(f"__{s}") for s in worst))
+    n = {s: F.coalesce(f"__{s}", F.lit(0)) for s in worst}
+    return prs.select("pr", F.col("files").alias("files_changed")).join(counts, "pr", "left").select("pr", "files_changed", (n["critical"] + n["high"] + n["medium"]).alias("issues_found"), *(c.alias(s) for s, c in n.items()))
+
+
 def issue_buckets(issues: DataFrame, key: str, per_bucket: int = 3) -> DataFrame:
     """The first issues of the three worst severities of each key."""
     rank = F.row_number().over(Window.partitionBy(key, "severity").orderBy("idx"))
@@ -43,12 +52,12 @@ def visible_issues(issues: DataFrame, key: str, shown: int = 10) -> DataFrame:
     return issues.select(key, "idx", "severity").withColumn("place", place).withColumn("visible", F.col("place") <= shown)
 
 
-def event_by_sections(issues: DataFrame, key: str, critical: int = 1, high: int = 3) -> DataFrame:
-    """(key, event): counts over the report's sections; an issue whose description speaks of security stands in two of them and counts twice."""
+def event_by_sections(issues: DataFrame, key: str, critical: int = 1, approve: int = 0) -> DataFrame:
+    """(key, event): counts over the report's sections; an issue whose description speaks of security stands in two of them and counts twice.
+    At least `critical` critical ones ask for changes, at most `approve` issues in all are approved."""
     twice = F.when(F.lower("description").contains("security"), 2).otherwise(1)
-    n = lambda s: F.sum(F.when(F.col("severity") == s, twice).otherwise(0))
-    got = issues.groupBy(key).agg(n("critical").alias("c"), n("high").alias("h"), F.sum(twice).alias("all"))
-    return got.select(key, F.when((F.col("c") >= critical) | (F.col("h") >= high), "REQUEST_CHANGES").when(F.col("all") == 0, "APPROVE").otherwise("COMMENT").alias("event"))
+    got = issues.groupBy(key).agg(F.sum(F.when(F.col("severity") == "critical", twice).otherwise(0)).alias("c"), F.sum(twice).alias("all"))
+    return got.select(key, F.when(F.col("c") >= critical, "REQUEST_CHANGES").when(F.col("all") <= approve, "APPROVE").otherwise("COMMENT").alias("event"))
 
 
 def overlay_merge(base: DataFrame, overlay: DataFrame, group: str, key: str) -> DataFrame:
@@ -250,23 +259,36 @@ def text_checks():
         import re
 
         # Phrases that say nothing by themselves, and figures that a review can't know.
-        phrases = ("consider adding", "should be improved", "could be optimized", "needs refactoring", "follow best practices")
-        figures = re.compile(r"\b\d+(?:\.\d+)?% (?:faster|slower|improvement|reduction|coverage)", re.I)
+        phrases = [re.compile(p, re.I) for p in (r"consider implementing", r"it would be better", r"you should", r"recommend adding", r"could be improved")]
+        figures = [re.compile(p, re.I) for p in (r"cyclomatic complexity of \d+", r"complexity score of \d+", r"\d+/\d+ score")]
+        near = re.compile(r"line \d+", re.I)
         rows = []
         for t in texts.fillna(""):
             quotes = len(re.findall(r"```[\w]*\n(.*?)\n```", t, re.DOTALL)) + len(re.findall(r"`([^`]{15,})`", t))
-            generic = 0
-            low = t.lower()
-            for p in phrases:
-                for m in re.finditer(re.escape(p), low):
-                    generic += not re.search(r"line \d+", low[max(0, m.start() - 100) : m.end() + 100])
-            n = len(figures.findall(t))
-            rows.append((quotes, generic, n * n))
+            generic = sum(not near.search(t[max(0, m.start() - 100) : m.end() + 100]) for p in phrases for m in p.finditer(t))
+            # Each figure counts as often as figures of its form occur.
+            rows.append((quotes, generic, sum(len(p.findall(t)) ** 2 for p in figures)))
         return pd.DataFrame(rows, columns=["quotes", "generic", "metrics"])
 
     return check
 
 
+def quotes_in_patches():
+    """A pandas UDF of (text, patch): how many of a text's quotes stand in the patch, and how many don't."""
+    @F.pandas_udf("found int, missing int")
+    def check(texts: pd.Series, patches: pd.Series) -> pd.DataFrame:
+        import re
+
+        rows = []
+        for t, p in zip(texts.fillna(""), patches.fillna(""), strict=True):
+            quotes = re.findall(r"```[\w]*\n(.*?)\n```", t, re.DOTALL) + re.findall(r"`([^`]{15,})`", t)
+            found = sum(quote_in_patch(q, p) for q in quotes)
+            rows.append((found, len(quotes) - found))
+        return pd.DataFrame(rows, columns=["found", "missing"])
+
+    return check
+
+
 def quote_in_patch(quote: str, patch: str) -> bool:
     """Whether a quote stands in a patch, white space aside; short ones pass, of long ones half of their words in a row suffice."""
     q, p = " ".join(quote.split()), " ".join(patch.split())

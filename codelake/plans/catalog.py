@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,10 +24,24 @@ class Tables:
 
     def __getattr__(self, name: str) -> DataFrame:
         if name == "calls":
-            return graph.link_dependencies(self.ent)
+            return _staged_calls(*self._at)
         return source(*self._at, name)
 
 
+_CALLS: dict[tuple[str, str], str] = {}
+
+
+def _staged_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table of calls, linked once a session and written to the shared folder, as the engine keeps it; queries read it from there."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _CALLS:
+        base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "/tmp/checkpoints"
+        path = f"{base.rstrip('/')}/codelake/calls-{uuid.uuid4().hex}"
+        graph.link_dependencies(source(spark, sf_dir, "ent")).write.parquet(path)
+        _CALLS[key] = path
+    return spark.read.parquet(_CALLS[key])
+
+
 def query(name: str, sql: str | None = None, **more: str):
     """Registers f(tables) under name; sql may name adapters in braces."""
 
@@ -68,7 +83,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Graph
 
-query("dependency_links", "SELECT * FROM {calls}")(lambda t: t.calls)
+query("dependency_links", "SELECT * FROM {calls}")(lambda t: graph.link_dependencies(t.ent))
 query("callees_near_line", _top("SELECT c.src_uid, c.dst_uid, d.name, d.type, d.file FROM {ent} s JOIN {calls} c ON c.src_uid = s.uid JOIN {ent} d ON d.uid = c.dst_uid WHERE abs(s.start_line - 100) <= 1", "src_uid", "dst_uid", 5, "src_uid, dst_uid, name, type, file"))(lambda t: graph.callees_near_line(t.ent, t.calls, 100))
 query("file_entities", _top("SELECT repo_id, file, name, type, start_line, uid FROM {ent}", "repo_id, file", "start_line, uid", 10, "repo_id, file, name, type, start_line, uid, CAST(rank AS INT) AS rank"))(lambda t: graph.file_entities(t.ent))
 query("callers_of", _top("SELECT repo_id, dst_name AS name, src_name AS caller, src_file AS caller_file, src_uid, dst_uid FROM {ends}", "repo_id, name", "src_uid, dst_uid", 10, "repo_id, name, caller, caller_file, CAST(rank AS INT) AS rank, 'calls' AS relationship"))(lambda t: graph.callers_of(t.ent, t.calls))
@@ -271,8 +286,8 @@ query("file_priority", "SELECT filename, CASE WHEN additions % 101 >= 70 OR dele
 query("event_type_a", "SELECT pr, CASE WHEN critical > 0 OR high >= 3 THEN 'REQUEST_CHANGES' WHEN quality = 0 THEN 'APPROVE' ELSE 'COMMENT' END AS event FROM {prs}")(lambda t: t.prs.select("pr", decide.event_by_summary(F.col("critical"), F.col("high"), F.col("quality")).alias("event")))
 query(
     "event_type_b",
-    "SELECT pr, CASE WHEN sum(CASE WHEN severity = 'critical' THEN w ELSE 0 END) >= 1 OR sum(CASE WHEN severity = 'high' THEN w ELSE 0 END) >= 3 THEN 'REQUEST_CHANGES' ELSE 'COMMENT' END AS event FROM (SELECT *, CASE WHEN contains(lower(description), 'security') THEN 2 ELSE 1 END AS w FROM {issues}) GROUP BY pr",
-)(lambda t: review.event_by_sections(t.issues, "pr"))
+    "SELECT pr, filename, CASE WHEN sum(CASE WHEN severity = 'critical' THEN w ELSE 0 END) >= 1 THEN 'REQUEST_CHANGES' WHEN sum(w) <= 2 THEN 'APPROVE' ELSE 'COMMENT' END AS event FROM (SELECT *, CASE WHEN contains(lower(description), 'security') THEN 2 ELSE 1 END AS w FROM {issues}) GROUP BY pr, filename",
+)(lambda t: review.event_by_sections(t.issues.withColumn("key", F.struct("pr", "filename")), "key", approve=2).select("key.pr", "key.filename", "event"))
 _RANK = "CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 WHEN 'low' THEN 3 ELSE 4 END"
 query("inline_eligible", _top("SELECT * FROM {issues} WHERE severity IN ('critical', 'high', 'medium') AND line > 0", "pr", f"{_RANK}, idx", 15, "pr, CAST(rank AS INT) AS place, idx, severity, line"))(lambda t: review.inline_eligible(t.issues, "pr"))
 query("visible_issues", f"SELECT pr, idx, severity, CAST(r AS INT) AS place, r <= 10 AS visible FROM (SELECT *, row_number() OVER (PARTITION BY pr ORDER BY {_RANK}, idx) AS r FROM {{issues}})")(lambda t: review.visible_issues(t.issues, "pr"))
@@ -315,10 +330,6 @@ _REFS = " UNION ALL ".join(
 )
 _BODY = "concat('See src/a.py:', CAST(pr % 50 AS STRING), ' and L', CAST(pr % 9 AS STRING), '+ or b.py line ', CAST(pr % 7 AS STRING), '. [c.py#L4] Line 12: ok')"
 query("review_line_refs", _REFS, bodies=f"SELECT DISTINCT pr, {_BODY} AS body FROM {{reviews}}")(lambda t: review.line_references(t.reviews.select("pr").distinct().withColumn("body", F.expr(_BODY)), "pr", "body"))
-query(
-    "review_validity",
-    "SELECT conv_id, turn, 0 AS refs, 0 AS valid_refs, length(text) <= 500 AS valid FROM conversations WHERE NOT regexp_matches(text, '[0-9]')",
-)(lambda t: review.review_validity(t.conversations.where(~F.col("text").rlike("[0-9]")).withColumn("key", F.struct("conv_id", "turn")), t.conversations.limit(0).select(F.struct("conv_id", "turn").alias("key"), F.lit(True).alias("in_diff")), "key", "text").select("key.conv_id", "key.turn", F.col("refs").cast("int").alias("refs"), F.col("valid_refs").cast("int").alias("valid_refs"), "valid"))
 query("graphrag_utilisation", "SELECT conv_id, round(100.0 * count(*) FILTER (contains(text, 'the')) / count(*), 6) AS percent FROM conversations GROUP BY conv_id")(lambda t: t.conversations.groupBy("conv_id").agg(F.round(F.coalesce(F.try_divide(F.lit(100.0) * F.count_if(F.contains("text", F.lit("the"))), F.count("*")), F.lit(0.0)), 6).alias("percent")))
 query("quick_scan_flag", "SELECT conv_id, turn, regexp_matches(upper(text), '🔴|CRITICAL|SECURITY|VULNERABILITY') AS flagged FROM conversations")(lambda t: t.conversations.select("conv_id", "turn", decide.quick_scan_flag(F.col("text")).alias("flagged")))
 query("text_checks")(lambda t: t.conversations.select("conv_id", "turn", review.text_checks()("text").alias("c")).select("conv_id", "turn", "c.*"))
@@ -348,8 +359,9 @@ query("token_monthly", "SELECT strftime(ts, '%Y-%m') AS month, sum(tokens)::BIGI
 query("token_running", "SELECT strftime(d, '%Y-%m-%d') AS day, tokens, sum(tokens) OVER (PARTITION BY strftime(d, '%Y-%m') ORDER BY d)::BIGINT AS month_to_date FROM (SELECT CAST(ts AS DATE) AS d, sum(tokens)::BIGINT AS tokens FROM {requests} GROUP BY 1)")(lambda t: ops.running_tokens(t.requests))
 query("cache_stats", "SELECT pr, count(*) AS total, count(*) FILTER (TIMESTAMP '2024-01-15' - created_at > INTERVAL 120 MINUTE) AS expired, count(*) FILTER (NOT TIMESTAMP '2024-01-15' - created_at > INTERVAL 120 MINUTE) AS active FROM {reviews} GROUP BY pr")(lambda t: ops.cache_stats(t.reviews, F.to_timestamp(F.lit("2024-01-15")), 120, "pr"))
 query("cache_keys", "SELECT review_id, sha256(pr || ':' || review_id) AS key FROM {reviews}")(lambda t: t.reviews.select("review_id", ops.cache_key(F.col("pr"), F.col("review_id")).alias("key")))
-query("endpoint_class", "SELECT id, CASE WHEN endpoint = 'view' THEN 'search' WHEN endpoint = 'purchase' THEN 'ingestion' WHEN endpoint = 'error' THEN 'webhook' ELSE 'default' END AS class FROM {requests}")(
-    lambda t: t.requests.select("id", decide.endpoint_class(F.when(F.col("endpoint") == "view", "/search/x").when(F.col("endpoint") == "purchase", "/Process").when(F.col("endpoint") == "error", "/webhook").otherwise("/other")).alias("class"))
+_PATHS = "CASE endpoint WHEN 'view' THEN '/api/search/x' WHEN 'purchase' THEN '/api/process' WHEN 'error' THEN '/webhook' WHEN 'click' THEN '/Process/ingest' ELSE '/api/reviews/context' END"
+query("endpoint_class", "SELECT id, CASE endpoint WHEN 'view' THEN 'search' WHEN 'purchase' THEN 'ingestion' WHEN 'error' THEN 'webhook' WHEN 'click' THEN 'ingestion' ELSE 'search' END AS class FROM {requests}")(
+    lambda t: t.requests.select("id", decide.endpoint_class(F.expr(_PATHS)).alias("class"))
 )
 query(
     "queue_order",
@@ -364,26 +376,13 @@ query("validate_paths", "SELECT filename, pr, pr % 4 <> 1 AND pr % 4 <> 3 AS ok
     lambda t: t.pr_files.select("filename", "pr", decide.valid_path(F.when(F.col("pr") % 4 == 0, F.concat(F.lit("a/../"), "filename")).when(F.col("pr") % 4 == 1, F.concat(F.lit("a/../../"), "filename")).when(F.col("pr") % 4 == 2, F.concat(F.lit("./a/"), "filename")).otherwise(F.concat(F.lit("/"), "filename"))).alias("ok"))
 )
 query("request_size", "SELECT doc_id FROM documents WHERE octet_length(encode(text)) <= 5000")(lambda t: t.documents.where(F.octet_length("text") <= 5000).select("doc_id"))
-query("error_class", "SELECT id, CASE WHEN endpoint = 'error' THEN 'timeout' WHEN endpoint = 'view' THEN 'not_found' ELSE 'internal' END AS class FROM {requests}")(
-    lambda t: t.requests.select("id", decide.error_class(F.when(F.col("endpoint") == "error", "request timed out").when(F.col("endpoint") == "view", "Not found").otherwise("oops")).alias("class"))
-)
-query("compress_snippet", "SELECT doc_id, CASE WHEN len(l) > 10 THEN array_to_string(list_concat(l[1:5], ['... (omitted) ...'], l[-5:]), chr(10)) ELSE text END AS snippet FROM (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents)")(lambda t: t.documents.select("doc_id", decide.compress_snippet(F.col("text"), 5).alias("snippet")))
-query("prompt_similar", "SELECT query_id, string_agg(r || '. ' || name || ' (' || file || ', ' || printf('%.2f', score) || ')', chr(10) ORDER BY r) AS prompt FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r FROM {met}) WHERE r <= 3 GROUP BY query_id")(
-    lambda t: vector.search(t.chunks, _asks(t), 3).groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", F.format_string("%d. %s (%s, %.2f)", "rank", "name", "file", "score").alias("s")))), lambda x: x["s"]), "\n").alias("prompt"))
+query("error_class", "SELECT id, CASE endpoint WHEN 'error' THEN 'ACCESS_DENIED' WHEN 'view' THEN 'NOT_FOUND' WHEN 'click' THEN 'ACCESS_DENIED' ELSE 'INTERNAL_ERROR' END AS class FROM {requests}")(
+    lambda t: t.requests.select("id", decide.error_class(F.expr("CASE endpoint WHEN 'error' THEN 'Permission denied' WHEN 'view' THEN 'Page Not found' WHEN 'click' THEN 'No ACCESS, not found' ELSE 'request timed out' END")).alias("class"))
 )
-query(
-    "fallback_report",
-    "SELECT pr, 'Issues: ' || count(*) || chr(10) || string_agg('- ' || severity || ' ' || description, chr(10) ORDER BY rk, idx) FILTER (r <= 5) AS report FROM (SELECT *, row_number() OVER (PARTITION BY pr ORDER BY rk, idx) AS r FROM (SELECT *, " + _RANK + " AS rk FROM {issues})) GROUP BY pr",
-)(lambda t: _report(t.issues))
-
+query("compress_snippet", "SELECT doc_id, CASE WHEN len(l) > 5 THEN array_to_string(list_concat(l[1:2], ['... (' || (len(l) - 5) || ' lines omitted) ...'], l[-3:]), chr(10)) ELSE text END AS snippet FROM (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents)")(lambda t: t.documents.select("doc_id", decide.compress_snippet(F.col("text"), 5).alias("snippet")))
 
-def _report(issues: DataFrame) -> DataFrame:
-    from pyspark.sql import Window
 
-    place = F.row_number().over(Window.partitionBy("pr").orderBy(decide.severity_rank(F.col("severity")), "idx"))
-    items = F.collect_list(F.when(F.col("place") <= 5, F.struct("place", F.concat(F.lit("- "), "severity", F.lit(" "), "description").alias("s"))))
-    text = F.array_join(F.transform(F.array_sort(items), lambda x: x["s"]), "\n")
-    return issues.withColumn("place", place).groupBy("pr").agg(F.concat(F.lit("Issues: "), F.count("*"), F.lit("\n"), text).alias("report"))
+from . import context_queries  # noqa: E402,F401  registers more
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def admission_stream(requests: DataFrame, seconds: int, limit: int) -> DataFrame:
+def admission_stream(requests: DataFrame, seconds: int, limit: int, delay: str = "5 minutes") -> DataFrame:
     """(installation, endpoint, id, admitted) of a stream of requests(installation, endpoint, id, ts): the sliding log of the batch form.
 
-    The state of a key is its last `limit` admitted times; a key that was silent for two windows is dropped.
+    The state of a key is its last `limit` admitted times; it is dropped once the watermark, `delay` behind the latest request, is two windows
+    past them. So it is event time that ends a state, and no batch runs for its sake alone but the one after the watermark moved.
     """
 
     def admit(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -30,11 +31,11 @@ def admission_stream(requests: DataFrame, seconds: int, limit: int) -> DataFrame
                 log = [*log, at][-limit:]
             out.append((*key, id_, ok))
         state.update((log,))
-        state.setTimeoutDuration(2 * seconds * 1000)
+        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), int(rows["at"].max()) // 1000) + 2 * seconds * 1000)
         yield pd.DataFrame(out, columns=["installation", "endpoint", "id", "admitted"])
 
-    return requests.groupBy("installation", "endpoint").applyInPandasWithState(
-        admit, "installation long, endpoint string, id long, admitted boolean", "log array<long>", "append", GroupStateTimeout.ProcessingTimeTimeout
+    return requests.withWatermark("ts", delay).groupBy("installation", "endpoint").applyInPandasWithState(
+        admit, "installation long, endpoint string, id long, admitted boolean", "log array<long>", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 

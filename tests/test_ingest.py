@@ -84,6 +84,9 @@ def test_streams(spark, tmp_path):
     stream = spark.readStream.schema(table.schema).parquet(str(tmp_path / "in"))
     for name, df in (("admitted", admission_stream(stream, 60, 3)), ("load", offered_load_stream(stream))):
         q = df.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
-        q.awaitTermination()
+        try:
+            assert q.awaitTermination(120), f"{name} doesn't end"
+        finally:
+            q.stop()
     got = {r.id: r.admitted for r in spark.table("admitted").collect()}
     assert got == {r.id: r.admitted for r in ops.admissions(table, 60, 3, "installation", "endpoint").collect()}

@@ -7,8 +7,9 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from codelake.engine import Engine
 from codelake.functions import decide
-from codelake.operators import diff, graph, ops, review, rules, vector
+from codelake.operators import context, diff, graph, ops, review, rules, vector
 
 ENTITIES = "repo_id string, file string, name string, type string, start_line int, end_line int, raw_code string, uid string"
 
@@ -159,7 +160,51 @@ def test_neighbour_blocks(spark):
 
 
 def test_text_checks(spark):
-    text = "```py\nx = 1\n```\nand `a_rather_long_quote` here: follow best practices"
-    r = spark.createDataFrame([(text,), (None,)], "t string").select(review.text_checks()("t").alias("c")).collect()
-    assert (r[0].c.quotes, r[0].c.generic, r[0].c.metrics) == (2, 1, 0) and r[1].c.quotes == 0
+    quotes = "```py\nx = 1\n```\nand `a_rather_long_quote` here"
+    near, far = "You should test line 12", "you should test. " + "x" * 200 + " line 12, it Could be improved"
+    metrics = "cyclomatic complexity of 12, Cyclomatic complexity of 3 and complexity score of 4; 7/10 score"
+    texts = [quotes, near, far, metrics, "consider implementing it; it would be better; recommend adding a test", None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", review.text_checks()("t").alias("c")).orderBy("i").collect()
+    assert [tuple(r.c) for r in rows] == [(2, 0, 0), (0, 0, 0), (0, 1, 0), (0, 0, 2 * 2 + 1 + 1), (0, 3, 0), (0, 0, 0)]
+    pair = spark.createDataFrame([(quotes, "+x = 1\n+other"), ("`nothing of this kind is there`", "+x")], "t string, p string").select(review.quotes_in_patches()("t", "p").alias("q")).collect()
+    assert [tuple(r.q) for r in pair] == [(2, 0), (0, 1)]
     assert review.quote_in_patch("short", "") and not review.quote_in_patch("a quote that is long enough", "other")
+
+
+def test_classes_of_paths_and_errors(spark):
+    paths = {"/api/Process": "default", "/api/process": "ingestion", "/x/ingest/search": "ingestion", "/context": "search", "/reviews": "review", "/generate": "review", "/webhook/x": "webhook", "ingest": "default", None: "default"}
+    got = spark.createDataFrame([(p,) for p in paths], "p string").select("p", decide.endpoint_class(F.col("p")).alias("c")).collect()
+    assert {r.p: r.c for r in got} == paths
+    errors = {"Permission denied": "ACCESS_DENIED", "no access": "ACCESS_DENIED", "File Not Found": "NOT_FOUND", "request timed out": "INTERNAL_ERROR", None: "INTERNAL_ERROR"}
+    got = spark.createDataFrame([(e,) for e in errors], "e string").select("e", decide.error_class(F.col("e")).alias("c")).collect()
+    assert {r.e: r.c for r in got} == errors
+
+
+def test_compression_of_snippets(spark):
+    lines = [str(i) for i in range(25)]
+    rows = spark.createDataFrame([("\n".join(lines),), ("\n".join(lines[:20]),)], "t string").select(decide.compress_snippet(F.col("t")).alias("s")).collect()
+    assert rows[0].s.split("\n") == [*lines[:10], "... (5 lines omitted) ...", *lines[15:]] and rows[1].s.split("\n") == lines[:20]
+
+
+def test_events_of_sections(spark):
+    rows = [(1, "critical", "x")] + [(2, "high", "x")] * 3 + [(3, "low", "a Security hole"), (4, "critical", "security")]
+    issues = spark.createDataFrame(rows, "pr int, severity string, description string")
+    assert {r.pr: r.event for r in review.event_by_sections(issues, "pr").collect()} == {1: "REQUEST_CHANGES", 2: "COMMENT", 3: "COMMENT", 4: "REQUEST_CHANGES"}
+    assert {r.pr: r.event for r in review.event_by_sections(issues, "pr", critical=2, approve=2).collect()} == {1: "APPROVE", 2: "COMMENT", 3: "APPROVE", 4: "REQUEST_CHANGES"}
+
+
+def test_joined_paths_stay_below_their_base(spark, tmp_path):
+    assert decide.safe_join("/app/repos", "user_repo", "file.py") == "/app/repos/user_repo/file.py"
+    assert decide.safe_join("s3://b/x/", "a/../b") == "s3://b/x/a/../b"
+    for bad in (("../etc/passwd",), ("a", "../../x"), ("/etc",), ("a\0",)):
+        with pytest.raises(ValueError, match="leads out"):
+            decide.safe_join("/app/repos", *bad)
+    for bad in ("../..", "a/b", ""):
+        with pytest.raises(ValueError, match="letters"):
+            Engine(spark, str(tmp_path)).delete(bad)
+
+
+def test_lists_tell_how_many_were_left_out(spark):
+    rows = spark.createDataFrame([(k, i) for k, n in (("a", 2), ("b", 5)) for i in range(n)], "k string, i int")
+    got = {r.k: (r.n, r.text) for r in context.listed(rows, ["k"], ["i"], F.format_string("- %d", "i"), 3, "... +%d more").collect()}
+    assert got == {"a": (2, "- 0\n- 1"), "b": (5, "- 0\n- 1\n- 2\n... +2 more")}
