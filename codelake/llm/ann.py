@@ -24,13 +24,13 @@ from .common import map_arrow, stage_table
 
 @dataclass(frozen=True)
 class IndexConfig:
-    """centroids of each half; the sample of vectors (those of the smallest id hashes) that they are fitted on; the share of all entries that a
+    """centroids of each half (a quarter of the sample at most); the sample of vectors (those of the smallest id hashes) that they are fitted on; the share of all entries that a
     walk passes at least; entries a block."""
 
     centroids: int = 128
     sample: int = 16_000
     rounds: int = 8
-    share: float = 0.36
+    share: float = 0.45
     block: int = 8_192
 
 
@@ -113,7 +113,7 @@ def ann_search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str =
     half = dims // 2
     sample = entries.orderBy(F.xxhash64("entry"), "entry").limit(config.sample).select("vector").toArrow()
     points = _matrix(sample.column("vector"))
-    size = max(1, min(config.centroids, int(len(points) ** 0.5)))
+    size = max(1, min(config.centroids, len(points) // 4))
     books = kmeans(points[:, :half], size, config.rounds), kmeans(points[:, half:], size, config.rounds)
     sent = spark.sparkContext.broadcast(books)
 
