@@ -5,7 +5,7 @@ Each function takes and gives DataFrames. Where the order of a limit isn't told
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Types that can be called, the length above which a name is told apart from noise, and names that need no caller.
@@ -99,13 +99,35 @@ def file_dependencies(entities: DataFrame, calls: DataFrame) -> DataFrame:
 
 
 def similar_names(entities: DataFrame, names: DataFrame, limit: int = 5) -> DataFrame:
-    """For names(repo_id, fn): functions whose name contains its term (the name without get, set and _), or whose name the term contains."""
+    """For names(repo_id, fn): functions whose name contains its term (the name without get, set and _), or whose name the term contains.
+
+    Different names and terms of a repository meet in an equi-join on up to three characters that one begins with and the other contains; an
+    empty one meets all. Only the first `limit` functions of a name can be among those of a term, so no more of them meet it.
+    """
+    functions = entities.where("type = 'Function'").select("repo_id", "name", "file", "uid")
+    first = Window.partitionBy("repo_id", "name").orderBy("uid")
+    functions = functions.withColumn("place", F.row_number().over(first)).where(F.col("place") <= limit).drop("place")
     term = F.replace(F.replace(F.replace("fn", F.lit("get"), F.lit("")), F.lit("set"), F.lit("")), F.lit("_"), F.lit(""))
-    own = entities.where("type = 'Function'").select("repo_id", "name", "file", "uid")
-    met = names.withColumn("term", term).join(own, "repo_id")
-    met = met.where(F.contains("name", "term") | (F.contains("term", "name") & (F.col("name") != F.col("fn"))))
+    asked = names.select("repo_id", "fn").distinct().withColumn("term", term)
+    terms, own = asked.select("repo_id", "term").distinct(), functions.select("repo_id", "name").distinct()
+    held = _met(own, "name", terms, "term").withColumn("longer", F.lit(False))
+    holds = _met(terms, "term", own, "name").select("repo_id", "name", "term", F.lit(True).alias("longer"))
+    # A name that equals the term meets it from both sides; only the first leaves its own function in.
+    met = held.unionByName(holds).groupBy("repo_id", "term", "name").agg(F.min("longer").alias("longer"))
+    near = met.join(asked, ["repo_id", "term"]).where(~F.col("longer") | (F.col("name") != F.col("fn"))).select("repo_id", "fn", "name")
     rank = F.row_number().over(Window.partitionBy("repo_id", "fn").orderBy("uid"))
-    return met.withColumn("rank", rank).where(F.col("rank") <= limit).select("repo_id", "fn", "name", "file", "rank")
+    return near.join(functions, ["repo_id", "name"]).withColumn("rank", rank).where(F.col("rank") <= limit).select("repo_id", "fn", "name", "file", "rank")
+
+
+def _met(long: DataFrame, text: str, short: DataFrame, part: str, size: int = 3) -> DataFrame:
+    """(repo_id, text, part) of all pairs in which text contains part."""
+    places = F.sequence(F.lit(1), F.greatest(F.char_length(text), F.lit(1)))
+
+    def grams(n: int) -> Column:
+        return F.transform(places, lambda i: F.substring(F.col(text), i, F.lit(n)))
+
+    cut = long.select("repo_id", text, F.explode(F.array_distinct(F.concat(*map(grams, range(size + 1))))).alias("gram"))
+    return cut.join(short.withColumn("gram", F.substring(part, 1, size)), ["repo_id", "gram"]).where(F.contains(text, part)).select("repo_id", text, part)
 
 
 def fanout_hotspots(calls: DataFrame, min_calls: int = 5, limit: int = 10) -> DataFrame:

@@ -99,8 +99,8 @@ query("file_dependencies", "SELECT repo_id, src_file AS file, dst_file AS depend
 query(
     "similar_names",
     _top("SELECT n.repo_id, n.fn, e.name, e.file, e.uid FROM {asked} n JOIN {ent} e ON e.repo_id = n.repo_id AND e.type = 'Function' WHERE contains(e.name, n.term) OR (contains(n.term, e.name) AND e.name <> n.fn)", "repo_id, fn", "uid", 5, "repo_id, fn, name, file, CAST(rank AS INT) AS rank"),
-    asked="SELECT DISTINCT repo_id, name AS fn, replace(replace(replace(name, 'get', ''), 'set', ''), '_', '') AS term FROM {ent} WHERE start_line % 20 = 0",
-)(lambda t: graph.similar_names(t.ent, t.ent.where("start_line % 20 = 0").select("repo_id", F.col("name").alias("fn")).distinct()))
+    asked="SELECT DISTINCT repo_id, name AS fn, replace(replace(replace(name, 'get', ''), 'set', ''), '_', '') AS term FROM {ent}",
+)(lambda t: graph.similar_names(t.ent, t.ent.select("repo_id", F.col("name").alias("fn"))))
 query("fanout_hotspots", "SELECT repo_id, src_uid, count(*) AS calls FROM {calls} GROUP BY ALL HAVING count(*) >= 2 ORDER BY calls DESC, repo_id, src_uid LIMIT 10")(lambda t: graph.fanout_hotspots(t.calls, 2))
 query("coupled_files", "SELECT repo_id, src_file AS file, dst_file AS depends_on, count(*) AS calls FROM {ends} WHERE src_file <> dst_file GROUP BY ALL HAVING count(*) >= 2 ORDER BY calls DESC, repo_id, file, depends_on LIMIT 10")(lambda t: graph.coupled_files(t.ent, t.calls, 2))
 query("unused_functions", _top("SELECT * FROM {ent} e WHERE type = 'Function' AND name NOT IN ('main', 'index', '__init__', 'handler', 'default') AND NOT EXISTS (SELECT 1 FROM {calls} c WHERE c.dst_uid = e.uid)", "repo_id", "file, start_line, uid", 20, "repo_id, file, name, start_line, uid"))(lambda t: graph.unused_functions(t.ent, t.calls))
@@ -202,10 +202,12 @@ query("rule_hits_documents", "SELECT doc_id, line_no, 'token' AS rule FROM (SELE
 )
 query("long_blocks", "SELECT doc_id, len(string_split(text, chr(10))) AS lines FROM documents WHERE len(string_split(text, chr(10))) > 20")(lambda t: rules.long_blocks(t.documents, "text", 20).select("doc_id", F.col("lines").cast("long").alias("lines")))
 query("deep_nesting", "SELECT block, min(line_no) AS line_no, 6 AS level FROM {code_lines} WHERE length(line) - length(ltrim(line)) >= 20 GROUP BY block")(lambda t: rules.deep_nesting(t.code_lines, "block"))
-_BRANCH_SQL = " + ".join(f"len(regexp_extract_all(text, '(?i){b}'))" for b in rules.BRANCHES)
-query("complexity_regex", f"SELECT doc_id, 1 + {_BRANCH_SQL} AS complexity, CASE WHEN 1 + {_BRANCH_SQL} > 20 THEN 'high' WHEN 1 + {_BRANCH_SQL} > 10 THEN 'medium' END AS severity FROM documents WHERE lang = 'en' AND regexp_full_match(text, '[\\x00-\\x7F]*')")(
-    lambda t: t.documents.where("lang = 'en'").where(F.col("text").rlike(r"\A[\x00-\x7F]*\z")).select("doc_id", (c := rules.complexity(F.col("text"))).cast("long").alias("complexity"), rules.complexity_severity(c).alias("severity"))
-)
+# RE2 knows word boundaries and spaces of ASCII only: characters of no word are doubled, and one stands at each end, so every word has one of its own on both sides.
+_LETTER, _SPACE = r"\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}\x{200C}\x{200D}", r"[\s\x0B\x{85}\p{Z}]"
+_BRANCH_SQL = " + ".join(f"len(regexp_extract_all({'spread' if b.startswith(chr(92) + 'b') else 'text'}, '(?i){b.replace(chr(92) + 'b', f'[^{_LETTER}]').replace(chr(92) + 's', _SPACE)}'))" for b in rules.BRANCHES)
+query("complexity_regex")(lambda t: t.documents.select("doc_id", (c := rules.complexity(F.coalesce("text", F.lit("")))).cast("long").alias("complexity"), rules.complexity_severity(c).alias("severity")))
+# Not by query(): the classes' braces name no adapters.
+_ORACLES["complexity_regex"] = (f"SELECT doc_id, complexity, CASE WHEN complexity > 20 THEN 'high' WHEN complexity > 10 THEN 'medium' END AS severity FROM (SELECT doc_id, 1 + {_BRANCH_SQL} AS complexity FROM (SELECT doc_id, coalesce(text, '') AS text, ' ' || regexp_replace(coalesce(text, ''), '([^{_LETTER}])', '\\1\\1', 'g') || ' ' AS spread FROM documents))")
 query(
     "file_metrics",
     "SELECT doc_id, len(l) AS total, len(list_filter(l, lambda x: trim(x) <> '' AND NOT starts_with(ltrim(x), '#'))) AS code, len(list_filter(l, lambda x: starts_with(ltrim(x), '#'))) AS comments, len(list_filter(l, lambda x: trim(x) = '')) AS blank FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)",

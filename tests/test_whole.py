@@ -2,8 +2,9 @@
 
 import datetime as dt
 import random
+import re
 
-from codelake.operators import review
+from codelake.operators import graph, review, rules
 from codelake.plans import catalog
 
 
@@ -44,6 +45,7 @@ def test_every_order_has_a_patch(spark, tmp_path):
 
 def test_every_event_is_an_issue(spark, tmp_path):
     spark.createDataFrame([(i, i % 4 + 1) for i in range(1, 41)], "event_id long, user_id long").write.parquet(f"{tmp_path}/events.parquet")
+    spark.createDataFrame([(k, k, "1-URGENT", "F") for k in range(1, 5)], "o_orderkey long, o_custkey long, o_orderpriority string, o_orderstatus string").write.parquet(f"{tmp_path}/orders.parquet")  # a report is of a pull request
     run = lambda name: catalog.queries()[name](spark, str(tmp_path)).collect()
     assert {r.idx for r in run("visible_issues")} == set(range(1, 41))
     for name in ("severity_counts", "category_counts"):
@@ -52,6 +54,8 @@ def test_every_event_is_an_issue(spark, tmp_path):
     assert sum(r.total for r in run("file_severity_histogram")) == sum(i % 7 != 4 for i in range(1, 41))
     for name in ("issue_buckets", "event_type_b", "inline_eligible", "fallback_report"):
         assert {r.pr for r in run(name)} == {1, 2, 3, 4}, name
+    found = [int(n) for r in run("fallback_report") for n in re.findall(r"Issues \((\d+)\)", r.report)]
+    assert sum(found) == sum(i % 7 in (0, 1) for i in range(1, 41))
 
 
 def test_locks_are_replayed_for_all_endpoints(spark, tmp_path):
@@ -64,3 +68,25 @@ def test_locks_are_replayed_for_all_endpoints(spark, tmp_path):
         if want[i]:
             held[user] = ts
     assert {r.id: r.granted for r in catalog.queries()["lock_replay"](spark, str(tmp_path)).collect()} == want
+
+
+def test_every_document_has_a_complexity(spark, tmp_path):
+    texts = ["if if else if ELSE\u00a0IF", "größe if éif ifé wenn_if if", "für or über and", None, "", "a ? b : c ? d : e\n?:", "do\u2003while\tcase\nswitch catch except for", "x && y || z elif", "中if or文 or", "if" * 3]
+    rows = [(i, t, ("en", "de", None)[i % 3]) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = {i: 1 + sum(len(re.findall(b, t or "", re.I)) for b in rules.BRANCHES) for i, t in enumerate(texts)}
+    assert {r.doc_id: r.complexity for r in catalog.queries()["complexity_regex"](spark, str(tmp_path)).collect()} == want
+
+
+def test_similar_names_meet_every_function(spark):
+    rng = random.Random(8)
+    some = ["get", "set", "_", "", "getab", "set_a", "abc_abc"] + ["".join(rng.choices("abc_", k=rng.randrange(1, 9))) for _ in range(60)]
+    ents = [(r, f"f{n % 4}", name, ("Function", "Function", "Class")[n % 3], f"u{n}") for n, (r, name) in enumerate((rng.choice("pq"), rng.choice(some)) for _ in range(300))]
+    table = spark.createDataFrame(ents, "repo_id string, file string, name string, type string, uid string").repartition(5)
+    got = graph.similar_names(table, table.select("repo_id", table.name.alias("fn")), 5).collect()
+    want = set()
+    for repo, fn in {(e[0], e[2]) for e in ents}:
+        term = fn.replace("get", "").replace("set", "").replace("_", "")
+        near = sorted((e for e in ents if e[0] == repo and e[3] == "Function" and (term in e[2] or (e[2] in term and e[2] != fn))), key=lambda e: e[4])
+        want |= {(repo, fn, e[2], e[1], n) for n, e in enumerate(near[:5], 1)}
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
