@@ -88,6 +88,20 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: Column, total: int, col
     return both.select(*rows.columns, *(F.coalesce(f"__hot_{c}", f"__cold_{c}").alias(c) for c in columns))
 
 
+def join_salted(rows: DataFrame, groups: DataFrame, key: str, spread: int = 256) -> DataFrame:
+    """The inner join of rows and groups (few rows a key) on key, a null key meeting nothing; keys that hold more than 1 / spread of the rows are dealt
+    over salts, so that no task gets more of one key's rows, and their groups are repeated for each salt. Fewer than spread keys are such."""
+    counts = rows.groupBy(F.col(key).alias("__hot")).agg(F.count("*").alias("n")).where("__hot is not null")
+    counts = stage_table(counts, "salts")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    hot = counts.where(F.col("n") * spread > total).select("__hot", F.expr(f"cast(n * {spread} div {max(total, 1)} as int) + 1").alias("__salts"))
+    salted = rows.join(F.broadcast(hot), rows[key] == F.col("__hot"), "left")
+    salted = salted.withColumn("__salt", F.when(F.col("__salts").isNull(), 0).otherwise(F.pmod(F.xxhash64(*rows.columns), F.col("__salts")).cast("int"))).drop("__hot", "__salts")
+    repeated = groups.join(F.broadcast(hot), groups[key] == F.col("__hot"), "left")
+    repeated = repeated.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__salts", F.lit(1)) - 1))).drop("__hot", "__salts")
+    return salted.join(repeated, [key, "__salt"]).drop("__salt")
+
+
 def shard_count(texts: DataFrame, text: str = "text") -> int:
     """How many shards the packed keys of texts are dealt over: by their bytes, and at least the session's shuffle partitions."""
     size = texts.agg(F.sum(F.octet_length(text))).first()[0] or 0

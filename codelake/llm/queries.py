@@ -1,4 +1,4 @@
-"""The queries op1 to op10 over the driver's tables, and the SQL that gives the same rows where SQL can express them."""
+"""The queries op1 to op13 over the driver's tables, and the SQL that gives the same rows where SQL can express them."""
 
 from __future__ import annotations
 
@@ -11,10 +11,13 @@ from pyspark.sql import functions as F
 from .ann import ann_search
 from .bpe import bpe_decode, bpe_encode
 from .classifier import FtrlConfig, score, train, training_rows
+from .decontaminate import contamination
 from .exact_dedup import exact_dedup
+from .filter_audit import document_flags, replay_orders
 from .lm_scoring import lm_scores
 from .packing import pack_documents
 from .shingle_join import shingle_components
+from .spelling import spelling_forms, word_counts
 from .token_counts import token_counts
 from .url_filter import DAMPING, LINKS, LOWER, STEPS, THRESHOLD, UPPER, Rule, url_filter
 from .warc import round_trip
@@ -160,6 +163,102 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), END_ID)
 
 
+#: A run whose crc32 this divides has a slip of the pen.
+SLIP = 97
+
+
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_forms(word_counts(table(spark, sf_dir, "documents"), slip=SLIP))
+
+
+#: The reversed polynomial of the crc32.
+CRC = 0xEDB88320
+
+
+def _op11_sql() -> str:
+    """The crc32 by its table of bytes, near words by what is left without one code point."""
+    bit = f"list_transform({{}}, lambda c: CASE WHEN c % 2 = 1 THEN xor(c // 2, {CRC}) ELSE c // 2 END)"
+    byte = "range(256)"
+    for _ in range(8):
+        byte = bit.format(byte)
+    return rf"""
+WITH RECURSIVE crc AS MATERIALIZED (SELECT {byte} AS t),
+runs AS (SELECT doc_id, r, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[a-z\x{{C0}}-\x{{FF}}]+')) AS r FROM documents) WHERE length(r) >= 5 GROUP BY ALL),
+bytes AS (SELECT r, n, flatten(list_transform(string_split(doc_id || ':' || r, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)] ELSE [195, unicode(c) - 64] END)) AS b FROM runs),
+hashed AS (SELECT r, n, xor(list_reduce(list_prepend(4294967295::BIGINT, b::BIGINT[]), lambda x, y: xor(x // 256, t[xor(x % 256, y) + 1])), 4294967295::BIGINT) AS h FROM bytes, crc),
+slips AS (SELECT CASE WHEN h % 97 = 0 THEN substr(r, 1, h % length(r)) || substr(r, h % length(r) + 2) ELSE r END AS word, n FROM hashed),
+v AS MATERIALIZED (SELECT word, sum(n)::BIGINT AS n FROM slips WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+less AS (SELECT word, n, i, substr(word, 1, i - 1) AS a, substr(word, i + 1) AS b FROM v, unnest(range(1, length(word) + 1)) AS u(i)),
+near AS MATERIALIZED (
+  SELECT x.word, x.n, y.word AS near, y.n AS near_n FROM less x JOIN less y ON x.i = y.i AND x.a = y.a AND x.b = y.b AND x.word <> y.word
+  UNION SELECT x.word, x.n, v.word, v.n FROM less x JOIN v ON v.word = x.a || x.b UNION SELECT v.word, v.n, x.word, x.n FROM less x JOIN v ON v.word = x.a || x.b),
+best AS (SELECT word, count(*) AS n_near, max(near_n) AS near_n FROM near GROUP BY word),
+forms AS MATERIALIZED (
+  SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN b.near_n >= 2 * v.n THEN b.near_n END AS form_n,
+         CASE WHEN b.near_n >= 2 * v.n THEN (SELECT min(near) FROM near x WHERE x.word = v.word AND x.near_n = b.near_n) END AS form
+  FROM v LEFT JOIN best b ON b.word = v.word),
+chain AS (SELECT word, word AS root, form AS next FROM forms UNION ALL SELECT c.word, c.next, f.form FROM chain c JOIN forms f ON f.word = c.next)
+SELECT f.word, n, f.form, root, n_near, form_n FROM forms f JOIN chain c ON c.word = f.word WHERE c.next IS NULL
+"""
+
+
+OP11_SQL = _op11_sql()
+
+
+def op12_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+#: Brute force: every run of as many words as a window has, of every document.
+OP12_SQL = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+items AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+windows AS (SELECT DISTINCT item_id, least(len(w), 10) AS size, unnest(list_transform(range(1, len(w) - least(len(w), 10) + 2), lambda i: array_to_string(w[i : i + least(len(w), 10) - 1], ' '))) AS t FROM items WHERE len(w) > 0),
+sizes AS (SELECT DISTINCT size FROM windows),
+runs AS (SELECT doc_id, size, unnest(list_transform(range(1, len(w) - size + 2), lambda i: {{'i': i, 't': array_to_string(w[i : i + size - 1], ' ')}})) AS r FROM d, sizes WHERE len(w) >= size),
+hits AS MATERIALIZED (SELECT doc_id, r.i AS i, r.size AS size, item_id FROM runs r JOIN windows x ON x.size = r.size AND x.t = r.r.t),
+words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + size)) AS p FROM (SELECT DISTINCT doc_id, i, size FROM hits)) GROUP BY doc_id),
+named AS (SELECT doc_id, list_sort(list(DISTINCT item_id::VARCHAR)) AS ids FROM hits GROUP BY doc_id)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(len(ids), 0) AS n_items, sha256(coalesce(array_to_string(ids, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words ON words.doc_id = d.doc_id LEFT JOIN named ON named.doc_id = d.doc_id
+"""
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replay_orders(document_flags(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+
+
+OP13_SQL = r"""
+WITH t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS least FROM documents),
+f AS (
+  SELECT doc_id, part, concat(
+    CASE WHEN len(w) < 200 THEN 'A' END, CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' END,
+    CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t) THEN 'C' END, CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' END, CASE WHEN doc_id > least THEN 'E' END) AS fails FROM t),
+marks AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+docs AS (SELECT part, fails, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, count(*) AS n FROM f LEFT JOIN marks m ON m.doc_id = f.doc_id GROUP BY ALL),
+letters(l) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+orders AS (SELECT a.l || b.l || c.l || d.l || e.l AS o FROM letters a, letters b, letters c, letters d, letters e WHERE len(list_distinct([a.l, b.l, c.l, d.l, e.l])) = 5),
+replay AS (
+  SELECT part, fails, good, toxic, n, o, step, o[step] AS letter, least(CASE WHEN contains(fails, 'A') THEN instr(o, 'A') ELSE 6 END, CASE WHEN contains(fails, 'B') THEN instr(o, 'B') ELSE 6 END,
+    CASE WHEN contains(fails, 'C') THEN instr(o, 'C') ELSE 6 END, CASE WHEN contains(fails, 'D') THEN instr(o, 'D') ELSE 6 END, CASE WHEN contains(fails, 'E') THEN instr(o, 'E') ELSE 6 END) AS first
+  FROM docs, orders, range(1, 6) AS s(step)),
+counted AS (
+  SELECT part, o AS filter_order, step, letter, coalesce(sum(n) FILTER (first > step), 0) AS kept, coalesce(sum(n) FILTER (first = step), 0) AS removed,
+    coalesce(sum(n) FILTER (first < step AND contains(fails, letter)), 0) AS redundant, coalesce(sum(n) FILTER (fails = letter), 0) AS unique_fails,
+    coalesce(sum(n) FILTER (first = step AND good), 0) AS good_lost, coalesce(sum(n) FILTER (first = step AND toxic), 0) AS toxic_lost FROM replay GROUP BY ALL)
+SELECT part, filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost,
+  toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, letter))::BIGINT AS shapley FROM counted
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_exact_dedup": op2_exact_dedup,
@@ -171,6 +270,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": op8_url_filter,
     "op9_warc": op9_warc,
     "op10_packing": op10_packing,
+    "op11_spelling": op11_spelling,
+    "op12_decontaminate": op12_decontaminate,
+    "op13_filter_audit": op13_filter_audit,
 }
 
-ORACLES: dict[str, str] = {"op2_exact_dedup": OP2_SQL, "op7_ngram_jaccard": OP7_SQL, "op8_url_filter": OP8_SQL, "op9_warc": OP9_SQL}
+ORACLES: dict[str, str] = {"op2_exact_dedup": OP2_SQL, "op7_ngram_jaccard": OP7_SQL, "op8_url_filter": OP8_SQL, "op9_warc": OP9_SQL, "op11_spelling": OP11_SQL, "op12_decontaminate": OP12_SQL, "op13_filter_audit": OP13_SQL}
