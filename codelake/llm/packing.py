@@ -5,7 +5,7 @@ packings; crossover injects well-filled bins of one parent whole into the other,
 the displaced ones, each into the fullest bin with room, or up to four at a time into new bins; mutation empties the worst bins. Children
 are improved by replacement: two bins swap a piece each where that fills one of them. After each epoch an island's best packing moves to the
 next island. A group that reaches the least possible number of bins stops. Then the groups' poorly filled bins are opened, and their pieces
-packed once more, together.
+packed once more, together, as long as that frees bins.
 """
 
 from __future__ import annotations
@@ -44,8 +44,11 @@ class PackConfig:
     population: int = 4
     generations: int = 4
     epochs: int = 4
-    #: Bins with at least this share of their room left are opened for the next round.
+    #: Bins with at least this share of their room left are opened for the next round; one that frees less than `gain` of them is the last, and so
+    #: is the one of number `rounds`.
     spare: float = 0.02
+    gain: float = 0.01
+    rounds: int = 8
 
 
 def best_fit(lengths: list[int], order: list[int], free: list[int], capacity: int) -> list[int]:
@@ -129,17 +132,17 @@ def complete(lengths: list[int], pieces: list[int], capacity: int, tries: int =
     return bins
 
 
-def least_bins(lengths: np.ndarray, capacity: int) -> int:
-    """A number of bins that no packing of lengths (in descending order) goes below: pieces above half a bin share it with none like them, and
-    for each bound the smaller pieces down to it that don't fit beside the larger ones need bins of their own."""
-    total = np.concatenate([[0], np.cumsum(lengths)])
-    above = lambda n: np.searchsorted(-lengths, -n, side="left")  # noqa: E731  pieces longer than n
-    half = above(np.array(capacity // 2))
-    bounds = np.unique(np.append(lengths[half:], 0))
-    alone, down = above(capacity - bounds), np.searchsorted(-lengths, -bounds, side="right")
-    alone = np.minimum(alone, half)
-    room = (half - alone) * capacity - (total[half] - total[alone])
-    return int((half + np.maximum(0, -(-(total[down] - total[half] - room) // capacity))).max())
+def least_bins(counts: np.ndarray) -> int:
+    """A number of bins that no packing of counts[n] pieces of each length n, the capacity last, goes below: pieces above half a bin share it
+    with none like them, and for each bound the smaller pieces down to it that don't fit beside the larger ones need bins of their own."""
+    capacity = len(counts) - 1
+    pieces, tokens = np.cumsum(counts[::-1])[::-1], np.cumsum((counts * np.arange(capacity + 1))[::-1])[::-1]  # of at least each length
+    pieces, tokens = np.append(pieces, 0), np.append(tokens, 0)
+    over = capacity // 2 + 1
+    half, bounds = pieces[over], np.arange(over)
+    alone = np.maximum(over, capacity - bounds + 1)  # at least so long: beside these not even the bound fits
+    room = (half - pieces[alone]) * capacity - (tokens[over] - tokens[alone])
+    return int((half + np.maximum(0, -(-(tokens[bounds] - tokens[over] - room) // capacity))).max())
 
 
 class Packer:
@@ -148,7 +151,7 @@ class Packer:
     def __init__(self, lengths: np.ndarray, config: PackConfig, seed: int):
         self._lengths, self._config, self._random = lengths, config, np.random.default_rng(seed)
         self._list = lengths.tolist()
-        self.least = least_bins(lengths, config.capacity) if len(lengths) else 0
+        self.least = least_bins(np.bincount(lengths, minlength=config.capacity + 1))
 
     def fitness(self, packing: np.ndarray) -> tuple[int, float]:
         """Bins, then how unevenly they are filled: fuller ones leave emptier ones to be emptied."""
@@ -344,28 +347,36 @@ def pack(pieces: DataFrame, config: PackConfig = PackConfig()) -> DataFrame:  #
     """pieces(length, ids_crc32, start, ...) with sequence_id and offset: pieces of a sequence lie end to end from 0, capacity tokens at most.
 
     Full pieces are sequences by themselves. Every row is packed once, equal rows too; no row is larger than the capacity. Numbers of sequences
-    are unique and otherwise arbitrary. An empty table stays empty.
+    are unique and otherwise arbitrary. An empty table stays empty. Rounds end when the bins that are still poor can't be fewer by their lengths,
+    or when a round frees too few.
     """
     pieces = stage_table(pieces, "pieces")
     numbered = pieces.withColumn("number", F.monotonically_increasing_id())
     full = numbered.where(F.col("length") >= config.capacity).withColumns({"sequence_id": F.col("number"), "offset": F.lit(0).cast("long")})
     # The numbers are written, so that they stay as they are.
     loose, turn, packed = stage_table(numbered.where(F.col("length") < config.capacity), "loose-pieces"), 0, []
+    opened, before = None, 0
     while True:
         groups = max(1, round(loose.count() / config.group))
         # By a number of their own rather than by what they hold, so that copies spread over all groups.
         dealt = loose.withColumn("group", F.pmod(F.xxhash64("number", F.lit(turn)), F.lit(groups)))
         placed = stage_table(_pack_groups(dealt, config, turn), "packed")
-        if groups == 1:
-            packed.append(placed.drop("spare"))
+        bins = placed.agg(F.countDistinct("sequence_id").alias("all"), F.countDistinct(F.when(F.col("spare"), F.col("sequence_id"))).alias("poor")).first()
+        if opened is not None and bins.all >= before:  # the bins were better as they stood
+            packed.append(opened.drop("spare"))
             break
+        slow = opened is not None and before - bins.all < config.gain * before
         # Poorly filled bins are packed again together, in far fewer groups, if that can save any.
-        poor = placed.where("spare").agg(F.countDistinct("sequence_id").alias("bins"), F.sum("length").alias("tokens")).first()
-        if poor.bins - -(-(poor.tokens or 0) // config.capacity) <= 0:
+        lengths = np.zeros(config.capacity + 1, np.int64)
+        for row in placed.where("spare").groupBy("length").count().toLocalIterator():  # at most a row for each length
+            lengths[row["length"]] = row["count"]
+        turn += 1
+        if groups == 1 or slow or turn == config.rounds or bins.poor <= least_bins(lengths):
             packed.append(placed.drop("spare"))
             break
         packed.append(placed.where("not spare").drop("spare"))
-        loose, turn = placed.where("spare").select(loose.columns), turn + 1
+        opened, before = placed.where("spare"), bins.poor
+        loose = opened.select(loose.columns)
     out = full
     for part in packed:
         out = out.unionByName(part)

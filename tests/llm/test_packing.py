@@ -9,7 +9,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from codelake.llm.packing import Packer, PackConfig, best_fit, complete, pack, pack_documents
+from codelake.llm.packing import Packer, PackConfig, best_fit, complete, least_bins, pack, pack_documents
 
 PATH = P.path("byte_bpe_50k.json")
 
@@ -64,6 +64,24 @@ def test_rounds_merge_the_last_bins_of_groups(spark):
     assert check(got) <= -(-sum(r[3] for r in rows) // 1024) + 1  # 15 groups by themselves need some bins more
 
 
+@pytest.mark.parametrize("lengths", [[600] * 64, [330] * 200, list(range(513, 1001)) * 2])
+def test_rounds_end_where_nothing_fits_together(spark, lengths):
+    rows = [(i, 0, 0, n, i) for i, n in enumerate(lengths)]
+    table = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    got = pack(table, PackConfig(group=16 if len(lengths) < 300 else 200, epochs=1)).collect()
+    assert Counter((r.doc_id, r.length) for r in got) == Counter((r[0], r[3]) for r in rows)
+    used = check(got)
+    assert used == (-(-len(lengths) // 3) if lengths[0] == 330 else len(lengths)) or lengths[0] == 330 and used <= len(lengths) / 3 + 13
+
+
+def test_fifty_thousand_pieces_above_half(spark):
+    from pyspark.sql import functions as F
+
+    table = spark.range(50_000).select(F.col("id").alias("doc_id"), F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start"), (513 + F.col("id") * 7919 % 488).alias("length"), F.col("id").alias("ids_crc32"))
+    got = pack(table, PackConfig(epochs=1))
+    assert got.agg(F.countDistinct("sequence_id")).first()[0] == 50_000 == got.count()
+
+
 @pytest.mark.parametrize(("low", "high"), [(200, 500), (260, 520), (100, 400)])
 def test_evolution_gains_over_best_fit(low, high):
     lengths = np.sort(np.random.default_rng(1).integers(low, high, 1500))[::-1].astype(np.int64)
@@ -104,6 +122,7 @@ def test_bound_and_search_of_small_packings(values):
     lengths = np.sort(np.array(values))[::-1].astype(np.int64)
     packer = Packer(lengths, PackConfig(capacity=20), 5)
     best = packer.fitness(packer.evolve(packer.start())[0])[0]
+    assert packer.least == least_bins(np.bincount(lengths, minlength=21)) >= -(-sum(values) // 20)
     assert packer.least <= fewest(lengths.tolist(), 20) <= best <= fewest(lengths.tolist(), 20) + 1
     bins = complete(lengths.tolist(), list(range(len(lengths))), 20)
     assert sorted(p for b in bins for p in b) == list(range(len(lengths))) and all(sum(values_) <= 20 for values_ in ([lengths[p] for p in b] for b in bins))
