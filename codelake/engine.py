@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import re
+import time
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,61 +11,114 @@ from pyspark.sql import functions as F
 from .functions import decide
 from .operators import diff, graph, review, rules, vector
 from .sources import ingest
+from .sources.store import BUCKETS, Change, Store, stage
 
+#: The tables of a repository: columns without repo_id, and the column that rows are bucketed by.
+TABLES = {
+    "entities": ("file string, name string, type string, start_line int, end_line int, raw_code string, uid string", "file"),
+    "mentions": ("src_uid string, src_file string, name string", "src_file"),
+    "calls": ("src_uid string, dst_uid string", "src_uid"),
+    "chunks": ("id string, file string, name string, type string, start_line int, raw_code string, embedding array<float>", "id"),
+}
 
-class Engine:
-    """Tables of repositories: files, entities, calls and chunks, all keyed by repo_id and written as Parquet partitioned by it."""
 
-    def __init__(self, spark: SparkSession, root: str, encoder=None):
-        self.spark, self.root = spark, root.rstrip("/")
-        self._encode = encoder or vector.hashing_encoder()
+class Engine:
+    """Tables of repositories: entities, what their code mentions, calls and chunks, all keyed by repo_id.
 
-    def _read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{name}")
+    Each change of a repository is one commit over all of its tables: readers see all of it or nothing, and what fails leaves the former state
+    (see sources/store.py). progress is called with (repo_id, stage, rows, seconds) as the stages of a change end.
+    """
 
-    def _write(self, df: DataFrame, name: str) -> None:
-        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("repo_id").parquet(f"{self.root}/{name}")
+    def __init__(self, spark: SparkSession, root: str, encoder=None, buckets: int = BUCKETS, progress: Callable[[str, str, int, float], None] | None = None):
+        self.spark, self.store = spark, Store(spark, root, TABLES, buckets)
+        self._encode = encoder or vector.hashing_encoder()
+        self._progress = progress or (lambda *_: None)
 
     @property
     def entities(self) -> DataFrame:
-        return self._read("entities")
+        return self.store.read("entities")
 
     @property
     def calls(self) -> DataFrame:
-        return self._read("calls")
+        return self.store.read("calls")
 
     @property
     def chunks(self) -> DataFrame:
-        return self._read("chunks")
+        return self.store.read("chunks")
 
     def ingest(self, path: str, repo_id: str) -> dict[str, int]:
-        """Scans, captures, projects, embeds and links a repository's files; its former rows are replaced."""
-        found = ingest.captures(ingest.scan_files(self.spark, path, repo_id))
-        self._write(graph.upsert_entities(ingest.entities(found).drop("capture_idx").limit(0), ingest.entities(found)), "entities")
-        mine = self.entities.where(F.col("repo_id") == repo_id)
-        self._write(graph.link_dependencies(mine), "calls")
-        self._write(ingest.chunks(found).withColumn("embedding", self._encode("raw_code")), "chunks")
-        return {"entities": mine.count(), "calls": self.calls.where(F.col("repo_id") == repo_id).count(), "chunks": self.chunks.where(F.col("repo_id") == repo_id).count()}
+        """Scans, captures, projects, embeds and links a repository's files, which replace its former rows; rows written by table.
+
+        Files are parsed once, and rows counted as they are written.
+        """
+        with self.store.change(repo_id) as change:
+            found = stage(ingest.captures(ingest.scan_files(self.spark, path, repo_id)), "captures")
+            steps = {
+                "entities": lambda: graph.last_captured(ingest.entities(found)),
+                "mentions": lambda: graph.mentions(change.read("entities"), graph.callable_names(change.read("entities"))),
+                "calls": lambda: graph.resolve(change.read("mentions"), change.read("entities")),
+                "chunks": lambda: self._embedded(found),
+            }
+            for table, rows in steps.items():
+                self._step(change, table, lambda table=table, rows=rows: change.replace(table, rows()))
+        return {t: m["rows"] for t, m in change.metrics.items()}
+
+    def update(self, files: DataFrame, repo_id: str, deleted: DataFrame | None = None) -> dict[str, int]:
+        """Takes changed files(file, language, content) of a repository in, and the files of deleted(file) out; rows written by table.
+
+        Only buckets of the files, and of their chunks, are written anew, and only what the files change is linked (graph.relink). Files that
+        can't be parsed lose their rows. The same files once more change nothing but the version.
+        """
+        files = files.select(F.lit(repo_id).alias("repo_id"), "file", "language", "content")
+        with self.store.change(repo_id) as change:
+            changed = files.select("file") if deleted is None else files.select("file").unionByName(deleted.select("file"))
+            changed = stage(changed.where("file is not null").distinct().select(F.lit(repo_id).alias("repo_id"), "file"), "changed")
+            found = stage(ingest.captures(files), "captures")
+            self._step(change, "entities", lambda: change.upsert("entities", graph.last_captured(ingest.entities(found)), changed))
+            mentioned, calls = graph.relink(change.was("entities"), change.read("entities"), change.was("mentions"), change.was("calls"), changed)
+            self._step(change, "mentions", lambda: change.replace("mentions", mentioned))
+            self._step(change, "calls", lambda: change.replace("calls", calls))
+            former = change.was("chunks").join(changed, ["repo_id", "file"], "left_semi").select("id")
+            self._step(change, "chunks", lambda: change.upsert("chunks", stage(self._embedded(found), "chunks"), former))
+        return {t: m["rows"] for t, m in change.metrics.items()}
+
+    def apply(self, batch: DataFrame, batch_id: int = 0) -> None:
+        """Takes a micro-batch of files(repo_id, file, language, content, deleted boolean) in, one commit for each repository; of a file that stands
+        in it more than once, a row that isn't deleted counts, the one with the largest content. A batch that comes twice changes nothing."""
+        last = F.max_by(F.struct("language", "content", "deleted"), F.struct(~F.col("deleted"), "content"))
+        batch = stage(batch.groupBy("repo_id", "file").agg(last.alias("last")).select("repo_id", "file", "last.*"), "batch")
+        for row in batch.select("repo_id").distinct().toLocalIterator():  # no more than the batch has files
+            mine = batch.where(F.col("repo_id") == row["repo_id"])
+            self.update(mine.where("not deleted"), row["repo_id"], mine.where("deleted"))
+
+    def upsert_chunks(self, repo_id: str, chunks: DataFrame, gone: DataFrame | None = None) -> dict[str, int]:
+        """chunks replace those of the same id and the ids of gone(id) leave; only their buckets are written. How many rows and buckets that were."""
+        with self.store.change(repo_id) as change:
+            change.upsert("chunks", chunks, gone)
+        return change.metrics.get("chunks", {"rows": 0, "buckets": 0})
+
+    def _embedded(self, found: DataFrame) -> DataFrame:
+        return ingest.chunks(found).dropDuplicates(["id"]).withColumn("embedding", self._encode("raw_code"))
+
+    def _step(self, change: Change, table: str, run: Callable[[], object]) -> None:
+        began = time.time()
+        run()
+        self._progress(change.repo_id, table, change.metrics.get(table, {"rows": 0})["rows"], time.time() - began)
 
     def delete(self, repo_id: str) -> None:
-        """Drops a repository's partitions from all tables."""
-        if not re.fullmatch(r"[a-zA-Z0-9_-]{1,200}", repo_id):
-            raise ValueError("a repository's id is made of letters, digits, _ and -")
-        jvm = self.spark.sparkContext._jvm
-        for name in ("entities", "calls", "chunks"):
-            path = jvm.org.apache.hadoop.fs.Path(decide.safe_join(self.root, name, f"repo_id={repo_id}"))
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        """Takes a repository out of all tables."""
+        self.store.drop(repo_id)
 
     def query(self, repo_id: str, text: str, k: int = 5) -> DataFrame:
         """The k chunks nearest to a text, each with up to five of what the entities at its place call."""
         hits = self.search(repo_id, text, k)
-        near = self.entities.where(F.col("repo_id") == repo_id).join(hits.select("id", F.col("file"), F.col("start_line").alias("line")), "file").where(F.abs(F.col("start_line") - F.col("line")) <= 1)
-        called = near.join(self.calls.drop("repo_id"), F.col("uid") == F.col("src_uid")).groupBy("id").agg(F.slice(F.array_sort(F.collect_set("dst_uid")), 1, 5).alias("related_dependencies"))
+        near = self.store.read("entities", repo_id).join(hits.select("id", F.col("file"), F.col("start_line").alias("line")), "file").where(F.abs(F.col("start_line") - F.col("line")) <= 1)
+        called = near.join(self.store.read("calls", repo_id).drop("repo_id"), F.col("uid") == F.col("src_uid")).groupBy("id").agg(F.slice(F.array_sort(F.collect_set("dst_uid")), 1, 5).alias("related_dependencies"))
         return hits.join(called, "id", "left").orderBy("rank")
 
     def search(self, repo_id: str, text: str, k: int = 5, min_score: float | None = None) -> DataFrame:
         asked = self.spark.createDataFrame([(0, repo_id, text)], "query_id int, repo_id string, text string").withColumn("query", self._encode("text")).drop("text")
-        return vector.search(self.chunks, asked, k, min_score)
+        return vector.search(self.store.read("chunks", repo_id), asked, k, min_score)
 
     def similar(self, repo_id: str, text: str, k: int = 5, min_score: float = 0.7) -> DataFrame:
         return self.search(repo_id, text, k, min_score)
@@ -73,7 +127,7 @@ class Engine:
         return self.search(repo_id, text, k, 0.9)
 
     def stats(self, repo_id: str) -> DataFrame:
-        return vector.repo_stats(self.chunks.where(F.col("repo_id") == repo_id))
+        return vector.repo_stats(self.store.read("chunks", repo_id))
 
     def analyze_files(self, files: DataFrame) -> DataFrame:
         """Issues of files(filename, language, text)."""

@@ -5,6 +5,7 @@ Each function takes and gives DataFrames. Where the order of a limit isn't told
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,35 +15,86 @@ MIN_NAME = 3
 ENTRY_NAMES = ("main", "index", "__init__", "handler", "default")
 
 
-def link_dependencies(entities: DataFrame) -> DataFrame:
-    """(repo_id, src_uid, dst_uid): functions whose code contains the name of an entity of another file in the repository.
+#: Functions that are searched together, and names that an automaton holds.
+BLOCK, PART = 2_000, 50_000
+
+
+def callable_names(entities: DataFrame) -> DataFrame:
+    """(repo_id, name): the distinct names of a repository that code may call."""
+    return entities.where(F.col("type").isin(*TARGET_TYPES) & (F.char_length("name") > MIN_NAME)).select("repo_id", "name").distinct()
 
-    A name of more than three characters begins with four, so code and names first meet in an equi-join on those four characters of a
-    repository; only code that has them is searched for the name. Nothing is compared with everything. Grams that begin no name are dropped by
-    a bitmap of fixed size before anything is shuffled.
+
+def mentions(entities: DataFrame, names: DataFrame) -> DataFrame:
+    """(repo_id, src_uid, src_file, name): the functions of entities whose code contains a name of names(repo_id, name) of their repository, once each.
+
+    A repository's functions are cut into blocks and its names into parts, and each block meets each part in a task of its own: the part's
+    names become one automaton, which passes over each text once. So texts are shuffled once for each 50,000 names of their repository, no
+    row is made for what doesn't match, and no repository is too large for a task. Names that are empty or null are found nowhere.
     """
-    size = MIN_NAME + 1
-    names = entities.where(F.col("type").isin(*TARGET_TYPES) & (F.char_length("name") > MIN_NAME)).select("repo_id", F.col("name"), F.substring("name", 1, size).alias("gram"))
-    names = names.distinct()
     code = entities.where((F.col("type") == "Function") & F.col("raw_code").isNotNull()).select("repo_id", F.col("uid").alias("src_uid"), F.col("file").alias("src_file"), "raw_code")
-    # A look-ahead passes over the code once; a substring at each place would count from the beginning every time.
-    grams = code.select("repo_id", "src_uid", F.explode(F.array_distinct(F.regexp_extract_all("raw_code", F.lit(rf"(?s)(?=(.{{{size}}}))"), F.lit(1)))).alias("gram"))
-    near = _among(grams, names).join(names, ["repo_id", "gram"]).select("repo_id", "src_uid", "name")
-    by_code = near.groupBy("repo_id", "src_uid").agg(F.collect_list("name").alias("names"))
-    hit = code.join(by_code, ["repo_id", "src_uid"]).select("repo_id", "src_uid", "src_file", F.explode(F.filter("names", lambda n: F.contains(F.col("raw_code"), n))).alias("name"))
+    names = names.where("name <> ''").select("repo_id", "name")
+    blocks = code.groupBy("repo_id").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    cells = blocks.join(names.groupBy("repo_id").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")), "repo_id")
+    dealt = code.join(cells, "repo_id").withColumn("block", F.pmod(F.xxhash64("src_uid"), F.col("blocks")).cast("int"))
+    dealt = dealt.select("repo_id", "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "src_uid", "src_file", "raw_code")
+    asked = names.join(cells, "repo_id").withColumn("part", F.pmod(F.xxhash64("name"), F.col("parts")).cast("int"))
+    # Names of their own for one side's columns, as both come from the same entities.
+    asked = asked.select(F.col("repo_id").alias("of_repo"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("of_block"), F.col("part").alias("of_part"), F.col("name").alias("of_name"))
+    schema = ", ".join(f"{c} {names.schema['repo_id'].dataType.simpleString() if c == 'repo_id' else 'string'}" for c in ("repo_id", "src_uid", "src_file", "name"))
+    return dealt.groupBy("repo_id", "block", "part").cogroup(asked.groupBy("of_repo", "of_block", "of_part")).applyInArrow(_search, schema)
+
+
+def _search(code: pa.Table, names: pa.Table) -> pa.Table:
+    """The names that each code contains, of one cell."""
+    import ahocorasick
+
+    wanted, at, found = names.column("of_name").to_pylist(), [], []
+    if wanted and code.num_rows:
+        automaton = ahocorasick.Automaton()
+        for i, name in enumerate(wanted):
+            automaton.add_word(name, i)
+        automaton.make_automaton()
+        for row, text in enumerate(code.column("raw_code")):
+            hits = {i for _, i in automaton.iter(text.as_py())}
+            at += [row] * len(hits)
+            found += [wanted[i] for i in hits]
+    rows = code.select(["repo_id", "src_uid", "src_file"]).take(pa.array(at, pa.int64()))
+    return rows.append_column("name", pa.array(found, pa.string()))
+
+
+def resolve(mentioned: DataFrame, entities: DataFrame) -> DataFrame:
+    """(repo_id, src_uid, dst_uid): what mentions stand for, the entities of that name in other files of the repository."""
     targets = entities.where(F.col("type").isin(*TARGET_TYPES)).select("repo_id", "name", F.col("uid").alias("dst_uid"), F.col("file").alias("dst_file"))
-    pairs = hit.join(targets, ["repo_id", "name"]).where("src_uid <> dst_uid and src_file <> dst_file")
-    return pairs.select("repo_id", "src_uid", "dst_uid").distinct()
+    pairs = mentioned.join(targets, ["repo_id", "name"]).where("src_uid <> dst_uid and src_file <> dst_file")
+    return pairs.select("repo_id", "src_uid", "dst_uid")
+
 
+def link_dependencies(entities: DataFrame) -> DataFrame:
+    """(repo_id, src_uid, dst_uid): functions whose code contains the name of an entity of another file in the repository; uids are unique, and so
+    are the pairs."""
+    return resolve(mentions(entities, callable_names(entities)), entities)
+
+
+def relink(before: DataFrame, after: DataFrame, mentioned: DataFrame, calls: DataFrame, changed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Mentions and calls of the entities `after`, from those of the entities `before` and the files changed(repo_id, file), gone ones included.
 
-def _among(grams: DataFrame, names: DataFrame, bits: int = 22) -> DataFrame:
-    """grams(repo_id, gram, ...) that stand in names, and a few others: all whose hash falls on one of the bitmap's places that theirs take."""
-    place = F.shiftrightunsigned(F.xxhash64("repo_id", "gram"), 64 - bits)
-    row, bit = F.shiftright(place, 15), place.bitwiseAND(F.lit((1 << 15) - 1))
-    taken = names.select("repo_id", "gram").select(row.alias("row"), bit.alias("bit")).groupBy("row").agg(F.bitmap_construct_agg("bit").alias("bits"))
-    met = grams.withColumns({"row": row, "bit": bit}).join(F.broadcast(taken), "row")
-    byte = F.conv(F.hex(F.expr("substring(bits, cast(bit div 8 as int) + 1, 1)")), 16, 10).cast("int")
-    return met.where(F.expr("1 << cast(bit % 8 as int)").bitwiseAND(byte) != 0).select(*grams.columns)
+    Only the functions of changed files are searched for all names, and the others for names that weren't there before; only calls with an end in
+    a changed file are made anew. The result is that of linking everything. All rows are of the changed repositories.
+    """
+    file = ["repo_id", "file"]
+    inside, outside = after.join(changed, file, "left_semi"), after.join(changed, file, "left_anti")
+    old, new = callable_names(before), callable_names(after)
+    own = mentions(inside, new)
+    fresh = mentions(outside, new.join(old, ["repo_id", "name"], "left_anti"))
+    gone = old.join(new, ["repo_id", "name"], "left_anti")
+    kept = mentioned.join(changed.withColumnRenamed("file", "src_file"), ["repo_id", "src_file"], "left_anti").join(gone, ["repo_id", "name"], "left_anti")
+    others = kept.unionByName(fresh)
+
+    dropped = before.join(changed, file, "left_semi").select("uid")
+    stay = calls.join(dropped.withColumnRenamed("uid", "src_uid"), "src_uid", "left_anti").join(dropped.withColumnRenamed("uid", "dst_uid"), "dst_uid", "left_anti")
+    made = resolve(own, after).unionByName(resolve(others, inside))
+    columns = ["repo_id", "src_uid", "src_file", "name"]
+    return others.unionByName(own).select(columns), stay.select("repo_id", "src_uid", "dst_uid").unionByName(made)
 
 
 def _ends(calls: DataFrame, entities: DataFrame) -> DataFrame:
@@ -187,8 +239,12 @@ def delete_files(entities: DataFrame, calls: DataFrame, gone: DataFrame) -> tupl
     return left, kept
 
 
+def last_captured(new: DataFrame) -> DataFrame:
+    """Of the rows of one uid the last captured one (new needs capture_idx, which is left out)."""
+    last = F.row_number().over(Window.partitionBy("uid").orderBy(F.desc("capture_idx"), F.desc("start_line"), F.desc("end_line"), "type", "raw_code"))
+    return new.withColumn("rn", last).where("rn = 1").drop("rn", "capture_idx")
+
+
 def upsert_entities(old: DataFrame, new: DataFrame) -> DataFrame:
     """Entities after new files replace old ones; of one uid the last captured row stays (new needs capture_idx)."""
-    last = F.row_number().over(Window.partitionBy("uid").orderBy(F.desc("capture_idx")))
-    fresh = new.withColumn("rn", last).where("rn = 1").drop("rn", "capture_idx")
-    return old.join(new.select("repo_id", "file").distinct(), ["repo_id", "file"], "left_anti").unionByName(fresh)
+    return old.join(new.select("repo_id", "file").distinct(), ["repo_id", "file"], "left_anti").unionByName(last_captured(new))

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,35 +11,24 @@ from pyspark.sql import functions as F
 from ..functions import decide
 from ..operators import diff, graph, ops, review, rules, vector
 from ..sources.adapters import oracle, source
+from ..sources.store import stage
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
 
 
 class Tables:
-    """Adapters and tables by attribute."""
+    """Adapters and tables by attribute. The calls of a query are linked once, and written, as the engine keeps them; no other query sees them."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self._at = (spark, sf_dir)
 
     def __getattr__(self, name: str) -> DataFrame:
-        if name == "calls":
-            return _staged_calls(*self._at)
         return source(*self._at, name)
 
-
-_CALLS: dict[tuple[str, str], str] = {}
-
-
-def _staged_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The table of calls, linked once a session and written to the shared folder, as the engine keeps it; queries read it from there."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _CALLS:
-        base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "/tmp/checkpoints"
-        path = f"{base.rstrip('/')}/codelake/calls-{uuid.uuid4().hex}"
-        graph.link_dependencies(source(spark, sf_dir, "ent")).write.parquet(path)
-        _CALLS[key] = path
-    return spark.read.parquet(_CALLS[key])
+    @cached_property
+    def calls(self) -> DataFrame:
+        return stage(graph.link_dependencies(self.ent), "calls")
 
 
 def query(name: str, sql: str | None = None, **more: str):

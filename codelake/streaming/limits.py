@@ -50,6 +50,11 @@ def fresh_entries(entries: DataFrame, key: str, delay: str = "120 minutes") -> D
     return entries.withWatermark("created_at", delay).dropDuplicatesWithinWatermark([key])
 
 
-def ingest_stream(files: DataFrame, upsert: Callable[[DataFrame, int], None], checkpoint: str):
-    """Starts a query that hands each micro-batch of files to upsert(batch, id); a batch that is tried again comes with the same id."""
-    return files.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).start()
+def ingest_stream(files: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str, available_now: bool = False):
+    """Starts a query that hands each micro-batch of files(repo_id, file, language, content, deleted) to apply(batch, id), such as Engine.apply.
+
+    A batch that is tried again after a failure comes with the same rows; as apply replaces by file and commits once, that changes nothing.
+    available_now ends the query with what is there.
+    """
+    writer = files.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
