@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Requests a minute by class of endpoint.
+#: Tokens a minute by class of endpoint.
 LIMITS = {"ingestion": 10, "search": 60, "review": 30, "webhook": 100, "default": 120}
 
 
@@ -19,22 +23,72 @@ def offered_load(requests: DataFrame, seconds: int, *key: str) -> DataFrame:
     return requests.withColumn("at", micros(F.col("ts"))).withColumn("offered", F.sum("tokens").over(w)).drop("at")
 
 
-def admissions(requests: DataFrame, seconds: int, limit: int, *key: str) -> DataFrame:
-    """(key..., id, admitted): the sliding log, one request after the other; what is turned away isn't recorded.
+def class_limit(endpoint_class: Column) -> Column:
+    """The limit of a class of endpoint, that of the default class for others."""
+    out = F.lit(LIMITS["default"])
+    for name, limit in LIMITS.items():
+        out = F.when(endpoint_class == name, limit).otherwise(out)
+    return out
+
+
+#: Above this share of its limit an admitted request is warned.
+WARN = 0.8
+
+
+class SlidingLog:
+    """The admitted requests of one key within the window, with the sum of their tokens; what is turned away isn't recorded."""
+
+    def __init__(self, window: int, log: Iterable[tuple[int, int]] = ()):
+        self._window, self.log = window, deque(log)
+        self._used = sum(n for _, n in self.log)
 
-    Only the last `limit` admitted times can matter, so the state is that small array; a key's requests stay in order in one row.
+    def ask(self, at: int, tokens: int, limit: int) -> tuple[bool, int, int, bool]:
+        """Whether a request of `tokens` is admitted at `at` (microseconds), the tokens used before it, the whole seconds after which the oldest request
+        leaves the window (0 if admitted, or if there is none), and whether it comes above the share that is warned of."""
+        while self.log and self.log[0][0] <= at - self._window:
+            self._used -= self.log.popleft()[1]
+        used, ok = self._used, self._used + tokens <= limit
+        if ok:
+            self.log.append((at, tokens))
+            self._used += tokens
+        retry = 0 if ok or not self.log else (self._window - (at - self.log[0][0])) // 1_000_000
+        return ok, used, retry, ok and used + tokens > WARN * limit
+
+
+def rate_decisions(requests: DataFrame, seconds: int, limit: Column, *key: str, tokens: str = "tokens") -> DataFrame:
+    """(key..., id, admitted, used long, retry_after int, warned): the sliding log over requests(key..., id, ts, tokens), one after the other in order of ts
+    and id.
+
+    A request is admitted if the tokens of those admitted within the last `seconds` (the beginning is open) and its own don't exceed the limit. A
+    null of tokens counts 1; rows without ts are left out. A key's requests stream through one task in order, which holds no more of them than the
+    window does.
     """
-    item = F.struct(micros(F.col("ts")).alias("at"), F.col("id").cast("long").alias("id"))
-    grouped = requests.groupBy(*key).agg(F.array_sort(F.collect_list(item)).alias("asked"))
-    start = F.expr("named_struct('log', cast(array() as array<bigint>), 'out', cast(array() as array<struct<id:bigint,admitted:boolean>>))")
+    rows = requests.select(*key, F.col("id").cast("long").alias("id"), micros(F.col("ts")).alias("__at"), F.coalesce(F.col(tokens), F.lit(1)).cast("long").alias("__tokens"), limit.cast("long").alias("__limit"))
+    rows = rows.where("__at is not null").repartition(*key).sortWithinPartitions(*key, "__at", "id")
+    names, window = [*key, "id"], seconds * 1_000_000
+    types = ", ".join(f"`{n}` {rows.schema[n].dataType.simpleString()}" for n in names)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, log = object(), None
+        for batch in batches:
+            columns = [batch.column(i).to_pylist() for i in range(len(key))]
+            out = []
+            for *own, at, n, most in zip(*columns, *(batch.column(len(key) + i).to_pylist() for i in (1, 2, 3)), strict=True):
+                if own != last:
+                    last, log = own, SlidingLog(window)
+                out.append(log.ask(at, n, most))
+            told = list(zip(*out, strict=True)) if out else [(), (), (), ()]
+            kinds = (pa.bool_(), pa.int64(), pa.int32(), pa.bool_())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(i) for i in range(len(names))] + [pa.array(c, t) for c, t in zip(told, kinds, strict=True)], names=[*names, "admitted", "used", "retry_after", "warned"]
+            )
+
+    return rows.mapInArrow(fold, f"{types}, admitted boolean, used long, retry_after int, warned boolean")
 
-    def step(s: Column, x: Column) -> Column:
-        ok = F.size(F.filter(s["log"], lambda t: t > x["at"] - seconds * 1_000_000)) < limit
-        log = F.when(ok, F.slice(F.concat(s["log"], F.array(x["at"])), -1 * F.least(F.size(s["log"]) + 1, F.lit(limit)), F.lit(limit))).otherwise(s["log"])
-        return F.struct(log.alias("log"), F.array_append(s["out"], F.struct(x["id"].alias("id"), ok.alias("admitted"))).alias("out"))
 
-    done = grouped.select(*key, F.explode(F.aggregate("asked", start, step)["out"]).alias("r"))
-    return done.select(*key, F.col("r.id").alias("id"), F.col("r.admitted").alias("admitted"))
+def admissions(requests: DataFrame, seconds: int, limit: int, *key: str) -> DataFrame:
+    """(key..., id, admitted): the sliding log where each request counts one."""
+    return rate_decisions(requests.withColumn("__one", F.lit(1)), seconds, F.lit(limit), *key, tokens="__one").select(*key, "id", "admitted")
 
 
 def usage(requests: DataFrame, now: Column, seconds: int, *key: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import decide
 from ..functions.decide import SEVERITIES, severity_rank
+from .dedupe import greedy_dedupe
 
 
 def counts_by(issues: DataFrame, key: str, what: str) -> DataFrame:
@@ -61,9 +62,13 @@ def event_by_sections(issues: DataFrame, key: str, critical: int = 1, approve: i
 
 
 def overlay_merge(base: DataFrame, overlay: DataFrame, group: str, key: str) -> DataFrame:
-    """Rows of both by key within group, the overlay's first; rows with a null or empty key are dropped; source tells where a row is from."""
+    """Rows of both by key within group, the overlay's first; rows with a null or empty key are dropped; source tells where a row is from.
+
+    Of several rows of one source and key the first by idx stays, and of those equal in it the one whose other columns come first.
+    """
     both = overlay.withColumn("source", F.lit("temporary")).withColumn("__o", F.lit(0)).unionByName(base.withColumn("source", F.lit("permanent")).withColumn("__o", F.lit(1)))
-    first = F.row_number().over(Window.partitionBy(group, key).orderBy("__o", "idx"))
+    others = [c for c in overlay.columns if c not in (group, key, "idx")]
+    first = F.row_number().over(Window.partitionBy(group, key).orderBy("__o", "idx", *others))
     return both.where(F.col(key).isNotNull() & (F.col(key) != "")).withColumn("__r", first).where("__r = 1").drop("__r", "__o")
 
 
@@ -71,130 +76,18 @@ def union_names(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.unionByName(b).distinct()
 
 
-def search_merge(base: DataFrame, overlay: DataFrame, group: str, min_overlay: float, limit: int = 10) -> DataFrame:
-    """Hits of both, best first, the base's first among equals; overlay hits need min_overlay."""
+def search_merge(base: DataFrame, overlay: DataFrame, group: str, min_overlay: float, limit: int = 10, text: str | None = None) -> DataFrame:
+    """Hits of both, best first, the base's first among equals; overlay hits need min_overlay. With text, the column of that name, hits whose words are
+    those of a better one that stays, or nearly so, leave before the limit is counted."""
     both = base.withColumn("source", F.lit("permanent")).unionByName(overlay.where(F.col("score") >= min_overlay).withColumn("source", F.lit("temporary")))
+    if text is not None:
+        both = both.withColumns({"idx": F.struct("source", "id"), "__less": -F.col("score")})
+        stays = greedy_dedupe(both, group, ["__less", "source", "id"], text).select(F.col(group).alias("__g"), F.col("idx").alias("__i"))
+        both = both.join(stays, (F.col(group) == F.col("__g")) & (F.col("idx") == F.col("__i")), "left_semi").drop("idx", "__less")
     rank = F.row_number().over(Window.partitionBy(group).orderBy(F.desc("score"), "source", "id"))
     return both.withColumn("rank", rank).where(F.col("rank") <= limit)
 
 
-def word_set(text: Column) -> Column:
-    return F.array_distinct(F.filter(F.split(F.lower(text), r"(?U)\s+"), lambda w: w != ""))
-
-
-def greedy_dedupe(rows: DataFrame, group: str, order: list[str], text: str, threshold: float = 0.8) -> DataFrame:
-    """(group, idx, place): rows that aren't near one that was kept before them, in order; empty texts are never near.
-
-    All rows count, and their whole texts. The order matters, so a group is one task's work, which streams over its rows in order and holds
-    the word hashes of those that it kept.
-    """
-    place = F.row_number().over(Window.partitionBy(group).orderBy(*order))
-    words = F.array_sort(F.transform(word_set(F.coalesce(F.col(text), F.lit(""))), lambda w: F.xxhash64(w)))
-    # The window leaves each group together and in order, which the fold relies on.
-    placed = rows.select(group, "idx", words.alias("words"), *(c for c in order if c not in (group, "idx"))).withColumn("place", place).select(group, "idx", "place", "words")
-    types = {f.name: f.dataType.simpleString() for f in placed.schema.fields}
-    return placed.mapInArrow(_greedy_fold(threshold), f"`{group}` {types[group]}, idx {types['idx']}, place int")
-
-
-def _greedy_fold(threshold: float, sample: int = 2_000, sample_words: int = 2_000_000, bits: int = 22):
-    """The fold of greedy_dedupe over batches of (group, idx, place, words).
-
-    A set of n words that is near another shares one of its first n - ceil(threshold n) + 1 words with it, under any one order of the words;
-    so only kept rows that are listed under one of these are compared. Words that are rare in the group's first `sample` rows come first,
-    which decides speed only, as do the 2**bits lists.
-    """
-
-    def run(batches):
-        import math
-        from array import array
-
-        import numpy as np
-        import pyarrow as pa
-
-        def fold(sets, state):
-            """For each set whether it is kept."""
-            vocabulary, counts, heads, before, of, kept = state
-            out = []
-            for s in sets:
-                n = len(s)
-                if not n:
-                    out.append(True)
-                    continue
-                at = np.minimum(np.searchsorted(vocabulary, s), len(vocabulary) - 1)
-                often = np.where(vocabulary[at] == s, counts[at], 0)
-                first = s[np.lexsort((s, often))[: n - math.ceil(threshold * n - 1e-9) + 1]]
-                lists = (first.view(np.uint64) >> np.uint64(64 - bits)).tolist()
-                seen, near = set(), False
-                for k in lists:
-                    entry = heads[k]
-                    while entry >= 0 and not near:
-                        row = of[entry]
-                        if row not in seen:
-                            seen.add(row)
-                            other = kept[row]
-                            m = len(other)
-                            if m >= threshold * n - 1e-9 and n >= threshold * m - 1e-9:
-                                both = len(np.intersect1d(s, other, assume_unique=True))
-                                near = both >= threshold * (n + m - both)
-                        entry = before[entry]
-                    if near:
-                        break
-                out.append(not near)
-                if not near:
-                    for k in set(lists):
-                        before.append(heads[k])
-                        of.append(len(kept))
-                        heads[k] = len(before) - 1
-                    kept.append(s.copy())
-            return out
-
-        def emit(batch, keep):
-            return batch.select(["group", "idx", "place"]).filter(pa.array(keep, pa.bool_()))
-
-        def fresh(sets):
-            sets = [s for s in sets if len(s)]
-            vocabulary, counts = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(1, np.int64), np.zeros(1, np.int64))
-            return vocabulary, counts, array("i", [-1]) * (1 << bits), array("i"), array("i"), []
-
-        def sets_of(batch):
-            words = batch.column(3)
-            flat, ends = words.values.to_numpy(zero_copy_only=False), words.offsets.to_numpy()
-            return [flat[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-
-        def parts():
-            """Slices of the batches, each of one group."""
-            for batch in batches:
-                batch = batch.rename_columns(["group", "idx", "place", "words"])
-                places = batch.column(2).to_numpy()
-                cuts = [0, *(np.flatnonzero(places[1:] == 1) + 1).tolist(), batch.num_rows] if batch.num_rows else []
-                for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                    yield batch.slice(a, b - a)
-
-        waiting, rows, words, state = [], 0, 0, None
-
-        def flush():
-            nonlocal waiting, rows, words, state
-            held, waiting, rows, words = waiting, [], 0, 0
-            if held:
-                if state is None:
-                    state = fresh([s for _, sets in held for s in sets])
-                for batch, sets in held:
-                    yield emit(batch, fold(sets, state))
-
-        for batch in parts():
-            if batch.column(2)[0].as_py() == 1:  # a group's first row
-                yield from flush()
-                state = None
-            sets = sets_of(batch)
-            waiting.append((batch, sets))
-            rows, words = rows + len(sets), words + sum(map(len, sets))
-            if state is not None or rows >= sample or words >= sample_words:
-                yield from flush()
-        yield from flush()
-
-    return run
-
-
 def consistency(vectors: DataFrame, graph: DataFrame, key: str) -> DataFrame:
     """(key, vectors, nodes, state): whether both stores hold a repository, or which one alone does."""
     v = vectors.groupBy(key).agg(F.count("*").alias("vectors"))

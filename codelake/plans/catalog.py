@@ -297,7 +297,7 @@ CASE WHEN quality > 5 THEN '✨ ' || quality || ' code quality issues found. Add
 
 query(
     "overlay_merge",
-    "SELECT repo_id, name, file, idx, source FROM (SELECT *, row_number() OVER (PARTITION BY repo_id, name ORDER BY o, idx) AS r FROM (SELECT repo_id, name, file, start_line AS idx, 'temporary' AS source, 0 AS o FROM {ent} WHERE type = 'Class' UNION ALL SELECT repo_id, name, file, start_line, 'permanent', 1 FROM {ent} WHERE type <> 'Class') WHERE name <> '') WHERE r = 1",
+    "SELECT repo_id, name, file, idx, source FROM (SELECT *, row_number() OVER (PARTITION BY repo_id, name ORDER BY o, idx, file) AS r FROM (SELECT repo_id, name, file, start_line AS idx, 'temporary' AS source, 0 AS o FROM {ent} WHERE type = 'Class' UNION ALL SELECT repo_id, name, file, start_line, 'permanent', 1 FROM {ent} WHERE type <> 'Class') WHERE name <> '') WHERE r = 1",
 )(lambda t: review.overlay_merge((e := t.ent.select("repo_id", "name", "file", F.col("start_line").alias("idx"), "type")).where("type <> 'Class'").drop("type"), e.where("type = 'Class'").drop("type"), "repo_id", "name"))
 query("union_imports", "SELECT repo_id, file FROM {ent} UNION SELECT repo_id, file FROM {chunks}")(lambda t: review.union_names(t.ent.select("repo_id", "file"), t.chunks.select("repo_id", "file")))
 query(
@@ -342,15 +342,17 @@ def _language(path):
 
 # Operations
 
+_PATHS = "CASE endpoint WHEN 'view' THEN '/api/search/x' WHEN 'purchase' THEN '/api/process' WHEN 'error' THEN '/webhook' WHEN 'click' THEN '/Process/ingest' ELSE '/api/reviews/context' END"
 query("rate_offered_load", "SELECT id, sum(tokens) OVER (PARTITION BY installation, endpoint ORDER BY epoch_us(ts) RANGE BETWEEN 86399999999 PRECEDING AND CURRENT ROW)::BIGINT AS offered FROM {requests}")(lambda t: ops.offered_load(t.requests, 86_400, "installation", "endpoint").select("id", "offered"))
 query("rate_admission")(lambda t: ops.admissions(t.requests, 86_400, 2, "installation", "endpoint"))
+# An installation in ten, and the classes of its endpoints, by the hour.
+query("rate_limiter")(lambda t: ops.rate_decisions(t.requests.withColumns({"installation": F.col("installation") % 10, "class": decide.endpoint_class(F.expr(_PATHS))}), 3_600, ops.class_limit(F.col("class")), "installation", "class"))
 query("rate_usage", "SELECT installation, endpoint, sum(tokens)::BIGINT AS used FROM {requests} WHERE ts > TIMESTAMP '2024-01-15' - INTERVAL 30 DAY AND ts <= TIMESTAMP '2024-01-15' GROUP BY ALL")(lambda t: ops.usage(t.requests, F.to_timestamp(F.lit("2024-01-15")), 30 * 86_400, "installation", "endpoint"))
 query("token_daily", "SELECT strftime(ts, '%Y-%m-%d') AS day, sum(tokens)::BIGINT AS tokens, sum(tokens) > 600 AS over, sum(tokens) > 480 AS warned FROM {requests} GROUP BY 1")(lambda t: ops.daily_tokens(t.requests, 600))
 query("token_monthly", "SELECT strftime(ts, '%Y-%m') AS month, sum(tokens)::BIGINT AS tokens FROM {requests} GROUP BY 1")(lambda t: ops.monthly_tokens(t.requests))
 query("token_running", "SELECT strftime(d, '%Y-%m-%d') AS day, tokens, sum(tokens) OVER (PARTITION BY strftime(d, '%Y-%m') ORDER BY d)::BIGINT AS month_to_date FROM (SELECT CAST(ts AS DATE) AS d, sum(tokens)::BIGINT AS tokens FROM {requests} GROUP BY 1)")(lambda t: ops.running_tokens(t.requests))
 query("cache_stats", "SELECT pr, count(*) AS total, count(*) FILTER (TIMESTAMP '2024-01-15' - created_at > INTERVAL 120 MINUTE) AS expired, count(*) FILTER (NOT TIMESTAMP '2024-01-15' - created_at > INTERVAL 120 MINUTE) AS active FROM {reviews} GROUP BY pr")(lambda t: ops.cache_stats(t.reviews, F.to_timestamp(F.lit("2024-01-15")), 120, "pr"))
 query("cache_keys", "SELECT review_id, sha256(pr || ':' || review_id) AS key FROM {reviews}")(lambda t: t.reviews.select("review_id", ops.cache_key(F.col("pr"), F.col("review_id")).alias("key")))
-_PATHS = "CASE endpoint WHEN 'view' THEN '/api/search/x' WHEN 'purchase' THEN '/api/process' WHEN 'error' THEN '/webhook' WHEN 'click' THEN '/Process/ingest' ELSE '/api/reviews/context' END"
 query("endpoint_class", "SELECT id, CASE endpoint WHEN 'view' THEN 'search' WHEN 'purchase' THEN 'ingestion' WHEN 'error' THEN 'webhook' WHEN 'click' THEN 'ingestion' ELSE 'search' END AS class FROM {requests}")(
     lambda t: t.requests.select("id", decide.endpoint_class(F.expr(_PATHS)).alias("class"))
 )

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from codelake.engine import Engine
 from codelake.operators import ops
 from codelake.sources import ingest
-from codelake.streaming.limits import admission_stream, offered_load_stream
+from codelake.streaming.limits import admission_stream, offered_load_stream, rate_decision_stream
 from tests.test_operators import requests
 
 PYTHON = '''import os
@@ -90,3 +90,18 @@ def test_streams(spark, tmp_path):
             q.stop()
     got = {r.id: r.admitted for r in spark.table("admitted").collect()}
     assert got == {r.id: r.admitted for r in ops.admissions(table, 60, 3, "installation", "endpoint").collect()}
+
+
+def test_decisions_of_a_stream(spark, tmp_path):
+    table = requests(spark, 200).withColumn("tokens", (1 + F.col("id") % 5).cast("long"))
+    table.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(table.schema).parquet(str(tmp_path / "in"))
+    limits = {"a": 11, "default": 6}
+    q = rate_decision_stream(stream, 60, limits).writeStream.format("memory").queryName("decided").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    try:
+        assert q.awaitTermination(120)
+    finally:
+        q.stop()
+    got = {r.id: (r.admitted, r.used, r.retry_after, r.warned) for r in spark.table("decided").collect()}
+    want = ops.rate_decisions(table, 60, F.when(F.col("endpoint") == "a", 11).otherwise(6), "installation", "endpoint")
+    assert got == {r.id: (r.admitted, r.used, r.retry_after, r.warned) for r in want.collect()} and {v[0] for v in got.values()} == {True, False}

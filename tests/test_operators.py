@@ -139,6 +139,32 @@ def test_admissions(spark):
     assert {r.id: r.admitted for r in ops.admissions(table.where("installation = 9"), 60, 1, "installation", "endpoint").collect()} == {400: True, 401: True}
 
 
+def model_decisions(rows, seconds, limits):
+    """The limiter, one request after the other."""
+    log, out = defaultdict(list), {}
+    for r in sorted(rows, key=lambda r: (r.ts, r.id)):
+        recent = [(t, n) for t, n in log[r.installation, r.endpoint] if t > r.ts - dt.timedelta(seconds=seconds)]
+        used, limit = sum(n for _, n in recent), limits.get(r.endpoint, limits["default"])
+        ok = used + r.tokens <= limit
+        retry = 0 if ok or not recent else int(seconds - (r.ts - recent[0][0]).total_seconds())
+        out[r.id] = (ok, used, retry, ok and used + r.tokens > 0.8 * limit)
+        log[r.installation, r.endpoint] = [*recent, (r.ts, r.tokens)] if ok else recent
+    return out
+
+
+def test_decisions_by_tokens(spark):
+    table = requests(spark, 3000).withColumn("tokens", (1 + F.col("id") % 4).cast("int")).withColumn("installation", F.when(F.col("id") % 3 > 0, 7).otherwise(F.col("installation")))
+    limits = {"a": 9, "b": 25, "default": 12}
+    limit = F.when(F.col("endpoint") == "a", 9).when(F.col("endpoint") == "b", 25).otherwise(12)
+    for batch in (7, 10_000):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        got = {r.id: (r.admitted, r.used, r.retry_after, r.warned) for r in ops.rate_decisions(table, 60, limit, "installation", "endpoint").collect()}
+        assert got == model_decisions(table.collect(), 60, limits)
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {v[0] for v in got.values()} == {v[3] for v in got.values()} == {True, False} and max(v[2] for v in got.values()) > 10
+    assert {r.c: r.n for r in spark.createDataFrame([("ingestion",), ("webhook",), ("other",)], "c string").select("c", ops.class_limit(F.col("c")).alias("n")).collect()} == {"ingestion": 10, "webhook": 100, "other": 120}
+
+
 def test_locks(spark):
     at = dt.datetime(2024, 1, 1)
     asks = spark.createDataFrame([(i, "r", at + dt.timedelta(seconds=s)) for i, s in enumerate((0, 10, 1799, 1800, 3000))], "id long, repo string, ts timestamp")
