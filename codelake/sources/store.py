@@ -175,10 +175,13 @@ class Change:
         rows = rows.select(schema.names).withColumn("bucket", store.bucket(key))
         counted = rows.observe(seen, F.count("*").alias("rows"), F.collect_set("bucket").alias("buckets"))
         counted.repartition("bucket").write.partitionBy("bucket").parquet(f"{store.root}/{table}/repo_id={self.repo_id}/{folder}")
-        present = sorted(seen.get["buckets"])
+        # Where Spark finds while it runs that there are no rows, it leaves the counting out with them.
+        some = any(n.startswith("bucket=") for n in store._names(table, f"repo_id={self.repo_id}", folder))
+        got = seen.get if some else {"rows": 0, "buckets": []}
+        present = sorted(got["buckets"])
         held = {} if touched is None else {b: f for b, f in self._after.get(table, {}).items() if int(b) not in touched}
         self._after[table] = held | {str(b): folder for b in present}
-        self.metrics[table] = {"rows": seen.get["rows"], "buckets": len(present)}
+        self.metrics[table] = {"rows": got["rows"], "buckets": len(present)}
 
     def replace(self, table: str, rows: DataFrame) -> DataFrame:
         """rows take the place of all of the repository's; gives them as written."""
