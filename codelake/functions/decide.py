@@ -140,6 +140,22 @@ def route_decision(error_steps: Column, strategy: Column) -> Column:
     return F.when(failed, "error").otherwise(F.coalesce(strategy, F.lit("standard")))
 
 
+#: Attempts after which a review is made without a model.
+MAX_RETRIES = 3
+
+
+def error_recovery(message: Column, retries: Column) -> Column:
+    """What becomes of a review that failed: struct of action (retry, retry_later, end, fallback or fail), and the times it was tried by then.
+
+    What isn't allowed fails at once; a rate limit is waited for, and other errors are tried again, as long as fewer than MAX_RETRIES attempts were
+    made, this one included; then it ends, and one that comes with MAX_RETRIES already made, and no rate limit, gets a report without a model.
+    A null message is an error like another, null retries are none.
+    """
+    low, n = F.lower(F.coalesce(message, F.lit(""))), F.coalesce(retries, F.lit(0))
+    action = F.when(F.contains(low, F.lit("rate limit")), F.when(n + 1 < MAX_RETRIES, "retry_later").otherwise("end")).when(F.contains(low, F.lit("authentication")) | F.contains(low, F.lit("api key")), "fail")
+    return F.struct(action.when(n >= MAX_RETRIES, "fallback").when(n + 1 < MAX_RETRIES, "retry").otherwise("end").alias("action"), (n + 1).alias("retries"))
+
+
 def merge_source(overlaid: Column, base: Column) -> Column:
     """Where a merged context is from, by whether the overlay and the base have anything."""
     return F.when(overlaid & base, "merged").when(overlaid, "temporary").otherwise("permanent")

@@ -29,6 +29,13 @@ def _left(rows: DataFrame, found: DataFrame, key: list[str], name: str) -> DataF
     return rows.join(more, key, "left").withColumn(f"n_{name}", F.coalesce(f"__{name}", F.lit(0))).drop(f"__{name}")
 
 
+def filled(found: DataFrame, keys: DataFrame | None, key: list[str], default: str) -> DataFrame:
+    """found(key..., text) with a row for each of keys, the default where it has none; found itself without keys."""
+    if keys is None:
+        return found
+    return keys.select(*key).distinct().join(found, key, "left").select(*key, F.coalesce("text", F.lit(default)).alias("text"))
+
+
 # Fixed values from here on: the texts of lines, headings and placeholders.
 _AT_LINE = "- **%s** (line %d): %s"
 
@@ -54,42 +61,48 @@ def files_details(files: DataFrame, key: str, most: int = 15) -> DataFrame:
     return listed(files, [key], ["filename"], text, most, sep="\n\n").drop("n")
 
 
-def hotspots_text(entities: DataFrame, calls: DataFrame, min_calls: int = 5, most: int = 5) -> DataFrame:
-    """(repo_id, text): the functions of a repository that call most others."""
+def hotspots_text(entities: DataFrame, calls: DataFrame, min_calls: int = 5, most: int = 5, keys: DataFrame | None = None) -> DataFrame:
+    """(repo_id, text): the functions of a repository that call most others; "None detected" for those of keys(repo_id) that have none."""
     counted = repo_hotspots(entities, calls, min_calls)
-    return listed(counted, ["repo_id"], ["place"], F.format_string("- %s: %s (%d calls)", "file", "name", "calls"), most).drop("n")
+    return filled(listed(counted, ["repo_id"], ["place"], F.format_string("- %s: %s (%d calls)", "file", "name", "calls"), most).drop("n"), keys, ["repo_id"], "None detected")
 
 
-def coupling_text(entities: DataFrame, calls: DataFrame, min_calls: int = 5, most: int = 5) -> DataFrame:
+def coupling_text(entities: DataFrame, calls: DataFrame, min_calls: int = 5, most: int = 5, keys: DataFrame | None = None) -> DataFrame:
+    """(repo_id, text): the pairs of files with most calls between them; "None detected" for those of keys(repo_id) that have none."""
     pairs = graph.file_dependencies(entities, calls).where(F.col("calls") >= min_calls)
-    return listed(pairs, ["repo_id"], [F.desc("calls"), "file", "depends_on"], F.format_string("- %s ↔ %s (%d connections)", "file", "depends_on", "calls"), most).drop("n")
+    found = listed(pairs, ["repo_id"], [F.desc("calls"), "file", "depends_on"], F.format_string("- %s ↔ %s (%d connections)", "file", "depends_on", "calls"), most).drop("n")
+    return filled(found, keys, ["repo_id"], "None detected")
+
 
+_NOTHING = "None found - repository may need re-ingestion"
 
-def entities_summary(entities: DataFrame, per_file: int = 5, most: int = 15) -> DataFrame:
-    """(repo_id, text): the first entities of each file, the first files' first."""
+
+def entities_summary(entities: DataFrame, per_file: int = 5, most: int = 15, keys: DataFrame | None = None) -> DataFrame:
+    """(repo_id, text): the first entities of each file, the first files' first; a note for those of keys(repo_id) that have none."""
     own = graph.file_entities(entities, per_file)
     found = listed(own, ["repo_id"], ["file", "rank"], F.format_string("  - %s (%s) in %s", "name", "type", "file"), most)
-    return found.select("repo_id", F.concat(F.lit("\n📊 Key Entities (GraphRAG):\n"), "text").alias("text"))
+    return filled(found.select("repo_id", F.concat(F.lit("\n📊 Key Entities (GraphRAG):\n"), "text").alias("text")), keys, ["repo_id"], _NOTHING)
 
 
-def dependencies_summary(entities: DataFrame, calls: DataFrame, per_file: int = 5, most: int = 15) -> DataFrame:
-    """(repo_id, text): the first calls out of each file."""
+def dependencies_summary(entities: DataFrame, calls: DataFrame, per_file: int = 5, most: int = 15, keys: DataFrame | None = None) -> DataFrame:
+    """(repo_id, text): the first calls out of each file; a note for those of keys(repo_id) that have none."""
     ends = graph._ends(calls, entities)
     place = F.row_number().over(Window.partitionBy("repo_id", "src_file").orderBy("src_uid", "dst_uid"))
     own = ends.withColumn("place", place).where(F.col("place") <= per_file)
     found = listed(own, ["repo_id"], ["src_file", "place"], F.format_string("  - %s → %s (calls) in %s", "src_name", "dst_name", "src_file"), most)
-    return found.select("repo_id", F.concat(F.lit("\n🔗 Dependencies (GraphRAG):\n"), "text").alias("text"))
+    return filled(found.select("repo_id", F.concat(F.lit("\n🔗 Dependencies (GraphRAG):\n"), "text").alias("text")), keys, ["repo_id"], _NOTHING)
 
 
-def compressed_similar(hits: DataFrame, key: str = "query_id", most: int = 3) -> DataFrame:
-    """(key, text): hits(key, rank, file, start_line, type, score) in short."""
+def compressed_similar(hits: DataFrame, key: str = "query_id", most: int = 3, keys: DataFrame | None = None) -> DataFrame:
+    """(key, text): hits(key, rank, file, start_line, type, score) in short; "None found" for those of keys(key) without any."""
     line = F.format_string("- %s:%d (%s, score: %.2f)", "file", "start_line", "type", "score")
-    return listed(hits, [key], ["rank"], line, most, "... +%d more").drop("n")
+    return filled(listed(hits, [key], ["rank"], line, most, "... +%d more").drop("n"), keys, [key], "None found")
 
 
-def compressed_dependencies(entities: DataFrame, calls: DataFrame, most: int = 5) -> DataFrame:
-    """(repo_id, src_uid, text): what an entity calls, in short."""
-    return listed(graph._ends(calls, entities), ["repo_id", "src_uid"], ["dst_uid"], F.format_string("- %s (%s)", "dst_name", "dst_file"), most, "... +%d more").drop("n")
+def compressed_dependencies(entities: DataFrame, calls: DataFrame, most: int = 5, keys: DataFrame | None = None) -> DataFrame:
+    """(repo_id, src_uid, text): what an entity calls, in short; "None" for those of keys(repo_id, src_uid) that call nothing."""
+    key = ["repo_id", "src_uid"]
+    return filled(listed(graph._ends(calls, entities), key, ["dst_uid"], F.format_string("- %s (%s)", "dst_name", "dst_file"), most, "... +%d more").drop("n"), keys, key, "None")
 
 
 def similar_snippets(hits: DataFrame, key: str = "query_id", most: int = 5, longest: int = 300) -> DataFrame:
@@ -113,14 +126,16 @@ def dependency_impact(entities: DataFrame, calls: DataFrame, most: int = 5) -> D
 
 
 def entity_tree(entities: DataFrame, calls: DataFrame, most: int = 8) -> DataFrame:
-    """(repo_id, file, text): the first entities of a file, with what they call and what calls them."""
+    """(repo_id, file, text): the first entities of a file, with what they call, what calls them, and the first files that they use."""
     ends = graph._ends(calls, entities)
     key = ["repo_id", "uid"]
     out = listed(ends.withColumnRenamed("src_uid", "uid"), key, ["dst_uid"], F.concat(F.lit("`"), "dst_name", F.lit("`")), 5, sep=", ")
     into = listed(ends.withColumnRenamed("dst_uid", "uid"), key, ["src_uid"], F.concat(F.lit("`"), "src_name", F.lit("`")), 3, sep=", ")
-    own = _left(_left(graph.file_entities(entities, most), out, key, "calls"), into, key, "callers")
+    files = ends.select("repo_id", F.col("src_uid").alias("uid"), "dst_file").distinct()
+    uses = listed(files, key, ["dst_file"], F.concat(F.lit("`"), "dst_file", F.lit("`")), 3, sep=", ")
+    own = _left(_left(_left(graph.file_entities(entities, most), out, key, "calls"), into, key, "callers"), uses, key, "uses")
     line = lambda head, name, shown: F.concat(F.lit(f"├─ {head}: "), name, F.when(F.col(f"n_{name}") > shown, F.format_string(" _(+%d more)_", F.col(f"n_{name}") - shown)).otherwise(""))
-    tree = F.concat_ws("\n", F.format_string("**`%s`** (%s)", "name", "type"), line("Calls", "calls", 5), line("Called by", "callers", 3))
+    tree = F.concat_ws("\n", F.format_string("**`%s`** (%s)", "name", "type"), line("Calls", "calls", 5), line("Called by", "callers", 3), F.concat(F.lit("└─ Uses: "), "uses"))
     return listed(own, ["repo_id", "file"], ["rank"], tree, most, sep="\n\n").drop("n")
 
 
@@ -192,10 +207,23 @@ def related_code(entities: DataFrame, calls: DataFrame, min_calls: int = 5, limi
     return both.withColumn("place", place).where(F.col("place") <= limit).drop("section", "a", "b")
 
 
-def file_context(entities: DataFrame, calls: DataFrame, most: int = 50, related: int = 5) -> DataFrame:
-    """(repo_id, file, name, type, line, related): the first entities of each file, each with the first of what belongs to the file."""
-    rel = listed(related_code(entities, calls), ["repo_id", "file"], ["place"], F.concat_ws(":", "type", "name"), related, sep=",").select("repo_id", "file", F.col("text").alias("related"))
-    return graph.file_entities(entities, most).join(rel, ["repo_id", "file"], "left").select("repo_id", "file", "name", "type", F.col("start_line").alias("line"), "related")
+def file_context(entities: DataFrame, calls: DataFrame, similar: DataFrame | None = None, most: int = 50, related: int = 5, alike: int = 3, longest: int = 200) -> DataFrame:
+    """(repo_id, file, name, type, line, related, similar): the first entities of each file, each with the first of what belongs to the file.
+
+    similar(repo_id, file, place, at_file, line, score, snippet, reason) are chunks like the file's; the first `alike` of them are an array of
+    structs, their snippets cut, empty where there are none. Without it the column is left out.
+    """
+    key = ["repo_id", "file"]
+    rel = listed(related_code(entities, calls), key, ["place"], F.concat_ws(":", "type", "name"), related, sep=",").select("repo_id", "file", F.col("text").alias("related"))
+    out = graph.file_entities(entities, most).join(rel, key, "left").select("repo_id", "file", "name", "type", F.col("start_line").alias("line"), "related")
+    if similar is None:
+        return out
+    place = F.row_number().over(Window.partitionBy(*key).orderBy("place", "at_file", "line"))
+    first = similar.withColumn("__place", place).where(F.col("__place") <= alike)
+    item = F.struct("__place", F.col("at_file").alias("file"), "score", "line", F.substring(F.coalesce("snippet", F.lit("")), 1, longest).alias("snippet"), F.coalesce("reason", F.lit("")).alias("reason"))
+    found = first.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x.dropFields("__place")).alias("similar"))
+    empty = F.array().cast(found.schema["similar"].dataType)
+    return out.join(found, key, "left").withColumn("similar", F.coalesce("similar", empty))
 
 
 def first_match(results: DataFrame, changes: DataFrame, key: list[str], order: list, values: list[str]) -> DataFrame:
@@ -222,8 +250,105 @@ def nodes_by_name(entities: DataFrame, names: DataFrame) -> DataFrame:
     return entities.join(names.distinct(), ["repo_id", "name"], "left_semi").select("repo_id", "name", "file", "type", "uid")
 
 
-def graph_export(entities: DataFrame, calls: DataFrame, per_file: int = 100) -> DataFrame:
-    """(repo_id, file, nodes, edges, names): the size of each file's part of the graph and the names of its first entities, by uid."""
-    nodes = listed(entities, ["repo_id", "file"], ["uid"], F.col("name"), per_file, sep=",")
-    out = graph._ends(calls, entities).groupBy("repo_id", F.col("src_file").alias("file")).agg(F.count("*").alias("edges"))
-    return nodes.join(out, ["repo_id", "file"], "left").select("repo_id", "file", F.col("n").alias("nodes"), F.coalesce("edges", F.lit(0)).alias("edges"), F.col("text").alias("names"))
+def graph_export(entities: DataFrame, calls: DataFrame, imports: DataFrame) -> DataFrame:
+    """(repo_id, file, nodes, imports, dependencies, total_nodes, total_files): the whole graph, a row a file.
+
+    nodes are all of the file's entities by uid, with their code cut to 500 characters and the uids that they call; imports(repo_id, file, import) and
+    dependencies, the files that it imports, are sorted. The totals are the repository's. So a row grows with its file, and with nothing else.
+    """
+    key = ["repo_id", "file"]
+    called = calls.groupBy("repo_id", F.col("src_uid").alias("uid")).agg(F.array_sort(F.collect_list("dst_uid")).alias("calls"))
+    node = F.struct("uid", "name", "type", "start_line", "end_line", F.substring("raw_code", 1, 500).alias("code"), F.coalesce("calls", F.array().cast("array<string>")).alias("calls"))
+    nodes = entities.join(called, ["repo_id", "uid"], "left").groupBy(*key).agg(F.array_sort(F.collect_list(node)).alias("nodes"))
+    own = imports.groupBy(*key).agg(F.array_sort(F.collect_set("import")).alias("imports"))
+    deps = graph.import_dependencies(imports, entities).groupBy(*key).agg(F.array_sort(F.collect_set("depends_on")).alias("dependencies"))
+    totals = entities.groupBy("repo_id").agg(F.count("*").alias("total_nodes"), F.countDistinct("file").alias("total_files"))
+    none = F.array().cast("array<string>")
+    out = nodes.join(own, key, "left").join(deps, key, "left").join(totals, "repo_id")
+    return out.select(*key, "nodes", F.coalesce("imports", none).alias("imports"), F.coalesce("dependencies", none).alias("dependencies"), "total_nodes", "total_files")
+
+
+def repo_coupling(entities: DataFrame, calls: DataFrame, min_calls: int = 5, limit: int = 10) -> DataFrame:
+    """(repo_id, place, source, target, connections): the pairs of files of each repository with most calls between them."""
+    pairs = graph.file_dependencies(entities, calls).where(F.col("calls") >= min_calls)
+    place = F.row_number().over(Window.partitionBy("repo_id").orderBy(F.desc("calls"), "file", "depends_on"))
+    return pairs.withColumn("place", place).where(F.col("place") <= limit).select("repo_id", "place", F.col("file").alias("source"), F.col("depends_on").alias("target"), F.col("calls").alias("connections"))
+
+
+def _gathered(rows: DataFrame, key: list[str], name: str, order: list[str], *columns: str) -> DataFrame:
+    """(key..., name): each key's rows as an array of structs in order."""
+    item = F.struct(*order, *(c for c in columns if c not in order))
+    return rows.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: F.struct(*(x[c].alias(c) for c in columns))).alias(name))
+
+
+def pr_impact(changed: DataFrame, entities: DataFrame, calls: DataFrame, min_calls: int = 5, limit: int = 10, files: int = 10, per_file: int = 20, per_name: int = 100, unused: int = 20) -> DataFrame:
+    """What pull requests touch, a row for each of changed(pr, repo_id, file): (pr, repo_id, affected_callers, high_coupling, hotspots, unused, cross_file).
+
+    The repository's first `limit` pairs of files and hotspots, and its first `unused` functions that nothing calls, are found first, and those of
+    the changed files are arrays of structs in that order; so are the limits of the questions that reviews ask. affected_callers counts the
+    callers of the functions among the first `per_file` entities of the first `files` changed files (by name), at most `per_name` of a name, each
+    time anew. cross_file counts the files that changed files depend on, for each file.
+    """
+    key, at = ["pr", "repo_id"], ["repo_id", "file"]
+    changed = changed.select("pr", "repo_id", "file").distinct()
+    coupling = repo_coupling(entities, calls, min_calls, limit)
+    ends = coupling.select("repo_id", "place", F.explode(F.array_distinct(F.array("source", "target"))).alias("file"))
+    pairs = changed.join(ends, at).select(*key, "place").distinct().join(coupling, ["repo_id", "place"])
+    hot = changed.join(repo_hotspots(entities, calls, min_calls, limit).withColumnRenamed("name", "function"), at)
+    dead = graph.unused_functions(entities, calls, None)
+    place = F.row_number().over(Window.partitionBy("repo_id").orderBy("file", "start_line", "uid"))
+    dead = dead.withColumn("place", place).where(F.col("place") <= unused).select(*at, "place", F.col("name").alias("function"), F.col("start_line").alias("line"))
+    first = changed.withColumn("n", F.row_number().over(Window.partitionBy(*key).orderBy("file"))).where(F.col("n") <= files)
+    functions = first.join(graph.file_entities(entities, per_file).where("type = 'Function'").select(*at, "name"), at)
+    callers = graph._ends(calls, entities).groupBy("repo_id", F.col("dst_name").alias("name")).agg(F.least(F.count("*"), F.lit(per_name)).alias("callers"))
+    affected = functions.join(callers, ["repo_id", "name"]).groupBy(*key).agg(F.sum("callers").alias("affected_callers"))
+    cross = changed.join(graph.file_dependencies(entities, calls), at).groupBy(*key).agg(F.count("*").alias("cross_file"))
+    lists = {
+        "high_coupling": _gathered(pairs, key, "high_coupling", ["place"], "source", "target", "connections"),
+        "hotspots": _gathered(hot, key, "hotspots", ["place"], "file", "function", "calls"),
+        "unused": _gathered(changed.join(dead, at), key, "unused", ["place"], "file", "function", "line"),
+    }
+    out = changed.select(*key).distinct().join(affected, key, "left").join(cross, key, "left")
+    for name, found in lists.items():
+        out = out.join(found, key, "left").withColumn(name, F.coalesce(name, F.array().cast(found.schema[name].dataType)))
+    return out.select(*key, F.coalesce("affected_callers", F.lit(0)).alias("affected_callers"), *lists, F.coalesce("cross_file", F.lit(0)).alias("cross_file"))
+
+
+def review_context(prs: DataFrame, files: DataFrame, issues: DataFrame, impact: DataFrame, most: int | None = None) -> DataFrame:
+    """The whole context of a review, a row for each of prs(pr, repo_id, title).
+
+    files(pr, filename, language, status, additions, deletions), issues(pr, idx, filename, severity, category, title, description, line, suggestion) and
+    impact, as pr_impact gives it. Beside totals, languages, risk and advice there are files, with the counts of their issues and their score, the
+    critical, high and medium issues in order of idx, and counts by category; lists are whole, or their first `most` rows.
+    """
+    key = ["pr"]
+    cut = (lambda rows, order: rows) if most is None else (lambda rows, order: rows.withColumn("__n", F.row_number().over(Window.partitionBy("pr").orderBy(*order))).where(F.col("__n") <= most).drop("__n"))
+    worst = decide.SEVERITIES[:4]
+    per_file = issues.groupBy("pr", "filename").agg(*(F.count_if(F.col("severity") == s).alias(s) for s in worst))
+    judged = files.join(per_file, ["pr", "filename"], "left").na.fill(0, list(worst))
+    judged = judged.withColumn("score", decide.complexity_score(F.col("additions"), F.col("deletions"), F.col("critical") + F.col("high") + F.col("medium") + F.col("low")))
+    out = prs.join(judged.groupBy("pr").agg(
+        F.count("*").alias("total_files"), F.sum("additions").alias("additions"), F.sum("deletions").alias("deletions"), F.array_sort(F.collect_set("language")).alias("languages"),
+        F.count_if(F.col("score") > 70).alias("complex_files"), F.slice(F.array_sort(F.collect_set(F.when(F.col("score") > 70, F.col("filename")))), 1, 3).alias("complex_names"),
+    ), key, "left")
+    is_ = lambda s, c: F.count_if((F.col("severity") == s) & (F.col("category") == c))
+    out = out.join(issues.groupBy("pr").agg(
+        *(F.count_if(F.col("severity") == s).alias(s) for s in worst[:3]), is_("critical", "security").alias("security_critical"), is_("high", "security").alias("security_high"),
+        F.count_if(F.col("severity").isin("critical", "high") & (F.col("category") == "code_quality")).alias("quality"),
+    ), key, "left")
+    by = issues.groupBy("pr", "category").agg(F.count("*").alias("n")).groupBy("pr").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("category", "n")))).alias("issues_by_category"))
+    shown = ("filename", "severity", "category", "title", "description", "line", "suggestion")
+    parts = {"files": _gathered(cut(judged, ["filename"]), key, "files", ["filename"], "filename", "language", "status", "additions", "deletions", *worst, "score")}
+    for severity in worst[:3]:
+        parts[f"{severity}_issues"] = _gathered(cut(issues.where(F.col("severity") == severity), ["idx"]), key, f"{severity}_issues", ["idx"], *shown)
+    out = out.join(by, key, "left").join(impact.drop("repo_id"), key, "left")
+    for name, found in parts.items():
+        out = out.join(found, key, "left").withColumn(name, F.coalesce(name, F.array().cast(found.schema[name].dataType)))
+    counts = ("total_files", "additions", "deletions", "complex_files", *worst[:3], "security_critical", "security_high", "quality", "affected_callers", "cross_file")
+    out = out.na.fill(0, list(counts))
+    risk = decide.risk_level(*(F.col(c) for c in ("security_critical", "critical", "high", "affected_callers", "additions")))
+    coupled = F.coalesce(F.size("high_coupling") > 0, F.lit(False))
+    names = F.array_join(F.coalesce("complex_names", F.array().cast("array<string>")), ", ")
+    advice = decide.recommendations(F.col("security_critical"), F.col("security_high"), F.col("complex_files"), names, coupled, F.col("affected_callers"), F.col("quality"))
+    out = out.withColumn("risk", risk).withColumn("recommendations", advice).withColumn("deep_review", F.col("risk").isin("high", "critical"))
+    return out.drop("complex_names")

@@ -101,3 +101,17 @@ def pr_content(patches: DataFrame, *key: str) -> DataFrame:
     lines = numbered_rows(rows, *key).where("kind in ('add', 'context')").select(*key, "pos", F.expr("substr(line, 2)").alias("line"))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n")
     return lines.groupBy(*key).agg(text.alias("content"))
+
+
+def formatted_diff(patches: DataFrame, *key: str, file_col: str | None = None) -> DataFrame:
+    """(key..., text): the whole numbered diff of each patch, an empty line before each hunk, under the file's name; a note where there is no patch.
+
+    Keys are unique. A null or empty file name has no heading.
+    """
+    lines = numbered_diff(patches, *key)
+    line = F.when(F.col("shown").startswith("@@"), F.concat(F.lit("\n"), "shown")).otherwise(F.col("shown"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", line.alias("line")))), lambda x: x["line"]), "\n")
+    met = patches.select(*key, "patch", *([] if file_col is None else [F.col(file_col).alias("__file")])).join(lines.groupBy(*key).agg(text.alias("__text")), list(key), "left")
+    head = F.lit("") if file_col is None else F.when(F.coalesce("__file", F.lit("")) != "", F.concat(F.lit("## File: "), "__file", F.lit("\n\n"))).otherwise("")
+    blank = F.coalesce(F.col("patch").rlike(r"(?U)\A\s*\z"), F.lit(True))
+    return met.select(*key, F.when(blank, "No diff available").otherwise(F.concat(head, "__text")).alias("text"))

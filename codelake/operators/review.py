@@ -61,6 +61,18 @@ def event_by_sections(issues: DataFrame, key: str, critical: int = 1, approve: i
     return got.select(key, F.when(F.col("c") >= critical, "REQUEST_CHANGES").when(F.col("all") <= approve, "APPROVE").otherwise("COMMENT").alias("event"))
 
 
+def review_sections(issues: DataFrame, key: str) -> DataFrame:
+    """(key, section, title, content, issues, collapsible): the sections of a report - the critical and high issues whose description speaks of security,
+    and all critical, high and medium ones - with how many stand in each; sections without any are left out."""
+    worst = issues.where(F.col("severity").isin("critical", "high", "medium"))
+    secure = F.col("severity").isin("critical", "high") & F.coalesce(F.lower("description").contains("security"), F.lit(False))
+    counts = worst.groupBy(key).agg(F.count_if(secure).alias("a"), F.count("*").alias("b"))
+    # Titles, texts, and the numbers above which a section is folded.
+    first = F.struct(F.lit(1).alias("section"), F.lit("Security Analysis").alias("title"), F.lit("Critical security vulnerabilities detected that require immediate attention.").alias("content"), F.col("a").alias("issues"), (F.col("a") > 5).alias("collapsible"))
+    second = F.struct(F.lit(2).alias("section"), F.lit("Code Quality Issues").alias("title"), F.format_string("Found %d issues requiring attention.", "b").alias("content"), F.col("b").alias("issues"), (F.col("b") > 10).alias("collapsible"))
+    return counts.select(key, F.inline(F.array(first, second))).where("issues > 0")
+
+
 def overlay_merge(base: DataFrame, overlay: DataFrame, group: str, key: str) -> DataFrame:
     """Rows of both by key within group, the overlay's first; rows with a null or empty key are dropped; source tells where a row is from.
 
@@ -145,23 +157,24 @@ def review_validity(texts: DataFrame, checked: DataFrame, key: str, text: str, s
     return both.select(key, refs.alias("refs"), good.alias("valid_refs"), (~bad).alias("valid"))
 
 
-def text_checks():
-    """A pandas UDF: struct of quotes (fenced and inline ones of 15 characters), generic statements without a line near, and fabricated metrics."""
-    @F.pandas_udf("quotes int, generic int, metrics int")
-    def check(texts: pd.Series) -> pd.DataFrame:
-        import re
+# Phrases that say nothing by themselves, figures that a review can't know, quotes in a fence and in a line.
+PHRASES = ("consider implementing", "it would be better", "you should", "recommend adding", "could be improved")
+FIGURES = (r"cyclomatic complexity of \p{Nd}+", r"complexity score of \p{Nd}+", r"\p{Nd}+/\p{Nd}+ score")
+QUOTES = (r"(?s)```(?U:\w*)\n.*?\n```", r"`[^`]{15,}`")
 
-        # Phrases that say nothing by themselves, and figures that a review can't know.
-        phrases = [re.compile(p, re.I) for p in (r"consider implementing", r"it would be better", r"you should", r"recommend adding", r"could be improved")]
-        figures = [re.compile(p, re.I) for p in (r"cyclomatic complexity of \d+", r"complexity score of \d+", r"\d+/\d+ score")]
-        near = re.compile(r"line \d+", re.I)
-        rows = []
-        for t in texts.fillna(""):
-            quotes = len(re.findall(r"```[\w]*\n(.*?)\n```", t, re.DOTALL)) + len(re.findall(r"`([^`]{15,})`", t))
-            generic = sum(not near.search(t[max(0, m.start() - 100) : m.end() + 100]) for p in phrases for m in p.finditer(t))
-            # Each figure counts as often as figures of its form occur.
-            rows.append((quotes, generic, sum(len(p.findall(t)) ** 2 for p in figures)))
-        return pd.DataFrame(rows, columns=["quotes", "generic", "metrics"])
+
+def text_checks():
+    """A function of a text column to a struct: quotes (fenced ones, and inline ones of 15 characters), generic statements without a line within a hundred
+    characters, and fabricated metrics, of which each counts as often as its form occurs."""
+
+    def check(text) -> Column:
+        text = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
+        count = lambda p: F.regexp_count(text, F.lit(p))
+        quotes = sum((count(p) for p in QUOTES), F.lit(0))
+        # "line 1" has six characters, so it lies within a hundred if at most 94 are between.
+        generic = sum((count(rf"(?isu)(?<!line \p{{Nd}}.{{0,94}}){p}(?!.{{0,94}}line \p{{Nd}})") for p in PHRASES), F.lit(0))
+        metrics = sum((count(f"(?iu){p}") * count(f"(?iu){p}") for p in FIGURES), F.lit(0))
+        return F.struct(quotes.alias("quotes"), generic.alias("generic"), metrics.alias("metrics"))
 
     return check
 

@@ -90,12 +90,14 @@ def by_type(chunks: DataFrame, kind: str) -> DataFrame:
 
 
 def repo_stats(chunks: DataFrame, top: int = 10) -> DataFrame:
-    """(repo_id, chunks, files, functions, top_files): the counts of a repository and its files with most chunks."""
+    """(repo_id, chunks, files, functions, types, top_files): the counts of a repository, in all and by type (a map), and its files with most chunks."""
     totals = chunks.groupBy("repo_id").agg(F.count("*").alias("chunks"), F.countDistinct("file").alias("files"), F.count_if(F.col("type") == "Function").alias("functions"))
     by = chunks.groupBy("repo_id", "file").agg(F.count("*").alias("n"))
     rank = F.row_number().over(Window.partitionBy("repo_id").orderBy(F.desc("n"), "file"))
     names = by.withColumn("rank", rank).where(F.col("rank") <= top).groupBy("repo_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "file", "n"))), lambda x: F.concat_ws(":", x["file"], x["n"])), ",").alias("top_files"))
-    return totals.join(names, "repo_id")
+    types = chunks.groupBy("repo_id", F.coalesce("type", F.lit("unknown")).alias("type")).agg(F.count("*").alias("n"))
+    types = types.groupBy("repo_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("type", "n")))).alias("types"))
+    return totals.join(types, "repo_id").join(names, "repo_id")
 
 
 def similar_minus_duplicates(chunks: DataFrame, queries: DataFrame, near: float, same: float, limit: int = 10) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import cached_property
 
@@ -9,9 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import decide
-from ..operators import diff, graph, ops, review, rules, vector
+from ..operators import diff, graph, ops, review, rules, trees, vector
 from ..sources.adapters import oracle, source
-from ..sources.store import stage
+from ..sources.reviews import file_history, function_issues
+from ..sources.store import Store, shared_folder, stage
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
@@ -113,6 +115,21 @@ query("delete_files", "SELECT c.* FROM {calls} c JOIN {ent} s ON s.uid = c.src_u
     lambda t: graph.delete_files(e := t.ent, t.calls, e.where("file like 'f3.%'").select("repo_id", "file").distinct())[1]
 )
 
+# Three kinds of files change between two states of a repository: some come, some have other names in them, some go.
+_AFTER = "SELECT * FROM {ent} WHERE file NOT LIKE 'f6.%'"
+query("incremental_links", SHARED["calls"].replace("{ent}", "{after}"), after=_AFTER)(lambda t: _relinked(t))
+
+
+def _relinked(t: Tables) -> DataFrame:
+    kind = F.substring("file", 1, 2)
+    before = t.ent.where(kind != "f3").withColumn("name", F.when(kind == "f5", F.concat("name", F.lit("x"))).otherwise(F.col("name")))
+    before = stage(before.withColumn("uid", F.concat_ws("::", "repo_id", "file", "name")), "before")
+    after = stage(t.ent.where(kind != "f6"), "after")
+    mentioned = stage(graph.mentions(before, graph.callable_names(before)), "mentions")
+    calls = stage(graph.resolve(mentioned, before), "calls")
+    return graph.relink(before, after, mentioned, calls, t.ent.where(kind.isin("f3", "f5", "f6")).select("repo_id", "file").distinct())[1]
+
+
 # Vectors
 
 
@@ -133,9 +150,9 @@ query("vector_by_file", _top("SELECT repo_id, file, id, name, start_line FROM {c
 query("vector_by_type", "SELECT repo_id, id, file, name, type FROM {chunks} WHERE type = 'Class'")(lambda t: vector.by_type(t.chunks, "Class"))
 query(
     "repo_stats",
-    "SELECT c.repo_id, count(*) AS chunks, count(DISTINCT c.file) AS files, count(*) FILTER (c.type = 'Function') AS functions, any_value(f.top_files) AS top_files FROM {chunks} c JOIN {tops} f ON f.repo_id = c.repo_id GROUP BY c.repo_id",
+    "SELECT c.repo_id, count(*) AS chunks, count(DISTINCT c.file) AS files, count(*) FILTER (c.type = 'Function') AS functions, concat_ws(',', CASE WHEN count(*) FILTER (c.type = 'Class') > 0 THEN 'Class:' || count(*) FILTER (c.type = 'Class') END, CASE WHEN count(*) FILTER (c.type = 'Function') > 0 THEN 'Function:' || count(*) FILTER (c.type = 'Function') END) AS types, any_value(f.top_files) AS top_files FROM {chunks} c JOIN {tops} f ON f.repo_id = c.repo_id GROUP BY c.repo_id",
     tops="SELECT repo_id, string_agg(file || ':' || n, ',' ORDER BY rank) AS top_files FROM (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY n DESC, file) AS rank FROM (SELECT repo_id, file, count(*) AS n FROM {chunks} GROUP BY ALL)) WHERE rank <= 10 GROUP BY repo_id",
-)(lambda t: vector.repo_stats(t.chunks))
+)(lambda t: vector.repo_stats(t.chunks).withColumn("types", F.array_join(F.transform(F.map_entries("types"), lambda e: F.concat_ws(":", e["key"], e["value"])), ",")))
 _REASON = "CASE WHEN score >= 0.95 THEN 'Nearly identical code - strong duplicate candidate' WHEN score >= 0.85 THEN 'Very similar implementation - consider refactoring' WHEN score >= 0.75 THEN 'Similar code pattern - review for consistency' ELSE 'Related implementation' END"
 query("similarity_reason", f"SELECT review_id, {_REASON} AS reason FROM (SELECT review_id, score % 100 / 100.0 AS score FROM {{reviews}})")(lambda t: t.reviews.select("review_id", vector.similarity_reason((F.col("score") % 100) / 100.0).alias("reason")))
 query(
@@ -158,6 +175,21 @@ def _graphrag(t: Tables) -> DataFrame:
     return vector.top_k(near.select("query_id", F.col("id").alias("hit"), F.struct("query_id", "id").alias("key"), "dependency", F.col("dependency").alias("id"), F.lit(0).alias("score")), 5, "key").select("query_id", F.col("hit").alias("id"), "dependency")
 
 
+query("vector_upsert", "SELECT id, repo_id AS label, CASE WHEN id % 50 = 0 THEN 'renamed' ELSE name END AS name, start_line FROM {chunks} WHERE id % 50 <> 1")(lambda t: _upserted(t))
+
+
+def _upserted(t: Tables) -> DataFrame:
+    """The chunks after some were renamed and some deleted by their ids, in a table of buckets."""
+    chunks = t.chunks.select("id", F.col("repo_id").alias("label"), "name", "start_line")
+    spark = chunks.sparkSession
+    store = Store(spark, f"{shared_folder(spark)}/codelake/store-{uuid.uuid4().hex}", {"chunks": ("id bigint, label string, name string, start_line int", "id")})
+    with store.change("all") as change:
+        change.replace("chunks", chunks)
+    with store.change("all") as change:
+        change.upsert("chunks", chunks.where("id % 50 = 0").withColumn("name", F.lit("renamed")), chunks.where("id % 50 = 1").select("id"))
+    return store.read("chunks", "all").drop("repo_id")
+
+
 # Rules
 
 
@@ -197,6 +229,15 @@ _BRANCH_SQL = " + ".join(f"len(regexp_extract_all({'spread' if b.startswith(chr(
 query("complexity_regex")(lambda t: t.documents.select("doc_id", (c := rules.complexity(F.coalesce("text", F.lit("")))).cast("long").alias("complexity"), rules.complexity_severity(c).alias("severity")))
 # Not by query(): the classes' braces name no adapters.
 _ORACLES["complexity_regex"] = (f"SELECT doc_id, complexity, CASE WHEN complexity > 20 THEN 'high' WHEN complexity > 10 THEN 'medium' END AS severity FROM (SELECT doc_id, 1 + {_BRANCH_SQL} AS complexity FROM (SELECT doc_id, coalesce(text, '') AS text, ' ' || regexp_replace(coalesce(text, ''), '([^{_LETTER}])', '\\1\\1', 'g') || ' ' AS spread FROM documents))")
+# What each line of py_rows adds to the complexity of its block.
+query("complexity_tree", "SELECT block, (1 + sum([3, 1, 2, 1, 1, 0, 1, 0][kind + 1]))::BIGINT AS complexity, 'tree' AS by FROM {py_rows} GROUP BY block")(lambda t: _tree_complexity(t))
+
+
+def _tree_complexity(t: Tables) -> DataFrame:
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n")
+    return trees.complexity(t.py_rows.groupBy("block").agg(text.alias("text")).withColumn("language", F.lit("python")), "block", "text", "language")
+
+
 query(
     "file_metrics",
     "SELECT doc_id, len(l) AS total, len(list_filter(l, lambda x: trim(x) <> '' AND NOT starts_with(ltrim(x), '#'))) AS code, len(list_filter(l, lambda x: starts_with(ltrim(x), '#'))) AS comments, len(list_filter(l, lambda x: trim(x) = '')) AS blank FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)",
@@ -218,6 +259,10 @@ query(
     "SELECT r.pr, r.file, r.line, bool_or(coalesce(r.line BETWEEN h.start AND h.start + h.n - 1, false)) AS in_diff FROM {refs} r LEFT JOIN (SELECT pr, min(filename) AS filename, min(start) AS start, count(*) AS n FROM {nrow} GROUP BY pr) h ON h.pr = r.pr GROUP BY ALL",
     refs="SELECT pr, 'unknown' AS file, CAST(pr % 97 AS INT) AS line FROM {patches}",
 )(lambda t: diff.lines_in_diff(t.patches.select("pr", F.lit("unknown").alias("file"), (F.col("pr") % 97).cast("int").alias("line")), t.patches, "pr"))
+query(
+    "formatted_diff",
+    "SELECT pr, '## File: ' || filename || chr(10) || chr(10) || string_agg(CASE kind WHEN 'add' THEN 'L' || new_line || '+ | ' || substr(line, 2) WHEN 'delete' THEN 'L' || old_line || '- | ' || substr(line, 2) WHEN 'context' THEN 'L' || new_line || '  | ' || substr(line, 2) ELSE chr(10) || line END, chr(10) ORDER BY pos) AS text FROM {numbered} GROUP BY pr, filename",
+)(lambda t: diff.formatted_diff(t.patches, "pr", file_col="filename"))
 query("pr_content", "SELECT pr, string_agg(substr(line, 2), chr(10) ORDER BY pos) AS content FROM {nrow} WHERE kind IN ('add', 'context') GROUP BY pr")(lambda t: diff.pr_content(t.patches, "pr"))
 
 # Aggregates of issues and pull requests
@@ -279,6 +324,14 @@ query(
     "event_type_b",
     "SELECT pr, filename, CASE WHEN sum(CASE WHEN severity = 'critical' THEN w ELSE 0 END) >= 1 THEN 'REQUEST_CHANGES' WHEN sum(w) <= 2 THEN 'APPROVE' ELSE 'COMMENT' END AS event FROM (SELECT *, CASE WHEN contains(lower(description), 'security') THEN 2 ELSE 1 END AS w FROM {issues}) GROUP BY pr, filename",
 )(lambda t: review.event_by_sections(t.issues.withColumn("key", F.struct("pr", "filename")), "key", approve=2).select("key.pr", "key.filename", "event"))
+query(
+    "review_sections",
+    "SELECT pr, 1 AS section, 'Security Analysis' AS title, 'Critical security vulnerabilities detected that require immediate attention.' AS content, count(*) AS issues, count(*) > 5 AS collapsible FROM {issues} WHERE severity IN ('critical', 'high') AND contains(lower(description), 'security') GROUP BY pr UNION ALL SELECT pr, 2, 'Code Quality Issues', 'Found ' || count(*) || ' issues requiring attention.', count(*), count(*) > 10 FROM {issues} WHERE severity IN ('critical', 'high', 'medium') GROUP BY pr",
+)(lambda t: review.review_sections(t.issues, "pr"))
+_ERRORS = "CASE pr % 5 WHEN 0 THEN 'Rate limit reached' WHEN 1 THEN 'Authentication failed' WHEN 2 THEN 'no API key' WHEN 3 THEN 'timed out' END"
+query("error_recovery", "SELECT pr, CAST(files % 5 + 1 AS INT) AS retries, CASE WHEN pr % 5 = 0 THEN CASE WHEN files % 5 < 2 THEN 'retry_later' ELSE 'end' END WHEN pr % 5 IN (1, 2) THEN 'fail' WHEN files % 5 >= 3 THEN 'fallback' WHEN files % 5 < 2 THEN 'retry' ELSE 'end' END AS action FROM {prs}")(
+    lambda t: t.prs.select("pr", decide.error_recovery(F.expr(_ERRORS), (F.col("files") % 5).cast("int")).alias("r")).select("pr", "r.retries", "r.action")
+)
 _RANK = "CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 WHEN 'low' THEN 3 ELSE 4 END"
 query("inline_eligible", _top("SELECT * FROM {issues} WHERE severity IN ('critical', 'high', 'medium') AND line > 0", "pr", f"{_RANK}, idx", 15, "pr, CAST(rank AS INT) AS place, idx, severity, line"))(lambda t: review.inline_eligible(t.issues, "pr"))
 query("visible_issues", f"SELECT pr, idx, severity, CAST(r AS INT) AS place, r <= 10 AS visible FROM (SELECT *, row_number() OVER (PARTITION BY pr ORDER BY {_RANK}, idx) AS r FROM {{issues}})")(lambda t: review.visible_issues(t.issues, "pr"))
@@ -304,6 +357,16 @@ query(
     "search_merge",
     _top("SELECT query_id, id, score, 'permanent' AS source FROM {met} WHERE id % 2 = 0 UNION ALL SELECT query_id, id, score, 'temporary' FROM {met} WHERE id % 2 = 1 AND score >= 0.1", "query_id", "score DESC, source, id", 10, "query_id, id, score, source, CAST(rank AS INT) AS rank"),
 )(lambda t: review.search_merge((m := vector.scored(t.chunks, _asks(t)).select("query_id", "id", "score")).where("id % 2 = 0"), m.where("id % 2 = 1"), "query_id", 0.1))
+# Words of a hit: ten, of which two depend on its id.
+_WORDS = "concat('a b c d e f g h v', CAST(id % 4 AS STRING), ' w', CAST(id % 3 AS STRING))"
+query(
+    "search_merge_texts",
+    "SELECT query_id, id, score, source, CAST(row_number() OVER (PARTITION BY query_id ORDER BY r) AS INT) AS rank FROM {fold} WHERE stays QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY r) <= 10",
+    merged="SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, source, id) AS r FROM (SELECT query_id, id, score, 'permanent' AS source FROM {met} WHERE id % 2 = 0 UNION ALL SELECT query_id, id, score, 'temporary' FROM {met} WHERE id % 2 = 1 AND score >= 0.1)",
+    fold="""SELECT query_id, id, score, source, r, [[id % 4, id % 3]] AS kept, true AS stays FROM {merged} WHERE r = 1
+UNION ALL SELECT m.query_id, m.id, m.score, m.source, m.r, CASE WHEN near THEN kept ELSE list_append(kept, [m.id % 4, m.id % 3]) END, NOT near
+FROM (SELECT f.kept, n.*, len(list_filter(f.kept, lambda k: k[1] = n.id % 4 OR k[2] = n.id % 3)) > 0 AS near FROM fold f JOIN {merged} n ON n.query_id = f.query_id AND n.r = f.r + 1) m""",
+)(lambda t: review.search_merge((m := vector.scored(t.chunks, _asks(t)).select("query_id", "id", "score").withColumn("text", F.expr(_WORDS))).where("id % 2 = 0"), m.where("id % 2 = 1"), "query_id", 0.1, text="text").drop("text"))
 query("existing_review", "SELECT conv_id, min(turn) AS turn FROM conversations WHERE contains(text, 'the') GROUP BY conv_id")(lambda t: t.conversations.where(F.contains("text", F.lit("the"))).groupBy("conv_id").agg(F.min("turn").alias("turn")))
 query(
     "consistency_check",
@@ -315,6 +378,25 @@ query(
 )(lambda t: review.snapshot_diff((d := t.documents).where("doc_id % 10 <> 1").select("doc_id", F.sha2("text", 256).alias("h")), d.where("doc_id % 10 <> 3").select("doc_id", F.when(F.col("doc_id") % 10 == 2, F.sha2(F.concat("text", F.lit("x")), 256)).otherwise(F.sha2("text", 256)).alias("h")), "doc_id", "h"))
 query("greedy_dedupe")(lambda t: review.greedy_dedupe(t.documents.select("source", F.col("doc_id").alias("idx"), "text"), "source", ["idx"], "text"))
 query("review_history", _top("SELECT * FROM {reviews}", "pr", "created_at DESC, review_id DESC", 10, "pr, review_id, score, CAST(rank AS INT) AS place"))(lambda t: review.review_history(t.reviews, "pr").select("pr", "review_id", "score", "place"))
+# An event that is a review is the issue that it speaks of, too.
+_SAID = "SELECT idx AS review_id, 'f' || (idx % 7) || '.en' AS file_path, line, severity, category, created_at FROM {issues} JOIN {reviews} ON review_id = idx"
+query(
+    "file_review_history",
+    _top("SELECT file_path, review_id, created_at, count(*) AS issues_found, arg_min(severity, " + _RANK + ") AS severity_max, string_agg(DISTINCT category, ',' ORDER BY category) AS categories FROM {said} GROUP BY ALL", "file_path", "created_at DESC, review_id DESC", 10, "file_path, CAST(rank AS INT) AS place, review_id, issues_found, severity_max, categories"),
+    said=_SAID,
+)(lambda t: file_history(t.reviews.withColumnRenamed("created_at", "completed_at"), _said(t).groupBy("review_id", "file_path").agg(F.count("*").alias("issues_found"), F.min_by("severity", decide.severity_rank(F.col("severity"))).alias("severity_max"), F.array_join(F.array_sort(F.collect_set("category")), ",").alias("categories"))).drop("completed_at"))
+query(
+    "function_issues",
+    "SELECT file_path, e.name AS function, review_id, line, severity, category, CAST(row_number() OVER (PARTITION BY uid ORDER BY created_at DESC, review_id DESC, line) AS INT) AS place FROM {said} s JOIN {ent} e ON e.file = s.file_path AND e.type = 'Function' AND e.repo_id = 'src1' AND s.line - 1 BETWEEN e.start_line AND e.end_line",
+    said=_SAID,
+)(lambda t: function_issues(t.reviews.withColumnRenamed("created_at", "completed_at"), _said(t), t.ent.where("repo_id = 'src1'")).drop("title"))
+
+
+def _said(t: Tables) -> DataFrame:
+    issues = t.issues.join(t.reviews.select(F.col("review_id").alias("idx")), "idx", "left_semi")
+    return issues.select(F.col("idx").alias("review_id"), F.concat(F.lit("f"), F.col("idx") % 7, F.lit(".en")).alias("file_path"), F.col("line").alias("line_start"), "severity", "category", F.lit("").alias("title"), "description")
+
+
 _REFS = " UNION ALL ".join(
     f"SELECT pr, {i} AS pattern, {'unnest(regexp_extract_all(body, ' + chr(39) + p.replace(chr(39), chr(39) * 2) + chr(39) + ', ' + str(f) + '))' if f else chr(39) + 'unknown' + chr(39)} AS file, CAST(unnest(regexp_extract_all(body, '{p}', {g})) AS INT) AS line FROM {{bodies}}"
     for i, (p, f, g) in enumerate(review.LINE_REFS)
@@ -345,8 +427,8 @@ def _language(path):
 _PATHS = "CASE endpoint WHEN 'view' THEN '/api/search/x' WHEN 'purchase' THEN '/api/process' WHEN 'error' THEN '/webhook' WHEN 'click' THEN '/Process/ingest' ELSE '/api/reviews/context' END"
 query("rate_offered_load", "SELECT id, sum(tokens) OVER (PARTITION BY installation, endpoint ORDER BY epoch_us(ts) RANGE BETWEEN 86399999999 PRECEDING AND CURRENT ROW)::BIGINT AS offered FROM {requests}")(lambda t: ops.offered_load(t.requests, 86_400, "installation", "endpoint").select("id", "offered"))
 query("rate_admission")(lambda t: ops.admissions(t.requests, 86_400, 2, "installation", "endpoint"))
-# An installation in ten, and the classes of its endpoints, by the hour.
-query("rate_limiter")(lambda t: ops.rate_decisions(t.requests.withColumns({"installation": F.col("installation") % 10, "class": decide.endpoint_class(F.expr(_PATHS))}), 3_600, ops.class_limit(F.col("class")), "installation", "class"))
+# An installation in ten, and the classes of its endpoints, by the day.
+query("rate_limiter")(lambda t: ops.rate_decisions(t.requests.withColumns({"installation": F.col("installation") % 10, "class": decide.endpoint_class(F.expr(_PATHS))}), 86_400, ops.class_limit(F.col("class")), "installation", "class"))
 query("rate_usage", "SELECT installation, endpoint, sum(tokens)::BIGINT AS used FROM {requests} WHERE ts > TIMESTAMP '2024-01-15' - INTERVAL 30 DAY AND ts <= TIMESTAMP '2024-01-15' GROUP BY ALL")(lambda t: ops.usage(t.requests, F.to_timestamp(F.lit("2024-01-15")), 30 * 86_400, "installation", "endpoint"))
 query("token_daily", "SELECT strftime(ts, '%Y-%m-%d') AS day, sum(tokens)::BIGINT AS tokens, sum(tokens) > 600 AS over, sum(tokens) > 480 AS warned FROM {requests} GROUP BY 1")(lambda t: ops.daily_tokens(t.requests, 600))
 query("token_monthly", "SELECT strftime(ts, '%Y-%m') AS month, sum(tokens)::BIGINT AS tokens FROM {requests} GROUP BY 1")(lambda t: ops.monthly_tokens(t.requests))

@@ -45,6 +45,12 @@ FROM (SELECT user_id AS block, event_id, CASE user_id % 5 WHEN 0 THEN 'python' W
         WHEN 40 THEN '$(a).b(c).d(e).f' WHEN 41 THEN 'System.out.println(v)' WHEN 42 THEN 'e.printStackTrace()' WHEN 43 THEN 's = new String(v)' WHEN 44 THEN 's = a + "" + b'
         WHEN 45 THEN 'panic(err)' WHEN 46 THEN '_ = f(err)' WHEN 47 THEN '                        deep = v' WHEN 48 THEN '' WHEN 49 THEN '  # note' WHEN 50 THEN 'while a && b || c' ELSE 'total = total + v' END AS line
       FROM {events}) AS x""",
+    # A Python statement per event; a user's make a block.
+    "py_rows": """
+SELECT user_id AS block, event_id AS pos, CAST(event_id % 8 AS INT) AS kind,
+       CASE event_id % 8 WHEN 0 THEN 'if a and b or c: x = 1' WHEN 1 THEN 'for i in y: pass' WHEN 2 THEN 'while a or b: break' WHEN 3 THEN 'x = 1 if a else 2'
+         WHEN 4 THEN 'def f(v): return v and v' WHEN 5 THEN 'total = total + 1' WHEN 6 THEN concat('try: x = int(y)', chr(10), 'except ValueError: x = 0') ELSE 'y = [i for i in z if i]' END AS line
+FROM {events}""",
     # A unified diff per order: its lines are added, removed or kept by their return flag.
     "patch_rows": """
 SELECT l_orderkey AS pr, concat('src/', lower(o_orderpriority), '.py') AS filename, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS INT) AS pos,

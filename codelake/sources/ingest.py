@@ -195,9 +195,18 @@ def clean_name(name: Column) -> Column:
     return F.btrim(F.btrim(name, F.lit('"')), F.lit("'"))
 
 
+def entity_name(name: Column, code: Column, identifiers: Column, line: Column) -> Column:
+    """A node's name: its name field, else its text if that is one line, else the first of its children's identifiers (an array, null: none), else one made
+    of its line; without quotes around it."""
+    one_line = F.when(~F.contains(code, F.lit("\n")), code)
+    return clean_name(F.coalesce(name, one_line, F.try_element_at(identifiers, F.lit(1)), F.concat(F.lit("anon_"), line)))
+
+
 def entities(found: DataFrame) -> DataFrame:
-    """Entity rows of captures, with capture_idx for upsert_entities."""
-    named = found.withColumn("type", label(F.col("node_type"), F.col("capture"))).where("type is not null").withColumn("name", clean_name(F.col("name")))
+    """Entity rows of captures, with capture_idx for last_captured; identifiers, an array of those among a node's children, may be a column."""
+    identifiers = F.col("identifiers") if "identifiers" in found.columns else F.lit(None).cast("array<string>")
+    name = entity_name(F.col("name"), F.col("code"), identifiers, F.col("start_line"))
+    named = found.withColumn("type", label(F.col("node_type"), F.col("capture"))).where("type is not null").withColumn("name", name)
     uid = F.concat_ws("::", "repo_id", "file", "name")
     return named.select("repo_id", "file", "name", "type", "start_line", "end_line", F.col("code").alias("raw_code"), uid.alias("uid"), F.col("idx").alias("capture_idx"))
 
@@ -211,9 +220,19 @@ def chunks(found: DataFrame) -> DataFrame:
 
 
 def imports(files: DataFrame) -> DataFrame:
-    """(repo_id, file, import): distinct imports of Python and JavaScript or TypeScript files(repo_id, file, language, text)."""
-    lines = files.select("repo_id", "file", "language", F.explode(F.split("text", "\n")).alias("line")).withColumn("line", F.trim("line"))
-    python = F.when(F.col("line").startswith("import "), F.element_at(F.split(F.replace("line", F.lit("import "), F.lit("")), r"\s+"), 1)).when(F.col("line").startswith("from "), F.regexp_extract("line", r"^from\s+(\S+)", 1))
-    script = F.when(F.col("line").contains("import") & F.col("line").contains("from"), F.regexp_replace(F.trim(F.regexp_extract("line", r"from(.*)$", 1)), "^[;\"']+|[;\"']+$", ""))
-    found = F.when(F.col("language") == "python", python).when(F.col("language").isin("javascript", "typescript", "tsx"), script)
+    """(repo_id, file, import): distinct imports of Python and JavaScript or TypeScript files(repo_id, file, language, text).
+
+    Python: the first word behind `import `, with a comma if it has one, or what stands between `from ` and `import`. Scripts: of a line with both
+    `import` and `from`, what stands between the first `from` and the next, without semicolons and quotes around it.
+    """
+    lines = files.select("repo_id", "file", "language", F.explode(F.split("text", "\n")).alias("line")).withColumn("line", F.regexp_replace("line", r"(?U)^\s+|\s+$", ""))
+    part = lambda text, by, n: F.try_element_at(F.split(text, by), F.lit(n))
+    trimmed = lambda text: F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    python = F.when(F.col("line").startswith("import "), part(F.regexp_replace(F.replace("line", F.lit("import "), F.lit("")), r"(?U)^\s+", ""), r"(?U)\s+", 1))
+    python = python.when(F.col("line").startswith("from "), trimmed(part(part(F.col("line"), "from ", 2), "import", 1)))
+    script = trimmed(part(F.col("line"), "from", 2))
+    for quote in (";", '"', "'"):
+        script = F.btrim(script, F.lit(quote))
+    script = F.when(F.col("line").contains("import") & F.col("line").contains("from"), script)
+    found = F.when(F.col("language").isin("python", "py"), python).when(F.col("language").isin("javascript", "typescript", "jsx", "tsx"), script)
     return lines.withColumn("import", found).where("import <> ''").select("repo_id", "file", "import").distinct()

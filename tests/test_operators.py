@@ -234,3 +234,106 @@ def test_lists_tell_how_many_were_left_out(spark):
     rows = spark.createDataFrame([(k, i) for k, n in (("a", 2), ("b", 5)) for i in range(n)], "k string, i int")
     got = {r.k: (r.n, r.text) for r in context.listed(rows, ["k"], ["i"], F.format_string("- %d", "i"), 3, "... +%d more").collect()}
     assert got == {"a": (2, "- 0\n- 1"), "b": (5, "- 0\n- 1\n- 2\n... +2 more")}
+
+
+def test_defaults_of_prompts(spark, code):
+    calls = graph.link_dependencies(code).where("repo_id = 'r'")
+    keys = spark.createDataFrame([("r",), ("none",)], "repo_id string")
+    text = lambda frame: {r.repo_id: r.text for r in frame.collect()}
+    assert text(context.hotspots_text(code, calls, 2, keys=keys)) == {"r": "- a.py: alpha (2 calls)\n- b.py: beta (2 calls)", "none": "None detected"}
+    assert text(context.coupling_text(code, calls, 9, keys=keys)) == {"r": "None detected", "none": "None detected"}
+    assert text(context.entities_summary(code, keys=keys))["none"] == text(context.dependencies_summary(code, calls, keys=keys))["none"] == "None found - repository may need re-ingestion"
+    own = spark.createDataFrame([("r", "r::c.py::gamma"), ("r", "r::c.py::abc")], "repo_id string, src_uid string")
+    assert {r.src_uid: r.text for r in context.compressed_dependencies(code, calls, keys=own).collect()} == {"r::c.py::gamma": "None", "r::c.py::abc": "- alpha (a.py)"}
+    hits = spark.createDataFrame([(1, 1, "a.py", 3, "Function", 0.5)], "query_id int, rank int, file string, start_line int, type string, score double")
+    asked = spark.createDataFrame([(1,), (2,)], "query_id int")
+    assert {r.query_id: r.text for r in context.compressed_similar(hits, keys=asked).collect()} == {1: "- a.py:3 (Function, score: 0.50)", 2: "None found"}
+
+
+def test_trees_of_entities_tell_the_files_they_use(code):
+    got = {(r.repo_id, r.file): r.text for r in context.entity_tree(code, graph.link_dependencies(code)).collect()}
+    assert got["r", "b.py"] == "**`beta`** (Function)\n├─ Calls: `alpha`, `gamma`\n├─ Called by: `alpha`\n└─ Uses: `a.py`, `c.py`"
+    assert got["r", "d.py"] == "**`main`** (Function)"
+
+
+def test_export_of_a_graph_is_whole(spark, code):
+    imports = spark.createDataFrame([("r", "a.py", "b.py"), ("r", "a.py", "os"), ("r", "b.py", "zz.py")], "repo_id string, file string, import string")
+    many = entities(spark, [("m", "x.py", f"name{i:04d}", "Function", i, "y" * 600) for i in range(300)])
+    got = {(r.repo_id, r.file): r for r in context.graph_export(code.unionByName(many), graph.link_dependencies(code), imports).collect()}
+    assert [n.name for n in got["r", "a.py"].nodes] == ["alpha", "delta"] and got["r", "a.py"].nodes[0].calls == ["r::b.py::beta", "r::c.py::gamma"]
+    assert got["r", "a.py"].imports == ["b.py", "os"] and got["r", "a.py"].dependencies == ["b.py"] and got["r", "b.py"].dependencies == []
+    assert (got["r", "c.py"].total_nodes, got["r", "c.py"].total_files) == (6, 4)
+    assert len(got["m", "x.py"].nodes) == 300 and len(got["m", "x.py"].nodes[0].code) == 500
+
+
+def test_names_and_imports_of_odd_nodes(spark):
+    from codelake.sources import ingest
+
+    rows = [("f", "x\ny", ["i"], 3), (None, "'one line'", ["i"], 3), (None, "a\nb", ["first", "second"], 3), (None, "a\nb", [], 7), (None, "a\nb", None, 8)]
+    got = spark.createDataFrame(rows, "name string, code string, ids array<string>, line int").select(ingest.entity_name(F.col("name"), F.col("code"), F.col("ids"), F.col("line")).alias("n")).collect()
+    assert [r.n for r in got] == ["f", "one line", "first", "anon_7", "anon_8"]
+    texts = {"py": "import a, b\n  from .x.y import z\nimport  os\nimporting\n", "jsx": "import x from 'lib/a';\nimport {b} from \"./from/c\"\nconst from = import('z')\n", "go": "import x"}
+    files = spark.createDataFrame([("r", k, k, v) for k, v in texts.items()], "repo_id string, file string, language string, text string")
+    found = defaultdict(set)
+    for r in ingest.imports(files).collect():
+        found[r.file].add(r["import"])
+    assert found == {"py": {"a,", ".x.y", "os"}, "jsx": {"lib/a", "./", "= import('z')"}}
+
+
+def test_whole_diffs(spark):
+    rows = [(1, "a.py", PATCH), (2, None, "@@ -1 +1 @@\n+x"), (3, "c.py", None), (4, "d.py", " \n"), (5, "", "no hunk")]
+    got = {r.pr: r.text for r in diff.formatted_diff(spark.createDataFrame(rows, "pr int, filename string, patch string"), "pr", file_col="filename").collect()}
+    assert got[1].startswith("## File: a.py\n\n\n@@ -3,3 +3,4 @@\nL3  | ctx\nL4- | old\nL4+ | new\n") and "\n\n@@ -20 +21 @@\nL21+ | tail" in got[1]
+    assert got[2] == "\n@@ -1 +1 @@\nL1+ | x" and got[3] == got[4] == "No diff available" and got[5] == "no hunk"
+
+
+def test_ties_in_an_overlay_are_ordered(spark):
+    schema = "repo string, name string, file string, idx int"
+    base = [("r", "n", f, 1) for f in ("z", "a", "m")] + [("r", "own", "q", 1), ("r", "", "q", 1), ("r", None, "q", 1)]
+    over = [("r", "n", f, 2) for f in ("y", "b")] + [("s", "n", None, 2), ("s", "n", "c", 2)]
+    for seed in range(3):
+        a, b = (spark.createDataFrame(random.Random(seed).sample(x, len(x)), schema).repartition(3) for x in (base, over))
+        assert {(r.repo, r.name, r.file, r.source) for r in review.overlay_merge(a, b, "repo", "name").collect()} == {("r", "n", "b", "temporary"), ("s", "n", None, "temporary"), ("r", "own", "q", "permanent")}
+
+
+def test_sections_and_recovery(spark):
+    issues = [(1, "critical", "a Security hole")] * 6 + [(1, "medium", "security")] + [(2, "low", "security")] + [(3, "high", "x")] * 11
+    got = {(r.pr, r.section): (r.issues, r.collapsible) for r in review.review_sections(spark.createDataFrame(issues, "pr int, severity string, description string"), "pr").collect()}
+    assert got == {(1, 1): (6, True), (1, 2): (7, False), (3, 2): (11, True)}
+    rows = [("Rate Limit hit", 0), ("rate limit", 2), ("bad API key", 0), ("Authentication", 9), ("x", 0), ("x", 1), ("x", 2), ("x", 3), (None, None)]
+    got = [r.r.action for r in spark.createDataFrame(rows, "m string, n int").select(decide.error_recovery(F.col("m"), F.col("n")).alias("r")).collect()]
+    assert got == ["retry_later", "end", "fail", "fail", "retry", "retry", "end", "fallback", "retry"]
+
+
+def test_names_are_found_by_automata_in_any_blocks(spark, monkeypatch):
+    rng = random.Random(4)
+    names = ["".join(rng.choices("abé😀", k=rng.randint(1, 7))) for _ in range(80)]
+    rows = [("r" if i % 3 else "q", f"f{i % 6}.py", f"{n}", rng.choice(["Function", "Class", "Module"]), i, "".join(rng.choices("abé😀", k=200)) if i % 9 else None) for i, n in enumerate(dict.fromkeys(names))]
+    table = entities(spark, rows)
+    want = {(s.uid, t.uid) for s in table.collect() for t in table.collect() if s.repo_id == t.repo_id and s.file != t.file and s.type == "Function" and t.type in graph.TARGET_TYPES and len(t.name) > 3 and s.raw_code and t.name in s.raw_code}
+    for block, part in ((2_000, 50_000), (3, 4)):
+        monkeypatch.setattr(graph, "BLOCK", block)
+        monkeypatch.setattr(graph, "PART", part)
+        found = [(r.src_uid, r.dst_uid) for r in graph.link_dependencies(table).collect()]
+        assert len(found) == len(set(found)) and set(found) == want and len(want) > 20
+
+
+def test_near_rows_leave_in_order_with_any_first(spark):
+    """Groups of drifting texts, in which what stays depends on what stayed before it."""
+    rng = random.Random(6)
+    rows = []
+    for g in "ab":
+        base = [f"w{i}" for i in range(20)]
+        for i in range(120):
+            base = list(base)
+            base[rng.randrange(20)] = f"n{rng.randrange(40)}"
+            rows.append((g, i, " ".join(base) if i % 10 else " ".join(rng.choices(base, k=3))))
+    want = defaultdict(list)
+    for g, i, t in rows:
+        w = set(t.split())
+        if not any(len(w & v) >= 0.8 * len(w | v) for _, v in want[g]):
+            want[g].append((i, w))
+    table = spark.createDataFrame(rows, "g string, idx long, t string").repartition(4)
+    for first in (1, 64):
+        got = review.greedy_dedupe(table, "g", ["idx"], "t", first=first).collect()
+        assert {g: sorted(r.idx for r in got if r.g == g) for g in "ab"} == {g: [i for i, _ in v] for g, v in want.items()}
