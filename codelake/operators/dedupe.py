@@ -1,6 +1,6 @@
 """Removal of near-duplicates in order, in parallel: a row stays unless it is near one that stays before it.
 
-That is the lexicographically first maximal independent set of the similarity graph, and is found in rounds. Rows are near only if they share one
+That is the lexicographically first maximal independent set of the similarity graph, and is found in rounds. Rows are near only if they share some
 of their first words under a global order (a prefix filter), so each row stands in the lists of these words. A round compares every list with the
 first few rows in it. A row that is among the first of all of its lists has met all earlier rows that it could be near, so it is decided as soon
 as these are; what is near a row that stays leaves. Each round takes twice as many rows of a list as the one before it, so lists of any length
@@ -21,6 +21,9 @@ from ..sources.store import stage
 #: Rows of a list that the first round compares with the others.
 FIRST = 8
 
+#: Words that sets must share among their first ones before they are compared, where they have as many.
+SHARED = 4
+
 #: The words that most rows have stand last in the global order, as far as this many of them are known; it decides speed only.
 KNOWN = 65_536
 
@@ -50,67 +53,56 @@ def greedy_dedupe(rows: DataFrame, group: str, order: list[str], text: str, thre
     words = F.array_sort(F.transform(word_set(F.coalesce(F.col(text), F.lit(""))), lambda w: F.xxhash64(w)))
     keys = [*order, *({"idx"} - set(order))]
     named = rows.select(F.col(group).alias("group"), "idx", *(F.col(c).alias(f"o{i}") for i, c in enumerate(keys)), words.alias("words")).withColumn("row", F.monotonically_increasing_id())
-    named = stage(named, "rows")  # the numbers stay as they are
-    told = stage(places(named.drop("words"), "group", *(f"o{i}" for i in range(len(keys))), "row").select("group", "idx", "row", "place"), "places")
-    sets = named.where(F.size("words") > 0).select("row", F.col("words")).join(told.select("row", "group", "place"), "row")
+    digest = [F.xxhash64("words").alias("d1"), F.xxhash64(F.lit(1), "words").alias("d2")]
+    named = stage(named.select("*", F.size("words").alias("n"), *digest), "rows")  # the numbers stay as they are; words are written only here
+    told = stage(places(named.drop("words"), "group", *(f"o{i}" for i in range(len(keys))), "row").select("group", "idx", "row", "place", "n", "d1", "d2"), "places")
 
     # Of equal sets only the first can stay, and it stands for all.
-    digest = [F.xxhash64("words").alias("d1"), F.xxhash64(F.lit(1), "words").alias("d2"), F.size("words").alias("d3")]
-    once = sets.groupBy("group", *digest).agg(F.min_by("row", "place").alias("row")).select("row")
-    sets = stage(sets.join(once, "row", "left_semi"), "sets")
+    once = told.where("n > 0").groupBy("group", "n", "d1", "d2").agg(F.min_by("row", "place").alias("row"), F.min("place").alias("place")).select("group", "row", "place", "n")
+    once = stage(once, "sets")
+    sets = named.select("row", "n", "words").where("n > 0")
     common = sets.select(F.explode("words").alias("word")).groupBy("word").count().where("count > 1").orderBy(F.desc("count"), "word").limit(KNOWN).collect()
-    lists = stage(_prefixes(sets, np.array([r["word"] for r in common], np.int64), threshold), "lists")
+    lists = once.join(_prefixes(sets, np.array([r["word"] for r in common], np.int64), threshold), "row")
+    lists = stage(lists.select("row", "group", "place", "n", F.posexplode("tokens").alias("at", "token")).withColumn("ahead", F.col("n") - F.col("at")).drop("at"), "lists")
 
     # A list of one row can be left out; rows without any list are near nothing.
-    shared = lists.groupBy("group", "token").count().where("count > 1").select(F.col("group").alias("__g"), "token")
-    here = lists.join(shared.withColumnRenamed("token", "__t"), F.col("group").eqNullSafe(F.col("__g")) & (F.col("token") == F.col("__t")), "left_semi")
-    lists = stage(here, "lists")
+    shared = lists.groupBy("group", "token").count().where("count > 1").select(F.col("group").alias("__g"), F.col("token").alias("__t"))
+    lists = stage(lists.join(shared, F.col("group").eqNullSafe(F.col("__g")) & (F.col("token") == F.col("__t")), "left_semi"), "lists")
     gone = []
     while not lists.isEmpty():
         kept, removed = _round(lists, sets, threshold, first)
         gone.append(removed)
         lists, first = stage(lists.join(kept.unionByName(removed), "row", "left_anti"), "lists"), 2 * first
-    out = told.join(sets.select("row"), "row", "left_semi").unionByName(told.join(named.where(F.size("words") > 0).select("row"), "row", "left_anti"))
+    out = told.join(once.select("row"), "row", "left_semi").unionByName(told.where("n = 0"))
     for part in gone:
         out = out.join(part, "row", "left_anti")
     return out.select(F.col("group").alias(group), "idx", "place")
 
 
 def _prefixes(sets: DataFrame, common: np.ndarray, threshold: float) -> DataFrame:
-    """(row, group, place, n, token, ahead): a row for each word of a set's prefix; ahead counts the words of the set from there on.
+    """(row, tokens): the first words of sets(row, n, words), rare ones first.
 
-    A set of n words that is near another shares one of its first n - ceil(threshold * n) + 1 words with it, under any one order. Here words come
-    by how few rows have them, as far as that is known, and else by their hash.
+    Sets of n words that are near share at least ceil(threshold * n) words; under any one order of all words, the first SHARED of these stand among
+    the first n - ceil(threshold * n) + SHARED of either. Here words come by how few rows have them, as far as that is known, then by their hash.
     """
-    kind = sets.schema["group"].dataType.simpleString()
     rank = np.argsort(common)
     known, weight = common[rank], len(common) - rank  # the commonest word has the largest weight
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = batch.column(2)
+            column = batch.column(1)
             flat, ends = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
-            at, tokens, ahead, sizes = [], [], [], []
-            for i, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)):
+            tokens = []
+            for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
                 s = flat[a:b]
-                n = len(s)
-                often = np.zeros(n, np.int64)
+                often = np.zeros(len(s), np.int64)
                 if len(known):
                     where = np.minimum(np.searchsorted(known, s), len(known) - 1)
                     often = np.where(known[where] == s, weight[where], 0)
-                size = n - int(np.ceil(threshold * n - 1e-9)) + 1
-                at.append(np.full(size, i))
-                tokens.append(s[np.lexsort((s, often))[:size]])
-                ahead.append(np.arange(n, n - size, -1))
-                sizes.append(np.full(size, n))
-            if not at:
-                continue
-            take = pa.array(np.concatenate(at))
-            left = [batch.column(0).take(take), batch.column(1).take(take), batch.column(3).take(take)]
-            right = [pa.array(np.concatenate(c).astype(t)) for c, t in ((sizes, np.int32), (tokens, np.int64), (ahead, np.int32))]
-            yield pa.RecordBatch.from_arrays(left + right, names=["row", "group", "place", "n", "token", "ahead"])
+                tokens.append(s[np.lexsort((s, often))[: len(s) - int(np.ceil(threshold * len(s) - 1e-9)) + SHARED]])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tokens, pa.list_(pa.int64()))], names=["row", "tokens"])
 
-    return sets.select("row", "group", "words", "place").mapInArrow(run, f"row long, group {kind}, place int, n int, token long, ahead int")
+    return sets.select("row", "words").mapInArrow(run, "row long, tokens array<long>")
 
 
 def _round(lists: DataFrame, sets: DataFrame, threshold: float, first: int) -> tuple[DataFrame, DataFrame]:
@@ -118,18 +110,26 @@ def _round(lists: DataFrame, sets: DataFrame, threshold: float, first: int) -> t
     rank = F.row_number().over(Window.partitionBy("group", "token").orderBy("place"))
     heads = stage(lists.withColumn("__rank", rank).where(F.col("__rank") <= first).drop("__rank"), "heads")
     clear = lists.groupBy("row").agg(F.count("*").alias("all")).join(heads.groupBy("row").agg(F.count("*").alias("first")), "row").where("all = first").select("row")
+    clear = stage(clear, "clear")
 
-    x, y = lists.alias("x"), heads.alias("y")
+    # Only pairs with a clear row decide anything, and all lists that such a pair shares are met here.
+    mark = clear.select("row", F.lit(True).alias("clear"))
+    x, y = lists.join(mark, "row", "left").alias("x"), heads.join(mark, "row", "left").alias("y")
     same = (F.col("x.token") == F.col("y.token")) & F.col("x.group").eqNullSafe(F.col("y.group")) & (F.col("y.place") < F.col("x.place"))
-    # Sets that are near share at least this many words; of those only what follows the word can be shared, at the first that is.
-    least = threshold / (1 + threshold) * (F.col("x.n") + F.col("y.n")) - 1e-9
-    pairs = x.join(y, same).where(F.least("x.ahead", "y.ahead") >= least).select(F.col("y.row").alias("src"), F.col("x.row").alias("dst")).distinct()
-    a, b = sets.select(F.col("row").alias("src"), F.col("words").alias("w1")), sets.select(F.col("row").alias("dst"), F.col("words").alias("w2"))
+    # So many words near sets share; behind each of the first SHARED of them there are the others.
+    least = F.ceil(threshold / (1 + threshold) * (F.col("x.n") + F.col("y.n")) - 1e-9)
+    fits = (F.least("x.n", "y.n") >= F.lit(threshold) * F.greatest("x.n", "y.n") - 1e-9) & (F.least("x.ahead", "y.ahead") >= least - (SHARED - 1))
+    pairs = x.join(y, same).where(F.coalesce("x.clear", "y.clear", F.lit(False)) & fits).groupBy(F.col("y.row").alias("src"), F.col("x.row").alias("dst"))
+    pairs = pairs.agg(F.count("*").alias("both"), F.first(least).alias("least")).where(F.col("both") >= F.least("least", F.lit(SHARED))).select("src", "dst")
+    pairs = stage(pairs, "pairs")
+    asked = pairs.select(F.col("src").alias("row")).unionByName(pairs.select(F.col("dst").alias("row"))).distinct()
+    own = sets.join(asked, "row", "left_semi")
+    a, b = own.select(F.col("row").alias("src"), F.col("words").alias("w1")), own.select(F.col("row").alias("dst"), F.col("words").alias("w2"))
     both = F.size(F.array_intersect("w1", "w2"))
     near = both >= F.lit(threshold) * (F.size("w1") + F.size("w2") - both)
     edges = stage(pairs.join(a, "src").join(b, "dst").where(near).select("src", "dst"), "edges")
 
-    open_, kept, removed = stage(clear, "clear"), [], []
+    open_, kept, removed = clear, [], []
     while True:
         stay = stage(open_.join(edges.select(F.col("dst").alias("row")), "row", "left_anti"), "kept")
         if stay.isEmpty():

@@ -16,7 +16,7 @@ ENTRY_NAMES = ("main", "index", "__init__", "handler", "default")
 
 
 #: Functions that are searched together, and names that an automaton holds.
-BLOCK, PART = 2_000, 50_000
+BLOCK, PART = 500, 50_000
 
 
 def callable_names(entities: DataFrame) -> DataFrame:
@@ -40,26 +40,24 @@ def mentions(entities: DataFrame, names: DataFrame) -> DataFrame:
     asked = names.join(cells, "repo_id").withColumn("part", F.pmod(F.xxhash64("name"), F.col("parts")).cast("int"))
     # Names of their own for one side's columns, as both come from the same entities.
     asked = asked.select(F.col("repo_id").alias("of_repo"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("of_block"), F.col("part").alias("of_part"), F.col("name").alias("of_name"))
-    schema = ", ".join(f"{c} {names.schema['repo_id'].dataType.simpleString() if c == 'repo_id' else 'string'}" for c in ("repo_id", "src_uid", "src_file", "name"))
-    return dealt.groupBy("repo_id", "block", "part").cogroup(asked.groupBy("of_repo", "of_block", "of_part")).applyInArrow(_search, schema)
+    schema = f"repo_id {names.schema['repo_id'].dataType.simpleString()}, src_uid string, src_file string, names array<string>"
+    found = dealt.groupBy("repo_id", "block", "part").cogroup(asked.groupBy("of_repo", "of_block", "of_part")).applyInArrow(_search, schema)
+    return found.select("repo_id", "src_uid", "src_file", F.explode("names").alias("name"))
 
 
 def _search(code: pa.Table, names: pa.Table) -> pa.Table:
     """The names that each code contains, of one cell."""
     import ahocorasick
 
-    wanted, at, found = names.column("of_name").to_pylist(), [], []
+    wanted, found = names.column("of_name").to_pylist(), []
     if wanted and code.num_rows:
         automaton = ahocorasick.Automaton()
         for i, name in enumerate(wanted):
             automaton.add_word(name, i)
         automaton.make_automaton()
-        for row, text in enumerate(code.column("raw_code")):
-            hits = {i for _, i in automaton.iter(text.as_py())}
-            at += [row] * len(hits)
-            found += [wanted[i] for i in hits]
-    rows = code.select(["repo_id", "src_uid", "src_file"]).take(pa.array(at, pa.int64()))
-    return rows.append_column("name", pa.array(found, pa.string()))
+        found = [[wanted[i] for i in {i for _, i in automaton.iter(text.as_py())}] for text in code.column("raw_code")]
+    rows = code.select(["repo_id", "src_uid", "src_file"])
+    return rows.append_column("names", pa.array(found or [[]] * code.num_rows, pa.list_(pa.string())))
 
 
 def resolve(mentioned: DataFrame, entities: DataFrame) -> DataFrame:
