@@ -60,14 +60,17 @@ def greedy_dedupe(rows: DataFrame, group: str, order: list[str], text: str, thre
     # Of equal sets only the first can stay, and it stands for all.
     once = told.where("n > 0").groupBy("group", "n", "d1", "d2").agg(F.min_by("row", "place").alias("row"), F.min("place").alias("place")).select("group", "row", "place", "n")
     once = stage(once, "sets")
-    sets = named.select("row", "n", "words").where("n > 0")
+    sets = named.select("row", "group", "n", "words").where("n > 0")
     common = sets.select(F.explode("words").alias("word")).groupBy("word").count().where("count > 1").orderBy(F.desc("count"), "word").limit(KNOWN).collect()
+    # A word of a group is one number, and so are a set's size and how many of its words there are from the word on; rows are many.
     lists = once.join(_prefixes(sets, np.array([r["word"] for r in common], np.int64), threshold), "row")
-    lists = stage(lists.select("row", "group", "place", "n", F.posexplode("tokens").alias("at", "token")).withColumn("ahead", F.col("n") - F.col("at")).drop("at"), "lists")
+    lists = lists.select("row", "group", "place", "n", F.posexplode("tokens").alias("at", "token"))
+    lists = lists.select("row", F.xxhash64("group", "token").alias("list"), "place", (F.shiftleft(F.col("n").cast("long"), 32) + F.col("n") - F.col("at")).alias("sizes"))
+    lists = stage(lists, "lists")
 
     # A list of one row can be left out; rows without any list are near nothing.
-    shared = lists.groupBy("group", "token").count().where("count > 1").select(F.col("group").alias("__g"), F.col("token").alias("__t"))
-    lists = stage(lists.join(shared, F.col("group").eqNullSafe(F.col("__g")) & (F.col("token") == F.col("__t")), "left_semi"), "lists")
+    shared = lists.groupBy(F.col("list").alias("__list")).count().where("count > 1").select("__list")
+    lists = stage(lists.join(shared, F.col("list") == F.col("__list"), "left_semi"), "lists")
     gone = []
     while not lists.isEmpty():
         kept, removed = _round(lists, sets, threshold, first)
@@ -107,7 +110,7 @@ def _prefixes(sets: DataFrame, common: np.ndarray, threshold: float) -> DataFram
 
 def _round(lists: DataFrame, sets: DataFrame, threshold: float, first: int) -> tuple[DataFrame, DataFrame]:
     """Rows of the lists that stay, and rows that leave; at least the first of each group is decided."""
-    rank = F.row_number().over(Window.partitionBy("group", "token").orderBy("place"))
+    rank = F.row_number().over(Window.partitionBy("list").orderBy("place", "row"))
     heads = stage(lists.withColumn("__rank", rank).where(F.col("__rank") <= first).drop("__rank"), "heads")
     clear = lists.groupBy("row").agg(F.count("*").alias("all")).join(heads.groupBy("row").agg(F.count("*").alias("first")), "row").where("all = first").select("row")
     clear = stage(clear, "clear")
@@ -115,19 +118,21 @@ def _round(lists: DataFrame, sets: DataFrame, threshold: float, first: int) -> t
     # Only pairs with a clear row decide anything, and all lists that such a pair shares are met here.
     mark = clear.select("row", F.lit(True).alias("clear"))
     x, y = lists.join(mark, "row", "left").alias("x"), heads.join(mark, "row", "left").alias("y")
-    same = (F.col("x.token") == F.col("y.token")) & F.col("x.group").eqNullSafe(F.col("y.group")) & (F.col("y.place") < F.col("x.place"))
+    same = (F.col("x.list") == F.col("y.list")) & (F.col("y.place") < F.col("x.place"))
+    size = lambda side: F.shiftright(f"{side}.sizes", 32)
+    ahead = lambda side: F.col(f"{side}.sizes").bitwiseAND(F.lit(0xFFFFFFFF))
     # So many words near sets share; behind each of the first SHARED of them there are the others.
-    least = F.ceil(threshold / (1 + threshold) * (F.col("x.n") + F.col("y.n")) - 1e-9)
-    fits = (F.least("x.n", "y.n") >= F.lit(threshold) * F.greatest("x.n", "y.n") - 1e-9) & (F.least("x.ahead", "y.ahead") >= least - (SHARED - 1))
+    least = F.ceil(threshold / (1 + threshold) * (size("x") + size("y")) - 1e-9)
+    fits = (F.least(size("x"), size("y")) >= F.lit(threshold) * F.greatest(size("x"), size("y")) - 1e-9) & (F.least(ahead("x"), ahead("y")) >= least - (SHARED - 1))
     pairs = x.join(y, same).where(F.coalesce("x.clear", "y.clear", F.lit(False)) & fits).groupBy(F.col("y.row").alias("src"), F.col("x.row").alias("dst"))
     pairs = pairs.agg(F.count("*").alias("both"), F.first(least).alias("least")).where(F.col("both") >= F.least("least", F.lit(SHARED))).select("src", "dst")
     pairs = stage(pairs, "pairs")
     asked = pairs.select(F.col("src").alias("row")).unionByName(pairs.select(F.col("dst").alias("row"))).distinct()
     own = sets.join(asked, "row", "left_semi")
-    a, b = own.select(F.col("row").alias("src"), F.col("words").alias("w1")), own.select(F.col("row").alias("dst"), F.col("words").alias("w2"))
+    a, b = (own.select(F.col("row").alias(end), F.col("group").alias(f"{end}_group"), F.col("words").alias(words)) for end, words in (("src", "w1"), ("dst", "w2")))
     both = F.size(F.array_intersect("w1", "w2"))
     near = both >= F.lit(threshold) * (F.size("w1") + F.size("w2") - both)
-    edges = stage(pairs.join(a, "src").join(b, "dst").where(near).select("src", "dst"), "edges")
+    edges = stage(pairs.join(a, "src").join(b, "dst").where(near & F.col("src_group").eqNullSafe(F.col("dst_group"))).select("src", "dst"), "edges")
 
     open_, kept, removed = clear, [], []
     while True:
