@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_arrow, stage_table
+from .common import map_arrow, mix64, stage_table
 
 
 @dataclass(frozen=True)
@@ -203,8 +203,16 @@ def ann_search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str =
             out[2].append(exact[best])
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["query", "entry", "score"])
 
-    spread = F.element_at(F.lit(first.tolist()), F.col("cell") + 1) + F.pmod(F.xxhash64("entry"), F.element_at(F.lit(parts.tolist()), F.col("cell") + 1).cast("long")).cast("int")
-    placed = index.select(spread.cast("int").alias("block"), F.lit(0).alias("kind"), "entry", "vector", "cell", F.lit(None).cast("binary").alias("queries"))
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The block of each entry; entries of a cell that fills several are dealt over them."""
+        _, first, parts = layout.value
+        for batch in batches:
+            cell, entry = np.asarray(batch.column(2)), np.asarray(batch.column(0)).astype(np.int64)
+            own = first[cell] + (mix64(entry.view(np.uint64)) % parts[cell].astype(np.uint64)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), *batch.columns], names=["block", "entry", "vector", "cell"])
+
+    settled = map_arrow(index.select("entry", "vector", "cell"), settle, f"block int, entry long, vector array<{kind}>, cell int")
+    placed = settled.select("block", F.lit(0).alias("kind"), "entry", "vector", "cell", F.lit(None).cast("binary").alias("queries"))
     asking = rows.where("asks").select(F.col("id").alias("query_id"), "vector").distinct()
     of_entry = asking.join(index.select("entry", "vector"), "vector").select("query_id", "entry")
     of_entry = stage_table(of_entry, "ann-queries")
