@@ -15,6 +15,8 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark import TaskContext
@@ -191,7 +193,7 @@ def _shards(rows: DataFrame, config: WarcConfig) -> tuple[Column, int]:
     none = max(low - 1, -(2**63))  # where null ids stand
     key, bounds = F.coalesce("id", F.lit(none)), sorted({none, low})
     while True:
-        range_ = _reached(key, bounds)
+        range_ = _reached(rows.sparkSession, key, bounds)
         sizes = {r.range: r.size for r in rows.groupBy(range_.alias("range")).agg(F.sum(F.col("size") + 500).alias("size")).collect()}
         ends = [*bounds[1:], high + 1]
         large = [i for i, (a, b) in enumerate(zip(bounds, ends, strict=True)) if sizes.get(i, 0) > most and b - a > 1]
@@ -209,15 +211,26 @@ def _shards(rows: DataFrame, config: WarcConfig) -> tuple[Column, int]:
         filled += size
         if dealt[-1] > 1:
             shard, filled = shard + dealt[-1], 0
-    part = F.pmod(F.xxhash64("sha"), F.element_at(F.lit(dealt), range_ + 1).cast("long")).cast("int")
-    return (F.element_at(F.lit(first), range_ + 1) + part).alias("shard"), shard + 1
+    sent = rows.sparkSession.sparkContext.broadcast((np.array(bounds), np.array(first), np.array(dealt)))
 
+    @F.pandas_udf("int")
+    def shard_of(keys: pd.Series, hashes: pd.Series) -> pd.Series:
+        bounds, first, dealt = sent.value
+        at = np.searchsorted(bounds, keys.to_numpy(), side="right") - 1
+        return pd.Series((first[at] + np.mod(hashes.to_numpy(), dealt[at])).astype(np.int32))
 
-def _reached(key: Column, bounds: list[int]) -> Column:
-    """The last of the ascending bounds that isn't above the key, found by halving; the first one never is."""
-    steps = F.lit([1 << i for i in reversed(range(len(bounds).bit_length()))])
-    fits = lambda n: (n < len(bounds)) & (F.try_element_at(F.lit(bounds), n + 1) <= key)
-    return F.aggregate(steps, F.lit(0), lambda n, step: n + F.when(fits(n + step), step).otherwise(0))
+    return shard_of(key, F.xxhash64("sha")).alias("shard"), shard + 1
+
+
+def _reached(spark: SparkSession, key: Column, bounds: list[int]) -> Column:
+    """The last of the ascending bounds that isn't above the key; the first one never is."""
+    sent = spark.sparkContext.broadcast(np.array(bounds))
+
+    @F.pandas_udf("int")
+    def reached(keys: pd.Series) -> pd.Series:
+        return pd.Series((np.searchsorted(sent.value, keys.to_numpy(), side="right") - 1).astype(np.int32))
+
+    return reached(key)
 
 
 def read_members(stream, chunk: int = 1 << 20) -> Iterator[bytes]:
