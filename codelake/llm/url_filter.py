@@ -13,7 +13,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage_table
+from .common import join_groups, stage_table
 
 
 class Rule(NamedTuple):
@@ -106,22 +106,25 @@ def url_filter(pages: DataFrame, rules: Sequence[Rule], id_col: str = "page_id",
 
     rule names the longest rule (host and path joined; of equal ones the first by name) that fits, else null, and gives the verdict; otherwise
     the host is blocked if distrust / (trust + distrust) is above the threshold, and allowed if not or if nothing reaches it. A null url, or
-    one without ://, has an empty host and path, which no rule fits. Null html has no links. Hosts and rules are met in joins on the host,
-    whose pages' side is split where one host has many. Ranks are summed as they come, so the share of distrust is rounded to nine digits before
+    one without ://, has an empty host and path, which no rule fits. Null html has no links. What is told of a host with more than 1 / HOT of
+    the pages meets them in a broadcast of fewer than HOT rows, the rest in a join on the host. Ranks are summed as they come, so the share of distrust is rounded to nine digits before
     it is compared, however small both ranks are; trust and distrust are rounded to nine places when they are given out, and only then.
     """
     url = F.col(url_col).cast("string")
     narrow = pages.select(F.col(id_col).alias("id"), F.coalesce(host_of(url), F.lit("")).alias("host"), F.coalesce(path_of(url), F.lit("")).alias("path"))
-    covered = host_rules(narrow.select("host").distinct(), rules)
+    # What is told of a host meets its pages where they lie if it has many.
+    hosts = stage_table(narrow.groupBy("host").agg(F.count("*").alias("n")), "hosts")
+    total = hosts.agg(F.sum("n")).first()[0] or 0
+    named = lambda found: found.join(hosts, "host").withColumnRenamed("host", "group")
+    covered = named(host_rules(hosts.select("host"), rules))
     fit = F.filter("rules", lambda r: F.startswith(F.col("path"), r["path"]))
-    ruled = narrow.join(covered, "host", "left").select("id", "host", "path", F.try_element_at(fit, F.lit(1)).alias("fit"))
+    ruled = join_groups(narrow, covered, F.col("host"), total, ["rules"]).select("id", "host", "path", F.try_element_at(fit, F.lit(1)).alias("fit"))
     ruled = ruled.select("id", "host", "path", F.col("fit.name").alias("rule"), F.col("fit.verdict").alias("ruling"))
     seeds = ruled.where("ruling is not null").groupBy("host").agg(F.count_if(F.col("ruling") == "allow").alias("allowed"), F.count_if(F.col("ruling") == "block").alias("blocked"))
     edges = link_edges(pages.select(F.coalesce(host_of(url), F.lit("")).alias("host"), F.col(html_col).alias("html")), "html")
     ranks = propagate(edges, seeds)
-    total = F.col("trust") + F.col("distrust")
-    bad = F.coalesce(F.round(F.try_divide("distrust", total), 9) > threshold, F.lit(False))
-    return ruled.join(ranks, "host", "left").select(
+    bad = F.coalesce(F.round(F.try_divide("distrust", F.col("trust") + F.col("distrust")), 9) > threshold, F.lit(False))
+    return join_groups(ruled, named(ranks), F.col("host"), total, ["trust", "distrust"]).select(
         F.col("id").alias(id_col),
         "host",
         "path",
