@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from codelake.llm.classifier import FtrlConfig, keep_scored, train, training_rows
 from codelake.llm.common import stage_table
-from codelake.llm.exact_dedup import drop_exact_copies
+from codelake.llm.exact_dedup import exact_dedup
 from codelake.llm.packing import pack_documents
 from codelake.llm.queries import END_ID, GOOD, fold
 from codelake.llm.shingle_join import shingle_components
@@ -36,7 +36,9 @@ def keyed(docs: DataFrame, name: str) -> DataFrame:
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs with one row of each group of equal texts, also where ids are null or repeated."""
-    return drop_exact_copies(keyed(docs, "exact-rows"), "__key").select(docs.columns)
+    rows = keyed(docs, "exact-rows")
+    gone = exact_dedup(rows, "__key").where("not kept").select(F.col("__key.row").alias("row"))
+    return rows.join(gone, rows["__row"] == gone["row"], "left_anti").select(docs.columns)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
