@@ -67,10 +67,8 @@ def greedy_dedupe(rows: DataFrame, group: str, order: list[str], text: str, thre
     lists = lists.select("row", "group", "place", "n", F.posexplode("tokens").alias("at", "token"))
     lists = lists.select("row", F.xxhash64("group", "token").alias("list"), "place", (F.shiftleft(F.col("n").cast("long"), 32) + F.col("n") - F.col("at")).alias("sizes"))
     lists = stage(lists, "lists")
-
     # A list of one row can be left out; rows without any list are near nothing.
-    shared = lists.groupBy(F.col("list").alias("__list")).count().where("count > 1").select("__list")
-    lists = stage(lists.join(shared, F.col("list") == F.col("__list"), "left_semi"), "lists")
+    lists = stage(_shared(lists), "lists")
     gone = []
     while not lists.isEmpty():
         kept, removed = _round(lists, sets, threshold, first)
@@ -108,6 +106,17 @@ def _prefixes(sets: DataFrame, common: np.ndarray, threshold: float) -> DataFram
     return sets.select("row", "words").mapInArrow(run, "row long, tokens array<long>")
 
 
+def _shared(lists: DataFrame, bits: int = 26) -> DataFrame:
+    """lists(list, ...) of more than one row, and a few others: all that fall on a place of a bitmap of fixed size (8 MB) that one of the former takes. So
+    only the lists' numbers move, not their rows."""
+    place = F.shiftrightunsigned("list", 64 - bits)
+    row, bit = F.shiftright(place, 15), place.bitwiseAND(F.lit((1 << 15) - 1))
+    taken = lists.groupBy("list").count().where("count > 1").select(row.alias("__row"), bit.alias("__bit")).groupBy("__row").agg(F.bitmap_construct_agg("__bit").alias("__bits"))
+    met = lists.withColumns({"__at": row, "__b": bit}).join(F.broadcast(stage(taken, "shared")), F.col("__at") == F.col("__row"))
+    byte = F.conv(F.hex(F.expr("substring(__bits, cast(__b div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    return met.where(F.expr("1 << cast(__b % 8 as int)").bitwiseAND(byte) != 0).select(*lists.columns)
+
+
 def _round(lists: DataFrame, sets: DataFrame, threshold: float, first: int) -> tuple[DataFrame, DataFrame]:
     """Rows of the lists that stay, and rows that leave; at least the first of each group is decided."""
     rank = F.row_number().over(Window.partitionBy("list").orderBy("place", "row"))
