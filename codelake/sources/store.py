@@ -35,7 +35,7 @@ def shared_folder(spark: SparkSession) -> str:
 def stage(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read back, so that its lineage ends there."""
     path = f"{shared_folder(df.sparkSession)}/codelake/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
