@@ -171,8 +171,8 @@ def text_checks():
         text = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
         count = lambda p: F.regexp_count(text, F.lit(p))
         quotes = sum((count(p) for p in QUOTES), F.lit(0))
-        # "line 1" has six characters, so it lies within a hundred if at most 94 are between.
-        generic = sum((count(rf"(?isu)(?<!line \p{{Nd}}.{{0,94}}){p}(?!.{{0,94}}line \p{{Nd}})") for p in PHRASES), F.lit(0))
+        # "line 1" has six characters, so it lies within a hundred if at most 94 are between. The phrase comes first, so what is around is looked at only there.
+        generic = sum((count(rf"(?isu){p}(?<!line \p{{Nd}}.{{0,94}}{p})(?!.{{0,94}}line \p{{Nd}})") for p in PHRASES), F.lit(0))
         metrics = sum((count(f"(?iu){p}") * count(f"(?iu){p}") for p in FIGURES), F.lit(0))
         return F.struct(quotes.alias("quotes"), generic.alias("generic"), metrics.alias("metrics"))
 
