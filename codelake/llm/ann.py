@@ -3,6 +3,7 @@
 Each half of a vector has a codebook of its own; a vector stands in the cell of its two nearest centroids. A query walks the pairs of centroids
 with a heap, from the largest sum of its halves' products with them downwards, until the cells it passed hold enough vectors; these are ranked
 by the product itself. The walk ends at a sum; so a query needs to carry just that sum, and a block of the index finds the cells above it.
+In a block, entries lie by cell, and a run of whole cells is multiplied only with the queries whose walk passed one of them.
 
 Equal vectors are one entry with its smallest ids. Entries lie in blocks of neighbouring cells; a cell of many entries is dealt over several
 blocks. Queries go to the blocks that their walk touched, packed, and are streamed past the block there.
@@ -25,13 +26,14 @@ from .common import map_arrow, mix64, stage_table
 @dataclass(frozen=True)
 class IndexConfig:
     """centroids of each half (a quarter of the sample at most); the sample of vectors (those of the smallest id hashes) that they are fitted on; the share of all entries that a
-    walk passes at least; entries a block."""
+    walk passes at least; entries a block; entries of a run, which ends with the cell that fills it."""
 
-    centroids: int = 128
+    centroids: int = 64
     sample: int = 16_000
     rounds: int = 8
-    share: float = 0.45
+    share: float = 0.55
     block: int = 8_192
+    run: int = 64
 
 
 def usable(vector: Column, dims: int) -> Column:
@@ -84,6 +86,32 @@ def walk(one: np.ndarray, two: np.ndarray, held: np.ndarray, enough: int) -> tup
     return last, np.array(cells, np.int64)
 
 
+def cell_runs(cell: np.ndarray, least: int) -> list[tuple[int, int]]:
+    """(start, end) of runs over ascending cells: whole cells, as many as it takes for `least` entries."""
+    ends = np.append(np.flatnonzero(np.diff(cell)) + 1, len(cell))
+    out, start = [], 0
+    for end in ends.tolist():
+        if end - start >= least or end == len(cell):
+            out.append((start, end))
+            start = end
+    return [r for r in out if r[1] > r[0]]
+
+
+def passed_products(m: np.ndarray, sums: np.ndarray, one: np.ndarray, two: np.ndarray, vector: np.ndarray, cell: np.ndarray, runs: list[tuple[int, int]]) -> np.ndarray:
+    """Products of queries m with the entries in cells that their walk passed, -inf elsewhere; one and two: m's products with the halves' centroids.
+
+    Of a run, only queries that passed one of its cells are multiplied."""
+    score, k = np.full((len(m), len(cell)), -np.inf), two.shape[1]
+    for start, end in runs:
+        cells, at = np.unique(cell[start:end], return_inverse=True)
+        passed = one[:, cells // k] + two[:, cells % k] >= sums[:, None] - 1e-9
+        asks = np.flatnonzero(passed.any(axis=1))
+        if len(asks):
+            product = m[asks] @ vector[start:end].T
+            score[asks, start:end] = product if len(cells) == 1 else np.where(passed[asks][:, at], product, -np.inf)
+    return score
+
+
 def _matrix(column) -> np.ndarray:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return np.asarray(column.flatten(), float).reshape(len(column), -1)
@@ -178,18 +206,18 @@ def ann_search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str =
                     continue
                 if blocks_[i] == now:
                     if index is None:
-                        index = tuple(np.concatenate(c) for c in zip(*((np.asarray(r.column(2)), _matrix(r.column(3)), np.asarray(r.column(4), np.int64)) for r in rows), strict=True))
-                        rows = []
+                        entry, vector, cell = (np.concatenate(c) for c in zip(*((np.asarray(r.column(2)), _matrix(r.column(3)), np.asarray(r.column(4), np.int64)) for r in rows), strict=True))
+                        order, rows = np.argsort(cell, kind="stable"), []
+                        index = entry[order], vector[order], cell[order], cell_runs(cell[order], config.run)
                     yield _best(batch.column(5)[i].as_py(), *index)
                 i += 1
 
-    def _best(data: bytes, entry: np.ndarray, vector: np.ndarray, cell: np.ndarray) -> pa.RecordBatch:
+    def _best(data: bytes, entry: np.ndarray, vector: np.ndarray, cell: np.ndarray, runs: list[tuple[int, int]]) -> pa.RecordBatch:
         count = int.from_bytes(data[:4], "little")
         names = np.frombuffer(data, "<i8", count, 4)
         sums = np.frombuffer(data, "<f8", count, 4 + 8 * count)
         m = np.frombuffer(data, "<f8", count * dims, 4 + 16 * count).reshape(count, dims)
-        near = (m[:, :half] @ sent.value[0].T)[:, cell // size] + (m[:, half:] @ sent.value[1].T)[:, cell % size]
-        score = np.where(near >= sums[:, None] - 1e-9, m @ vector.T, -np.inf)
+        score = passed_products(m, sums, m[:, :half] @ sent.value[0].T, m[:, half:] @ sent.value[1].T, vector, cell, runs)
         out = [], [], []
         for q in range(count):
             s = score[q]

@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from codelake.llm import common
-from codelake.llm.ann import IndexConfig, ann_search, walk
+from codelake.llm.ann import IndexConfig, ann_search, cell_runs, passed_products, walk
 from codelake.llm.classifier import FtrlConfig, _Words, features, score, train, training_rows
 from codelake.llm.common import WordHashes, from_packed_planes, pack_keys, packed_planes, shard_ends, unpack_keys
 from codelake.llm.lm_scoring import Model, bucket_of, counted_blocks, expectation, interpolated, learn, lm_scores
@@ -223,6 +223,22 @@ def test_walk_passes_cells_in_order():
     assert held.ravel()[cells].sum() >= min(20, held.sum())
 
 
+def test_only_passed_cells_are_multiplied():
+    rng = np.random.default_rng(7)
+    cell, vector, m = np.sort(rng.integers(0, 16, 200)), rng.normal(size=(200, 6)), rng.normal(size=(9, 6))
+    one, two, sums = rng.normal(size=(9, 4)), rng.normal(size=(9, 4)), rng.normal(size=9)
+    near = one[:, cell // 4] + two[:, cell % 4]
+    for least in (1, 30, 1000):
+        runs = cell_runs(cell, least)
+        assert [a for a, _ in runs] + [200] == [0] + [b for _, b in runs]
+        assert all(a == 0 or cell[a] != cell[a - 1] for a, _ in runs) and all(b - a >= least for a, b in runs[:-1])
+        got = passed_products(m, sums, one, two, vector, cell, runs)
+        assert np.allclose(got, np.where(near >= sums[:, None] - 1e-9, m @ vector.T, -np.inf))
+    assert cell_runs(np.empty(0, np.int64), 5) == []
+    # A query whose walk passed nothing here is multiplied with nothing, so not even its broken numbers show.
+    assert np.isneginf(passed_products(m * np.nan, sums + 99, one, two, vector, cell, cell_runs(cell, 1))).all()
+
+
 @settings(deadline=None)
 @given(st.lists(st.integers(0, 2**64 - 1), max_size=40), st.sampled_from([1, 2, 3, 12, 51, 1 << 20]))
 def test_packed_keys_and_counts(values, shards):
