@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions import decide
 from .operators import diff, graph, review, rules, vector
-from .sources import ingest
+from .sources import ingest, layout
 from .sources.store import BUCKETS, Change, Store, stage
 
 #: The tables of a repository: columns without repo_id, and the column that rows are bucketed by.
@@ -109,6 +109,10 @@ class Engine:
         """Takes a repository out of all tables."""
         self.store.drop(repo_id)
 
+    def lay_out(self, repo_id: str | None = None, buckets: int | None = None) -> layout.Layout:
+        """The graph of a repository, or of all, as it is now, in buckets by uid: for many questions about one version."""
+        return layout.lay_out(self.store.read("entities", repo_id), self.store.read("calls", repo_id), buckets)
+
     def query(self, repo_id: str, text: str, k: int = 5) -> DataFrame:
         """The k chunks nearest to a text, each with up to five of what the entities at its place call."""
         hits = self.search(repo_id, text, k)

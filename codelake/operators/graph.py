@@ -96,7 +96,9 @@ def relink(before: DataFrame, after: DataFrame, mentioned: DataFrame, calls: Dat
 
 
 def _ends(calls: DataFrame, entities: DataFrame) -> DataFrame:
-    """Calls with name, file, type and line of both ends; the code stays behind."""
+    """Calls with name, file, type and line of both ends; the code stays behind. Calls that carry their ends (sources/layout.py) are taken as they are."""
+    if "src_name" in calls.columns:
+        return calls
     at = lambda p: entities.select("repo_id", F.col("uid").alias(f"{p}_uid"), *(F.col(c).alias(f"{p}_{c}") for c in ("name", "file", "type", "start_line")))
     return calls.join(at("src"), ["repo_id", "src_uid"]).join(at("dst"), ["repo_id", "dst_uid"])
 
@@ -126,12 +128,14 @@ def callers_of(entities: DataFrame, calls: DataFrame, limit: int = 10) -> DataFr
 
 
 def call_chains(calls: DataFrame, starts: DataFrame, depth: int = 3, limit: int = 10) -> DataFrame:
-    """(repo_id, depth, path) of the trails from starts(repo_id, src_uid): up to `depth` calls, none used twice; the first `limit` of each repository."""
-    edge = calls.select("repo_id", F.col("src_uid").alias("at"), F.col("dst_uid").alias("next"))
+    """(repo_id, depth, path) of the trails from starts(repo_id, src_uid): up to `depth` calls, none used twice; the first `limit` of each repository.
+
+    A uid names its repository, so calls are met by it alone: where they lie by src_uid, only the trails move."""
+    edge = calls.select(F.col("src_uid").alias("at"), F.col("dst_uid").alias("next"))
     trails = starts.select("repo_id", F.col("src_uid").alias("at"), F.array("src_uid").alias("nodes"), F.array().cast("array<string>").alias("used"))
     levels = []
     for level in range(1, depth + 1):
-        step = trails.join(edge, ["repo_id", "at"])
+        step = trails.join(edge, "at")
         name = F.concat_ws("->", "at", "next")
         trails = step.where(~F.array_contains("used", name)).select("repo_id", F.col("next").alias("at"), F.array_append("nodes", F.col("next")).alias("nodes"), F.array_append("used", name).alias("used"))
         levels.append(trails.select("repo_id", F.lit(level).alias("depth"), F.array_join("nodes", " > ").alias("path")))
@@ -207,6 +211,13 @@ def repo_node_count(entities: DataFrame) -> DataFrame:
     return entities.groupBy("repo_id").agg((F.count("*") + F.countDistinct("file")).alias("nodes"))
 
 
+def relationship_census(entities: DataFrame, calls: DataFrame, imports: DataFrame) -> DataFrame:
+    """(repo_id, relationship, relationships): how many of each kind a repository has; files contain entities, entities call, files import(repo_id, file, depends_on)."""
+    kinds = (entities, "CONTAINS"), (calls, "CALLS"), (imports, "IMPORTS")
+    parts = [rows.groupBy("repo_id").agg(F.count("*").alias("relationships")).select("repo_id", F.lit(kind).alias("relationship"), "relationships") for rows, kind in kinds]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 def entity_census(entities: DataFrame) -> DataFrame:
     return entities.groupBy("type").agg(F.count("*").alias("entities"), F.countDistinct("repo_id", "file").alias("files"))
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import decide
 from ..operators import diff, graph, ops, review, rules, trees, vector
 from ..sources.adapters import oracle, source
+from ..sources.layout import Layout, degrees, lay_out
 from ..sources.reviews import file_history, function_issues
 from ..sources.store import Store, shared_folder, stage
 
@@ -32,6 +33,10 @@ class Tables:
     def calls(self) -> DataFrame:
         return stage(graph.link_dependencies(self.ent), "calls")
 
+    @cached_property
+    def layout(self) -> Layout:
+        return lay_out(self.ent, self.calls, buckets=int(self._at[0].conf.get("spark.sql.shuffle.partitions")))
+
 
 def query(name: str, sql: str | None = None, **more: str):
     """Registers f(tables) under name; sql may name adapters in braces."""
@@ -78,14 +83,14 @@ query("dependency_links", "SELECT * FROM {calls}")(lambda t: graph.link_dependen
 query("callees_near_line", _top("SELECT c.src_uid, c.dst_uid, d.name, d.type, d.file FROM {ent} s JOIN {calls} c ON c.src_uid = s.uid JOIN {ent} d ON d.uid = c.dst_uid WHERE abs(s.start_line - 100) <= 1", "src_uid", "dst_uid", 5, "src_uid, dst_uid, name, type, file"))(lambda t: graph.callees_near_line(t.ent, t.calls, 100))
 query("file_entities", _top("SELECT repo_id, file, name, type, start_line, uid FROM {ent}", "repo_id, file", "start_line, uid", 10, "repo_id, file, name, type, start_line, uid, CAST(rank AS INT) AS rank"))(lambda t: graph.file_entities(t.ent))
 query("callers_of", _top("SELECT repo_id, dst_name AS name, src_name AS caller, src_file AS caller_file, src_uid, dst_uid FROM {ends}", "repo_id, name", "src_uid, dst_uid", 10, "repo_id, name, caller, caller_file, CAST(rank AS INT) AS rank, 'calls' AS relationship"))(lambda t: graph.callers_of(t.ent, t.calls))
-query(
-    "call_chain_depth3",
-    _top("SELECT repo_id, CAST(1 AS INT) AS depth, path FROM {one} UNION ALL SELECT repo_id, 2, path FROM {two} UNION ALL SELECT repo_id, 3, path FROM {three}", "repo_id", "depth, path", 10, "repo_id, depth, path"),
+_CHAINS = _top("SELECT repo_id, CAST(1 AS INT) AS depth, path FROM {one} UNION ALL SELECT repo_id, 2, path FROM {two} UNION ALL SELECT repo_id, 3, path FROM {three}", "repo_id", "depth, path", 10, "repo_id, depth, path")
+_TRAILS = dict(
     first="SELECT repo_id, min(src_uid) AS uid FROM {calls} GROUP BY repo_id",
     one="SELECT c.repo_id, dst_uid AS at, [c.src_uid || '>' || c.dst_uid] AS used, c.src_uid || ' > ' || c.dst_uid AS path FROM {calls} c JOIN {first} f ON c.repo_id = f.repo_id AND c.src_uid = f.uid",
     two="SELECT c.repo_id, dst_uid AS at, list_append(used, c.src_uid || '>' || c.dst_uid) AS used, path || ' > ' || c.dst_uid AS path FROM {one} o JOIN {calls} c ON c.repo_id = o.repo_id AND c.src_uid = o.at WHERE NOT list_contains(used, c.src_uid || '>' || c.dst_uid)",
     three="SELECT c.repo_id, path || ' > ' || c.dst_uid AS path FROM {two} o JOIN {calls} c ON c.repo_id = o.repo_id AND c.src_uid = o.at WHERE NOT list_contains(used, c.src_uid || '>' || c.dst_uid)",
-)(lambda t: graph.call_chains(c := t.calls, c.groupBy("repo_id").agg(F.min("src_uid").alias("src_uid"))))
+)
+query("call_chain_depth3", _CHAINS, **_TRAILS)(lambda t: graph.call_chains(c := t.calls, c.groupBy("repo_id").agg(F.min("src_uid").alias("src_uid"))))
 query("file_dependencies", "SELECT repo_id, src_file AS file, dst_file AS depends_on, count(*) AS calls FROM {ends} WHERE src_file <> dst_file GROUP BY ALL")(lambda t: graph.file_dependencies(t.ent, t.calls))
 query(
     "similar_names",
@@ -97,6 +102,23 @@ query("coupled_files", "SELECT repo_id, src_file AS file, dst_file AS depends_on
 query("unused_functions", _top("SELECT * FROM {ent} e WHERE type = 'Function' AND name NOT IN ('main', 'index', '__init__', 'handler', 'default') AND NOT EXISTS (SELECT 1 FROM {calls} c WHERE c.dst_uid = e.uid)", "repo_id", "file, start_line, uid", 20, "repo_id, file, name, start_line, uid"))(lambda t: graph.unused_functions(t.ent, t.calls))
 query("repo_node_count", "SELECT repo_id, count(*) + count(DISTINCT file) AS nodes FROM {ent} GROUP BY repo_id")(lambda t: graph.repo_node_count(t.ent))
 query("entity_census", "SELECT type, count(*) AS entities, count(DISTINCT (repo_id, file)) AS files FROM {ent} GROUP BY type")(lambda t: graph.entity_census(t.ent))
+query(
+    "relationship_census",
+    "SELECT repo_id, 'CONTAINS' AS relationship, count(*) AS relationships FROM {ent} GROUP BY repo_id UNION ALL SELECT repo_id, 'CALLS', count(*) FROM {calls} GROUP BY repo_id UNION ALL SELECT repo_id, 'IMPORTS', count(*) FROM {imports} GROUP BY repo_id",
+    imports="SELECT DISTINCT e.repo_id, e.file, d.file AS depends_on FROM {ent} e JOIN {ent} d ON d.repo_id = e.repo_id AND d.file = concat('f', CAST(e.start_line % 9 AS STRING), '.en')",
+)(lambda t: graph.relationship_census(t.ent, t.calls, graph.import_dependencies(t.ent.select("repo_id", "file", F.concat(F.lit("f"), F.col("start_line") % 9, F.lit(".en")).alias("import")).distinct(), t.ent)))
+
+# The same questions over the graph in buckets by uid (sources/layout.py).
+_OF = {q: _ORACLES[q] for q in ("callers_of", "file_dependencies", "unused_functions")}
+query("laid_out_callers")(lambda t: graph.callers_of(t.layout.entities, t.layout.incoming))
+query("laid_out_file_dependencies")(lambda t: graph.file_dependencies(t.layout.entities, t.layout.outgoing))
+query("laid_out_unused")(lambda t: graph.unused_functions(t.layout.entities, t.layout.incoming))
+query("laid_out_chains", _CHAINS, **_TRAILS)(lambda t: graph.call_chains(c := t.layout.outgoing, c.groupBy("repo_id").agg(F.min("src_uid").alias("src_uid"))))
+_ORACLES.update({"laid_out_callers": _OF["callers_of"], "laid_out_file_dependencies": _OF["file_dependencies"], "laid_out_unused": _OF["unused_functions"]})
+query(
+    "node_degrees",
+    "SELECT e.repo_id, e.uid, coalesce(o.n, 0) AS callees, coalesce(i.n, 0) AS callers FROM {ent} e LEFT JOIN (SELECT src_uid, count(*) AS n FROM {calls} GROUP BY 1) o ON o.src_uid = e.uid LEFT JOIN (SELECT dst_uid, count(*) AS n FROM {calls} GROUP BY 1) i ON i.dst_uid = e.uid",
+)(lambda t: degrees(t.layout))
 query("impacted_callers", "SELECT DISTINCT repo_id, dst_file AS file, src_uid AS caller FROM {ends} WHERE src_file <> dst_file")(lambda t: graph.impacted_callers(t.ent, t.calls))
 query("intra_file_calls", "SELECT a.repo_id, a.file, a.uid AS src_uid, b.uid AS dst_uid FROM {ent} a JOIN {ent} b ON a.repo_id = b.repo_id AND a.file = b.file AND a.uid <> b.uid WHERE contains(a.raw_code, b.name)")(lambda t: graph.intra_file_calls(t.ent.withColumn("code", F.col("raw_code"))))
 query(
