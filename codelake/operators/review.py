@@ -163,6 +163,53 @@ FIGURES = (r"cyclomatic complexity of \p{Nd}+", r"complexity score of \p{Nd}+",
 QUOTES = (r"(?s)```(?U:\w*)\n.*?\n```", r"`[^`]{15,}`")
 
 
+#: What a review says when it uses the kinds of context it was given; the signs count in any text, the words in lower case.
+CONTEXT_WORDS = {
+    "dependencies": (("dependenc", "depends on"), "→"),
+    "similar_code": (("similar", "pattern", "duplicate"), "🔍"),
+    "entities": (("entit", "function", "class"), None),
+}
+UNUSED_CONTEXT = {
+    "dependencies": "GraphRAG has {} dependencies but review doesn't mention them",
+    "similar_code": "GraphRAG has {} similar code patterns but review doesn't mention them",
+}
+
+
+def context_usage(reviews: DataFrame, contexts: DataFrame, on: list[str], text: str) -> DataFrame:
+    """reviews with has_context, mentions_dependencies, mentions_similar_code, mentions_entities, utilisation (percent of the kinds of context there
+    were that the text speaks of) and issues, an array of texts.
+
+    contexts(on..., dependencies, similar_code, entities): counts of each file's context, which are summed. A review without contexts, or with a null
+    key, mentions nothing and has 0; null texts are empty, null counts 0.
+    """
+    kinds = list(CONTEXT_WORDS)
+    sums = contexts.groupBy(*on).agg(*(F.coalesce(F.sum(k), F.lit(0)).alias(f"__{k}") for k in kinds), F.lit(True).alias("__any"))
+    met = reviews.join(sums, on, "left").withColumn("__has", F.coalesce("__any", F.lit(False)))
+    body = F.coalesce(F.col(text), F.lit(""))
+
+    def said(kind: str) -> Column:
+        words, sign = CONTEXT_WORDS[kind]
+        found = [F.contains(F.lower(body), F.lit(w)) for w in words] + ([F.contains(body, F.lit(sign))] if sign else [])
+        hit = found[0]
+        for more in found[1:]:
+            hit = hit | more
+        return hit & F.col("__has")
+
+    there = {k: F.coalesce(F.col(f"__{k}"), F.lit(0)) for k in kinds}
+    met = met.withColumns({f"mentions_{k}": said(k) for k in kinds})
+    available = sum(((there[k] > 0).cast("int") for k in kinds), F.lit(0))
+    used = sum((((there[k] > 0) & F.col(f"mentions_{k}")).cast("int") for k in kinds), F.lit(0))
+    issues = [F.when((there[k] > 0) & ~F.col(f"mentions_{k}"), F.replace(F.lit(t), F.lit("{}"), there[k].cast("string"))) for k, t in UNUSED_CONTEXT.items()]
+    share = F.coalesce(F.try_divide(used.cast("double"), available) * 100, F.lit(0.0))
+    out = F.filter(F.array(*issues), lambda x: x.isNotNull())
+    return met.select(*reviews.columns, F.col("__has").alias("has_context"), *(f"mentions_{k}" for k in kinds), share.alias("utilisation"), out.alias("issues"))
+
+
+def existing_review(reviews: DataFrame, signature: str, key: str, order: str, text: str) -> DataFrame:
+    """(key, order): of each key the first review, by order, whose text contains the signature; keys without one are left out."""
+    return reviews.where(F.contains(text, F.lit(signature))).groupBy(key).agg(F.min(order).alias(order))
+
+
 def text_checks():
     """A function of a text column to a struct: quotes (fenced ones, and inline ones of 15 characters), generic statements without a line within a hundred
     characters, and fabricated metrics, of which each counts as often as its form occurs."""

@@ -27,7 +27,10 @@ def cosine(a: Column, b: Column) -> Column:
 def scored(chunks: DataFrame, queries: DataFrame, min_score: float | None = None) -> DataFrame:
     """Chunks of each query's repository with their similarity; queries(query_id, repo_id, query). Query sets are stated and few: they are the
     side that meets every chunk of its repository in an equi-join."""
-    met = chunks.join(queries, "repo_id").withColumn("score", F.round(cosine(F.col("embedding"), F.col("query")), 6)).drop("embedding", "query")
+    # Lengths are taken once a vector, before the join, not once a pair.
+    met = chunks.withColumn("__held", norm(F.col("embedding"))).join(queries.withColumn("__asked", norm(F.col("query"))), "repo_id")
+    score = F.coalesce(F.try_divide(dot(F.col("embedding"), F.col("query")), F.col("__held") * F.col("__asked")), F.lit(0.0))
+    met = met.withColumn("score", F.round(score, 6)).drop("embedding", "query", "__held", "__asked")
     return met if min_score is None else met.where(F.col("score") >= min_score)
 
 
@@ -53,31 +56,45 @@ def similarity_reason(score: Column) -> Column:
 def neighbours(chunks: DataFrame, k: int = 5, min_score: float = 0.7, block: int = 1024) -> DataFrame:
     """(id, neighbour, score, rank): each chunk's most similar others in its repository, by blocked products of matrices.
 
-    Chunks are dealt over blocks of their repository by the hash of their id; each pair of blocks is one group, so no task holds more than two
-    blocks, whatever a repository's size.
+    Chunks are dealt over blocks of their repository by the hash of their id; two blocks meet once and answer for both, so no task holds more than
+    two blocks, whatever a repository's size, and gives no more than k rows a chunk. Null vectors take no part.
     """
-    unit = chunks.select("repo_id", F.col("id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+    unit = chunks.where("embedding is not null").select("repo_id", F.col("id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
     sizes = unit.groupBy("repo_id").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
     dealt = unit.join(sizes, "repo_id").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts").cast("long")).cast("int"))
-    asks = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("repo_id", F.col("part").alias("a"), F.col("other").alias("b"), F.lit(0).alias("side"), "id", "v")
-    holds = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("repo_id", F.col("other").alias("a"), F.col("part").alias("b"), F.lit(1).alias("side"), "id", "v")
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.select("repo_id", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"), "part", "id", "v")
 
     def compare(table: pa.Table) -> pa.Table:
-        side, ids = np.asarray(table.column("side")), np.asarray(table.column("id"))
-        m = np.array(table.column("v").to_pylist(), float)
+        table = table.sort_by("id")
+        part, ids = np.asarray(table.column("part")), np.asarray(table.column("id"))
+        m = np.asarray(table.column("v").combine_chunks().flatten(), float).reshape(len(ids), -1)
         length = np.linalg.norm(m, axis=1)
-        m /= np.where(length > 0, length, 1)[:, None]
-        a, b = side == 0, side == 1
-        score = np.round(m[a] @ m[b].T, 6)
-        score[ids[a][:, None] == ids[b][None, :]] = -2
-        rows, cols = np.nonzero(score >= min_score)
-        return pa.table({"id": ids[a][rows], "neighbour": ids[b][cols], "score": score[rows, cols]})
-
-    pairs = asks.unionByName(holds).groupBy("repo_id", "a", "b").applyInArrow(compare, "id long, neighbour long, score double")
+        m = m / np.where(length > 0, length, 1)[:, None]
+        a, b = table.column("a")[0].as_py(), table.column("b")[0].as_py()
+        one, two = np.flatnonzero(part == a), np.flatnonzero(part == b)
+        score = np.round(m[one] @ m[two].T, 6)
+        found = [_nearest(score, ids[one], ids[two], k, min_score)]
+        if a != b:
+            found.append(_nearest(score.T, ids[two], ids[one], k, min_score))
+        return pa.table({name: np.concatenate([f[i] for f in found]) for i, name in enumerate(("id", "neighbour", "score"))})
+
+    pairs = dealt.groupBy("repo_id", "a", "b").applyInArrow(compare, "id long, neighbour long, score double")
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "neighbour"))
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def _nearest(score: np.ndarray, ids: np.ndarray, others: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each row the k best columns of at least that score, but for its own id; others ascend, so ties go to the smaller ones."""
+    fit = (score >= least) & (ids[:, None] != others[None, :])
+    many = np.flatnonzero(fit.sum(axis=1) > k)
+    best = np.argsort(np.where(fit[many], -score[many], np.inf), axis=1, kind="stable")[:, :k]
+    fit[many] = False
+    fit[many[:, None], best] = True
+    rows, cols = np.nonzero(fit)
+    return ids[rows], others[cols], score[rows, cols]
+
+
 def by_file(chunks: DataFrame, limit: int | None = None) -> DataFrame:
     """Chunks of each file by line; limit keeps the first of each."""
     rank = F.row_number().over(Window.partitionBy("repo_id", "file").orderBy("start_line", "id"))

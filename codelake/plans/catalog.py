@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import decide
 from ..operators import diff, graph, ops, review, rules, trees, vector
 from ..sources.adapters import oracle, source
+from ..sources.ingest import temp_nodes
 from ..sources.layout import Layout, degrees, lay_out
 from ..sources.reviews import file_history, function_issues
 from ..sources.store import Store, shared_folder, stage
@@ -389,7 +390,7 @@ query(
 UNION ALL SELECT m.query_id, m.id, m.score, m.source, m.r, CASE WHEN near THEN kept ELSE list_append(kept, [m.id % 4, m.id % 3]) END, NOT near
 FROM (SELECT f.kept, n.*, len(list_filter(f.kept, lambda k: k[1] = n.id % 4 OR k[2] = n.id % 3)) > 0 AS near FROM fold f JOIN {merged} n ON n.query_id = f.query_id AND n.r = f.r + 1) m""",
 )(lambda t: review.search_merge((m := vector.scored(t.chunks, _asks(t)).select("query_id", "id", "score").withColumn("text", F.expr(_WORDS))).where("id % 2 = 0"), m.where("id % 2 = 1"), "query_id", 0.1, text="text").drop("text"))
-query("existing_review", "SELECT conv_id, min(turn) AS turn FROM conversations WHERE contains(text, 'the') GROUP BY conv_id")(lambda t: t.conversations.where(F.contains("text", F.lit("the"))).groupBy("conv_id").agg(F.min("turn").alias("turn")))
+query("existing_review", "SELECT conv_id, min(turn) AS turn FROM conversations WHERE contains(text, 'the') GROUP BY conv_id")(lambda t: review.existing_review(t.conversations, "the", "conv_id", "turn", "text"))
 query(
     "consistency_check",
     "SELECT repo, coalesce(v.n, 0) AS vectors, coalesce(g.n, 0) AS nodes, CASE WHEN v.n IS NULL THEN 'orphan_graph' WHEN g.n IS NULL THEN 'orphan_vectors' ELSE 'consistent' END AS state FROM (SELECT 's' || (id % 30) AS repo, count(*) AS n FROM {chunks} GROUP BY 1) v FULL JOIN (SELECT 's' || (start_line % 40 + 10) AS repo, count(*) AS n FROM {ent} GROUP BY 1) g USING (repo)",
@@ -425,6 +426,35 @@ _REFS = " UNION ALL ".join(
 )
 _BODY = "concat('See src/a.py:', CAST(pr % 50 AS STRING), ' and L', CAST(pr % 9 AS STRING), '+ or b.py line ', CAST(pr % 7 AS STRING), '. [c.py#L4] Line 12: ok')"
 query("review_line_refs", _REFS, bodies=f"SELECT DISTINCT pr, {_BODY} AS body FROM {{reviews}}")(lambda t: review.line_references(t.reviews.select("pr").distinct().withColumn("body", F.expr(_BODY)), "pr", "body"))
+# A turn is a review; its context is that of a repository of chunks, and some turns say what reviews say that use it.
+_SAID = "concat(text, CASE (conv_id + turn) % 7 WHEN 0 THEN ' It DEPENDS ON main → util' WHEN 1 THEN ' A similar Pattern' WHEN 2 THEN ' This Function' WHEN 3 THEN ' 🔍' WHEN 4 THEN ' Dependencies of the class' ELSE '' END)"
+_GIVEN = "SELECT repo_id, file, count(*) FILTER (start_line % 3 = 0) AS dependencies, count(*) FILTER (start_line < 12 AND repo_id < 'r4') AS similar_code, count(*) FILTER (type = 'Class') AS entities FROM {chunks} GROUP BY repo_id, file"
+
+
+def _mention(kind: str) -> str:
+    words, sign = review.CONTEXT_WORDS[kind]
+    return "(" + " OR ".join([f"contains(lower(body), '{w}')" for w in words] + ([f"contains(body, '{sign}')"] if sign else [])) + ") AND has_context"
+
+
+query(
+    "context_usage",
+    "SELECT conv_id, turn, has_context, m1 AS mentions_dependencies, m2 AS mentions_similar_code, m3 AS mentions_entities, "
+    "coalesce(((d > 0 AND m1)::INT + (s > 0 AND m2)::INT + (e > 0 AND m3)::INT)::DOUBLE / nullif((d > 0)::INT + (s > 0)::INT + (e > 0)::INT, 0) * 100, 0)::DOUBLE AS utilisation, "
+    "concat_ws(chr(10), CASE WHEN d > 0 AND NOT m1 THEN 'GraphRAG has ' || d || ' dependencies but review doesn''t mention them' END, CASE WHEN s > 0 AND NOT m2 THEN 'GraphRAG has ' || s || ' similar code patterns but review doesn''t mention them' END) AS issues FROM {judged}",
+    judged=f"SELECT *, {_mention('dependencies')} AS m1, {_mention('similar_code')} AS m2, {_mention('entities')} AS m3 FROM {{joined}}",
+    joined=f"SELECT c.conv_id, c.turn, coalesce({_SAID}, '') AS body, g.repo_id IS NOT NULL AS has_context, coalesce(d, 0) AS d, coalesce(s, 0) AS s, coalesce(e, 0) AS e FROM conversations c LEFT JOIN {{given}} g ON g.repo_id = 'r' || (conv_id % 13)",
+    given=f"SELECT repo_id, sum(dependencies)::BIGINT AS d, sum(similar_code)::BIGINT AS s, sum(entities)::BIGINT AS e FROM ({_GIVEN}) GROUP BY repo_id",
+)(lambda t: _context_usage(t))
+
+
+def _context_usage(t: Tables) -> DataFrame:
+    said = t.conversations.select("conv_id", "turn", F.expr(_SAID).alias("body"), F.concat(F.lit("r"), F.col("conv_id") % 13).alias("repo_id"))
+    count = lambda c: F.count_if(F.expr(c))
+    given = t.chunks.groupBy("repo_id", "file").agg(count("start_line % 3 = 0").alias("dependencies"), count("start_line < 12 AND repo_id < 'r4'").alias("similar_code"), count("type = 'Class'").alias("entities"))
+    used = review.context_usage(said, given, ["repo_id"], "body")
+    return used.drop("body", "repo_id").withColumn("issues", F.array_join("issues", "\n"))
+
+
 query("graphrag_utilisation", "SELECT conv_id, round(100.0 * count(*) FILTER (contains(text, 'the')) / count(*), 6) AS percent FROM conversations GROUP BY conv_id")(lambda t: t.conversations.groupBy("conv_id").agg(F.round(F.coalesce(F.try_divide(F.lit(100.0) * F.count_if(F.contains("text", F.lit("the"))), F.count("*")), F.lit(0.0)), 6).alias("percent")))
 query("quick_scan_flag", "SELECT conv_id, turn, regexp_matches(upper(text), '🔴|CRITICAL|SECURITY|VULNERABILITY') AS flagged FROM conversations")(lambda t: t.conversations.select("conv_id", "turn", decide.quick_scan_flag(F.col("text")).alias("flagged")))
 query("text_checks")(lambda t: t.conversations.select("conv_id", "turn", review.text_checks()("text").alias("c")).select("conv_id", "turn", "c.*"))
@@ -434,6 +464,19 @@ query("text_checks")(lambda t: t.conversations.select("conv_id", "turn", review.
 query("chunk_filter", "SELECT uid FROM {ent} WHERE end_line - start_line >= 3 AND (type IN ('Function', 'Class') OR file LIKE '%.yaml')")(lambda t: t.ent.where("end_line - start_line >= 3 AND (type IN ('Function', 'Class') OR file LIKE '%.yaml')").select("uid"))
 query("chunk_name", "SELECT doc_id, trim(left(string_split(text, chr(10))[1], 100)) AS name FROM documents")(lambda t: t.documents.select("doc_id", F.trim(F.substring(F.element_at(F.split("text", "\n"), 1), 1, 100)).alias("name")))
 query("temp_node_id", "SELECT uid, left(md5(file || ':' || start_line || ':' || name), 16) AS id FROM {ent}")(lambda t: t.ent.select("uid", F.substring(F.md5(F.concat_ws(":", "file", "start_line", "name")), 1, 16).alias("id")))
+_NODE_TYPES = "CASE doc_id % 9 WHEN 0 THEN 'function_definition' WHEN 1 THEN 'function_declaration' WHEN 2 THEN 'function_item' WHEN 3 THEN 'method_definition' WHEN 4 THEN 'method_declaration' WHEN 5 THEN 'class_definition' WHEN 6 THEN 'class_declaration' WHEN 7 THEN 'interface_declaration' ELSE 'struct_item' END"
+query(
+    "temp_nodes",
+    f"SELECT left(md5('d' || doc_id || ':' || (doc_id % 500) || ':' || name), 16) AS id, name, type, 'd' || doc_id AS file, CAST(doc_id % 500 AS INT) AS line FROM (SELECT doc_id, left(regexp_replace(split_part(text, chr(10), 1), '^\\s+|\\s+$', '', 'g'), 100) AS name, {_NODE_TYPES} AS type FROM documents WHERE text IS NOT NULL) WHERE type NOT IN ('interface_declaration', 'struct_item')",
+)(lambda t: temp_nodes(_captured(t)).select("id", "name", "type", "file", "line"))
+
+
+def _captured(t: Tables) -> DataFrame:
+    """Captures with a document as the code of each."""
+    line = (F.col("doc_id") % 500).cast("int")
+    return t.documents.select(F.concat(F.lit("d"), F.col("doc_id")).alias("file"), F.lit("python").alias("language"), F.expr(_NODE_TYPES).alias("node_type"), line.alias("start_line"), line.alias("end_line"), F.col("text").alias("code"))
+
+
 query("embedding_text", "SELECT uid, name || chr(10) || left(raw_code, 500) AS text FROM {ent}")(lambda t: t.ent.select("uid", F.concat("name", F.lit("\n"), F.substring("raw_code", 1, 500)).alias("text")))
 query("file_languages", "SELECT filename, CASE regexp_extract(filename, '(\\.[^./]+)$', 1) WHEN '.py' THEN 'python' WHEN '.ts' THEN 'typescript' WHEN '.go' THEN 'go' WHEN '.js' THEN 'javascript' WHEN '.java' THEN 'java' WHEN '.md' THEN 'markdown' END AS language FROM {pr_files}")(lambda t: t.pr_files.select("filename", _language(F.col("filename")).alias("language")))
 

@@ -35,6 +35,7 @@ LABELS = {
 
 # Node types whose code is embedded, and extensions of which everything is.
 CHUNK_TYPES = ("function_definition", "function_declaration", "function_item", "method_definition", "method_declaration", "class_definition", "class_declaration", "interface_declaration", "impl_item", "table", "block")
+TEMP_TYPES = ("function_definition", "function_declaration", "function_item", "method_definition", "method_declaration", "class_definition", "class_declaration")
 CONFIG_EXTENSIONS = (".yaml", ".yml", ".toml", ".tf", ".dockerfile")
 
 
@@ -219,6 +220,15 @@ def chunks(found: DataFrame) -> DataFrame:
     return found.where(fit).select(key.alias("id"), "repo_id", "file", F.trim(F.substring(first, 1, 100)).alias("name"), label(F.col("node_type"), F.col("capture")).alias("type"), "start_line", F.col("code").alias("raw_code"))
 
 
+def temp_nodes(found: DataFrame) -> DataFrame:
+    """(id, name, type, file, line, end_line, code, language): the nodes of a graph that isn't kept, from captures of the seven types of functions, methods
+    and classes. The name is the first line, stripped, of 100 characters at most; the id is made of file, line and name. Null code makes no node."""
+    name = F.substring(F.regexp_replace(F.split_part("code", F.lit("\n"), F.lit(1)), r"(?U)^\s+|\s+$", ""), 1, 100)
+    key = F.substring(F.md5(F.concat_ws(":", "file", F.col("start_line").cast("string"), name)), 1, 16)
+    own = found.where(F.col("node_type").isin(*TEMP_TYPES) & F.col("code").isNotNull())
+    return own.select(key.alias("id"), name.alias("name"), F.col("node_type").alias("type"), "file", F.col("start_line").alias("line"), "end_line", "code", "language")
+
+
 def imports(files: DataFrame) -> DataFrame:
     """(repo_id, file, import): distinct imports of Python and JavaScript or TypeScript files(repo_id, file, language, text).
 

@@ -99,3 +99,10 @@ def test_empty_and_unknown(spark, tables):
     assert made.outgoing.count() == 0 and degrees(made).where("callees + callers > 0").count() == 0
     made.drop()
     assert not spark.catalog.tableExists(made.names[0])
+
+
+def test_relationships(spark, tables):
+    entities, calls = tables
+    imports = spark.createDataFrame([("a", "f0.py", "f1.py")], "repo_id string, file string, depends_on string")
+    got = {(r.repo_id, r.relationship): r.relationships for r in graph.relationship_census(entities, calls, imports).collect()}
+    assert got == {(r, "CONTAINS"): 30 for r in "ab"} | {(r, "CALLS"): calls.where(F.col("repo_id") == r).count() for r in "ab"} | {("a", "IMPORTS"): 1}
