@@ -93,6 +93,40 @@ def python_nodes(text: str) -> list[Node]:
 register_trees("python", python_nodes)
 
 
+#: Nodes that are handed on together.
+TOGETHER = 20_000
+
+
+def _node_batches(batch: pa.RecordBatch, key: str, parsers: dict) -> Iterator[pa.RecordBatch]:
+    """The nodes of a batch of key, text and language, TOGETHER at a time: one text's nodes are held as rows, never those of a batch."""
+    types = (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string())
+    names = [key, "type", "begin", "last", "first_line", "last_line", "text"]
+
+    def packed(at: list[int], nodes: list[Node]) -> pa.RecordBatch:
+        columns = zip(*nodes, strict=True) if nodes else [()] * len(types)
+        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int32())), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=names)
+
+    at, held = [], []
+    for i in range(batch.num_rows):
+        text, language = batch.column(1)[i].as_py(), batch.column(2)[i].as_py()
+        parser = parsers.get((language or "").lower())
+        if parser is None or text is None:
+            continue
+        try:
+            nodes = parser(text)
+        except (SyntaxError, ValueError, RecursionError, MemoryError):
+            continue
+        for start in range(0, len(nodes), TOGETHER):
+            part = nodes[start : start + TOGETHER]
+            at += [i] * len(part)
+            held += part
+            if len(held) >= TOGETHER:
+                yield packed(at, held)
+                at, held = [], []
+    if held:
+        yield packed(at, held)
+
+
 def syntax_nodes(texts: DataFrame, key: str, text: str, language: str) -> DataFrame:
     """(key, type, begin int, last int, first_line int, last_line int, text): the nodes of the texts that have a tree.
 
@@ -103,22 +137,7 @@ def syntax_nodes(texts: DataFrame, key: str, text: str, language: str) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, columns = [], [[] for _ in range(6)]
-            for i, (t, name) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
-                parser = parsers.get((name or "").lower())
-                if parser is None or t is None:
-                    continue
-                try:
-                    nodes = parser(t)
-                except (SyntaxError, ValueError, RecursionError, MemoryError):
-                    continue
-                at += [i] * len(nodes)
-                for node in nodes:
-                    for column, value in zip(columns, node, strict=True):
-                        column.append(value)
-            types = (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string())
-            values = [batch.column(0).take(pa.array(at, pa.int32()))] + [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
-            yield pa.RecordBatch.from_arrays(values, names=[key, "type", "begin", "last", "first_line", "last_line", "text"])
+            yield from _node_batches(batch, key, parsers)
 
     return texts.select(key, text, language).mapInArrow(run, f"`{key}` {kind}, type string, begin int, last int, first_line int, last_line int, text string")
 
