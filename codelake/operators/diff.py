@@ -1,11 +1,18 @@
-"""Unified diffs: patches(key..., filename, patch) to lines, hunks, numbers and snippets, all by windows and string functions."""
+"""Unified diffs: patches(key..., filename, patch) to lines, hunks, numbers and snippets, by counting and string functions."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 HUNK = r"^@@ -(\d+)(?:,\d+)? \+(\d+)(?:,(\d+))? @@"
+_STARTS = re.compile(r"@@ -([0-9]+)(?:,[0-9]+)? \+([0-9]+)(?:,[0-9]+)? @@").match
 
 
 def numbered_rows(patches: DataFrame, *key: str) -> DataFrame:
@@ -13,23 +20,55 @@ def numbered_rows(patches: DataFrame, *key: str) -> DataFrame:
 
     kind is header, add, delete, context or other. A removed line's new_line is the number that the next line has.
     """
-    rows = patches.where(F.col("patch").isNotNull()).select(*key, F.posexplode(F.split("patch", "\n")).alias("pos", "line"))
-    header = F.startswith("line", F.lit("@@"))
-    order = Window.partitionBy(*key).orderBy("pos")
-    rows = rows.withColumn("hunk", F.sum(F.when(header, 1).otherwise(0)).over(order))
-    kind = (
-        F.when(header, "header")
-        .when(F.startswith("line", F.lit("+")) & ~F.startswith("line", F.lit("+++")), "add")
-        .when(F.startswith("line", F.lit("-")) & ~F.startswith("line", F.lit("---")), "delete")
-        .when(F.startswith("line", F.lit(" ")), "context")
-        .otherwise("other")
+    # Lines leave a patch in their order, so counting as they come needs no sort of them.
+    whole = patches.where(F.col("patch").isNotNull()).select(*key, "patch")
+    kept = ", ".join(f"`{k}` {whole.schema[k].dataType.simpleString()}" for k in key)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            start, size = 0, 0
+            for i, bytes_ in enumerate(pc.fill_null(pc.binary_length(batch.column(len(key))), 0).to_pylist()):
+                if size and size + bytes_ > TOGETHER:
+                    yield from _numbered(batch.slice(start, i - start))
+                    start, size = i, 0
+                size += bytes_
+            yield from _numbered(batch.slice(start))
+
+    return whole.mapInArrow(run, f"{kept}, pos int, line string, hunk long, kind string, old_line long, new_line long")
+
+
+#: Bytes of patches that are cut into lines together, and lines that are handed on together.
+TOGETHER, LINES = 1 << 20, 20_000
+
+
+def _numbered(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """numbered_rows of a few patches: a key's columns and, last, the patch."""
+    cut = pc.split_pattern(batch.column(batch.num_columns - 1), "\n")
+    of, line = np.asarray(pc.list_parent_indices(cut), np.int64), pc.list_flatten(cut)
+    n, begins = len(line), lambda s: np.asarray(pc.starts_with(line, s))
+    if not n:
+        return
+    header, place = begins("@@"), np.arange(n)
+    first = np.searchsorted(of, of)  # the first line of each line's patch
+    code = np.select([header, begins("+") & ~begins("+++"), begins("-") & ~begins("---"), begins(" ")], [0, 1, 2, 3], 4)
+    ahead = lambda flags: np.concatenate([[0], np.cumsum(flags)])
+    heads, old, new = ahead(header), ahead((code == 2) | (code == 3)), ahead((code == 1) | (code == 3))
+    hunk = heads[place + 1] - heads[first]
+    # The header of each line's hunk; the numbers of lines before any header, or below one that can't be read, are null.
+    at = np.flatnonzero(header)
+    opened = np.where(hunk > 0, np.append(at, 0)[heads[place + 1] - 1], 0)
+    told = np.full((2, n), -1)
+    for i, text in zip(at, line.take(pa.array(at)).to_pylist(), strict=True):
+        for k, digits in enumerate(_STARTS(text).groups() if _STARTS(text) else ()):
+            told[k, i] = int(digits) if int(digits) < 1 << 31 else -1
+    numbers = [pa.array(told[k, opened] + moved[place] - moved[opened], mask=(hunk == 0) | (told[k, opened] < 0)) for k, moved in enumerate((old, new))]
+    kinds = pa.array(["header", "add", "delete", "context", "other"]).take(pa.array(code))
+    out = pa.RecordBatch.from_arrays(
+        [*(batch.column(k).take(pa.array(of)) for k in range(batch.num_columns - 1)), pa.array((place - first).astype(np.int32)), line, pa.array(hunk), kinds, *numbers],
+        names=[*batch.schema.names[:-1], "pos", "line", "hunk", "kind", "old_line", "new_line"],
     )
-    rows = rows.withColumn("kind", kind)
-    inside = Window.partitionBy(*key, "hunk").orderBy("pos")
-    before = inside.rowsBetween(Window.unboundedPreceding, -1)
-    start = lambda i: F.first(F.when(header, F.regexp_extract("line", HUNK, i).try_cast("int")), ignorenulls=True).over(inside)
-    moved = lambda *kinds: F.coalesce(F.sum(F.when(F.col("kind").isin(*kinds), 1).otherwise(0)).over(before), F.lit(0))
-    return rows.withColumns({"old_line": start(1) + moved("delete", "context"), "new_line": start(2) + moved("add", "context")})
+    for start in range(0, n, LINES):
+        yield out.slice(start, LINES)
 
 
 def patch_lines(patches: DataFrame, *key: str) -> DataFrame:
@@ -41,9 +80,8 @@ def patch_lines(patches: DataFrame, *key: str) -> DataFrame:
 
 def patch_hunks(patches: DataFrame, *key: str) -> DataFrame:
     """(key..., hunk, lines, text): each hunk from its header on; what stands before the first is left out."""
-    rows = numbered_rows(patches, *key).where("hunk > 0")
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n")
-    return rows.groupBy(*key, "hunk").agg(F.count("*").alias("lines"), text.alias("text"))
+    parts = patches.select(*key, F.startswith("patch", F.lit("@@")).cast("long").alias("first"), F.posexplode(F.split("patch", "\n(?=@@)")).alias("i", "text"))
+    return parts.where(F.startswith("text", F.lit("@@"))).select(*key, (F.col("i") + F.col("first")).alias("hunk"), F.size(F.split("text", "\n")).cast("long").alias("lines"), "text")
 
 
 def patch_metrics(patches: DataFrame, *key: str) -> DataFrame:
