@@ -79,3 +79,68 @@ def test_hunks_are_cut_where_they_stand(spark):
     assert "Exchange" not in frame._jdf.queryExecution().executedPlan().toString()
     want = [(1, 1, 2, "@@ -1 +1 @@\n a"), (1, 2, 2, "@@@\n"), (2, 1, 1, "@@ -1 +1 @@"), (5, 1, 3, "@@ x\n\n+@@"), (5, 2, 2, "@@ y\n")]
     assert sorted(map(tuple, frame.collect())) == want
+
+
+@pytest.fixture(scope="module")
+def linked(spark):
+    """Entities with homonyms, within a file too far apart to be called and in many files, and their links; all calls beside them."""
+    from codelake.operators import graph
+    from codelake.operators.links import find_links
+    from codelake.sources.store import stage
+
+    rng = random.Random(8)
+    rows = {}
+    for i in range(260):
+        repo, file, name = f"r{i % 2}", f"f{rng.randrange(9)}.py", f"word{rng.randrange(25)}x" if i % 9 else "abc"
+        rows[f"{repo}::{file}::{name}"] = (repo, file, name, rng.choice(["Function", "Function", "Class", "Module"]), rng.randrange(300), 400, " ".join(f"word{rng.randrange(30)}x" for _ in range(rng.randrange(12))), f"{repo}::{file}::{name}")
+    entities = spark.createDataFrame(list(rows.values()), "repo_id string, file string, name string, type string, start_line int, end_line int, raw_code string, uid string")
+    return entities, stage(graph.link_dependencies(entities), "calls"), find_links(entities)
+
+
+@pytest.mark.parametrize("parts", [50_000, 4])
+def test_links_answer_as_calls_do(spark, linked, monkeypatch, parts):
+    from codelake.operators import graph
+    from codelake.operators.links import find_links
+
+    entities, calls, links = linked
+    monkeypatch.setattr(graph, "PART", parts)  # a function's names may lie in several parts
+    links = links if parts == 50_000 else find_links(entities)
+    keys = entities.select("repo_id", F.col("uid").alias("src_uid"))
+    changed = entities.select(F.lit(1).alias("pr"), "repo_id", "file").where("file < 'f4'").distinct()
+    starts = calls.groupBy("repo_id").agg(F.min("src_uid").alias("src_uid"))
+    asks = {
+        "calls": lambda c: c if c is calls else c.calls,
+        "callees": lambda c: graph.callees_near_line(entities, c, 100),
+        "many callees": lambda c: graph.callees_near_line(entities, c, 100, per_source=30),
+        "callers": lambda c: graph.callers_of(entities, c),
+        "chains": lambda c: graph.call_chains(c, starts),
+        "files": lambda c: graph.file_dependencies(entities, c),
+        "fanout": lambda c: graph.fanout(c),
+        "fanin": lambda c: graph.fanin(c),
+        "names": lambda c: graph.calls_by_name(entities, c),
+        "unused": lambda c: graph.unused_functions(entities, c),
+        "impacted": lambda c: graph.impacted_callers(entities, c),
+        "census": lambda c: graph.relationship_census(entities, c, changed.withColumn("depends_on", F.lit("x"))),
+        "summary": lambda c: context.dependencies_summary(entities, c),
+        "prompt": lambda c: context.compressed_dependencies(entities, c, keys=keys),
+        "tree": lambda c: context.entity_tree(entities, c),
+        "related": lambda c: context.related_code(entities, c),
+        "impact": lambda c: context.pr_impact(changed, entities, c),
+    }
+    for name, ask in asks.items():
+        got, want = ask(links), ask(calls)
+        assert sorted(map(str, got.select(sorted(want.columns)).collect())) == sorted(map(str, want.select(sorted(want.columns)).collect())), name
+
+
+def test_chains_leave_a_repository_that_is_full(spark):
+    """Each level leaves at most `limit` trails of a repository, and calls never go whole to every task."""
+    from codelake.operators import graph
+
+    calls = spark.createDataFrame([("r", f"u{i}", f"u{j}") for i in range(40) for j in range(40) if i != j] + [("s", "a", "b"), ("s", "b", "c"), ("s", "b", "a")], "repo_id string, src_uid string, dst_uid string")
+    starts = calls.groupBy("repo_id").agg(F.min("src_uid").alias("src_uid"))
+    frame = graph.call_chains(calls, starts)
+    got = sorted((r.repo_id, r.depth, r.path) for r in frame.collect())
+    assert got == sorted([("r", 1, f"u0 > {u}") for u in sorted(f"u{j}" for j in range(1, 40))[:10]] + [("s", 1, "a > b"), ("s", 2, "a > b > a"), ("s", 2, "a > b > c")])
+    # The first level of `r` is full, so none of its 39 * 39 * 39 trails is made.
+    plan = frame._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") <= 1
