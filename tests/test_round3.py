@@ -144,3 +144,26 @@ def test_chains_leave_a_repository_that_is_full(spark):
     # The first level of `r` is full, so none of its 39 * 39 * 39 trails is made.
     plan = frame._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("LogicalRDD") <= 1
+
+
+def test_links_in_buckets_answer_alike(spark, linked):
+    from codelake.operators import graph
+    from codelake.sources.layout import degrees, lay_out, lay_out_links
+
+    entities, calls, links = linked
+    laid, whole = lay_out_links(links, buckets=4), lay_out(entities, calls, buckets=4)
+    same = lambda a, b: sorted(map(str, a.collect())) == sorted(map(str, b.select(a.columns).collect())) != []
+    starts = calls.groupBy("repo_id").agg(F.min("src_uid").alias("src_uid"))
+    assert same(degrees(laid), degrees(whole))
+    assert same(graph.callers_of(laid.entities, laid), graph.callers_of(entities, calls))
+    assert same(graph.file_dependencies(laid.entities, laid), graph.file_dependencies(entities, calls))
+    assert same(graph.unused_functions(laid.entities, laid, None), graph.unused_functions(entities, calls, None))
+    assert same(graph.call_chains(laid, starts), graph.call_chains(calls, starts))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:  # neither what functions say nor mentions move to be counted or ranked
+        for frame in (laid.fanout(), laid.callers_by_name(10), laid.mentioned.groupBy("repo_id", "src_file", "name").count()):
+            assert "Exchange" not in frame._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    whole.drop()
