@@ -8,8 +8,12 @@ from pyspark.sql import functions as F
 
 from ..functions import decide
 from ..functions.decide import SEVERITIES, severity_rank
+from ..sources.store import stage
 from .dedupe import greedy_dedupe
 
+#: Different texts of a group that are asked first, for each one that may stay; it decides speed only.
+WIDE = 8
+
 
 def counts_by(issues: DataFrame, key: str, what: str) -> DataFrame:
     return issues.groupBy(key, what).agg(F.count("*").alias("issues"))
@@ -93,13 +97,54 @@ def search_merge(base: DataFrame, overlay: DataFrame, group: str, min_overlay: f
     those of a better one that stays, or nearly so, leave before the limit is counted."""
     both = base.withColumn("source", F.lit("permanent")).unionByName(overlay.where(F.col("score") >= min_overlay).withColumn("source", F.lit("temporary")))
     if text is not None:
-        both = both.withColumns({"idx": F.struct("source", "id"), "__less": -F.col("score")})
-        stays = greedy_dedupe(both, group, ["__less", "source", "id"], text).select(F.col(group).alias("__g"), F.col("idx").alias("__i"))
-        both = both.join(stays, (F.col(group) == F.col("__g")) & (F.col("idx") == F.col("__i")), "left_semi").drop("idx", "__less")
+        both = _unlike(both, group, limit, text)
     rank = F.row_number().over(Window.partitionBy(group).orderBy(F.desc("score"), "source", "id"))
     return both.withColumn("rank", rank).where(F.col("rank") <= limit)
 
 
+def _unlike(hits: DataFrame, group: str, limit: int, text: str) -> DataFrame:
+    """Hits of each group that are near no better one that stays, best first: at least the first `limit` of them, where there are so many.
+
+    What stays of a group's first texts doesn't depend on the later ones, so the first `WIDE * limit` different texts are asked, and eight times as many
+    where too few of them stay. Of hits with one text only the best can stay, so a group's texts are counted with their best scores; then the hits that
+    score less than the last of these texts leave before anything moves. Hits without words are near nothing and count each by itself.
+    """
+    source, words = F.col("source"), F.coalesce(F.col(text), F.lit(""))
+    bare = ~words.rlike(r"(?U)\S")
+    digest = {f"__d{i}": F.when(bare, F.xxhash64(F.lit(i), source, F.col("id"))).otherwise(F.xxhash64(F.lit(i), words)) for i in (1, 2)}
+    value = F.coalesce(F.col("score").cast("double"), F.lit(float("-inf")))  # as the order has it, nulls last
+    keys = [F.col(group), F.col("__d1"), F.col("__d2")]
+    out, asked, most = None, hits, WIDE * limit
+    while True:
+        best = asked.select(group, value.alias("__best"), *(c.alias(n) for n, c in digest.items())).groupBy(*keys).agg(F.max("__best").alias("__best"))
+        rank = F.rank().over(Window.partitionBy(group).orderBy(F.desc("__best")))  # ties come along, so what is left scores less
+        best = stage(best.withColumn("__rank", rank).where(F.col("__rank") <= most).drop("__rank"), "best").withColumnRenamed(group, "__group")
+        groups = stage(best.groupBy("__group").agg(F.min("__best").alias("__least"), F.count("*").alias("__texts")), "groups")
+        same = F.col(group).eqNullSafe(F.col("__group"))
+        first = asked.join(_small(groups.drop("__texts")), same).where(value >= F.col("__least")).drop("__group", "__least").withColumns(digest)
+        ends = [F.col(c).alias(f"{c}_") if c != "__group" else F.col(c) for c in best.columns]
+        first = first.join(best.select(*ends), same & (F.col("__d1") == F.col("__d1_")) & (F.col("__d2") == F.col("__d2_")) & (value == F.col("__best_")))
+        first = first.withColumn("__first", F.row_number().over(Window.partitionBy(*keys).orderBy("source", "id"))).where("__first = 1").select(*hits.columns)
+        place = F.row_number().over(Window.partitionBy(group).orderBy(F.desc("score"), "source", "id"))
+        first = stage(first.withColumn("idx", place), "first")
+        stays = greedy_dedupe(first, group, ["idx"], text).select(F.col(group).alias("__group"), F.col("idx").alias("__idx"))
+        kept = stage(first.join(stays, same & (F.col("idx") == F.col("__idx")), "left_semi").drop("idx"), "stays")
+        # Fewer texts than were asked for are all that a group has.
+        enough = kept.groupBy(F.col(group).alias("__g")).agg(F.count("*").alias("__stay")).where(F.col("__stay") >= limit)
+        more = stage(groups.where(F.col("__texts") >= most).join(enough, F.col("__group").eqNullSafe(F.col("__g")), "left_anti").select("__group"), "more")
+        done = more.isEmpty()
+        kept = kept if done else kept.join(more, same, "left_anti")
+        out = kept if out is None else out.unionByName(kept)
+        if done:
+            return out
+        asked, most = hits.join(_small(more), same, "left_semi"), 8 * most
+
+
+def _small(groups: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """A staged table to be broadcast if it has no more rows than that."""
+    return F.broadcast(groups) if groups.count() <= rows else groups
+
+
 def consistency(vectors: DataFrame, graph: DataFrame, key: str) -> DataFrame:
     """(key, vectors, nodes, state): whether both stores hold a repository, or which one alone does."""
     v = vectors.groupBy(key).agg(F.count("*").alias("vectors"))

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,6 +35,50 @@ def scored(chunks: DataFrame, queries: DataFrame, min_score: float | None = None
     return met if min_score is None else met.where(F.col("score") >= min_score)
 
 
+def scores(chunks: DataFrame, queries: DataFrame, block: int = 2048) -> DataFrame:
+    """(query_id, id, score) of `scored`, the same to the last bit, by products of blocks: a repository's chunks and queries are dealt over blocks by their
+    hash, and each two blocks meet once in a task. For where all scores are asked; the pairs still grow with chunks times queries of a repository."""
+    whole = lambda c: F.when(~F.exists(c, lambda x: x.isNull()), c.cast("array<double>"))
+    held = chunks.select("repo_id", "id", whole(F.col("embedding")).alias("v"))
+    asked = queries.select("repo_id", "query_id", whole(F.col("query")).alias("v"))
+    parts = [side.groupBy("repo_id").agg(F.ceil(F.count("*") / block).alias(n)) for side, n in ((held, "__c"), (asked, "__q"))]
+    parts = parts[0].join(parts[1], "repo_id")
+
+    def deal(side: DataFrame, key: str, own: str, other: str) -> DataFrame:
+        met = side.join(parts, "repo_id").withColumn(own, F.pmod(F.xxhash64(key), F.col(own)))
+        met = met.withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)))
+        at = [F.col(c).alias(f"{own}_{c}") for c in ("repo_id", "__c", "__q")]  # names of its own, as both sides may come from one table
+        return met.select(*at, F.col(key).alias(key), F.col("v").alias("v")).groupBy(*(f"{own}_{c}" for c in ("repo_id", "__c", "__q")))
+
+    def compare(c: pa.Table, q: pa.Table) -> pa.Table:
+        found = _cosines(q.column("v"), c.column("v"))
+        rows, cols = np.repeat(np.arange(len(q)), len(c)), np.tile(np.arange(len(c)), len(q))
+        return pa.table({"query_id": q.column("query_id").take(pa.array(rows)), "id": c.column("id").take(pa.array(cols)), "score": found.ravel()})
+
+    types = f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {chunks.schema['id'].dataType.simpleString()}, score double"
+    met = deal(held, "id", "__c", "__q").cogroup(deal(asked, "query_id", "__q", "__c")).applyInArrow(compare, types)
+    return met.withColumn("score", F.round("score", 6))
+
+
+def _cosines(a: pa.ChunkedArray, b: pa.ChunkedArray) -> np.ndarray:
+    """Similarities of each of a with each of b, summed up in the order of their components; 0 for vectors that are null, of no length or of different sizes."""
+    a, b = (x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in (a, b))
+    size = [np.asarray(pc.fill_null(pc.list_value_length(x), 0)) for x in (a, b)]
+    out = np.zeros((len(a), len(b)))
+    for n in np.intersect1d(*size):
+        if n:
+            i, j = (np.flatnonzero(s == n) for s in size)
+            x, y = (np.asarray(v.take(pa.array(k)).flatten(), float).reshape(-1, n).T.copy() for v, k in ((a, i), (b, j)))
+            dots, one, two = np.zeros((len(i), len(j))), np.zeros(len(i)), np.zeros(len(j))
+            for p, q in zip(x, y, strict=True):
+                dots += np.outer(p, q)
+                one += p * p
+                two += q * q
+            length = np.outer(np.sqrt(one), np.sqrt(two))
+            out[np.ix_(i, j)] = np.divide(dots, length, out=np.zeros_like(dots), where=length != 0)
+    return out
+
+
 def top_k(rows: DataFrame, k: int, key: str = "query_id") -> DataFrame:
     rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "id"))
     return rows.withColumn("rank", rank).where(F.col("rank") <= k)
