@@ -32,7 +32,7 @@ def word_set(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(text), r"(?U)\s+"), lambda w: w != ""))
 
 
-def places(rows: DataFrame, group: str, *order: str) -> DataFrame:
+def places(rows: DataFrame, group: str, *order: str | Column) -> DataFrame:
     """rows with `place`, from 1, of each in its group's order, which must be total. Groups are cut by ranges, so none is one task's work."""
     ranged = rows.repartitionByRange(group, *order)
     ranged = stage(ranged.withColumn("__part", F.spark_partition_id()), "ranged")

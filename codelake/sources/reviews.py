@@ -6,8 +6,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.decide import severity_rank
+from ..operators.dedupe import places
 from .store import BUCKETS, Store, stage
 
+#: Comments of a file, in their order, that one row holds while they meet functions; and functions of one range of lines.
+BLOCK, TOGETHER = 2048, 256
+
 REVIEW = (
     "review_id string, pull_request_id string, status string, summary struct<overallScore:int,filesChanged:int,issuesFound:int,critical:int,high:int,medium:int,low:int,info:int>, "
     "key_changes array<string>, recommendations array<string>, positives array<string>, primary_model string, total_tokens_input bigint, total_tokens_output bigint, "
@@ -75,10 +79,30 @@ def file_history(reviews: DataFrame, reviewed: DataFrame, limit: int = 10) -> Da
     return newest(met, ["file_path"], limit).select("file_path", "place", "review_id", "completed_at", "issues_found", "severity_max", "categories")
 
 
-def function_issues(reviews: DataFrame, comments: DataFrame, entities: DataFrame) -> DataFrame:
+def function_issues(reviews: DataFrame, comments: DataFrame, entities: DataFrame, block: int = BLOCK) -> DataFrame:
     """(file_path, function, review_id, line, severity, category, title, place): comments whose line lies in a function; place orders a function's, the
-    newest review's first. Lines of comments count from 1, those of entities from 0; a line in several functions stands with each."""
-    functions = entities.where("type = 'Function'").select(F.col("file").alias("file_path"), F.col("name").alias("function"), "uid", "start_line", "end_line")
-    met = comments.join(functions, "file_path").where("line_start - 1 between start_line and end_line").join(reviews.select("review_id", "completed_at"), "review_id")
-    place = F.row_number().over(Window.partitionBy("uid").orderBy(F.desc_nulls_last("completed_at"), F.desc("review_id"), "line_start", "title", "description"))
-    return met.select("file_path", "function", "review_id", F.col("line_start").alias("line"), "severity", "category", "title", place.alias("place"))
+    newest review's first. Lines of comments count from 1, those of entities from 0; a line in several functions stands with each.
+
+    The rows grow with comments times functions of a file, so they are made last and never move: a file's comments are cut into blocks in their order, and
+    a place is how many comments the range of lines has in the blocks before, and the place among those of its own. Functions of one range share the work.
+    """
+    range_ = ["file_path", "start_line", "end_line"]
+    functions = entities.where("type = 'Function' and start_line <= end_line").select(F.col("file").alias("file_path"), F.col("name").alias("function"), "start_line", "end_line")
+    dated = comments.join(reviews.select("review_id", "completed_at"), "review_id").join(functions.select("file_path").distinct(), "file_path", "left_semi")
+    order = [F.desc_nulls_last("completed_at"), F.desc("review_id"), "line_start", "title", "description", "severity", "category"]
+    told = places(dated.where("line_start is not null"), "file_path", *order).withColumn("block", F.floor((F.col("place") - 1) / block))
+    items = F.sort_array(F.collect_list(F.struct("place", "line_start", "review_id", "severity", "category", "title")))
+    blocks = stage(told.groupBy("file_path", "block").agg(items.alias("items")), "issue_blocks")
+
+    lines = blocks.select("file_path", "block", F.explode("items.line_start").alias("line")).groupBy("file_path", "block", "line").agg(F.count("*").alias("n"))
+    met = lines.join(functions.select(*range_).distinct(), "file_path").where("line - 1 between start_line and end_line").groupBy(*range_, "block").agg(F.sum("n").alias("n"))
+    before = F.sum("n").over(Window.partitionBy(*range_).orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    met = met.select(*range_, "block", F.coalesce(before, F.lit(0)).alias("before"))
+    # Names of a range come in lists of bounded length.
+    part = F.floor((F.row_number().over(Window.partitionBy(*range_).orderBy("function")) - 1) / TOGETHER)
+    named = functions.withColumn("__part", part).groupBy(*range_, "__part").agg(F.collect_list("function").alias("functions")).drop("__part")
+    met = blocks.join(met.join(named, range_).hint("merge"), ["file_path", "block"])
+    own = F.filter("items", lambda i: (i["line_start"] - 1 >= F.col("start_line")) & (i["line_start"] - 1 <= F.col("end_line")))
+    met = met.select("file_path", "functions", "before", F.posexplode(own).alias("at", "item")).select("file_path", F.explode("functions").alias("function"), "item", "before", "at")
+    item = [F.col(f"item.{c}") for c in ("review_id", "line_start", "severity", "category", "title")]
+    return met.select("file_path", "function", item[0], item[1].alias("line"), *item[2:], (F.col("before") + F.col("at") + 1).cast("int").alias("place"))
