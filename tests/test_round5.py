@@ -35,3 +35,20 @@ def test_texts_of_a_graph_are_those_of_its_arrays(spark, monkeypatch, part, shar
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and "::" in want.first().nodes
     if share == 1:  # large files never meet in a task
         assert got.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] == 1
+
+
+@pytest.mark.parametrize(("part", "within"), [(50_000, 1000), (5, 4)])
+def test_calls_within_files_are_those_of_pairs(spark, monkeypatch, part, within):
+    monkeypatch.setattr(graph, "PART", part)
+    monkeypatch.setattr(graph, "WITHIN", within)
+    odd = [("r", "f", n, c, f"u{i}") for i, (n, c) in enumerate([("", "ab cd"), (None, "b c"), ("b c", "xb cx"), ("ab", None), ("ab", "b  c"), ("é", ""), ("\n", "a\nb"), ("B", "aé"), (" ", "ab"), ("x", "b")])]
+    odd += [("r", None, "a", "a", "n1"), ("r", None, "a", "a", "n2"), ("r", "f", "ab", "ab", "u3"), ("r", "f", "ab", "ab", None)]
+    odd = spark.createDataFrame(odd, "repo_id string, file string, name string, code string, uid string")
+    nodes = _code(spark).select("repo_id", "file", "name", F.col("raw_code").alias("code"), "uid").unionByName(odd)
+    a, b = nodes.alias("a"), nodes.alias("b")
+    want = a.join(b, F.expr("a.repo_id = b.repo_id and a.file = b.file and a.uid <> b.uid and contains(a.code, b.name)")).select("a.repo_id", "a.file", F.col("a.uid").alias("src_uid"), F.col("b.uid").alias("dst_uid"))
+    got = graph.intra_file_calls(nodes)
+    assert got.columns == want.columns
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) != []
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Contains" not in plan and "CoGroups" in plan  # no pairs of nodes
