@@ -10,6 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -84,8 +85,117 @@ def top_k(rows: DataFrame, k: int, key: str = "query_id") -> DataFrame:
     return rows.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def nearest(chunks: DataFrame, queries: DataFrame, k: int, min_score: float | None = None, block: int = 2048) -> DataFrame:
+    """top_k(scored(chunks, queries, min_score), k), the same to the last bit, by products of blocks.
+
+    A repository's chunks and queries are dealt over blocks, and each two blocks meet once in a task. Fast products tell which chunks can be among a
+    query's first k, and only these are scored as `cosine` does and leave the task. The products still grow with chunks times queries of a repository.
+    """
+    held = chunks.withColumn("embedding", _whole(chunks, "embedding"))
+    asked = queries.withColumn("query", _whole(queries, "query"))
+    parts = [side.groupBy("repo_id").agg(F.ceil(F.count("*") / block).alias(n)) for side, n in ((chunks, "__c"), (queries, "__q"))]
+    parts = parts[0].join(parts[1], "repo_id")
+
+    def deal(side: DataFrame, key: str, own: str, other: str) -> DataFrame:
+        met = side.join(parts, "repo_id").withColumn(own, F.pmod(F.xxhash64(key), F.col(own)))
+        met = met.withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)))
+        at = [F.col(c).alias(f"{own}_{c}") for c in ("repo_id", "__c", "__q")]  # names of its own, as both sides may come from one table
+        return met.select(*at, *(F.col(c).alias(c) for c in side.columns)).groupBy(*(f"{own}_{c}" for c in ("repo_id", "__c", "__q")))
+
+    of_chunk, of_query = [c for c in chunks.columns if c != "embedding"], [c for c in queries.columns if c not in ("repo_id", "query")]
+
+    def compare(c: pa.Table, q: pa.Table) -> pa.Table:
+        rows, cols, score = _best(q.column("query"), c.column("embedding"), c.column("id"), k, min_score)
+        c, q = c.select(of_chunk).take(pa.array(cols)), q.select(of_query).take(pa.array(rows))
+        return pa.table([*c.columns, *q.columns, pa.array(score)], names=[*of_chunk, *of_query, "score"])
+
+    types = StructType([*(chunks.schema[c] for c in of_chunk), *(queries.schema[c] for c in of_query), StructField("score", DoubleType())])
+    met = deal(held, "id", "__c", "__q").cogroup(deal(asked, "query_id", "__q", "__c")).applyInArrow(compare, types)
+    met = met.withColumn("score", F.round("score", 6))
+    return top_k(met if min_score is None else met.where(F.col("score") >= min_score), k)
+
+
+def _whole(rows: DataFrame, name: str) -> Column:
+    """A vector that lacks none of its components, or null."""
+    kind = rows.schema[name].dataType.simpleString()
+    return F.when(~F.exists(name, lambda x: x.isNull()), F.col(name) if kind == "array<float>" else F.col(name).cast("array<double>"))
+
+
+#: By how much a score may lie below another and yet be rounded to the same six digits, and what the fast products may be off besides.
+NEAR = 1.1e-6
+
+
+def _best(a: pa.ChunkedArray, b: pa.ChunkedArray, ids: pa.ChunkedArray, k: int, least: float | None, together: int = 256) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each of a, which of b can be among its first k by rounded score and then id, with their scores: row, column, score. Of equal scores those of the smallest ids."""
+    a, b, ids = (x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in (a, b, ids))
+    order = np.empty(len(b), np.int64)
+    order[np.asarray(pc.sort_indices(ids, null_placement="at_start"))] = np.arange(len(b))
+    out = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+    for start in range(0, len(a), together) if len(b) else ():
+        part = a.slice(start, together)
+        score = _products(part, b)
+        score = np.where(np.isnan(score), np.inf, score)
+        last = np.full(len(part), -np.inf)
+        if len(b) > k:
+            last = np.partition(score, len(b) - k, axis=1)[:, len(b) - k]
+        fit = score >= (last - NEAR)[:, None]
+        if least is not None:
+            fit &= score >= least - NEAR
+        rows, cols = np.nonzero(fit)
+        exact = _cosine(part.take(pa.array(rows)), b.take(pa.array(cols)))
+        lost = np.isnan(exact)
+        value = np.where(lost, np.inf, exact)
+        by = np.lexsort((order[cols], value, lost, rows))
+        rows, cols, exact, lost, value = (x[by] for x in (rows, cols, exact, lost, value))
+        first = np.flatnonzero(np.r_[True, (np.diff(rows) != 0) | (lost[1:] != lost[:-1]) | (value[1:] != value[:-1])]) if len(rows) else np.empty(0, np.int64)
+        place = np.arange(len(rows)) - np.repeat(first, np.diff(np.r_[first, len(rows)]))
+        stay = place < k
+        out.append((rows[stay] + start, cols[stay], exact[stay]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def _products(a: pa.Array, b: pa.Array) -> np.ndarray:
+    """_cosines but for some 1e-12, by products of matrices; the same where lengths are such that products might be off by more."""
+    size = [np.asarray(pc.fill_null(pc.list_value_length(x), 0)) for x in (a, b)]
+    out = np.zeros((len(a), len(b)))
+    for n in np.intersect1d(*size):
+        if n:
+            i, j = (np.flatnonzero(s == n) for s in size)
+            u, v = a.take(pa.array(i)), b.take(pa.array(j))
+            x, y = (np.asarray(w.flatten(), float).reshape(-1, n) for w in (u, v))
+            squares = [np.einsum("ij,ij->i", m, m) for m in (x, y)]
+            if all((((s > 1e-100) & (s < 1e100)) | ~m.any(axis=1)).all() for s, m in zip(squares, (x, y), strict=True)):
+                length = [np.where(s > 0, np.sqrt(s), 1) for s in squares]
+                found = (x / length[0][:, None]) @ (y / length[1][:, None]).T
+            else:
+                found = _cosines(u, v)
+            if len(i) == len(a) and len(j) == len(b):
+                return found
+            out[np.ix_(i, j)] = found
+    return out
+
+
+def _cosine(a: pa.Array, b: pa.Array) -> np.ndarray:
+    """Similarities of each of a with its fellow in b, as _cosines has them."""
+    size = [np.asarray(pc.fill_null(pc.list_value_length(x), 0)) for x in (a, b)]
+    out = np.zeros(len(a))
+    for n in np.unique(size[0][size[0] == size[1]]):
+        if n:
+            i = np.flatnonzero((size[0] == n) & (size[1] == n))
+            x, y = (np.asarray(v.take(pa.array(i)).flatten(), float).reshape(-1, n).T for v in (a, b))
+            dots, one, two = (np.zeros(len(i)) for _ in range(3))
+            for p, q in zip(x, y, strict=True):
+                dots += p * q
+                one += p * p
+                two += q * q
+            length = np.sqrt(one) * np.sqrt(two)
+            out[i] = np.divide(dots, length, out=np.zeros_like(dots), where=length != 0)
+    return out
+
+
 def search(chunks: DataFrame, queries: DataFrame, k: int = 5, min_score: float | None = None) -> DataFrame:
-    return top_k(scored(chunks, queries, min_score), k).select("query_id", "rank", "id", "file", "name", "start_line", "score")
+    chunks = chunks.select("repo_id", "id", "file", "name", "start_line", "embedding")
+    return nearest(chunks, queries, k, min_score).select("query_id", "rank", "id", "file", "name", "start_line", "score")
 
 
 def similarity_reason(score: Column) -> Column:

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from codelake.operators import context, export, graph
+from codelake.operators import context, export, graph, vector
 from codelake.operators.links import find_links
 
 
@@ -52,3 +52,30 @@ def test_calls_within_files_are_those_of_pairs(spark, monkeypatch, part, within)
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) != []
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "Contains" not in plan and "CoGroups" in plan  # no pairs of nodes
+
+
+def _vectors(spark):
+    rng = random.Random(5)
+    base = [[round(rng.gauss(0, 1), 3) for _ in range(6)] for _ in range(40)]
+    near = [[x + rng.choice([0, 1e-6, -1e-6, 3e-7]) for x in base[i % 3]] for i in range(120)]  # scores that only rounding makes equal
+    odd = [None, [], [0.0] * 6, [1.0, None] + [1.0] * 4, [1.0, 2.0], [2.0, 1.0], [float("nan")] + [1.0] * 5, [float("inf")] + [1.0] * 5, [1e-170] * 6, [1e160] * 6]
+    rows = [(i, f"r{i % 2}", f"f{i % 4}.py", f"n{i}", i % 9, v) for i, v in enumerate(base + near + odd * 2 + [base[0]] * 60)]
+    return spark.createDataFrame(rows, "id long, repo_id string, file string, name string, start_line int, embedding array<double>").repartition(3)
+
+
+@pytest.mark.parametrize(("k", "least", "kind"), [(5, None, "double"), (3, 0.9, "double"), (5, 0.2, "float"), (1000, -2.0, "double")])
+@pytest.mark.parametrize("block", [2048, 11])
+def test_nearest_are_the_first_of_all_pairs(spark, k, least, kind, block):
+    chunks = _vectors(spark)
+    chunks = chunks.withColumn("embedding", F.col("embedding").cast(f"array<{kind}>"))
+    asks = chunks.where("id % 3 = 0 or id > 155").select(F.col("id").alias("query_id"), "repo_id", F.col("embedding").alias("query"), F.col("file").alias("of"))
+    want = vector.top_k(vector.scored(chunks, asks, least), k)
+    got = vector.nearest(chunks, asks, k, least, block)
+    assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect())) != []
+
+
+def test_searches_make_no_row_a_pair(spark):
+    chunks = _vectors(spark)
+    asks = chunks.select(F.col("id").alias("query_id"), "repo_id", F.col("embedding").alias("query"))
+    plan = vector.search(chunks, asks, 5)._jdf.queryExecution().executedPlan().toString()
+    assert "CoGroups" in plan and "zip_with" not in plan
