@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from ..sources.store import stage
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -275,9 +277,10 @@ def repo_stats(chunks: DataFrame, top: int = 10) -> DataFrame:
 def similar_minus_duplicates(chunks: DataFrame, queries: DataFrame, near: float, same: float, limit: int = 10) -> DataFrame:
     """Similar chunks of each query (query_id, repo_id, query, query_file, query_line), without those around its own place, then duplicates of
     other files that aren't among them; at most `limit`."""
-    met = scored(chunks, queries, near)
-    similar = top_k(met, 5).where(~((F.col("file") == F.col("query_file")) & (F.abs(F.col("start_line") - F.col("query_line")) < 5)))
-    copies = top_k(met.where(F.col("score") >= same), 3).where(F.col("file") != F.col("query_file"))
+    # Both lists are the first of one order, so one search gives them; it is written, as three sides read it.
+    met = stage(nearest(chunks.select("repo_id", "id", "file", "start_line", "embedding"), queries, 5, near), "met")
+    similar = met.where(~((F.col("file") == F.col("query_file")) & (F.abs(F.col("start_line") - F.col("query_line")) < 5)))
+    copies = met.where((F.col("score") >= same) & (F.col("rank") <= 3) & (F.col("file") != F.col("query_file")))
     copies = copies.join(similar.select("query_id", "file", "start_line"), ["query_id", "file", "start_line"], "left_anti")
     both = similar.withColumn("section", F.lit(0)).unionByName(copies.withColumn("section", F.lit(1)))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("section", F.desc("score"), "id"))

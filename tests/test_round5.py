@@ -79,3 +79,19 @@ def test_searches_make_no_row_a_pair(spark):
     asks = chunks.select(F.col("id").alias("query_id"), "repo_id", F.col("embedding").alias("query"))
     plan = vector.search(chunks, asks, 5)._jdf.queryExecution().executedPlan().toString()
     assert "CoGroups" in plan and "zip_with" not in plan
+
+
+@pytest.mark.parametrize(("near", "same"), [(0.1, 0.25), (0.9, 0.2), (-2.0, 0.99)])
+def test_similar_minus_duplicates_search_once(spark, monkeypatch, near, same):
+    """As two searches of all pairs give it; a copy whose line isn't known stands in both sections."""
+    chunks = _vectors(spark).withColumn("start_line", F.when(F.col("id") % 7 != 0, F.col("start_line")))
+    asks = chunks.where("id % 3 = 0").select(F.col("id").alias("query_id"), "repo_id", F.col("embedding").alias("query"), F.col("file").alias("query_file"), F.lit(4).alias("query_line"))
+    met = vector.scored(chunks, asks, near)
+    similar = vector.top_k(met, 5).where("not (file = query_file and abs(start_line - query_line) < 5)")
+    copies = vector.top_k(met.where(F.col("score") >= same), 3).where("file <> query_file").join(similar.select("query_id", "file", "start_line"), ["query_id", "file", "start_line"], "left_anti")
+    want = similar.select("query_id", F.lit(0).alias("section"), "id", "file", "start_line", "score").unionByName(copies.select("query_id", F.lit(1).alias("section"), "id", "file", "start_line", "score"))
+    want, asked = want.collect(), []
+    monkeypatch.setattr(vector, "nearest", lambda *a, f=vector.nearest: (asked.append(a), f(*a))[1])
+    monkeypatch.setattr(vector, "scored", None)
+    got = vector.similar_minus_duplicates(chunks, asks, near, same).select("query_id", "section", "id", "file", "start_line", "score").collect()
+    assert sorted(map(str, got)) == sorted(map(str, want)) and {r.section for r in got} == {0, 1} and len(asked) == 1
