@@ -16,7 +16,7 @@ from . import graph
 from .links import Links
 
 #: Bytes of text that a task should write; a file is one task's work in any case. Parquet's writer keeps up to 100 rows before it looks at their size.
-SHARE = 8 << 20
+SHARE = 1 << 20
 MOST = 20_000
 KEY = ["repo_id", "file"]
 META, TARGETS, HEAD, SAID = range(4)
